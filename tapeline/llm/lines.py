@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -32,6 +32,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     exploded = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(hashed).alias("pos", "hash")).where("hash IS NOT NULL")
     exploded = exploded.withColumn("hash", F.unhex("hash"))
     shared = exploded.groupBy("hash", "doc").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).select("hash", "last")
+    shared = stored(shared)  # with a shuffle of its own on either side, Spark can split a frequent line in the join
     hit = exploded.join(shared, "hash").where(~F.col("doc").eqNullSafe(F.col("last")))
     return hit.groupBy("row_key", "doc").agg(F.collect_set("pos").alias("drop"))
 

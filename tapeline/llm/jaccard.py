@@ -3,8 +3,9 @@
 1. Every document becomes a set of 64-bit shingle hashes with a digest; documents of equal sets are one *text* from
    here on. The same pass counts shingles in a sketch of fixed size, summed over all documents.
 2. Each set is ordered rare-first by that sketch (any fixed order is exact, a good one is fast), and its prefix of
-   ``n - ceil(t n) + 1`` shingles is emitted. Texts that can reach the threshold share a shingle of their prefixes.
-3. Among the texts of a prefix shingle, pairs must pass the length and the positional filter. First each text meets
+   ``n - ceil(t n) + COMMON`` shingles is emitted. Texts that reach the threshold share ``COMMON`` shingles of these
+   prefixes, or all that they must share if that is less.
+3. Among the texts of a prefix shingle, pairs must pass the length and the positional filter, and be met that often. First each text meets
    one pivot of its shingle and size band; what the verified links connect already need not meet again, so groups of
    copies cost a number of pairs in proportion to their texts. All other pairs follow, those that pass.
 4. Pairs are made distinct, pass the suffix filter (counts of both sets over 64 ranges of the hash bound the
@@ -31,6 +32,10 @@ PERCENT = 85
 #: Counters of the sketch, as a power of two, and the counters of a row of it.
 SKETCH_BITS, ROW_BITS = 21, 15
 BINS = 64
+#: Shingles of their prefixes that two texts must share.
+COMMON = 4
+#: Up to this many texts, their keys are broadcast to fetch their documents; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Copies that a task remembers so as not to emit their prefixes again.
 REMEMBERED = 1_000_000
 
@@ -108,7 +113,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> Da
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(fp)
-                p = n - (percent * n + 99) // 100 + 1
+                p = min(n, n - (percent * n + 99) // 100 + COMMON)
                 c = counts[s >> np.uint64(64 - SKETCH_BITS)]
                 order = np.lexsort((s, c))[:p]
                 hs.append(s[order].view(np.int64))
@@ -133,14 +138,16 @@ def plausible(a: str, b: str, percent: int) -> Column:
     """Length and positional filter for two postings of a shingle, structs of (n, fp, pos)."""
     na, nb, pa_, pb = (F.col(x).cast("long") for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
     length = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-    # in the pair's first common shingle nothing before it is common, so some shingle of the pair passes
-    return length & (F.least(na - pa_, nb - pb) >= needed(na, nb, percent))
+    # of the pair's common shingles in order, the k-th leaves room for all but k - 1: COMMON of them pass
+    return length & (F.least(na - pa_, nb - pb) + (COMMON - 1) >= needed(na, nb, percent))
 
 
-def ordered_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct (a, b, na, nb) with a < b from structs of (n, fp, pos)."""
+def ordered_pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb) with a < b from structs of (n, fp, pos), of those that come often enough. What rows
+    there are holds each common shingle of a pair once."""
     one, two = F.least(F.struct(f"{a}.fp", f"{a}.n"), F.struct(f"{b}.fp", f"{b}.n")), F.greatest(F.struct(f"{a}.fp", f"{a}.n"), F.struct(f"{b}.fp", f"{b}.n"))
-    return rows.select(one.alias("x"), two.alias("y")).groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
+    return rows.select(one.alias("x"), two.alias("y")).groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.count("*").alias("common")).where(
+        F.col("common") >= F.least(F.lit(COMMON), needed(F.col("na").cast("long"), F.col("nb").cast("long"), percent))).drop("common")
 
 
 def kept_sets(docs: DataFrame, signed: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -156,10 +163,12 @@ def kept_sets(docs: DataFrame, signed: DataFrame, texts: DataFrame, size: int) -
                 hashes.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(bins, pa.binary()), pa.array(hashes, pa.binary())], names=["fp", "bins", "hashes"])
 
-    rows = keyed(docs)
-    met = rows.join(first.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")), rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["text_key"] == F.col("_t")), "left_semi")
-    # rows that repeat both doc_id and text give a set more than once
-    return stored(met.mapInArrow(run, "fp long, bins binary, hashes binary").groupBy("fp").agg(F.first("bins").alias("bins"), F.first("hashes").alias("hashes")))
+    rows, first = keyed(docs), stored(first.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")))
+    wanted = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    met = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["text_key"] == F.col("_t")), "left_semi")
+    # rows that repeat both doc_id and text give one set
+    again = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("doc_id"))
+    return stored(met.withColumn("_again", again).where("_again = 1").drop("_again").mapInArrow(run, "fp long, bins binary, hashes binary"))
 
 
 def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -222,17 +231,22 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
     met = postings(docs, summed(parts), size, percent).withColumn("_first", F.min("fp").over(texts)).withColumn("_last", F.max("fp").over(texts)).where("_first <> _last")
     own = F.struct("n", "fp", "pos")
     met = met.select("h", own.alias("x"), band.alias("band")).withColumn("pivot", F.min("x").over(Window.partitionBy("h", "band")))
+    # a task may have emitted a text that another had too
+    met = met.dropDuplicates(["h", "x"])
     met = stored(met)
-    first = stored(ordered_pairs(met.where("x.fp <> pivot.fp").where(plausible("x", "pivot", percent)), "x", "pivot"))
-    known = kept_sets(docs, signed, met.select("x.fp").distinct(), size)
+    first = stored(ordered_pairs(met.where("x.fp <> pivot.fp").where(plausible("x", "pivot", percent)), "x", "pivot", percent))
+    # only texts that share enough of their prefix with others, whoever they are
+    n = F.first("x.n").cast("long")
+    texts_met = met.groupBy("x.fp").agg(n.alias("n"), F.count("*").alias("shared")).where(F.col("shared") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))).select("fp")
+    known = kept_sets(docs, signed, texts_met, size)
     links = verified(first, known, percent)
     classes = components(links)
     # texts of a shingle that aren't connected yet
-    classed = met.select("h", "x", F.col("x.fp").alias("fp")).distinct().join(classes, "fp", "left").select("h", "x", F.coalesce("class", "fp").alias("class"))
+    classed = met.select("h", "x", F.col("x.fp").alias("fp")).join(classes, "fp", "left").select("h", "x", F.coalesce("class", "fp").alias("class"))
     apart = stored(classed.withColumn("_low", F.min("class").over(texts)).withColumn("_high", F.max("class").over(texts)).where("_low <> _high").select("h", "x", "class"))
     other = apart.select("h", F.col("x").alias("y"), F.col("class").alias("class_y"))
     rest = apart.join(other, "h").where(F.col("class") < F.col("class_y")).where(plausible("x", "y", percent))
-    rest = ordered_pairs(rest, "x", "y").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = ordered_pairs(rest, "x", "y", percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(rest, known, percent)
     return signed, components(links.union(more))
 

@@ -26,28 +26,37 @@ MEMORY = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if printable in Latin-1, else the next from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
 class Words(dict):
     """From a word, as bytes, to its ids as little-endian 32-bit bytes. Words are what ASCII white space separates:
     the tokenizer's pieces never cross it."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.cores = tokenizer, {}
-        #: A word of ASCII letters with marks around it: letters and marks are never one piece.
-        self.split = re.compile(rb"([.,;:!?*#&%$()|]*)([A-Za-z]+)([.,;:!?*#&%$()|]*)").fullmatch
+        self.tokenizer, self.cores, self.letters = tokenizer, {}, byte_letters()
+        #: A word of Latin letters with marks around it: letters and marks are never one piece, normalisation
+        #: leaves them as they are but for case, so both can go to the tokenizer's model directly.
+        self.split = re.compile(r"([.,;:!?*#&%$()|]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#&%$()|]*)").fullmatch
 
     def encode(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def core(self, word: bytes) -> bytes:
+    def core(self, word: str) -> bytes:
         if not word:
             return b""
         if (out := self.cores.get(word)) is None:
-            out = self.cores[word] = self.encode(word)
+            spelled = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+            out = self.cores[word] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
         return out
 
     def __missing__(self, word: bytes) -> bytes:
-        m = self.split(word)
+        m = self.split(word.decode())
         out = self.core(m[1]) + self.core(m[2].lower()) + self.core(m[3]) if m else self.encode(word)
         self[word] = out
         return out

@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from ..functions.dialect import other_sql, spark_sql
+from .panel_sql import SQL
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def view_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the tables of a folder: each table that the text names becomes a view."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in TABLES:
+            if name in text:
+                spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        return spark.sql(spark_sql(text))
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: view_query(text) for name, text in SQL.items()}
+ORACLE_SQL: dict[str, str] = {name: other_sql(text) for name, text in SQL.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["p09_hold_up"](spark, sf_dir)

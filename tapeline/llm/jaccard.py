@@ -33,7 +33,9 @@ PERCENT = 85
 SKETCH_BITS, ROW_BITS = 21, 15
 BINS = 64
 #: Shingles of their prefixes that two texts must share.
-COMMON = 4
+COMMON = 6
+#: Rounds in which texts meet a pivot only, before all pairs that are left.
+PIVOT_ROUNDS = 2
 #: Up to this many texts, their keys are broadcast to fetch their documents; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Copies that a task remembers so as not to emit their prefixes again.
@@ -230,25 +232,32 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     met = postings(docs, summed(parts), size, percent).withColumn("_first", F.min("fp").over(texts)).withColumn("_last", F.max("fp").over(texts)).where("_first <> _last")
     own = F.struct("n", "fp", "pos")
-    met = met.select("h", own.alias("x"), band.alias("band")).withColumn("pivot", F.min("x").over(Window.partitionBy("h", "band")))
     # a task may have emitted a text that another had too
-    met = met.dropDuplicates(["h", "x"])
-    met = stored(met)
-    first = stored(ordered_pairs(met.where("x.fp <> pivot.fp").where(plausible("x", "pivot", percent)), "x", "pivot", percent))
+    met = stored(met.select("h", own.alias("x"), band.alias("band")).dropDuplicates(["h", "x"]))
     # only texts that share enough of their prefix with others, whoever they are
     n = F.first("x.n").cast("long")
     texts_met = met.groupBy("x.fp").agg(n.alias("n"), F.count("*").alias("shared")).where(F.col("shared") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))).select("fp")
     known = kept_sets(docs, signed, texts_met, size)
-    links = verified(first, known, percent)
-    classes = components(links)
-    # texts of a shingle that aren't connected yet
-    classed = met.select("h", "x", F.col("x.fp").alias("fp")).join(classes, "fp", "left").select("h", "x", F.coalesce("class", "fp").alias("class"))
-    apart = stored(classed.withColumn("_low", F.min("class").over(texts)).withColumn("_high", F.max("class").over(texts)).where("_low <> _high").select("h", "x", "class"))
-    other = apart.select("h", F.col("x").alias("y"), F.col("class").alias("class_y"))
-    rest = apart.join(other, "h").where(F.col("class") < F.col("class_y")).where(plausible("x", "y", percent))
-    rest = ordered_pairs(rest, "x", "y", percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(rest, known, percent)
-    return signed, components(links.union(more))
+    open_ = met.withColumn("class", F.col("x.fp"))
+    links = tried = None
+    for i in range(PIVOT_ROUNDS + 1):
+        if i < PIVOT_ROUNDS:
+            # the same few texts are pivots of all their shingles
+            lead = F.min(F.struct(F.xxhash64("x.fp", F.lit(i)).alias("o"), "x", "class")).over(Window.partitionBy("h", "band"))
+            rows = open_.withColumn("lead", lead).where(F.col("class") != F.col("lead.class")).select("x", F.col("lead.x").alias("y"))
+        else:
+            other = open_.select("h", F.col("x").alias("y"), F.col("class").alias("class_y"))
+            rows = open_.join(other, "h").where(F.col("class") < F.col("class_y"))
+        pairs = ordered_pairs(rows.where(plausible("x", "y", percent)), "x", "y", percent)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = verified(pairs, known, percent)
+        links, tried = (found, pairs.select("a", "b")) if links is None else (links.union(found), tried.union(pairs.select("a", "b")))
+        classes = components(links)
+        if i < PIVOT_ROUNDS:
+            # shingles of texts that aren't connected yet
+            classed = open_.drop("class").withColumn("fp", F.col("x.fp")).join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp")).drop("fp")
+            open_ = stored(classed.withColumn("_low", F.min("class").over(texts)).withColumn("_high", F.max("class").over(texts)).where("_low <> _high").drop("_low", "_high"))
+    return signed, classes
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

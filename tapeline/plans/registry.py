@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import other_sql, spark_sql
-from .panel_sql import SQL
+from ..operators import clusters, scans
+from .panel_sql import BARS, LABELS, PANEL, RECENT, RECENT_PAIRS, SQL, STEP1
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -28,5 +29,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: view_query
 ORACLE_SQL: dict[str, str] = {name: other_sql(text) for name, text in SQL.items()}
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view_query(f"WITH {BARS},{STEP1},{LABELS} SELECT code, date, close, ma20, ma60, prior60, g1_raw, g2_raw FROM lab")(spark, sf_dir)
+
+
+def p01_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(g):
+        g["state"] = scans.hysteresis(g.g1_raw, g.close, g.ma20, g.ma60, 3)
+        return g[["code", "date", "state"]]
+
+    return scans.by_code(_labelled(spark, sf_dir), run, "code string, date date, state string")
+
+
+def p02_stack_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(g):
+        g["state"] = scans.stack_hysteresis(g.g2_raw, g.close, g.ma20, g.ma60)
+        return g[["code", "date", "state"]]
+
+    return scans.by_code(_labelled(spark, sf_dir), run, "code string, date date, state string")
+
+
+def p04_merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(g):
+        g["state"] = scans.merge_short(scans.hysteresis(g.g1_raw, g.close, g.ma20, g.ma60, 3), 8)
+        return g[["code", "date", "state"]]
+
+    return scans.by_code(_labelled(spark, sf_dir), run, "code string, date date, state string")
+
+
+def p12_rule_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(g):
+        import pandas as pd
+
+        done = scans.rule_machine(g.close.to_numpy(), (g.g1_raw == "up").to_numpy(), (g.g1_raw == "down").to_numpy(), trail=0.12)
+        return pd.DataFrame({"code": g.code[:1], "trades": len(done["trades"]), "equity": round(float(done["equity"][-1]), 5), "action": done["action"], "holding": done["holding"]})
+
+    return scans.by_code(_labelled(spark, sf_dir), run, "code string, trades int, equity double, action string, holding boolean")
+
+
+def m01_ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = view_query(f"WITH {PANEL},{RECENT},{RECENT_PAIRS} SELECT code_a, code_b, corr FROM corr")(spark, sf_dir)
+    return clusters.ward_clusters(pairs)
+
+
+QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p12_rule_machine, m01_ward_clusters)}
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["p09_hold_up"](spark, sf_dir)

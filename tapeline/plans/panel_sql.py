@@ -126,11 +126,11 @@ b AS (SELECT l.code, l.date, l.g1_raw AS truth, s.regime, CASE WHEN s.regime <>
 put("w17_trailing_trend", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_path' for p in RAIL_BARS], digits=3)}, {rounded(*[f'fig{p}_g' for p in (7, 8, 9)], digits=4)} FROM {'res'} WHERE rn > 5")
 put("w18_envelope", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_upper' for p in RAIL_BARS], *[f'fig{p}_lower' for p in RAIL_BARS], digits=3)} FROM rails")
 STATES = f"""
-low AS (SELECT *, CASE WHEN close < fig9_path THEN 0 ELSE 1 END AS off FROM rails),
+low AS (SELECT *, CASE WHEN round(close - fig9_path, 7) < 0 THEN 0 ELSE 1 END AS off FROM rails),
 low2 AS (SELECT *, sum(off) OVER ({SEEN}) AS isl FROM low),
 low3 AS (SELECT *, sum(1 - off) OVER (PARTITION BY code, isl ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM low2),
-st AS (SELECT *, CASE WHEN fig8_g IS NULL OR fig9_g IS NULL OR fig10_g IS NULL OR fig9_upper IS NULL THEN 'warm-up' WHEN close >= fig9_upper OR close >= fig10_upper THEN 'overheat'
-  WHEN run >= 10 THEN 'knife' WHEN fig10_g <= 0 AND fig9_g <= 0 THEN 'down' WHEN fig8_g > 0 AND fig9_g > 0 THEN 'up' WHEN close >= fig10_path THEN 'repair' ELSE 'chop' END AS state FROM low3)"""
+st AS (SELECT *, CASE WHEN fig8_g IS NULL OR fig9_g IS NULL OR fig10_g IS NULL OR fig9_upper IS NULL THEN 'warm-up' WHEN round(close - fig9_upper, 7) >= 0 OR round(close - fig10_upper, 7) >= 0 THEN 'overheat'
+  WHEN run >= 10 THEN 'knife' WHEN fig10_g <= 0 AND fig9_g <= 0 THEN 'down' WHEN fig8_g > 0 AND fig9_g > 0 THEN 'up' WHEN round(close - fig10_path, 7) >= 0 THEN 'repair' ELSE 'chop' END AS state FROM low3)"""
 put("w12_run_below_path", BARS, RAILS, STATES, select="SELECT code, date, CAST(run AS BIGINT) AS run FROM low3")
 put("x26_six_states", BARS, RAILS, STATES, select="SELECT code, date, state FROM st")
 MASKS = f"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import other_sql, spark_sql
-from ..operators import clusters, scans
+from ..functions.features import frame
+from ..operators import clusters, hmm, methods, scans
+from ..streaming import bars
 from .panel_sql import BARS, LABELS, PANEL, RECENT, RECENT_PAIRS, SQL, STEP1
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -72,7 +74,117 @@ def m01_ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.ward_clusters(pairs)
 
 
-QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p12_rule_machine, m01_ward_clusters)}
+#: Columns of ``methods``: what its rules take, and whether volatility has been low for long and prices hardly moved.
+QUIET = f"""
+vol AS (SELECT *, count(round(rv20, 9)) OVER ({frame(252)}) AS n_vol FROM lab),
+pct AS (SELECT *, CAST(@SHARE_UP_TO(rv9, {frame(252)}) AS DOUBLE) / nullif(n_vol, 0) AS vol_pct FROM (SELECT *, round(rv20, 9) AS rv9 FROM vol) t),
+low AS (SELECT *, sum(CASE WHEN rv20 IS NOT NULL AND n_vol >= 60 AND vol_pct < 0.35 THEN 1 ELSE 0 END) OVER ({frame(15)}) AS n_low FROM pct),
+series AS (SELECT *, coalesce(adx14, 0) AS adx, coalesce(plus_di, 0) AS plus, coalesce(minus_di, 0) AS minus, n_low >= 10 AND NOT (abs(p60) >= 0.12 OR abs(p20) >= 0.08) AS quiet FROM low)"""
+#: Training ends before this day, and evaluation starts with it.
+CUTOFF = "1997-01-01"
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view_query(f"WITH {BARS},{STEP1},{LABELS},{QUIET} SELECT {methods.COLUMNS} FROM series")(spark, sf_dir)
+
+
+def g07_method_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final labels of every method with its own parameters, a column each."""
+
+    def run(g):
+        for name in methods.METHODS:
+            g[name] = methods.labels(g, name)
+        return g[["code", "date", *methods.METHODS]]
+
+    return scans.by_code(_series(spark, sf_dir), run, "code string, date date, " + ", ".join(f"{m} string" for m in methods.METHODS))
+
+
+def p06_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(g):
+        g["truth"] = methods.truth(g.close)
+        return g[["code", "date", "truth"]]
+
+    return scans.by_code(view_query(f"WITH {BARS} SELECT code, date, close FROM bars")(spark, sf_dir), run, "code string, date date, truth string")
+
+
+def g11_method_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(g):
+        import datetime
+        import json
+
+        import pandas as pd
+
+        method, params, score, flat, n = methods.trained(g, datetime.date.fromisoformat(CUTOFF))
+        return pd.DataFrame({"code": g.code[:1], "method": method, "params": json.dumps(params), "score": round(score, 6), "flat_truth": flat, "train_bars": n})
+
+    return scans.by_code(_series(spark, sf_dir), run, "code string, method string, params string, score double, flat_truth boolean, train_bars long")
+
+
+def g13_out_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen method and the fixed one after the training bars."""
+
+    def run(g):
+        import datetime
+
+        import pandas as pd
+
+        start = datetime.date.fromisoformat(CUTOFF)
+        method, params, *_ = methods.trained(g, start)
+        own, fixed = methods.evaluated(g, method, params, start), methods.evaluated(g, methods.FIXED, {}, start)
+        return pd.DataFrame({"code": g.code[:1], "method": method, "bars": own["bars"], "n_trades": own["n"], **{k: round(own[k], 5) for k in ("compound", "bh", "edge")}, "fixed_edge": round(fixed["edge"], 5)})
+
+    return scans.by_code(_series(spark, sf_dir), run, "code string, method string, bars long, n_trades long, compound double, bh double, edge double, fixed_edge double")
+
+
+RETURNS = f"WITH {BARS} SELECT code, date, ln(close / lag(close) OVER (PARTITION BY code ORDER BY date)) AS r FROM bars"
+WINDOW = 252
+
+
+def m09_hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three states fitted to the last 252 returns of each series, one row a state in order of deviation."""
+
+    def run(g):
+        import pandas as pd
+
+        m = hmm.fit(g.r.to_numpy()[-WINDOW:])
+        return pd.DataFrame({"code": g.code[0], "state": range(len(m.mu)), "mu": m.mu.round(6), "sigma": m.sigma.round(6), "stay": m.trans.diagonal().round(6), "separated": m.separation >= hmm.SEPARATED, "reliable": m.reliable})
+
+    return scans.by_code(view_query(RETURNS)(spark, sf_dir), run, "code string, state int, mu double, sigma double, stay double, separated boolean, reliable boolean")
+
+
+def p17_filtered_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the states at each bar after the 252 returns to which the model is fitted."""
+
+    def run(g):
+        import pandas as pd
+
+        r = g.r.to_numpy()[1:]
+        m = hmm.fit(r[:WINDOW])
+        later = g.iloc[1 + WINDOW :]
+        if not m.reliable or not len(later):
+            return pd.DataFrame({"code": [], "date": [], "calm": [], "middle": [], "wild": []})
+        w = hmm.filtered(r, m)[WINDOW:].round(6)
+        return pd.DataFrame({"code": later.code, "date": later.date, "calm": w[:, 0], "middle": w[:, 1], "wild": w[:, 2]})
+
+    return scans.by_code(view_query(RETURNS)(spark, sf_dir), run, "code string, date date, calm double, middle double, wild double")
+
+
+def t09_event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.event_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def t08_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+ORACLE_SQL |= {
+    "t09_event_bars": """SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
+  last(value ORDER BY ts, event_id) AS close, count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts)""",
+    "t08_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS edge FROM events),
+s AS (SELECT user_id, ts, sum(edge) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, count(*) AS n FROM s GROUP BY user_id, k""",
+}
+
+QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p12_rule_machine, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, t09_event_bars, t08_sessions)}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,15 +137,17 @@ def needed(na: Column, nb: Column, percent: int) -> Column:
 
 
 def plausible(a: str, b: str, percent: int) -> Column:
-    """Length and positional filter for two postings of a shingle, structs of (n, fp, pos)."""
+    """Length and positional filter for two postings of a shingle, structs of (n, fp, pos, rank)."""
     na, nb, pa_, pb = (F.col(x).cast("long") for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
     length = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-    # of the pair's common shingles in order, the k-th leaves room for all but k - 1: COMMON of them pass
-    return length & (F.least(na - pa_, nb - pb) + (COMMON - 1) >= needed(na, nb, percent))
+    # the pair's common shingles before this one are in both prefixes, so neither text has more of them than its rank;
+    # the k-th leaves room for all but k - 1: COMMON of them pass
+    before = F.least(F.lit(COMMON - 1), F.col(f"{a}.rank"), F.col(f"{b}.rank"))
+    return length & (F.least(na - pa_, nb - pb) + before >= needed(na, nb, percent))
 
 
 def ordered_pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
-    """Distinct (a, b, na, nb) with a < b from structs of (n, fp, pos), of those that come often enough. What rows
+    """Distinct (a, b, na, nb) with a < b from structs of (n, fp, pos, rank), of those that come often enough. What rows
     there are holds each common shingle of a pair once."""
     one, two = F.least(F.struct(f"{a}.fp", f"{a}.n"), F.struct(f"{b}.fp", f"{b}.n")), F.greatest(F.struct(f"{a}.fp", f"{a}.n"), F.struct(f"{b}.fp", f"{b}.n"))
     return rows.select(one.alias("x"), two.alias("y")).groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.count("*").alias("common")).where(
@@ -231,19 +233,22 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
     texts = Window.partitionBy("h")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     met = postings(docs, summed(parts), size, percent).withColumn("_first", F.min("fp").over(texts)).withColumn("_last", F.max("fp").over(texts)).where("_first <> _last")
-    own = F.struct("n", "fp", "pos")
     # a task may have emitted a text that another had too
-    met = stored(met.select("h", own.alias("x"), band.alias("band")).dropDuplicates(["h", "x"]))
+    met = met.select("h", "n", "fp", "pos").dropDuplicates(["h", "fp"])
+    # rank: shingles before it in the text's prefix that some other text has in its own; shared: all of them
+    prefix = Window.partitionBy("fp")
+    met = met.withColumn("rank", F.row_number().over(prefix.orderBy("pos")) - 1).withColumn("shared", F.count("*").over(prefix))
     # only texts that share enough of their prefix with others, whoever they are
-    n = F.first("x.n").cast("long")
-    texts_met = met.groupBy("x.fp").agg(n.alias("n"), F.count("*").alias("shared")).where(F.col("shared") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))).select("fp")
-    known = kept_sets(docs, signed, texts_met, size)
+    enough = F.col("shared") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))
+    met = stored(met.where(enough).select("h", F.struct("n", "fp", "pos", "rank").alias("x"), band.alias("band"), "shared"))
+    known = kept_sets(docs, signed, met.select("x.fp").distinct(), size)
     open_ = met.withColumn("class", F.col("x.fp"))
     links = tried = None
     for i in range(PIVOT_ROUNDS + 1):
         if i < PIVOT_ROUNDS:
-            # the same few texts are pivots of all their shingles
-            lead = F.min(F.struct(F.xxhash64("x.fp", F.lit(i)).alias("o"), "x", "class")).over(Window.partitionBy("h", "band"))
+            # the same few texts are pivots of all their shingles: first those at the centre of their group, which share
+            # the most, then any
+            lead = F.min(F.struct((-F.col("shared") if i == 0 else F.lit(0)).alias("c"), F.xxhash64("x.fp", F.lit(i)).alias("o"), "x", "class")).over(Window.partitionBy("h", "band"))
             rows = open_.withColumn("lead", lead).where(F.col("class") != F.col("lead.class")).select("x", F.col("lead.x").alias("y"))
         else:
             other = open_.select("h", F.col("x").alias("y"), F.col("class").alias("class_y"))

@@ -36,7 +36,7 @@ BINS = 64
 COMMON = 6
 #: Rounds in which texts meet a pivot only, before all pairs that are left.
 PIVOT_ROUNDS = 2
-#: Up to this many texts, their keys are broadcast to fetch their documents; beyond, both sides are shuffled.
+#: Up to this many texts, their keys are broadcast to fetch their documents or sets; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Copies that a task remembers so as not to emit their prefixes again.
 REMEMBERED = 1_000_000
@@ -202,7 +202,11 @@ def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             rows = rows.join(known.select(F.col("fp").alias(end), F.col(column).alias(f"{column}_{end}")), end)
         return rows
 
-    passed = with_both(pairs, "bins").select("a", "b", "na", "nb", "bins_a", "bins_b").mapInArrow(bounded, "a long, b long")
+    passed = stored(with_both(pairs, "bins").select("a", "b", "na", "nb", "bins_a", "bins_b").mapInArrow(bounded, "a long, b long"))
+    # whole sets are shuffled for these pairs only
+    ends = passed.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    if ends.count() <= BROADCAST_ROWS:
+        known = known.join(F.broadcast(ends), "fp", "left_semi")
     return stored(with_both(passed, "hashes").select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long"))
 
 

@@ -112,3 +112,44 @@ def filtered(returns, m: Model, nu: float = 5.0) -> np.ndarray:
             now = now / max(now.sum(), 1e-300)
         out[t] = now
     return out
+
+
+#: Names of three states: the calmest one, then the lower and the higher mean.
+NAMES = ("calm", "bear_grind", "volatile_reversal")
+REVERSAL = 2
+
+
+def named(m: Model) -> Model:
+    """The states in the order of ``NAMES``. Equal means are told apart by deviation, then by place."""
+    calm = min(range(len(m.mu)), key=lambda i: (m.sigma[i], abs(m.mu[i]), i))
+    rest = [i for i in range(len(m.mu)) if i != calm]
+    if len(rest) == 2:
+        low, high = rest
+        if abs(m.mu[low] - m.mu[high]) > 1e-8:
+            rest = sorted(rest, key=lambda i: m.mu[i])
+        elif m.sigma[low] - m.sigma[high] > 1e-8:
+            rest = [high, low]
+    o = np.array([calm, *rest])
+    return Model(m.start[o], m.trans[np.ix_(o, o)], m.mu[o], m.sigma[o], m.loglik, m.rounds, m.reliable)
+
+
+def ahead(weights: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Weights of the states one bar on, for each row of ``weights``; rows without mass stay as they are."""
+    w = np.atleast_2d(np.asarray(weights, float))
+    mass = w.sum(1, keepdims=True)
+    out = np.divide(w, mass, out=w.copy(), where=mass > 0) @ trans
+    total = out.sum(1, keepdims=True)
+    return np.where((mass > 0) & (total > 0), out / np.where(total > 0, total, 1), w)
+
+
+def moved(xi: np.ndarray) -> dict[str, float]:
+    """Of joint weights (state before, state now) that add up to one: the chance of any change, of a change to the last
+    named state, and the weights now."""
+    now = xi.sum(0) / max(float(xi.sum()), TINY)
+    into = float(xi[:, REVERSAL].sum() - xi[REVERSAL, REVERSAL]) if len(xi) > REVERSAL else 0.0
+    return {"switch": float(xi.sum() - np.trace(xi)), "into_reversal": into, **{f"state_{n}": float(p) for n, p in zip(NAMES, now, strict=False)}}
+
+
+def stays(m: Model, horizons: tuple[int, ...] = (5, 10, 20)) -> dict[int, float | None]:
+    """Chance that the last named state is not left within so many bars."""
+    return {h: float(m.trans[REVERSAL, REVERSAL] ** h) if len(m.mu) > REVERSAL else None for h in horizons}

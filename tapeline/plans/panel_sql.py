@@ -125,6 +125,9 @@ b AS (SELECT l.code, l.date, l.g1_raw AS truth, s.regime, CASE WHEN s.regime <>
 
 put("w17_trailing_trend", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_path' for p in RAIL_BARS], digits=3)}, {rounded(*[f'fig{p}_g' for p in (7, 8, 9)], digits=4)} FROM {'res'} WHERE rn > 5")
 put("w18_envelope", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_upper' for p in RAIL_BARS], *[f'fig{p}_lower' for p in RAIL_BARS], digits=3)} FROM rails")
+POSITION = "\npos AS (SELECT *, ln(close / fig9_lower) / nullif(ln(fig9_upper / fig9_lower), 0) AS fig9_pos, ln(close / fig10_lower) / nullif(ln(fig10_upper / fig10_lower), 0) AS fig10_pos FROM rails)"
+put("w19_band_position", BARS, RAILS, POSITION, select=f"SELECT code, date, {rounded('fig9_pos', 'fig10_pos', digits=3)} FROM pos")
+put("w15_band_change", BARS, RAILS, POSITION, select="SELECT code, date, round(fig9_pos - lag(fig9_pos, 10) OVER (PARTITION BY code ORDER BY date), 3) AS fig9_pos_10 FROM pos")
 STATES = f"""
 low AS (SELECT *, CASE WHEN round(close - fig9_path, 7) < 0 THEN 0 ELSE 1 END AS off FROM rails),
 low2 AS (SELECT *, sum(off) OVER ({SEEN}) AS isl FROM low),

@@ -30,7 +30,7 @@ def value(x):
     return float(x) + 0.0 if isinstance(x, (int, float)) or hasattr(x, "as_tuple") else str(x)[:10]
 
 
-@pytest.mark.parametrize("name", ["f01_clean_bars", "f03_resume_after_gap", "u01_upsert_bars", "g09_features", "w06_hist_percentile", "w21_mode_smoothing", "w25_forward_label", "p09_hold_up", "a02_pair_corr", "a08_quota", "x26_six_states", "j09_as_of", "t09_event_bars", "t08_sessions"])
+@pytest.mark.parametrize("name", ["f01_clean_bars", "f03_resume_after_gap", "u01_upsert_bars", "g09_features", "w06_hist_percentile", "w15_band_change", "w19_band_position", "w21_mode_smoothing", "w25_forward_label", "p09_hold_up", "a02_pair_corr", "a08_quota", "x26_six_states", "j09_as_of", "t09_event_bars", "t08_sessions"])
 def test_same_rows(spark, other, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -169,6 +169,23 @@ def p17_filtered_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.by_code(view_query(RETURNS)(spark, sf_dir), run, "code string, date date, calm double, middle double, wild double")
 
 
+def x20_next_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named states of the last 252 returns: weight at the next bar, and the chance that reversal lasts 5, 10 and 20 bars."""
+
+    def run(g):
+        import pandas as pd
+
+        r = g.r.to_numpy()[-WINDOW:]
+        m = hmm.fit(r)
+        if not m.reliable:
+            return pd.DataFrame({"code": [], "state": [], "weight": [], "stay5": [], "stay10": [], "stay20": []})
+        m = hmm.named(m)
+        stay = hmm.stays(m)
+        return pd.DataFrame({"code": g.code[0], "state": hmm.NAMES, "weight": hmm.ahead(hmm.filtered(r, m)[-1], m.trans)[0].round(6), **{f"stay{h}": round(p, 6) for h, p in stay.items()}})
+
+    return scans.by_code(view_query(RETURNS)(spark, sf_dir), run, "code string, state string, weight double, stay5 double, stay10 double, stay20 double")
+
+
 def t09_event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.event_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -184,7 +201,7 @@ ORACLE_SQL |= {
 s AS (SELECT user_id, ts, sum(edge) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, count(*) AS n FROM s GROUP BY user_id, k""",
 }
 
-QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p12_rule_machine, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, t09_event_bars, t08_sessions)}
+QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p12_rule_machine, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, x20_next_states, t09_event_bars, t08_sessions)}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

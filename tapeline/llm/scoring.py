@@ -4,18 +4,23 @@ The network is a bidirectional window: the tokens at the places -2, -1, +1 and +
 table to the hidden layer, whose tanh is mapped to a softmax over the vocabulary. Tokens are the most frequent
 words of the corpus, counted over all documents, and classes of the hash of all other words. One replica is trained
 on each partition of the corpus, on every document of it, at masked places (every ``MASK``-th token); the replicas'
-weights are averaged by the number of tokens they saw. The score of a document is the sum of the log-probabilities
-of all its tokens, each given its neighbours.
+weights are averaged by the number of tokens they saw.
+
+The vocabulary is every word of the corpus: the softmax is factored by class, and a word of a class has the share of
+its count in the class's, over all documents. The counts stay a distributed table, which scoring joins. The score of
+a document is the sum of log P(class | neighbours) + log P(word | class) of all its words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, word_hashes
+from .common import stored
+from .words import chunks, mixed, word_hashes
 
 FREQUENT, CLASSES = 128, 32
 PLACES = (-2, -1, 1, 2)
@@ -24,6 +29,8 @@ MASK = 8
 BATCH = 512
 RATE = 0.15
 SEED = 7
+#: Words with more than one in so many of all tokens are handed to scoring as a list, so that no key of its join is hot.
+HOT = 16384
 
 
 class Network:
@@ -71,8 +78,8 @@ class Network:
         self.flat -= RATE * grad / np.sqrt(self.square)
 
 
-def vocabulary(docs: DataFrame, n: int = FREQUENT) -> list[int]:
-    """Hashes of the n most frequent words of all documents, ties to the smaller hash."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): the hash of each word of all documents and how often it comes."""
 
     def count(batches):
         for b in batches:
@@ -80,8 +87,13 @@ def vocabulary(docs: DataFrame, n: int = FREQUENT) -> list[int]:
                 h, n_ = np.unique(word_hashes(data, offs)[0], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n_.astype(np.int64)})
 
-    words = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return [r[0] for r in words.orderBy(F.desc("n"), "h").limit(n).collect()]
+    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, n: int = FREQUENT, counts: DataFrame | None = None) -> list[int]:
+    """Hashes of the n most frequent words of all documents, ties to the smaller hash."""
+    counts = word_counts(docs) if counts is None else counts
+    return [r[0] for r in counts.orderBy(F.desc("n"), "h").limit(n).collect()]
 
 
 class Tokens:
@@ -101,7 +113,7 @@ class Tokens:
         return np.where(self.known[at] == hashes, self.order[at], rest)
 
     def windows(self, texts):
-        """(first row, end row, tokens, their neighbours, words before each row), a run of rows at a time."""
+        """(first row, end row, tokens, their neighbours, words before each row, their hashes), a run of rows at a time."""
         for i, j, data, offs in chunks(texts):
             hashes, bounds = word_hashes(data, offs)
             token = self.of(hashes)
@@ -111,7 +123,7 @@ class Tokens:
             for k, step in enumerate(PLACES):
                 ok = (at + step >= bounds[row]) & (at + step < bounds[row + 1])
                 around[ok, k] = token[at[ok] + step]
-            yield i, j, token, around, bounds
+            yield i, j, token, around, bounds, hashes
 
 
 def train(docs: DataFrame, words: list[int]) -> np.ndarray:
@@ -122,7 +134,7 @@ def train(docs: DataFrame, words: list[int]) -> np.ndarray:
         net, seen, held = Network(tokens.size), 0, []
         waiting = 0
         for b in batches:
-            for _, _, token, around, bounds in tokens.windows(b.column(0)):
+            for _, _, token, around, bounds, _ in tokens.windows(b.column(0)):
                 # places follow the document, so that they don't depend on how rows are batched
                 place = np.arange(len(token)) - np.repeat(bounds[:-1], np.diff(bounds))
                 masked = place % MASK == np.repeat(np.diff(bounds), np.diff(bounds)) % MASK
@@ -151,28 +163,91 @@ def train(docs: DataFrame, words: list[int]) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def class_log_p(net: Network, token: np.ndarray, around: np.ndarray) -> np.ndarray:
+    return np.concatenate([net.log_p(around[k : k + 4096], token[k : k + 4096]) for k in range(0, len(token), 4096)] or [np.zeros(0)]).astype(np.float64)
+
+
+def row_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def score(docs: DataFrame, words: list[int], weights: np.ndarray) -> DataFrame:
+    """The likelihood of the classes alone, without that of the words in them."""
     tokens = Tokens(words)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         net = Network(tokens.size, shared.value)
         for b in batches:
-            for i, j, token, around, bounds in tokens.windows(b.column(1)):
-                lp = np.concatenate([net.log_p(around[k : k + 4096], token[k : k + 4096]) for k in range(0, len(token), 4096)] or [np.zeros(0)])
-                total = np.concatenate([[0.0], np.cumsum(lp.astype(np.float64))])
-                sums, n = total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds)
+            for i, j, token, around, bounds, _ in tokens.windows(b.column(1)):
+                sums, n = row_sums(class_log_p(net, token, around), bounds), np.diff(bounds)
                 mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(sums), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_p"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_p double")
 
 
+def score_words(docs: DataFrame, words: list[int], weights: np.ndarray, counts: DataFrame) -> DataFrame:
+    """The likelihood of the words: that of their classes, and of each word in its class by ``counts``.
+
+    A word's count of its class is known to all tasks; its own count is, too, if it is hot, and is joined otherwise.
+    """
+    tokens = Tokens(words)
+    of = (F.shiftrightunsigned("h", 40) % CLASSES).cast("int").alias("k")
+    sums = {r["k"]: r["n"] for r in counts.groupBy(of).agg(F.sum("n").alias("n")).collect()}
+    hot = {r["h"]: r["n"] for r in counts.where(F.col("n") > sum(sums.values()) / HOT).collect()}
+    # a frequent word is a class of its own; it has left that of its hash
+    for h, n in counts.where(F.col("h").isin(words)).collect():
+        hot.pop(h, None)
+        sums[(h >> 40) % (1 << 24) % CLASSES] -= n
+    in_class = np.log(np.maximum(1, [sums.get(k, 0) for k in range(CLASSES)]))
+    hot_words = np.array(sorted(hot), np.int64)
+    hot_logs = np.log(np.array([hot[h] for h in hot_words.tolist()], np.float64))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, hot_words, hot_logs))
+    names = ["row", "h", "doc_id", "n_tokens", "lp"]
+
+    def run(batches):
+        weights, hot_words, hot_logs = shared.value
+        net, row = Network(tokens.size, weights), TaskContext.get().partitionId() << 40
+        for b in batches:
+            for i, j, token, around, bounds, hashes in tokens.windows(b.column(1)):
+                lp = class_log_p(net, token, around)
+                rest = np.flatnonzero(token >= len(words))
+                lp[rest] -= in_class[token[rest] - len(words)]
+                h = hashes[rest].view(np.int64)
+                if len(hot_words):
+                    at = np.minimum(np.searchsorted(hot_words, h), len(hot_words) - 1)
+                    known = hot_words[at] == h
+                    lp[rest[known]] += hot_logs[at[known]]
+                    rest, h = rest[~known], h[~known]
+                rows = row + np.arange(j - i)
+                row += j - i
+                # one line for the document, anywhere, and one for each word whose count is to be joined
+                whose, none = np.repeat(rows, np.diff(bounds))[rest], len(rest)
+                at = np.concatenate([mixed(rows.astype(np.uint64)).view(np.int64), h])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rows, whose])), pa.array(at), pa.concat_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.nulls(none, pa.int64())]),
+                        pa.concat_arrays([pa.array(np.diff(bounds).astype(np.int64)), pa.nulls(none, pa.int64())]), pa.concat_arrays([pa.array(row_sums(lp, bounds)), pa.nulls(none, pa.float64())]),
+                    ],
+                    names=names,
+                )
+
+    lines = docs.select("doc_id", "text").mapInArrow(run, "row long, h long, doc_id long, n_tokens long, lp double")
+    # the log of a count of 1 is 0: a word without a match adds nothing
+    again = counts.where("n > 1").select("h", F.log("n").alias("log_n"))
+    joined = lines.join(again, "h", "left").where("lp IS NOT NULL OR log_n IS NOT NULL").select("row", "doc_id", "n_tokens", F.coalesce("lp", "log_n").alias("lp"))
+    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("lp").alias("log_likelihood"))
+    return summed.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_p"))
+
+
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_tokens, log_likelihood, mean_log_p.
 
     A text without words, or null, has 0 tokens, likelihood 0 and no mean. Every row counts in training, repeated
     rows as often as they come. An empty table gives no rows. Other columns are ignored.
     """
-    words = vocabulary(docs)
-    return score(docs, words, train(docs, words))
+    counts = stored(word_counts(docs))
+    words = vocabulary(docs, counts=counts)
+    return score_words(docs, words, train(docs, words), counts)

@@ -3,8 +3,8 @@
 The network is a bidirectional window: the tokens at the places -2, -1, +1 and +2 each add a row of their place's
 table to the hidden layer, whose tanh is mapped to a softmax over the vocabulary. Tokens are the most frequent
 words of the corpus, counted over all documents, and classes of the hash of all other words. One replica is trained
-on each partition of the corpus, on every document of it, at masked places (every ``MASK``-th token); the replicas'
-weights are averaged by the number of tokens they saw.
+on each partition of the corpus, on every token of every document of it; the replicas' weights are averaged by the
+number of tokens they saw.
 
 The vocabulary is every word of the corpus: the softmax is factored by class, and a word of a class has the share of
 its count in the class's, over all documents. The counts stay a distributed table, which scoring joins. The score of
@@ -25,7 +25,6 @@ from .words import chunks, mixed, word_hashes
 FREQUENT, CLASSES = 128, 32
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 16
-MASK = 8
 BATCH = 512
 RATE = 0.15
 SEED = 7
@@ -134,12 +133,10 @@ def train(docs: DataFrame, words: list[int]) -> np.ndarray:
         net, seen, held = Network(tokens.size), 0, []
         waiting = 0
         for b in batches:
-            for _, _, token, around, bounds, _ in tokens.windows(b.column(0)):
-                # places follow the document, so that they don't depend on how rows are batched
-                place = np.arange(len(token)) - np.repeat(bounds[:-1], np.diff(bounds))
-                masked = place % MASK == np.repeat(np.diff(bounds), np.diff(bounds)) % MASK
-                held.append((token[masked], around[masked]))
-                waiting += int(masked.sum())
+            for _, _, token, around, _, _ in tokens.windows(b.column(0)):
+                # a window never holds the token it predicts, so every token is a target
+                held.append((token, around))
+                waiting += len(token)
                 if waiting >= BATCH:
                     t, a = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
                     full = len(t) // BATCH * BATCH

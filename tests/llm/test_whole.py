@@ -37,3 +37,13 @@ def test_every_word_has_its_own_probability(spark):
         want = classes[i] + sum(math.log(count[w] / in_class[token(w)]) for w in ws)
         assert got[i]["n_tokens"] == len(ws) and math.isclose(got[i]["log_likelihood"], want, rel_tol=1e-4, abs_tol=1e-4)
         assert got[i]["mean_log_p"] is None if not ws else math.isclose(got[i]["mean_log_p"], want / len(ws), rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_every_token_trains(spark):
+    """A corpus of short texts trains the network, and each token weighs as much as any other."""
+    docs = spark.createDataFrame([(i, "red green blue") for i in range(400)], "doc_id long, text string").coalesce(1)
+    words = scoring.vocabulary(docs)
+    weights = scoring.train(docs, words)
+    untrained = scoring.Network(len(words) + scoring.CLASSES).flat
+    means = [scoring.score(docs.limit(1), words, w).first()["mean_log_p"] for w in (untrained, weights)]
+    assert not np.array_equal(weights, untrained) and means[1] > means[0] + 1

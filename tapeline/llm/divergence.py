@@ -1,6 +1,6 @@
 """Distribution divergence: documents whose character classes or common words lie far from every language.
 
-Each document has a histogram of character classes and one of common words. The references are the histograms of
+Each document has a histogram of character classes and one of common words and all others. The references are the histograms of
 all documents of a language, summed; a document is rejected when the Jensen-Shannon distance from the nearest
 reference exceeds a threshold, provided that it is long enough for the distance to mean anything. Only DataFrame
 and SQL functions are used.
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .common import SPACES, stored
 
 MIN_WORDS = 50
-#: Guards: characters and common words that a document must have for the two distances.
-MIN_CHARS, MIN_COMMON = 200, 20
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.80
+#: Guard: characters that a document must have for the character distance; the word distance takes MIN_WORDS words.
+MIN_CHARS = 200
+#: A text of n words lies about WORD_NOISE / sqrt(n) from its own language by chance, which is added to its limit.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.30, 0.165, 1.4
 #: Languages with the most documents become references.
 MAX_LANGUAGES = 16
 #: Frequent function words of English, German, French and Spanish.
@@ -76,10 +77,12 @@ def features(docs: DataFrame) -> DataFrame:
     plain = F.transform("words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")))
     known = F.filter(F.transform(plain, lambda w: F.array_position(F.array(*[F.lit(w_) for w_ in WORDS]), w)), lambda k: k > 0)
     common = F.transform(F.array(known), lambda ks: F.transform(F.sequence(F.lit(1), F.lit(len(WORDS))), lambda k: F.size(F.filter(ks, lambda x: x == k)).cast("double")))[0]
+    # words that aren't common are the last bin, so that a lack of common ones is a distance
+    hist = F.transform(F.array(common), lambda h: F.concat(h, F.array(F.size("words") - total(h))))[0]
     return base.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"), (F.char_length("t") - space).cast("long").alias("word_chars"), chars[4].cast("long").alias("n_symbols"),
         (F.size(text_lines) - F.size(F.array_distinct(text_lines))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.array(*[c.cast("double") for c in [*chars, space, wide]]).alias("char_hist"), common.alias("word_hist"),
+        F.array(*[c.cast("double") for c in [*chars, space, wide]]).alias("char_hist"), hist.alias("word_hist"),
     )
 
 
@@ -121,10 +124,11 @@ def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word
     rows; other columns are ignored.
     """
     found = stored(features(docs))
-    by_char, by_word = references(found, "char_hist", 7), references(found, "word_hist", len(WORDS))
+    by_char, by_word = references(found, "char_hist", 7), references(found, "word_hist", len(WORDS) + 1)
     by_char_d = F.when(total(F.col("char_hist")) >= MIN_CHARS, nearest(F.col("char_hist"), by_char))
-    by_word_d = F.when(total(F.col("word_hist")) >= MIN_COMMON, nearest(F.col("word_hist"), by_word))
+    by_word_d = F.when(F.col("n_words") >= MIN_WORDS, nearest(F.col("word_hist"), by_word))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     judged = found.withColumn("base_failed", failed).withColumn("char_distance", by_char_d).withColumn("word_distance", by_word_d)
-    kept = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
+    word_limit = max_word + WORD_NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    kept = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")

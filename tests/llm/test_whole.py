@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from tapeline.llm import scoring
+from tapeline.llm import divergence, scoring
 from tapeline.llm.words import word_hashes
 
 from . import brute
@@ -47,3 +47,13 @@ def test_every_token_trains(spark):
     untrained = scoring.Network(len(words) + scoring.CLASSES).flat
     means = [scoring.score(docs.limit(1), words, w).first()["mean_log_p"] for w in (untrained, weights)]
     assert not np.array_equal(weights, untrained) and means[1] > means[0] + 1
+
+
+def test_texts_without_common_words_are_rejected(spark):
+    """Labelled junk that passes the base rules is rejected, whatever common words it has, and clean text is kept."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = divergence.quality_rules(docs).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    junk, clean = [r for r in got if r["quality"] == 0], [r for r in got if r["quality"] == 1]
+    assert junk and sum(r["kept"] for r in junk) <= 0.15 * len(junk) and sum(r["kept"] for r in clean) >= 0.99 * len(clean)
+    assert all(r["word_distance"] is not None for r in got) and not any(r["kept"] for r in junk if r["n_words"] >= 200)

@@ -18,8 +18,6 @@ MIN_WORDS = 50
 MIN_CHARS = 200
 #: A text of n words lies about WORD_NOISE / sqrt(n) from its own language by chance, which is added to its limit.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.30, 0.165, 1.4
-#: Languages with the most documents become references.
-MAX_LANGUAGES = 16
 #: Frequent function words of English, German, French and Spanish.
 COMMON = (
     "the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "as", "was", "on", "be", "by",
@@ -90,28 +88,27 @@ def total(h: Column) -> Column:
     return F.aggregate(h, F.lit(0.0), lambda x, y: x + y)
 
 
-def distance(h: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (square root of the divergence in bits) of a histogram from a distribution."""
-    q = F.array(*[F.lit(float(x)) for x in reference])
+def distribution(h: Column) -> Column:
+    return F.transform(F.array(total(h)), lambda n: F.transform(h, lambda x: F.try_divide(x, n)))[0]
 
-    def of(p: Column) -> Column:
-        term = lambda a, b: F.when(a > 0, a * F.log2(F.lit(2.0) * a / (a + b))).otherwise(0.0)
-        return F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(p, q, lambda a, b: (term(a, b) + term(b, a)) / 2))))
 
-    return F.transform(F.array(F.transform(h, lambda x: F.try_divide(x, total(h)))), of)[0]
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance (square root of the divergence in bits) of two distributions."""
+    term = lambda a, b: F.when(a > 0, a * F.log2(F.lit(2.0) * a / (a + b))).otherwise(0.0)
+    return F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(p, q, lambda a, b: (term(a, b) + term(b, a)) / 2))))
 
 
-def references(found: DataFrame, column: str, n: int) -> list[list[float]]:
-    """The summed histograms of the languages with the most documents, as distributions; at most MAX_LANGUAGES rows."""
-    sums = [F.sum(F.get(column, F.lit(i))).alias(f"h{i}") for i in range(n)]
-    rows = found.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("docs"), *sums).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).collect()
-    out = [[r[f"h{i}"] or 0.0 for i in range(n)] for r in rows]
-    return [[x / sum(h) for x in h] for h in out if sum(h) > 0]
+def references(found: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """One row: for each histogram column, of the size given, its sums for each language as an array of distributions."""
+    sums = [F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(n)]).alias(c) for c, n in sizes.items()]
+    by_lang = found.where("lang IS NOT NULL").groupBy("lang").agg(*sums)
+    shares = lambda c: F.when(total(F.col(c)) > 0, distribution(F.col(c)))
+    # collect_list leaves out what is null
+    return by_lang.agg(*[F.collect_list(shares(c)).alias(f"{c}_refs") for c in sizes])
 
 
-def nearest(h: Column, refs: list[list[float]]) -> Column:
-    d = [distance(h, r) for r in refs]
-    return F.lit(0.0) if not d else d[0] if len(d) == 1 else F.least(*d)
+def nearest(h: Column, refs: Column) -> Column:
+    return F.coalesce(F.transform(F.array(distribution(h)), lambda p: F.array_min(F.transform(refs, lambda q: distance(p, q))))[0], F.lit(0.0))
 
 
 def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
@@ -124,9 +121,10 @@ def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word
     rows; other columns are ignored.
     """
     found = stored(features(docs))
-    by_char, by_word = references(found, "char_hist", 7), references(found, "word_hist", len(WORDS) + 1)
-    by_char_d = F.when(total(F.col("char_hist")) >= MIN_CHARS, nearest(F.col("char_hist"), by_char))
-    by_word_d = F.when(F.col("n_words") >= MIN_WORDS, nearest(F.col("word_hist"), by_word))
+    # a row of sums for each language, all of them in the row that is joined to each document
+    found = found.crossJoin(F.broadcast(stored(references(found, {"char_hist": 7, "word_hist": len(WORDS) + 1}))))
+    by_char_d = F.when(total(F.col("char_hist")) >= MIN_CHARS, nearest(F.col("char_hist"), F.col("char_hist_refs")))
+    by_word_d = F.when(F.col("n_words") >= MIN_WORDS, nearest(F.col("word_hist"), F.col("word_hist_refs")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     judged = found.withColumn("base_failed", failed).withColumn("char_distance", by_char_d).withColumn("word_distance", by_word_d)
     word_limit = max_word + WORD_NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))

@@ -57,3 +57,11 @@ def test_texts_without_common_words_are_rejected(spark):
     junk, clean = [r for r in got if r["quality"] == 0], [r for r in got if r["quality"] == 1]
     assert junk and sum(r["kept"] for r in junk) <= 0.15 * len(junk) and sum(r["kept"] for r in clean) >= 0.99 * len(clean)
     assert all(r["word_distance"] is not None for r in got) and not any(r["kept"] for r in junk if r["n_words"] >= 200)
+
+
+def test_every_language_is_a_reference(spark):
+    """A language of few documents, in a script of its own, is measured against itself however many others there are."""
+    rows = [(k * 10 + i, " ".join(f"word{chr(97 + k)}{chr(97 + j % 26)}{j}" for j in range(i, i + 90)), f"l{k:02d}") for k in range(20) for i in range(3)]
+    rows.append((999, " ".join("".join(chr(0x4E00 + (j * 7 + k * 31) % 5000) for k in range(6)) for j in range(90)), "zz"))
+    got = {r["doc_id"]: r for r in divergence.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and got[999]["char_distance"] < 0.01 and got[999]["kept"]

@@ -1,8 +1,10 @@
 """Mixing sources to target weights along a low-discrepancy schedule.
 
 Slot ``j`` of the schedule is the point ``frac((j + 1/2) * (sqrt(5) - 1) / 2)`` of the golden-ratio sequence,
-mapped through the cumulative targets to a source. A source's documents, shuffled by a hash, form one stream of
-words that is cut into blocks of equal length; the slot that is the source's r-th takes block ``r mod blocks``.
+mapped through the cumulative slots of the targets to a source. A source's documents, shuffled by a hash, form one
+stream of words that is cut into blocks of ``MIN_BLOCK`` words; the slot that is the source's r-th takes block
+``r mod blocks``, and the last slot as many words of its block as the target still asks for. So slots grow with the
+corpus, and what is taken meets the target at any size.
 Only DataFrame and SQL functions are used.
 """
 
@@ -15,8 +17,7 @@ from .common import WORD, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: The schedule has about this many slots, at any size of the corpus.
-SLOTS = 1_000_000
+#: Words of a block, at any size of the corpus.
 MIN_BLOCK = 16
 #: Parts of each source's shuffled stream, so that no source is laid out by one task.
 CELLS = 1024
@@ -56,27 +57,42 @@ def source_sizes(docs: DataFrame, source: str = "source", size: str = "size") ->
     return sorted(((r[0], int(r[1] or 0)) for r in rows), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
 
 
-def schedule(spark, sizes: list[int], goals: list[float], block: int) -> DataFrame:
-    """Slots (slot, src, rank, block): src is the index of a source, rank counts its slots from 0."""
-    total = sum(goals)
-    n_slots = round(total / block) if total else 0
-    cum, at = [], 0.0
-    for g in goals:
-        at += g
+def schedule(spark, sizes: list[int], goals: list[int], block: int = MIN_BLOCK) -> DataFrame:
+    """Slots (slot, src, rank, block, words): src is the index of a source, rank counts its slots from 0, and words is
+    what it takes of its block. All slots of a source together take its goal."""
+    blocks = [max(1, -(-n // block)) for n in sizes]
+    # passes through the stream, what is left of the goal, and the slots of both
+    rest = [g % n if n else 0 for g, n in zip(goals, sizes, strict=True)]
+    need = [(g // n * k if n else 0) + -(-r // block) for g, n, k, r in zip(goals, sizes, blocks, rest, strict=True)]
+    total = sum(need)
+    cum, at = [], 0
+    for n in need:
+        at += n
         cum.append(at / total if total else 0.0)
+    pick = lambda values: F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("src"))
     point = F.expr(f"((id + CAST(0.5 AS DOUBLE)) * CAST({GOLDEN!r} AS DOUBLE)) % CAST(1 AS DOUBLE)")
     index = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cum[:-1]]), lambda c: c <= F.col("x"))) if len(cum) > 1 else F.lit(0)
-    slots = spark.range(n_slots).withColumn("x", point).select(F.col("id").alias("slot"), index.alias("src"), (F.col("id") / 4096).cast("long").alias("part"))
+    slots = spark.range(total).withColumn("x", point).select(F.col("id").alias("slot"), index.alias("src"), (F.col("id") / 4096).cast("long").alias("part"))
     # ranks in two steps, so that no task gets all slots of a source
     parts = slots.groupBy("src", "part").agg(F.count("*").alias("n"))
-    before = parts.select("src", "part", (F.sum("n").over(Window.partitionBy("src").orderBy("part")) - F.col("n")).alias("before"))
+    before = stored(parts.select("src", "part", (F.sum("n").over(Window.partitionBy("src").orderBy("part")) - F.col("n")).alias("before"), "n"))
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("src", "part").orderBy("slot")) - 1)
-    blocks = F.array(*[F.lit(max(1, -(-n // block))) for n in sizes])
-    rank = F.col("before") + F.col("r")
-    return ranked.join(F.broadcast(before), ["src", "part"]).select("slot", "src", rank.alias("rank"), (rank % F.get(blocks, F.col("src"))).alias("block"))
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS, slots: int = SLOTS) -> DataFrame:
+    placed = ranked.join(F.broadcast(before.drop("n")), ["src", "part"]).select("slot", "src", (F.col("before") + F.col("r")).alias("rank"))
+    # the points miss a source's slots by a few: those beyond its goal go, and those it lacks come at the end
+    has = {r["src"]: r["n"] for r in before.groupBy("src").agg(F.sum("n").alias("n")).collect()}
+    late, end = [], total
+    for i, n in enumerate(need):
+        for rank in range(has.get(i, 0), n):
+            late.append((end, i, rank))
+            end += 1
+    known = placed.where(F.col("rank") < pick(need)).unionByName(spark.createDataFrame(late, "slot long, src int, rank long"))
+    block_ = F.col("rank") % pick(blocks)
+    last = (F.col("rank") == pick(need) - 1) & (pick(rest) > 0)
+    words = F.least(F.lit(block), pick(sizes) - block_ * block, F.when(last, pick(rest) - block_ * block))
+    return known.select("slot", "src", "rank", block_.alias("block"), words.alias("words"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source, and what else it has): doc_id, source, size,
     source_size, target, taken.
 
@@ -91,7 +107,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS, slots: int
         return narrow.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     sizes = [n for _, n in by_source]
     goals = targets(by_source, weights, repeats)
-    block = max(MIN_BLOCK, sum(sizes) // slots)
+    block = MIN_BLOCK
     names = F.array(*[F.lit(s) for s, _ in by_source if s is not None]) if any(s is not None for s, _ in by_source) else F.array().cast("array<string>")
     src = F.when(F.col("source").isNull(), len(by_source) - 1).otherwise(F.array_position(names, F.col("source")) - 1).cast("int")
     rows = narrow.withColumn("src", src).withColumn("cell", F.pmod(F.col("key"), F.lit(CELLS)))
@@ -99,11 +115,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS, slots: int
     before = cells.select("src", "cell", (F.sum("n").over(Window.partitionBy("src").orderBy("cell")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("src", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_cell", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, ["src", "cell"]).withColumn("start", F.col("before") + F.col("in_cell"))
-    # a document joins the blocks that its words lie in; a block counts as often as its slots say
-    times = schedule(spark, sizes, goals, block).groupBy("src", "block").agg(F.count("*").alias("times"))
+    # a document joins the blocks that its words lie in; a word of a block counts as often as slots take it: all slots of
+    # the block but the last of the source take all of its words
+    whole = F.least(F.lit(block), F.get(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("src")) - F.col("block") * block)
+    cut = F.col("words") < whole
+    times = schedule(spark, sizes, [int(g + 0.5) for g in goals], block).groupBy("src", "block").agg(F.count_if(~cut).alias("times"), F.sum(F.when(cut, F.col("words")).otherwise(0)).alias("cut"))
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence((F.col("start") / block).cast("long"), ((F.col("start") + F.col("size") - 1) / block).cast("long"))))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = pieces.join(times, ["src", "block"], "left").groupBy("doc_id", "src", "start", "size").agg(F.sum(words * F.least(F.coalesce("times", F.lit(0)), F.lit(repeats))).alias("taken"))
+    first = F.greatest(F.col("start"), F.col("block") * block)
+    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+    some = F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.coalesce("cut", F.lit(0))) - first)
+    taken = pieces.join(times, ["src", "block"], "left").groupBy("doc_id", "src", "start", "size").agg(F.sum((end - first) * F.coalesce("times", F.lit(0)) + some).alias("taken"))
     none = placed.where("size = 0").select("doc_id", "src", "start", "size", F.lit(0).cast("long").alias("taken"))
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("src"))
     sources = F.get(F.array(*[F.lit(s) for s, _ in by_source]), F.col("src"))

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from tapeline.llm import divergence, scoring
+from tapeline.llm import divergence, mixing, scoring
 from tapeline.llm.words import word_hashes
 
 from . import brute
@@ -65,3 +65,17 @@ def test_every_language_is_a_reference(spark):
     rows.append((999, " ".join("".join(chr(0x4E00 + (j * 7 + k * 31) % 5000) for k in range(6)) for j in range(90)), "zz"))
     got = {r["doc_id"]: r for r in divergence.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert len(got) == len(rows) and got[999]["char_distance"] < 0.01 and got[999]["kept"]
+
+
+def test_small_sources_meet_their_targets(spark):
+    """Beside a source of 48 million words each source takes its target, to the word; blocks don't grow."""
+    big = spark.range(48).selectExpr("id AS doc_id", "repeat('w ', 1000000) AS text", "'a' AS source")
+    small = spark.createDataFrame([(100, "w " * 7, "b"), (101, "w " * 23, "b"), (102, "w", "c"), (103, "w " * 500, "d"), (104, None, "e"), (105, "w " * 17, None)], "doc_id long, text string, source string")
+    got = mixing.mix(big.union(small)).collect()
+    goal, taken = {r["source"]: r["target"] for r in got}, Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert len(got) == 54 and goal["d"] == 1500 and all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+    slots = mixing.schedule(spark, [30, 1, 500], [90, 2, 777]).collect()
+    assert [sum(r["words"] for r in slots if r["src"] == k) for k in range(3)] == [90, 2, 777] and len({r["slot"] for r in slots}) == len(slots)

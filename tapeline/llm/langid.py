@@ -2,7 +2,9 @@
 
 Each language is a distribution over hashed three-byte n-grams, counted over all documents to learn from. A
 document's n-grams are drawn from a mixture of languages, whose proportions expectation-maximisation estimates.
-Sets of one to three languages, grown in order of proportion, compete by likelihood less a penalty for each language.
+Sets of languages, grown in order of proportion, compete by likelihood less a penalty for each language; they grow
+until no larger set can pay its penalty, by a bound on the likelihood of all mixtures. The model has 256 KB for each
+language, and a run of texts as many distinct n-grams as memory holds for all languages, one text at least.
 """
 
 from __future__ import annotations
@@ -15,10 +17,9 @@ from pyspark.sql import functions as F
 from .words import chunks
 
 BUCKETS = 1 << 16
-#: Languages of the most documents are learned.
-MAX_LANGUAGES = 64
 ROUNDS = 12
-MAX_SET = 3
+#: Probabilities (n-grams of documents times languages) that are held at once.
+CELLS = 1 << 23
 PENALTY = 6.0
 NONE = "und"
 _CLASS = np.full(256, 32, np.uint32)
@@ -42,31 +43,36 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, use: Column) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [bucket, language]) from text and lang of the documents for which ``use`` holds."""
     some = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    langs = sorted(r[0] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    langs = sorted(r[0] for r in some.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
-        got = np.zeros((len(langs), BUCKETS), np.int64)
         for b in batches:
-            lang = np.array([place.get(x, -1) for x in b.column(0).to_pylist()])
+            lang = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
             for i, j, data, offs in chunks(b.column(1)):
                 code, row = grams(data, offs)
-                of = lang[i:j][row]
-                for k in np.unique(of[of >= 0]):
-                    got[k] += np.bincount(code[of == k], minlength=BUCKETS)
-        k, g = np.nonzero(got)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "g": pa.array(g, pa.int32()), "n": got[k, g]})
-
-    # at most MAX_LANGUAGES * BUCKETS counts, summed on the map side first
+                here, of = np.unique(lang[i:j], return_inverse=True)
+                key = of[row] * BUCKETS + code
+                if len(here) <= 64:
+                    n = np.bincount(key, minlength=1)
+                    key = np.flatnonzero(n)
+                    n = n[key]
+                else:  # only what is there
+                    key, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(here[key // BUCKETS], pa.int32()), "g": pa.array(key % BUCKETS, pa.int32()), "n": n.astype(np.int64)})
+
+    # the n-grams that each language has, summed on the map side first
     counts = np.full((BUCKETS, len(langs)), 0.5)
     if langs:
         rows = some.mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toArrow()
         counts[rows["g"].to_numpy(), rows["k"].to_numpy()] += rows["n"].to_numpy()
-    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
+    counts /= counts.sum(0)
+    return langs, np.log(counts, out=counts).astype(np.float32)
 
 
-def mixture(p: np.ndarray, n: np.ndarray, doc: np.ndarray, docs: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions [doc, language], log-likelihood) by EM from equal shares of the allowed languages.
+def mixture(p: np.ndarray, n: np.ndarray, doc: np.ndarray, docs: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(proportions [doc, language], log-likelihood, its bound over all mixtures) by EM from equal shares of the allowed
+    languages. The bound holds for the concave likelihood: what it gains toward any language is at most its slope.
     p: probability of each distinct n-gram of a document in each language; n: how often; doc: whose, ascending."""
     share = allowed / allowed.sum(1, keepdims=True)
     starts = np.searchsorted(doc, np.arange(docs))
@@ -75,41 +81,55 @@ def mixture(p: np.ndarray, n: np.ndarray, doc: np.ndarray, docs: int, allowed: n
         joint = p * share[doc]
         joint *= (n / joint.sum(1))[:, None]
         share = np.add.reduceat(joint, starts, axis=0) / total[:, None]
-    return share, np.add.reduceat(n * np.log((p * share[doc]).sum(1)), starts)
+    mix = (p * share[doc]).sum(1)
+    ll = np.add.reduceat(n * np.log(mix), starts)
+    return share, ll, ll + np.add.reduceat(p * (n / mix)[:, None], starts, axis=0).max(1) - total
 
 
 def judge(log_p: np.ndarray, code: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language or -1, score, shares of the chosen set) for each row."""
     best, score, chosen = np.full(rows, -1), np.zeros(rows), np.zeros((rows, log_p.shape[1]))
-    if not len(code):
+    if not len(code) or not log_p.shape[1]:
         return best, score, chosen
     key, n = np.unique(row * BUCKETS + code, return_counts=True)
+    ends = np.searchsorted(key, np.arange(rows + 1) * BUCKETS)
+    i = 0
+    while i < rows:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + CELLS // log_p.shape[1], "right")) - 1)
+        if ends[j] > ends[i]:
+            judge_run(log_p, key[ends[i] : ends[j]], n[ends[i] : ends[j]], best, score, chosen)
+        i = j
+    return best, score, chosen
+
+
+def judge_run(log_p: np.ndarray, key: np.ndarray, n: np.ndarray, best: np.ndarray, score: np.ndarray, chosen: np.ndarray) -> None:
+    """Fills in the rows of ``key``, the distinct n-grams by row."""
     of, there = np.unique(key // BUCKETS, return_inverse=True)
     lp = log_p[key % BUCKETS].astype(np.float64)
     top = lp.max(1)
     p, d, m = np.exp(lp - top[:, None]), len(of), n.astype(float)  # a factor common to all languages changes nothing
-    share, _ = mixture(p, m, there, d, np.ones((d, log_p.shape[1])))
+    share, _, bound = mixture(p, m, there, d, np.ones((d, log_p.shape[1])))
     starts = np.searchsorted(there, np.arange(d))
     single = np.add.reduceat((lp - top[:, None]) * m[:, None], starts, axis=0)
-    length = np.add.reduceat(m, starts)
+    penalty = PENALTY * np.log(np.add.reduceat(m, starts) + 1)
     first = single.argmax(1)
     kept, gain = np.zeros((d, log_p.shape[1])), single[np.arange(d), first]
     kept[np.arange(d), first] = 1.0
     order = np.argsort(-share, axis=1, kind="stable")
-    for size in range(2, min(MAX_SET, log_p.shape[1]) + 1):
-        again = np.flatnonzero(share[np.arange(d), first] < 0.98)
+    for size in range(2, log_p.shape[1] + 1):
+        # documents for which a set of so many languages may still pay
+        again = np.flatnonzero(bound - (size - 1) * penalty > gain)
         if not len(again):
             break
         mask = np.zeros((d, log_p.shape[1]))
         np.put_along_axis(mask, order[:, :size], 1.0, axis=1)
         inside = np.isin(there, again)
-        s, ll = mixture(p[inside], m[inside], np.searchsorted(again, there[inside]), len(again), mask[again])
-        ll -= (size - 1) * PENALTY * np.log(length[again] + 1)
+        s, ll, _ = mixture(p[inside], m[inside], np.searchsorted(again, there[inside]), len(again), mask[again])
+        ll -= (size - 1) * penalty[again]
         better = ll > gain[again]
         kept[again[better]], gain[again[better]] = s[better], ll[better]
     best[of], chosen[of] = kept.argmax(1), kept
     score[of] = np.clip(np.where((kept > 0).sum(1) == 1, share[np.arange(d), first], kept.max(1)), 0, 1)
-    return best, score, chosen
 
 
 def has_letter(text: str) -> bool:
@@ -138,7 +158,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                         best[r], score[r] = -1, 0.0
                     elif best[r] < 0:
                         best[r], score[r], chosen[r] = 0, 1 / len(langs), 1 / len(langs)
-                    k = np.flatnonzero(chosen[r] > 0.005) if best[r] >= 0 else []
+                    k = np.flatnonzero(chosen[r] > 0) if best[r] >= 0 else []
                     pred.append(langs[best[r]] if best[r] >= 0 else NONE)
                     sets.append([langs[x] for x in k])
                     shares.append([float(chosen[r, x]) for x in k])

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from tapeline.llm import divergence, mixing, scoring
+from tapeline.llm import divergence, langid, mixing, scoring
 from tapeline.llm.words import word_hashes
 
 from . import brute
@@ -79,3 +79,27 @@ def test_small_sources_meet_their_targets(spark):
     assert len(got) == 54 and goal["d"] == 1500 and all(abs(taken[s] - goal[s]) <= 1 for s in goal)
     slots = mixing.schedule(spark, [30, 1, 500], [90, 2, 777]).collect()
     assert [sum(r["words"] for r in slots if r["src"] == k) for k in range(3)] == [90, 2, 777] and len({r["slot"] for r in slots}) == len(slots)
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(0)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    own = [["".join(rng.choice(letters, 6)) for _ in range(40)] for _ in range(70)]
+    rows = [(k * 20 + i, " ".join(rng.choice(own[k], 120)), f"l{k:02d}") for k in range(70) for i in range(8 if k else 4)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) and all(r["lang_pred"] == lang[r["doc_id"]] for r in got)
+
+
+def test_sets_of_languages_grow_while_they_pay():
+    rng = np.random.default_rng(0)
+    p = np.full((6, 6), 0.04) + np.eye(6) * 0.76
+    log_p = np.log(p).astype(np.float32)
+    _, _, chosen = langid.judge(log_p, rng.choice(6, 4000, p=p[:5].mean(0)), np.zeros(4000, np.int64), 1)
+    assert (chosen[0, :5] > 0.1).all() and chosen[0, 5] == 0
+    # 1.5 % of a long text in a second language
+    p = np.full((8, 2), 1e-4)
+    p[:4, 0], p[4:, 1] = 0.25, 0.25
+    p /= p.sum(0)
+    _, _, chosen = langid.judge(np.log(p).astype(np.float32), rng.choice(8, 20000, p=p @ [0.985, 0.015]), np.zeros(20000, np.int64), 1)
+    assert 0.01 < chosen[0, 1] < 0.02

@@ -17,9 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one in local mode, where
+    all tasks run in the driver; on a cluster that is an error, since executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tapeline-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -27,8 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: what follows survives lost executors without
-    computing it a second time, and its plan starts from a scan."""
+    computing it a second time, and its plan starts from a scan. The application's folder is deleted when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tapeline-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/tapeline-{context.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = context._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

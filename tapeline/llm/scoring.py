@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood: each token is predicted from the tokens on both of its sides.
 
-The network is a bidirectional window: the tokens at the places -2, -1, +1 and +2 each add a row of their place's
-table to the hidden layer, whose tanh is mapped to a softmax over the vocabulary. Tokens are the most frequent
-words of the corpus, counted over all documents, and classes of the hash of all other words. One replica is trained
-on each partition of the corpus, on every token of every document of it; the replicas' weights are averaged by the
-number of tokens they saw.
-
-The vocabulary is every word of the corpus: the softmax is factored by class, and a word of a class has the share of
-its count in the class's, over all documents. The counts stay a distributed table, which scoring joins. The score of
-a document is the sum of log P(class | neighbours) + log P(word | class) of all its words.
+The network (``network.Network``) is a bidirectional window whose softmax goes over classes and then over words. It knows
+the most frequent words, counted over all documents; any other word is one token, which the network predicts too, and
+then has a probability of its own: that of its spelling, by symbols that follow each other in such words, mixed with
+what the corpus remembers. The memory holds every window of four neighbours around an unknown word that occurs more than
+once in all documents, and the word that stood in it each time; a window that held different words points at none. It is
+a distributed table that grows with the corpus, and is joined.
+
+Training is a function of the documents alone, not of how they are dealt to tasks. Documents are cut into pieces, which a
+hash deals to rounds and to cells; each cell, in the order of its hashes, trains a replica that starts from the weights
+of the round before, and the replicas' weights are averaged in fixed point. Every token of every document is a target
+once: a window never holds the token it predicts.
 """
 
 from __future__ import annotations
@@ -16,65 +18,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .words import chunks, mixed, word_hashes
-
-FREQUENT, CLASSES = 128, 32
-PLACES = (-2, -1, 1, 2)
-HIDDEN = 16
-BATCH = 512
-RATE = 0.15
-SEED = 7
-#: Words with more than one in so many of all tokens are handed to scoring as a list, so that no key of its join is hot.
-HOT = 16384
-
-
-class Network:
-    def __init__(self, vocabulary: int, weights: np.ndarray | None = None):
-        self.v = vocabulary
-        self.shapes = [(len(PLACES), vocabulary + 1, HIDDEN), (HIDDEN,), (vocabulary, HIDDEN), (vocabulary,)]
-        sizes = [int(np.prod(s)) for s in self.shapes]
-        if weights is None:
-            rng = np.random.default_rng(SEED)
-            weights = rng.normal(0, 0.1, sum(sizes)).astype(np.float32)
-            weights[-vocabulary:] = 0
-        self.flat = weights.astype(np.float32)
-        parts = np.split(self.flat, np.cumsum(sizes)[:-1])
-        self.e, self.b, self.u, self.c = (p.reshape(s) for p, s in zip(parts, self.shapes, strict=True))
-        self.square = np.full(len(self.flat), 1e-6, np.float32)
-
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.e[k][around[:, k]] for k in range(len(PLACES))) + self.b)
-
-    def log_p(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        out = self.hidden(around) @ self.u.T + self.c
-        top = out.max(1)
-        rows = np.arange(len(token))
-        mine = out[rows, token] - top
-        out -= top[:, None]
-        np.exp(out, out=out)
-        return mine - np.log(out.sum(1))
-
-    def step(self, around: np.ndarray, token: np.ndarray) -> None:
-        """One step of Adagrad on a batch."""
-        h = self.hidden(around)
-        p = h @ self.u.T + self.c
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(token)), token] -= 1
-        p /= len(token)
-        dh = (p @ self.u) * (1 - h * h)
-        de = np.zeros(self.shapes[0], np.float32)
-        for k in range(len(PLACES)):
-            one = np.zeros((len(token), self.v + 1), np.float32)
-            one[np.arange(len(token)), around[:, k]] = 1
-            de[k] = one.T @ dh
-        grad = np.concatenate([de.ravel(), dh.sum(0), (p.T @ h).ravel(), p.sum(0)])
-        self.square += grad * grad
-        self.flat -= RATE * grad / np.sqrt(self.square)
+from .network import BATCH, PLACES, SPELLED, Network, Spelling, around, spelling_counts
+from .words import chunks, mixed, word_hashes, word_spans
+
+#: Words that the network knows, by descending frequency.
+WORDS = 4096
+#: Rounds of training, each on its own part of the documents, and tokens of a cell in a round.
+ROUNDS, CELL = 4, 1 << 19
+#: Tokens of a piece. The ends of a piece see neighbours on one side only in training, never in scoring.
+PIECE = 4096
+#: Weights are averaged as whole multiples of 2 ** -FIXED, in blocks.
+FIXED, WEIGHTS = 24, 1 << 16
+SPELLING_BLOCK = 1 << 14
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -89,162 +48,245 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, n: int = FREQUENT, counts: DataFrame | None = None) -> list[int]:
-    """Hashes of the n most frequent words of all documents, ties to the smaller hash."""
-    counts = word_counts(docs) if counts is None else counts
-    return [r[0] for r in counts.orderBy(F.desc("n"), "h").limit(n).collect()]
-
-
 class Tokens:
-    """From words to tokens: 0 .. FREQUENT - 1 for the frequent ones, then the classes; the last is beyond the text."""
+    """From words to tokens: 0 .. size - 1 for the words known, ``size`` for any other, and ``size + 1`` beyond the text."""
 
     def __init__(self, words: list[int]):
         known = np.array(words, np.int64).view(np.uint64)
         self.order = np.argsort(known)
-        self.known = known[self.order]
-        self.size = len(words) + CLASSES
+        self.known, self.size = known[self.order], len(words)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        rest = (len(self.known) + (hashes >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int64)
-        if not len(self.known):
-            return rest
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.order[at], rest)
-
-    def windows(self, texts):
-        """(first row, end row, tokens, their neighbours, words before each row, their hashes), a run of rows at a time."""
-        for i, j, data, offs in chunks(texts):
-            hashes, bounds = word_hashes(data, offs)
-            token = self.of(hashes)
-            row = np.repeat(np.arange(j - i), np.diff(bounds))
-            around = np.full((len(token), len(PLACES)), self.size, np.int64)
-            at = np.arange(len(token))
-            for k, step in enumerate(PLACES):
-                ok = (at + step >= bounds[row]) & (at + step < bounds[row + 1])
-                around[ok, k] = token[at[ok] + step]
-            yield i, j, token, around, bounds, hashes
-
-
-def train(docs: DataFrame, words: list[int]) -> np.ndarray:
-    """Averaged weights of the replicas, one for each partition of ``docs``."""
-    tokens = Tokens(words)
+        if not self.size:
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), self.size - 1)
+        return np.where(self.known[at] == hashes, self.order[at], self.size)
+
+
+def added(parts: DataFrame, width: int) -> np.ndarray:
+    """Element-wise sums of (block, values), blocks of ``width`` longs, by the tasks that get them. What comes to the
+    driver has the size of one array, whatever the number of parts."""
 
     def run(batches):
-        net, seen, held = Network(tokens.size), 0, []
-        waiting = 0
+        got: dict[int, np.ndarray] = {}
         for b in batches:
-            for _, _, token, around, _, _ in tokens.windows(b.column(0)):
-                # a window never holds the token it predicts, so every token is a target
-                held.append((token, around))
-                waiting += len(token)
-                if waiting >= BATCH:
-                    t, a = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-                    full = len(t) // BATCH * BATCH
-                    # rows of one document would follow each other in a step
-                    order = np.random.default_rng(len(t)).permutation(full)
-                    for k in range(0, full, BATCH):
-                        net.step(a[order[k : k + BATCH]], t[order[k : k + BATCH]])
-                    seen += full
-                    held, waiting = [(t[full:], a[full:])], len(t) - full
-        if waiting:
-            net.step(np.concatenate([x[1] for x in held]), np.concatenate([x[0] for x in held]))
-            seen += waiting
-        if seen:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([seen], pa.int64()), "w": pa.array([net.flat.tolist()], pa.list_(pa.float32()))})
-
-    replicas = docs.select("text").mapInArrow(run, "n long, w array<float>")
-    summed = replicas.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w"))
-    got = summed.toArrow()  # as many rows as the network has weights
-    out = Network(tokens.size).flat.astype(np.float64)
-    out[got["i"].to_numpy()] = got["w"].to_numpy()
-    return out.astype(np.float32)
-
-
-def class_log_p(net: Network, token: np.ndarray, around: np.ndarray) -> np.ndarray:
-    return np.concatenate([net.log_p(around[k : k + 4096], token[k : k + 4096]) for k in range(0, len(token), 4096)] or [np.zeros(0)]).astype(np.float64)
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), "<i8")
+                got[k] = got[k] + x if k in got else x
+        for k, x in got.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "values": pa.array([x.tobytes()], pa.binary())})
 
+    rows = {k: np.frombuffer(x, "<i8") for k, x in parts.repartition("block").mapInArrow(run, "block int, values binary").collect()}
+    return np.concatenate([rows[k] for k in range(max(rows) + 1)]) if rows else np.zeros(0, np.int64)
 
-def row_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    return total[bounds[1:]] - total[bounds[:-1]]
 
+def blocks(x: np.ndarray, width: int) -> pa.RecordBatch:
+    cut = [x[i : i + width].astype("<i8").tobytes() for i in range(0, len(x), width)]
+    return pa.RecordBatch.from_pydict({"block": pa.array(range(len(cut)), pa.int32()), "values": pa.array(cut, pa.binary())})
 
-def score(docs: DataFrame, words: list[int], weights: np.ndarray) -> DataFrame:
-    """The likelihood of the classes alone, without that of the words in them."""
+
+def cells(docs: DataFrame, words: list[int], total: int) -> DataFrame:
+    """(cell, round, tokens, bounds): the training tokens of each cell; bounds are where its pieces start and end."""
+    tokens, n_cells = Tokens(words), max(1, -(-total // (ROUNDS * CELL)))
+
+    def cut(batches):
+        for b in batches:
+            for i, j, data, offs in chunks(b.column(1)):
+                hashes, bounds = word_hashes(data, offs)
+                token = tokens.of(hashes).astype("<u2")
+                if not len(token):
+                    continue
+                of = -(-np.diff(bounds) // PIECE)
+                piece = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
+                starts = np.repeat(bounds[:-1], of) + piece * PIECE
+                key = mixed(np.repeat(b.column(0).to_numpy()[i:j].view(np.uint64), of) + piece.astype(np.uint64))
+                ends = np.append(starts, len(token)) * 2
+                part = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(token.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key // np.uint64(ROUNDS) % np.uint64(n_cells)).astype(np.int32)), pa.array((key % np.uint64(ROUNDS)).astype(np.int32)), pa.array(key.view(np.int64)), part.cast(pa.binary())],
+                    names=["cell", "round", "key", "tokens"],
+                )
+
+    def join(batches):
+        at, held, n = None, [], 0
+
+        def cell():
+            return pa.RecordBatch.from_pydict({"cell": pa.array([at[0]], pa.int32()), "round": pa.array([at[1]], pa.int32()), "tokens": pa.array([b"".join(held)], pa.binary()), "bounds": pa.array([np.cumsum([0, *(len(x) // 2 for x in held)]).astype("<i8").tobytes()], pa.binary())})
+
+        for b in batches:
+            for c, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                # many equal rows without doc_id have one hash: no cell grows beyond what a task holds
+                if held and (at != (c, r) or n > 4 * CELL):
+                    yield cell()
+                    held, n = [], 0
+                at = (c, r)
+                held.append(t)
+                n += len(t)
+        if held:
+            yield cell()
+
+    pieces = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(cut, "cell int, round int, key long, tokens binary")
+    # equal hashes are equal pieces, but for chance; then their tokens decide
+    dealt = pieces.repartition(min(n_cells, 4096), "cell").sortWithinPartitions("cell", "round", "key", "tokens")
+    return dealt.mapInArrow(join, "cell int, round int, tokens binary, bounds binary")
+
+
+def replica(net: Network, token: np.ndarray, bounds: np.ndarray, words: int) -> int:
+    """Trains on a cell; returns the number of steps."""
+    near = around(token, bounds, words + 1)
+    # tokens of one document would follow each other in a step
+    order = np.random.default_rng(len(token)).permutation(len(token))
+    for i in range(0, len(order), BATCH):
+        net.step(near[order[i : i + BATCH]], token[order[i : i + BATCH]])
+    return -(-len(order) // BATCH)
+
+
+def train(docs: DataFrame, words: list[int], counts: list[int], total: int) -> np.ndarray:
+    """The network's weights after all rounds, from all tokens of ``docs``."""
+    start = Network(len(words))
+    start.start_from(np.array(counts, np.float64), total - sum(counts))
+    weights, n = start.flat, len(words)
+    if not total:
+        return weights
+    dealt = stored(cells(docs, words, total))
+    for k in range(ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+        def run(batches, shared=shared):
+            summed, steps = np.zeros(len(shared.value) + 1, np.int64), 0
+            for b in batches:
+                for t, ends in zip(b.column(0), b.column(1), strict=True):
+                    net = Network(n, shared.value)
+                    own = replica(net, np.frombuffer(t.as_buffer(), "<u2").astype(np.int64), np.frombuffer(ends.as_buffer(), "<i8"), n)
+                    summed[:-1] += own * np.rint(np.clip(net.flat, -64, 64) * np.float32(1 << FIXED)).astype(np.int64)
+                    steps += own
+            if steps:
+                summed[-1] = steps
+                yield blocks(summed, WEIGHTS)
+
+        got = added(dealt.where(F.col("round") == k).select("tokens", "bounds").mapInArrow(run, "block int, values binary"), WEIGHTS)
+        shared.unpersist()
+        if len(got):
+            weights = (got[:-1] / (got[-1] * float(1 << FIXED))).astype(np.float32)
+    return weights
+
+
+def unknown(texts: pa.Array, tokens: Tokens):
+    """(first row, end row, bytes, tokens, words before each row, places of unknown words, their starts and ends, hash of
+    their neighbours, hash of themselves), a run of rows at a time."""
+    for i, j, data, offs in chunks(texts):
+        hashes, bounds, starts, ends = word_spans(data, offs)
+        token = tokens.of(hashes)
+        at = np.flatnonzero(token == tokens.size)
+        row = np.searchsorted(bounds, at, "right") - 1
+        window = np.full(len(at), 17, np.uint64)
+        for k in PLACES:
+            there = (at + k >= bounds[row]) & (at + k < bounds[row + 1])
+            window = window * np.uint64(0x9E3779B97F4A7C15) + np.where(there, hashes[np.clip(at + k, 0, max(0, len(hashes) - 1))], np.uint64(abs(k)))
+        yield i, j, data, token, bounds, at, starts[at], ends[at], mixed(window).view(np.int64), (hashes[at] >> np.uint64(33)).astype(np.int32)
+
+
+def memory(docs: DataFrame, words: list[int]) -> DataFrame:
+    """(window, word): windows that occur more than once around unknown words in all documents, and the word if it
+    was the same each time, else null."""
     tokens = Tokens(words)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        net = Network(tokens.size, shared.value)
         for b in batches:
-            for i, j, token, around, bounds, _ in tokens.windows(b.column(1)):
-                sums, n = row_sums(class_log_p(net, token, around), bounds), np.diff(bounds)
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(sums), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_p"])
+            for *_, window, word in unknown(b.column(0), tokens):
+                yield pa.RecordBatch.from_pydict({"window": window, "word": word})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_p double")
+    seen = docs.select("text").mapInArrow(run, "window long, word int").groupBy("window").agg(F.count("*").alias("n"), F.min("word").alias("low"), F.max("word").alias("high"))
+    return seen.where("n > 1").select("window", F.when(F.col("low") == F.col("high"), F.col("low")).alias("word"), "n")
 
 
-def score_words(docs: DataFrame, words: list[int], weights: np.ndarray, counts: DataFrame) -> DataFrame:
-    """The likelihood of the words: that of their classes, and of each word in its class by ``counts``.
+def spelling(docs: DataFrame, words: list[int]) -> np.ndarray:
+    """Counts of the spelling of all unknown words."""
+    tokens = Tokens(words)
 
-    A word's count of its class is known to all tasks; its own count is, too, if it is hot, and is joined otherwise.
-    """
+    def run(batches):
+        out = np.zeros(SPELLED, np.int64)
+        for b in batches:
+            for _, _, data, _, _, _, starts, ends, _, _ in unknown(b.column(0), tokens):
+                out += spelling_counts(data, starts, ends)
+        if out.any():
+            yield blocks(out, SPELLING_BLOCK)
+
+    got = added(docs.select("text").mapInArrow(run, "block int, values binary"), SPELLING_BLOCK)
+    return got if len(got) else np.zeros(SPELLED, np.int64)
+
+
+def row_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def network_log_p(net: Network, token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    near = around(token, bounds, net.words + 1)
+    return np.concatenate([net.log_p(near[k : k + BATCH], token[k : k + BATCH]) for k in range(0, len(token), BATCH)] or [np.zeros(0)]).astype(np.float64)
+
+
+def score(docs: DataFrame, words: list[int], weights: np.ndarray, spelled: np.ndarray, known: DataFrame, trust: float) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, mean_log_p. ``known`` is the memory, and ``trust`` the part that it has of the
+    probability of an unknown word in a window that occurs elsewhere."""
     tokens = Tokens(words)
-    of = (F.shiftrightunsigned("h", 40) % CLASSES).cast("int").alias("k")
-    sums = {r["k"]: r["n"] for r in counts.groupBy(of).agg(F.sum("n").alias("n")).collect()}
-    hot = {r["h"]: r["n"] for r in counts.where(F.col("n") > sum(sums.values()) / HOT).collect()}
-    # a frequent word is a class of its own; it has left that of its hash
-    for h, n in counts.where(F.col("h").isin(words)).collect():
-        hot.pop(h, None)
-        sums[(h >> 40) % (1 << 24) % CLASSES] -= n
-    in_class = np.log(np.maximum(1, [sums.get(k, 0) for k in range(CLASSES)]))
-    hot_words = np.array(sorted(hot), np.int64)
-    hot_logs = np.log(np.array([hot[h] for h in hot_words.tolist()], np.float64))
-    shared = docs.sparkSession.sparkContext.broadcast((weights, hot_words, hot_logs))
-    names = ["row", "h", "doc_id", "n_tokens", "lp"]
+    shared = docs.sparkSession.sparkContext.broadcast((weights, spelled))
+    names = ["row", "window", "word", "spelled", "doc_id", "n_tokens", "lp"]
 
     def run(batches):
-        weights, hot_words, hot_logs = shared.value
-        net, row = Network(tokens.size, weights), TaskContext.get().partitionId() << 40
+        weights, spelled = shared.value
+        net, spell, row = Network(tokens.size, weights), Spelling(spelled), TaskContext.get().partitionId() << 40
         for b in batches:
-            for i, j, token, around, bounds, hashes in tokens.windows(b.column(1)):
-                lp = class_log_p(net, token, around)
-                rest = np.flatnonzero(token >= len(words))
-                lp[rest] -= in_class[token[rest] - len(words)]
-                h = hashes[rest].view(np.int64)
-                if len(hot_words):
-                    at = np.minimum(np.searchsorted(hot_words, h), len(hot_words) - 1)
-                    known = hot_words[at] == h
-                    lp[rest[known]] += hot_logs[at[known]]
-                    rest, h = rest[~known], h[~known]
+            for i, j, data, token, bounds, at, starts, ends, window, word in unknown(b.column(1), tokens):
+                sums = row_sums(network_log_p(net, token, bounds), bounds)
                 rows = row + np.arange(j - i)
                 row += j - i
-                # one line for the document, anywhere, and one for each word whose count is to be joined
-                whose, none = np.repeat(rows, np.diff(bounds))[rest], len(rest)
-                at = np.concatenate([mixed(rows.astype(np.uint64)).view(np.int64), h])
+                # one line for the document, anywhere, and one for each unknown word
+                none, whose = len(at), rows[np.searchsorted(bounds, at, "right") - 1]
+                lacks = lambda t: pa.nulls(j - i, t)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([rows, whose])), pa.array(at), pa.concat_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.nulls(none, pa.int64())]),
-                        pa.concat_arrays([pa.array(np.diff(bounds).astype(np.int64)), pa.nulls(none, pa.int64())]), pa.concat_arrays([pa.array(row_sums(lp, bounds)), pa.nulls(none, pa.float64())]),
+                        pa.array(np.concatenate([rows, whose])), pa.array(np.concatenate([mixed(rows.astype(np.uint64)).view(np.int64), window])), pa.concat_arrays([lacks(pa.int32()), pa.array(word)]),
+                        pa.concat_arrays([lacks(pa.float32()), pa.array(spell.log_p(data, starts, ends).astype(np.float32))]), pa.concat_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.nulls(none, pa.int64())]),
+                        pa.concat_arrays([pa.array(np.diff(bounds).astype(np.int64)), pa.nulls(none, pa.int64())]), pa.concat_arrays([pa.array(sums), pa.nulls(none, pa.float64())]),
                     ],
                     names=names,
                 )
 
-    lines = docs.select("doc_id", "text").mapInArrow(run, "row long, h long, doc_id long, n_tokens long, lp double")
-    # the log of a count of 1 is 0: a word without a match adds nothing
-    again = counts.where("n > 1").select("h", F.log("n").alias("log_n"))
-    joined = lines.join(again, "h", "left").where("lp IS NOT NULL OR log_n IS NOT NULL").select("row", "doc_id", "n_tokens", F.coalesce("lp", "log_n").alias("lp"))
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("lp").alias("log_likelihood"))
+    lines = docs.select("doc_id", "text").mapInArrow(run, "row long, window long, word int, spelled float, doc_id long, n_tokens long, lp double")
+    joined = lines.join(known.select("window", F.col("word").alias("remembered"), F.lit(True).alias("met")), "window", "left")
+    by_spelling = F.col("spelled").cast("double")
+    remembered = F.log((1 - trust) * F.exp(by_spelling) + F.when(F.col("word") == F.col("remembered"), trust).otherwise(0.0))
+    # a window that held more than one word points at none, and leaves the spelling as it is
+    lp = F.when(F.col("spelled").isNull(), F.col("lp")).when(F.col("met") & F.col("remembered").isNotNull(), remembered).otherwise(by_spelling)
+    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(lp).alias("log_likelihood"))
     return summed.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_p"))
 
 
-def pseudo_likelihood(docs: DataFrame) -> DataFrame:
+def agreement(known: DataFrame) -> float:
+    """How often a window that occurs more than once held one word only, by places, with two places added for either."""
+    row = known.agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("same"), F.sum("n").alias("n")).first()
+    return float(((row["same"] or 0) + 2) / ((row["n"] or 0) + 4))
+
+
+def vocabulary(counts: DataFrame, n: int = WORDS) -> tuple[list[int], list[int]]:
+    """Hashes and counts of the n most frequent words, ties to the smaller hash."""
+    rows = counts.orderBy(F.desc("n"), "h").limit(n).collect()
+    return [r[0] for r in rows], [r[1] for r in rows]
+
+
+def pseudo_likelihood(docs: DataFrame, use: Column | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_tokens, log_likelihood, mean_log_p.
 
-    A text without words, or null, has 0 tokens, likelihood 0 and no mean. Every row counts in training, repeated
-    rows as often as they come. An empty table gives no rows. Other columns are ignored.
+    log_likelihood sums the log-probability of every word of the whole text given its neighbours. All is learned from
+    the rows for which ``use`` holds, by default every row, repeated rows as often as they come; scores don't depend on
+    the partitions of ``docs``. A text without words, or null, has 0 tokens, likelihood 0 and no mean. Very long texts
+    are scored whole, in memory in proportion to the text. Without words in any text all likelihoods are 0. An empty
+    table gives no rows. Other columns are ignored.
     """
-    counts = stored(word_counts(docs))
-    words = vocabulary(docs, counts=counts)
-    return score_words(docs, words, train(docs, words), counts)
+    learned = docs if use is None else docs.where(use)
+    counts = stored(word_counts(learned))
+    words, n = vocabulary(counts)
+    total = int(counts.agg(F.sum("n")).first()[0] or 0)
+    known = stored(memory(learned, words))
+    return score(docs, words, train(learned, words, n, total), spelling(learned, words), known, agreement(known))

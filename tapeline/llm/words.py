@@ -51,9 +51,14 @@ def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.nd
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words before each row and after the last): words of ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased."""
+    return word_spans(data, offs)[:2]
+
+
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with the start and the end of each word."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sep = _SEP[data]
     first, last = ~sep, ~sep
     inner = offs[(offs > 0) & (offs < n)]
@@ -65,7 +70,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[data] + np.uint64(1)) * _table("up", _BASE, n)[:n], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * _table("down", _INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offs)
+    return hashes, np.searchsorted(starts, offs), starts, ends
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:

@@ -1,14 +1,15 @@
 """Distribution divergence: documents whose character classes or common words lie far from every language.
 
-Each document has a histogram of character classes and one of common words and all others. The references are the histograms of
-all documents of a language, summed; a document is rejected when the Jensen-Shannon distance from the nearest
-reference exceeds a threshold, provided that it is long enough for the distance to mean anything. Only DataFrame
+Each document has a histogram of character classes and one of common words and all others. Common words are the most
+frequent ones of each language, counted over all documents. The references are the histograms of all documents of a
+language, summed; a document is rejected when the Jensen-Shannon distance from its own language's reference, and from
+every other one, exceeds a threshold, provided that it is long enough for the distance to mean anything. Only DataFrame
 and SQL functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, stored
@@ -17,70 +18,128 @@ MIN_WORDS = 50
 #: Guard: characters that a document must have for the character distance; the word distance takes MIN_WORDS words.
 MIN_CHARS = 200
 #: A text of n words lies about WORD_NOISE / sqrt(n) from its own language by chance, which is added to its limit.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.30, 0.165, 1.4
-#: Frequent function words of English, German, French and Spanish.
-COMMON = (
-    "the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "as", "was", "on", "be", "by",
-    "der", "die", "und", "das", "zu", "den", "mit", "von", "nicht", "ein", "auf", "ist", "dem", "sich", "des", "auch",
-    "le", "la", "les", "et", "des", "un", "une", "du", "que", "qui", "dans", "est", "pour", "pas", "par", "au",
-    "el", "los", "las", "y", "en", "de", "una", "por", "con", "para", "su", "se", "del", "no", "es", "al",
-)
-WORDS = tuple(dict.fromkeys(COMMON))
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.30, 0.18, 1.4
+#: Most frequent words taken of each language; of those, words of one in so many of its words at least.
+COMMON, RARE = 24, 1000
+#: Marks that don't count as part of a common word.
+MARKS = ".,;:!?"
 #: Character classes of ASCII: lower case, upper case, digits, punctuation, symbols. White space and the bytes of
 #: other characters beyond their first come as two more.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-", "#*$%&|<>")
+#: The first of the letters that stand for common words in a document's trace, and the slots of their hash table.
+LETTER, SLOTS = 0x4E00, 4096
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def repeated_words(words: Column) -> Column:
     """Words in three-word windows that the array holds twice or more.
 
-    A window is a long of a 37-bit hash and its place, so that sorting puts equal windows side by side; neighbours
-    count only if their words are equal. Places are good for 134 million words.
+    A window is a long of a 36-bit hash and its place, so that sorting puts equal windows side by side. Windows of one
+    hash count if their words are equal too: most are beside their like, and the others are looked for among all windows
+    of the hash. Places are good for 134 million words.
     """
     low = (1 << 27) - 1
-    window = lambda ws, i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))
 
-    def of(ws: Column) -> Column:
+    def of(hashes: Column) -> Column:
+        window = lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2))
+        plain = F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), window)
+        # most texts' windows all differ
+        return let(plain, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(F.transform(h, coded)), found)))
+
+    def coded(h: Column, i: Column) -> Column:
         # shifted left and right again, the hash keeps its low 36 bits and is not negative
-        coded = F.transform(
-            F.sequence(F.lit(0), F.size(ws) - 3),
-            lambda i: F.shiftright(F.shiftleft(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)), 28), 1).bitwiseAND(F.lit(~low & (2**63 - 1))) + i,
-        )
-        return F.transform(F.array(F.sort_array(coded)), lambda s: found(ws, s))[0]
+        return F.shiftright(F.shiftleft(h, 28), 1).bitwiseAND(F.lit(~low & (2**63 - 1))).bitwiseOR(i.cast("long"))
 
-    def found(ws: Column, s: Column) -> Column:
+    def found(s: Column) -> Column:
         code = lambda k: F.shiftright(F.get(s, k), 27)
         place = lambda k: F.get(s, k).bitwiseAND(F.lit(low)).cast("int")
-        same = lambda a, b: (code(a) == code(b)) & (window(ws, place(a)) == window(ws, place(b)))
-        hits = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.coalesce(same(k, k + 1), F.lit(False)) | F.coalesce(same(k, F.when(k > 0, k - 1)), F.lit(False)))
-        return F.transform(F.array(F.sort_array(F.transform(hits, place))), covered)[0]
+        text = lambda p: F.concat_ws(" ", F.get(words, p), F.get(words, p + 1), F.get(words, p + 2))
+        same = lambda a, b: (code(a) == code(b)) & (text(place(a)) == text(place(b)))
+        beside = lambda k: F.coalesce(same(k, k + 1), F.lit(False)) | F.coalesce(same(k, F.when(k > 0, k - 1)), F.lit(False))
+        near = lambda k: F.coalesce(code(k) == code(k + 1), F.lit(False)) | F.coalesce(code(k) == code(F.when(k > 0, k - 1)), F.lit(False))
+        every = lambda k: F.exists(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j != k) & same(j, k))
+        hits = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: near(k) & (beside(k) | every(k)))
+        return let(F.sort_array(F.transform(hits, place)), covered)
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - p, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda x, y: x + y)
 
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(F.transform(F.array(words), of)[0])
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of))
+
+
+def split_words(text: Column) -> Column:
+    """Words of a text; none of null."""
+    stripped = F.coalesce(F.btrim(text, F.lit(SPACES)), F.lit(""))
+    # a separator at either end would give an empty word
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"[\x20\x09-\x0D]+", -1))
+
+
+def bare(word: Column) -> Column:
+    """A word in lower case and without the marks at its end."""
+    return F.rtrim(F.lower(word), F.lit(MARKS))
+
+
+def common_words(docs: DataFrame) -> list[tuple[str, int]]:
+    """The ``COMMON`` most frequent words of each language and their slots, in order. What comes to the driver grows with
+    the languages, not with the documents."""
+    words = docs.where("lang IS NOT NULL").select("lang", F.explode(split_words(F.col("text"))).alias("word")).select("lang", bare(F.col("word")).alias("word"))
+    counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON)
+    return sorted((r[0], r[1]) for r in ranked.join(totals, "lang").where((F.col("n") * RARE >= F.col("total")) & (F.col("word") != "")).select("word", slot("word")).distinct().collect())
+
+
+def slot(word) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
-def features(docs: DataFrame) -> DataFrame:
+def word_histogram(words: Column, common: list[tuple[str, int]]) -> Column:
+    """How often each common word comes, and all other words together.
+
+    A word's slot names the common word that it may be; those are written as a trace of letters, whose counts are what
+    the trace loses without each letter."""
+    table, late = [-1] * SLOTS, []
+    for k, (_, at) in enumerate(common):
+        if table[at] < 0:
+            table[at] = k
+        else:
+            late.append(k)
+    letter = lambda k: chr(LETTER + k)
+    slots, known, letters = (F.lit(x) for x in (table, [w for w, _ in common] or [""], [letter(k) for k in range(len(common))] or [""]))
+
+    def of(w: Column) -> Column:
+        k = F.get(slots, slot(w))
+        out = F.when((k >= 0) & (F.get(known, k) == w), F.get(letters, k))
+        for other in late:  # whose slot another has
+            out = out.when(w == common[other][0], letter(other))
+        return out
+
+    trace = F.array_join(F.transform(words, lambda w: let(bare(w), of)), "")
+    size = lambda x: F.octet_length(x) / F.lit(3.0)
+    counts = lambda t: F.array(*[size(t) - size(F.replace(t, F.lit(letter(k)), F.lit(""))) for k in range(len(common))], F.size(words) - size(t))
+    return let(trace, counts)
+
+
+def features(docs: DataFrame, common: list[tuple[str, int]]) -> DataFrame:
     """doc_id, lang, the counts of the base rules, and the two histograms."""
-    # a null text has no words; a separator at either end would give an empty word
-    stripped = F.coalesce(F.btrim("text", F.lit(SPACES)), F.lit(""))
-    words = F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"[\x20\x09-\x0D]+", -1))
-    base = docs.select("doc_id", F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("t"), words.alias("words"))
+    base = docs.select("doc_id", F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("t"), split_words(F.col("text")).alias("words"))
     text_lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    chars = [F.char_length("t") - F.char_length(F.translate("t", c, "")) for c in CLASSES]
-    space = F.char_length("t") - F.char_length(F.translate("t", SPACES, ""))
-    wide = F.octet_length("t") - F.char_length("t")
-    plain = F.transform("words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")))
-    known = F.filter(F.transform(plain, lambda w: F.array_position(F.array(*[F.lit(w_) for w_ in WORDS]), w)), lambda k: k > 0)
-    common = F.transform(F.array(known), lambda ks: F.transform(F.sequence(F.lit(1), F.lit(len(WORDS))), lambda k: F.size(F.filter(ks, lambda x: x == k)).cast("double")))[0]
-    # words that aren't common are the last bin, so that a lack of common ones is a distance
-    hist = F.transform(F.array(common), lambda h: F.concat(h, F.array(F.size("words") - total(h))))[0]
+    # one letter stands for each class
+    groups = [*CLASSES, SPACES]
+    signs = [c[0] for c in groups]
+    mapped = F.translate("t", "".join(groups), "".join(sign * len(c) for sign, c in zip(signs, groups, strict=True)))
+    counted = let(mapped, lambda m: F.array(*[(F.octet_length(m) - F.octet_length(F.replace(m, F.lit(sign), F.lit("")))).cast("double") for sign in signs], (F.octet_length(m) - F.char_length(m)).cast("double")))
+    base = base.select("*", counted.alias("char_hist"), text_lines.alias("lines"))
+    symbols, space = F.get("char_hist", F.lit(len(CLASSES) - 1)), F.get("char_hist", F.lit(len(CLASSES)))
     return base.select(
-        "doc_id", "lang", F.size("words").cast("long").alias("n_words"), (F.char_length("t") - space).cast("long").alias("word_chars"), chars[4].cast("long").alias("n_symbols"),
-        (F.size(text_lines) - F.size(F.array_distinct(text_lines))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.array(*[c.cast("double") for c in [*chars, space, wide]]).alias("char_hist"), hist.alias("word_hist"),
+        "doc_id", "lang", F.size("words").cast("long").alias("n_words"), (F.char_length("t") - space).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        "char_hist", word_histogram(F.col("words"), common).alias("word_hist"),
     )
 
 
@@ -89,26 +148,39 @@ def total(h: Column) -> Column:
 
 
 def distribution(h: Column) -> Column:
-    return F.transform(F.array(total(h)), lambda n: F.transform(h, lambda x: F.try_divide(x, n)))[0]
+    return let(total(h), lambda n: F.transform(h, lambda x: F.try_divide(x, n)))
+
 
+def entropy(p: Column) -> Column:
+    """In bits."""
+    return total(F.transform(p, lambda x: F.when(x > 0, -x * F.log2(x)).otherwise(0.0)))
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (square root of the divergence in bits) of two distributions."""
-    term = lambda a, b: F.when(a > 0, a * F.log2(F.lit(2.0) * a / (a + b))).otherwise(0.0)
-    return F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(p, q, lambda a, b: (term(a, b) + term(b, a)) / 2))))
+
+def distance(p: Column, entropy_p: Column, ref: Column) -> Column:
+    """Jensen-Shannon distance (square root of the divergence in bits) of a distribution from a reference, a struct of
+    its distribution p and entropy h."""
+    middle = F.zip_with(p, ref["p"], lambda a, b: (a + b) / 2)
+    return F.sqrt(F.greatest(F.lit(0.0), entropy(middle) - (entropy_p + ref["h"]) / 2))
 
 
 def references(found: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """One row: for each histogram column, of the size given, its sums for each language as an array of distributions."""
+    """One row: the languages, and for each histogram column, of the size given, their sums as distributions (p, h)."""
     sums = [F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(n)]).alias(c) for c, n in sizes.items()]
     by_lang = found.where("lang IS NOT NULL").groupBy("lang").agg(*sums)
-    shares = lambda c: F.when(total(F.col(c)) > 0, distribution(F.col(c)))
-    # collect_list leaves out what is null
-    return by_lang.agg(*[F.collect_list(shares(c)).alias(f"{c}_refs") for c in sizes])
+    # a reference without any count is null, and so is the distance from it
+    shares = lambda c: F.when(total(F.col(c)) > 0, let(distribution(F.col(c)), lambda p: F.struct(p.alias("p"), entropy(p).alias("h")))).alias(c)
+    return by_lang.agg(F.collect_list(F.struct("lang", *[shares(c) for c in sizes])).alias("refs"))
+
+
+def nearest(h: Column, column: str, limit: Column) -> Column:
+    """Distance from the document's own language if it is within the limit, else from the nearest of all."""
 
+    def of(p: Column, entropy_p: Column) -> Column:
+        far = lambda r: distance(p, entropy_p, r[column])
+        own = far(F.get(F.filter("refs", lambda r: r["lang"] == F.col("lang")), F.lit(0)))
+        return let(own, lambda d: F.when(d <= limit, d).otherwise(F.coalesce(F.array_min(F.transform("refs", far)), F.lit(0.0))))
 
-def nearest(h: Column, refs: Column) -> Column:
-    return F.coalesce(F.transform(F.array(distribution(h)), lambda p: F.array_min(F.transform(refs, lambda q: distance(p, q))))[0], F.lit(0.0))
+    return let(distribution(h), lambda p: let(entropy(p), lambda e: of(p, e)))
 
 
 def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
@@ -116,17 +188,19 @@ def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word
     n_repeat_words, base_failed, kept, char_distance, word_distance.
 
     A null or empty text has no words and fails the base rules. A document without language is judged like any
-    other and adds to no reference. Distances are null under the guards' lengths, and then don't reject. Without
-    references nothing is rejected beyond the base rules. Equal rows are judged alike; an empty table gives no
-    rows; other columns are ignored.
+    other and adds to no reference. Every language has a reference and common words of its own; the work for a document
+    grows with the number of common words. Distances are null under the guards' lengths, and then don't reject. Without
+    references nothing is rejected beyond the base rules. Very long texts are read whole, in memory in proportion to
+    their words. Equal rows are judged alike; an empty table gives no rows; other columns are ignored.
     """
-    found = stored(features(docs))
+    common = common_words(docs)
+    found = stored(features(docs, common))
     # a row of sums for each language, all of them in the row that is joined to each document
-    found = found.crossJoin(F.broadcast(stored(references(found, {"char_hist": 7, "word_hist": len(WORDS) + 1}))))
-    by_char_d = F.when(total(F.col("char_hist")) >= MIN_CHARS, nearest(F.col("char_hist"), F.col("char_hist_refs")))
-    by_word_d = F.when(F.col("n_words") >= MIN_WORDS, nearest(F.col("word_hist"), F.col("word_hist_refs")))
+    found = found.crossJoin(F.broadcast(stored(references(found, {"char_hist": len(CLASSES) + 2, "word_hist": len(common) + 1}))))
+    word_limit = max_word + WORD_NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    by_char_d = F.when(total(F.col("char_hist")) >= MIN_CHARS, nearest(F.col("char_hist"), "char_hist", F.lit(max_char)))
+    by_word_d = F.when(F.col("n_words") >= MIN_WORDS, nearest(F.col("word_hist"), "word_hist", word_limit))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     judged = found.withColumn("base_failed", failed).withColumn("char_distance", by_char_d).withColumn("word_distance", by_word_d)
-    word_limit = max_word + WORD_NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     kept = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")

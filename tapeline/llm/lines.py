@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .common import SPACES, free, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -37,29 +37,32 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return hit.groupBy("row_key", "doc").agg(F.collect_set("pos").alias("drop"))
 
 
-def clean(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with _n_lines, _n_dropped and _kept, the text that is left.
+def clean(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Column, Column, Column]:
+    """(``docs`` with a column of its own for what goes, number of lines, number of dropped ones, text that is left).
 
     A null or empty text is one empty line. Documents are counted by distinct doc_id; a row without doc_id counts
-    for none and holds no line for good. Rows of one doc_id are cleaned each by itself, and equal rows alike.
+    for none and holds no line for good. Rows of one doc_id are cleaned each by itself, and equal rows alike. Very
+    long texts are cleaned whole. Other columns may have any name. An empty table gives no rows.
     """
     # collect_set holds positions of one row, no more than its own lines
-    drop = dropped_lines(docs, min_chars, min_docs)
-    rows = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    joined = rows.join(drop, (rows["_row_key"] == drop["row_key"]) & rows["doc_id"].eqNullSafe(drop["doc"]), "left")
+    key, doc, drop = free(docs, "row_key", "doc", "drop")
+    found = dropped_lines(docs, min_chars, min_docs).toDF(key, doc, drop)
+    joined = docs.join(found, (F.xxhash64(docs["doc_id"], docs["text"]) == F.col(key)) & docs["doc_id"].eqNullSafe(F.col(doc)), "left").select(*[docs[c] for c in docs.columns], drop)
     all_lines = lines(F.col("text"))
-    left = F.transform(F.array(all_lines), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("drop")), lambda i: F.get(ls, i)))[0]
-    kept = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[rows[c] for c in docs.columns], F.size(all_lines).cast("long").alias("_n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("_n_dropped"), kept.alias("_kept"))
+    left = F.transform(F.array(all_lines), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(drop)), lambda i: F.get(ls, i)))[0]
+    kept = F.when(F.col(drop).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
+    return joined, F.size(all_lines).cast("long"), F.coalesce(F.size(drop), F.lit(0)).cast("long"), kept
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256. See ``clean`` for odd rows."""
-    return clean(docs.select("doc_id", "text"), **options).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    done, n, dropped, kept = clean(docs.select("doc_id", "text"), **options)
+    return done.select("doc_id", n.alias("n_lines"), dropped.alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
 def apply_line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with cleaned texts. A document all of whose lines went keeps an empty text; a null text stays."""
-    done = clean(docs, **options)
-    text = F.when(done["text"].isNotNull(), F.col("_kept"))
-    return done.select(*[(F.char_length(text).cast("long") if c == "n_chars" else text if c == "text" else done[c]).alias(c) for c in docs.columns])
+    """``docs`` with cleaned texts. A document all of whose lines went keeps an empty text; a null text stays. See
+    ``clean`` for other odd rows."""
+    done, _, _, kept = clean(docs, **options)
+    text = F.when(F.col("text").isNotNull(), kept)
+    return done.select(*[(F.char_length(text).cast(docs.schema[c].dataType) if c == "n_chars" else text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, free, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -94,7 +94,8 @@ def schedule(spark, sizes: list[int], goals: list[int], block: int = MIN_BLOCK)
 
 def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source, and what else it has): doc_id, source, size,
-    source_size, target, taken.
+    source_size, target, taken, slot: the schedule's first slot that takes words of the document, null if none does.
+    In order of slots, the sources of every prefix are near their targets.
 
     Null or empty texts have size 0 and are never taken. A null source is a source of its own, the last. Rows of
     one doc_id are documents of their own; ties in the shuffle are split by doc_id and size, so equal rows change
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFra
     narrow = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key")))
     by_source = source_sizes(narrow)
     if not by_source:
-        return narrow.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        return narrow.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("slot"))
     sizes = [n for _, n in by_source]
     goals = targets(by_source, weights, repeats)
     block = MIN_BLOCK
@@ -119,31 +120,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFra
     # the block but the last of the source take all of its words
     whole = F.least(F.lit(block), F.get(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("src")) - F.col("block") * block)
     cut = F.col("words") < whole
-    times = schedule(spark, sizes, [int(g + 0.5) for g in goals], block).groupBy("src", "block").agg(F.count_if(~cut).alias("times"), F.sum(F.when(cut, F.col("words")).otherwise(0)).alias("cut"))
+    times = schedule(spark, sizes, [int(g + 0.5) for g in goals], block).groupBy("src", "block").agg(F.count_if(~cut).alias("times"), F.sum(F.when(cut, F.col("words")).otherwise(0)).alias("cut"), F.min("slot").alias("slot"))
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence((F.col("start") / block).cast("long"), ((F.col("start") + F.col("size") - 1) / block).cast("long"))))
     first = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     some = F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.coalesce("cut", F.lit(0))) - first)
-    taken = pieces.join(times, ["src", "block"], "left").groupBy("doc_id", "src", "start", "size").agg(F.sum((end - first) * F.coalesce("times", F.lit(0)) + some).alias("taken"))
-    none = placed.where("size = 0").select("doc_id", "src", "start", "size", F.lit(0).cast("long").alias("taken"))
+    taken = pieces.join(times, ["src", "block"], "left").groupBy("doc_id", "src", "start", "size").agg(F.sum((end - first) * F.coalesce("times", F.lit(0)) + some).alias("taken"), F.min("slot").alias("slot"))
+    none = placed.where("size = 0").select("doc_id", "src", "start", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("slot"))
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("src"))
     sources = F.get(F.array(*[F.lit(s) for s, _ in by_source]), F.col("src"))
     return taken.unionByName(none).select(
-        "doc_id", sources.alias("source"), "size", pick(sizes).cast("long").alias("source_size"), pick(goals).alias("target"), F.col("taken").cast("long").alias("taken")
+        "doc_id", sources.alias("source"), "size", pick(sizes).cast("long").alias("source_size"), pick(goals).alias("target"), F.col("taken").cast("long").alias("taken"), F.when(F.col("taken") > 0, F.col("slot")).alias("slot"),
     )
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each as often as its taken words fill it, rounded half up.
+def apply_mix(docs: DataFrame, ordered: bool = False, **options) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: each as often as its taken words fill it, rounded half up; if
+    ``ordered``, sorted by the schedule's slots, at the cost of a shuffle of all texts.
 
     Rows whose rounded count is 0 go; those without words, of which the mix takes nothing, go too. The columns
-    are those of ``docs``.
+    are those of ``docs``, of any name. An empty table gives no rows.
     """
-    taken = mix(docs, **options).where("taken > 0").select("doc_id", "source", "size", "taken")
+    taken = mix(docs, **options).where("taken > 0").select("doc_id", "source", "size", "taken", "slot")
     # equal rows of one doc_id share their sum
-    shares = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    copies = F.floor((F.col("_taken") * 2 + F.col("size") * F.col("_rows")) / (F.col("size") * F.col("_rows") * 2)).cast("int")
-    left = docs.withColumn("_size", word_count(F.col("text")))
-    right = shares.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_words"), copies.alias("_copies"))
-    joined = left.join(right, left["doc_id"].eqNullSafe(right["_doc"]) & left["source"].eqNullSafe(right["_source"]) & (left["_size"] == right["_words"]))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[left[c] for c in docs.columns])
+    shares = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"), F.min("slot").alias("slot"))
+    copies = F.floor((F.col("taken") * 2 + F.col("size") * F.col("rows")) / (F.col("size") * F.col("rows") * 2)).cast("int")
+    doc, source, words, times, slot, copy = free(docs, "doc", "source_", "words", "times", "slot", "copy")
+    right = shares.select("doc_id", "source", "size", copies, "slot").toDF(doc, source, words, times, slot).where(F.col(times) > 0)
+    joined = docs.join(right, docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(source)) & (word_count(docs["text"]) == F.col(words)))
+    out = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return (out.orderBy(slot, doc, copy) if ordered else out).select(*[docs[c] for c in docs.columns])

@@ -41,7 +41,7 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("source", "slot")
 
 
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

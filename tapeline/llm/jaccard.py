@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free, stored
 from .words import chunks, mixed, shingles, word_hashes
 
 SHINGLE = 4
@@ -38,6 +38,8 @@ COMMON = 6
 PIVOT_ROUNDS = 2
 #: Up to this many texts, their keys are broadcast to fetch their documents or sets; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Parts into which the rows of one text or class are dealt in joins.
+SALTS = 32
 #: Copies that a task remembers so as not to emit their prefixes again.
 REMEMBERED = 1_000_000
 
@@ -269,27 +271,40 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
     return signed, classes
 
 
+def salted(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``small``, which has one row for each key: a key of many rows is dealt to ``SALTS`` tasks."""
+    some = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")).join(some, [key, "salt"], "left").drop("salt")
+
+
+def classed(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n, fp, class) of each row that has a set."""
+    return salted(signed.where("fp IS NOT NULL"), classes, "fp").withColumn("class", F.coalesce("class", "fp"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     A text that is null or without words has no shingles and is linked with nothing, not even its like. Equal sets
     are linked. A row without doc_id takes part, and names no component; alone, its component is null. Rows of one
-    doc_id are compared as documents of their own. An empty table gives no rows. Other columns are ignored.
+    doc_id are compared as documents of their own. Very long texts are compared whole. An empty table gives no rows.
+    Other columns are ignored.
     """
     signed, classes = linked(docs, size, percent)
-    classed = signed.where("fp IS NOT NULL").join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-    classed = stored(classed)
-    names = classed.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    named = classed.join(names, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = stored(classed(signed, classes))
+    # a row alone in its class is its own component
+    names = found.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    named = salted(found, names, "class").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
     return named.union(signed.where("fp IS NULL").select("doc_id", "n", "doc_id"))
 
 
 def apply_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: that of its smallest doc_id. Texts without words stay. Of rows
-    that repeat that doc_id those of the smallest text digest stay; rows without doc_id stay where alone."""
+    that repeat that doc_id those of the smallest text digest stay; rows without doc_id stay where alone. Other columns
+    may have any name; an empty table gives no rows."""
     signed, classes = linked(docs, size, percent)
-    classed = signed.where("fp IS NOT NULL").join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")
-    keep = classed.groupBy("class").agg(F.min(first).alias("d")).select("d.doc_id", "d.text_key").union(signed.where("fp IS NULL").select("doc_id", "text_key")).distinct()
-    keep = keep.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_semi")
+    keep = classed(signed, classes).groupBy("class").agg(F.min(first).alias("d")).select("d.doc_id", "d.text_key").union(signed.where("fp IS NULL").select("doc_id", "text_key")).distinct()
+    doc, key = free(docs, "doc", "key")
+    keep = keep.toDF(doc, key)
+    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_semi")

@@ -8,6 +8,7 @@ sequence that still isn't full is cut into sequences of powers of two, which nee
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 LENGTH = 2048
-MAX_SEGMENTS = 64
+MAX_SEGMENTS = 16
 #: Pieces among which the heuristic chooses, and words that a tokenizer remembers.
 WINDOW = 1024
 MEMORY = 300_000
@@ -33,13 +34,31 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+#: The normaliser and the splits of ``TOKENIZER``. They keep to words between ASCII white space, lower-case
+#: Latin letters and never put letters and marks in one piece. Texts go whole to a tokenizer that has others.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether words can be encoded one by one: for any other tokenizer, only whole texts give its ids."""
+    spec = json.loads(tokenizer.to_str())
+    return spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLITS and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+
+
 class Words(dict):
     """From a word, as bytes, to its ids as little-endian 32-bit bytes. Words are what ASCII white space separates:
-    the tokenizer's pieces never cross it."""
+    the pieces of a tokenizer for which ``by_words`` holds never cross it."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.cores, self.letters = tokenizer, {}, byte_letters()
+        self.tokenizer, self.cores, self.letters, self.direct = tokenizer, {}, byte_letters(), by_words(tokenizer)
         #: A word of Latin letters with marks around it: letters and marks are never one piece, normalisation
         #: leaves them as they are but for case, so both can go to the tokenizer's model directly.
         self.split = re.compile(r"([.,;:!?*#&%$()|]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#&%$()|]*)").fullmatch
@@ -66,7 +85,7 @@ class Words(dict):
             self.clear()
         if len(self.cores) > MEMORY:
             self.cores.clear()
-        if b"<|" in text:  # special tokens may hold or touch anything
+        if not self.direct or b"<|" in text:  # special tokens may hold or touch anything
             return self.encode(text)
         return b"".join(map(self.__getitem__, text.split()))
 

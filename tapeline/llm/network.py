@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 PLACES = (-2, -1, 1, 2)
-HIDDEN = 24
+HIDDEN = 16
 #: Words of a class of the softmax.
 WIDE = 64
-BATCH = 4096
+BATCH = 8192
 RATE = 0.12
 #: What a weight's sum of squares starts from, so that the first steps of a replica are short.
 START = 1e-6
@@ -46,7 +46,7 @@ class Network:
         self.cw.reshape(-1)[self.words :] = -1e9
 
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = around + np.arange(len(PLACES)) * (self.words + 2)
+        rows = around + np.arange(len(PLACES), dtype=np.int32) * np.int32(self.words + 2)
         h = self.e[rows[:, 0]] + self.b
         for k in range(1, len(PLACES)):
             h += self.e[rows[:, k]]
@@ -86,7 +86,7 @@ class Network:
         dh *= 1 - h * h
         self.moved(self.b, self.sb, dh.sum(0))
         flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16) if len(self.e) <= 1 << 16 else flat, kind="stable")
         at = np.flatnonzero(np.diff(flat[order], prepend=-1))
         grad, of = np.add.reduceat(dh[order // len(PLACES)], at, axis=0), flat[order[at]]
         self.se[of] += grad * grad
@@ -98,18 +98,20 @@ class Network:
         w -= RATE * grad / np.sqrt(square)
 
 
+#: Logits beyond this count as this, so that their powers stay finite.
+MOST = np.float32(60)
+
+
 def _picked(z: np.ndarray, of: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    np.minimum(z, MOST, out=z)
     mine = z[np.arange(len(of)), of]
     return mine - np.log(np.exp(z, out=z).sum(1))
 
 
 def _slope(z: np.ndarray, of: np.ndarray, n: np.float32) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(of)), of] -= 1
-    z /= n
+    np.exp(np.minimum(z, MOST, out=z), out=z)
+    z *= (1 / (n * z.sum(1)))[:, None]
+    z[np.arange(len(of)), of] -= 1 / n
     return z
 
 
@@ -117,15 +119,19 @@ def around(token: np.ndarray, bounds: np.ndarray, beyond: int) -> np.ndarray:
     """The tokens at ``PLACES`` of each token, within its row; ``beyond`` outside."""
     pad, n = max(abs(p) for p in PLACES), len(token)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    wide = np.concatenate([np.full(pad, beyond), token, np.full(pad, beyond)])
-    of = np.concatenate([np.full(pad, -1), row, np.full(pad, -1)])
-    return np.stack([np.where(of[pad + k : pad + k + n] == row, wide[pad + k : pad + k + n], beyond) for k in PLACES], axis=1) if n else np.zeros((0, len(PLACES)), np.int64)
+    row, edge = row.astype(np.int32), np.full(pad, beyond, np.int32)
+    wide = np.concatenate([edge, token.astype(np.int32), edge])
+    of = np.concatenate([np.full(pad, -1, np.int32), row, np.full(pad, -1, np.int32)])
+    out = np.empty((n, len(PLACES)), np.int32)
+    for i, k in enumerate(PLACES):
+        out[:, i] = np.where(of[pad + k : pad + k + n] == row, wide[pad + k : pad + k + n], beyond)
+    return out
 
 
 #: Symbols of the spelling: 0 ends a word, then letters without case, digits, apostrophe, hyphen, other ASCII, and
 #: the bytes of other characters by groups of eight.
 SYMBOLS = 64
-_SYMBOL = np.full(256, 39, np.int64)
+_SYMBOL = np.full(256, 39, np.int32)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[48:58] = np.arange(27, 37)
 _SYMBOL[39], _SYMBOL[45] = 37, 38
@@ -140,7 +146,7 @@ def spelling_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     lower case); codes of bytes outside words mean nothing."""
     n = len(data)
     s = _SYMBOL[data]
-    one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    one, two = np.zeros(n, np.int32), np.zeros(n, np.int32)
     one[1:], two[2:] = s[:-1], s[:-2]
     one[starts] = 0
     two[starts] = 0

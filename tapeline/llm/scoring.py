@@ -34,6 +34,10 @@ PIECE = 4096
 #: Weights are averaged as whole multiples of 2 ** -FIXED, in blocks.
 FIXED, WEIGHTS = 24, 1 << 16
 SPELLING_BLOCK = 1 << 14
+#: Bytes of text that are scored at once.
+RUN = 1 << 19
+#: Bits of the flags for each window that is remembered, and powers of two between which their number lies.
+FLAGS, FEWEST, MOST = 16, 16, 29
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -86,16 +90,22 @@ def blocks(x: np.ndarray, width: int) -> pa.RecordBatch:
 
 
 def cells(docs: DataFrame, words: list[int], total: int) -> DataFrame:
-    """(cell, round, tokens, bounds): the training tokens of each cell; bounds are where its pieces start and end."""
+    """(cell, round, tokens, bounds): the training tokens of each cell; bounds are where its pieces start and end. Cells
+    below 0 are blocks of the spelling's counts over all unknown words."""
     tokens, n_cells = Tokens(words), max(1, -(-total // (ROUNDS * CELL)))
 
+    names = ["cell", "round", "key", "tokens"]
+
     def cut(batches):
+        spelled = np.zeros(SPELLED, np.int64)
         for b in batches:
-            for i, j, data, offs in chunks(b.column(1)):
-                hashes, bounds = word_hashes(data, offs)
+            for i, j, data, offs in chunks(b.column(1), RUN):
+                hashes, bounds, begin, end = word_spans(data, offs)
                 token = tokens.of(hashes).astype("<u2")
                 if not len(token):
                     continue
+                rest = token == tokens.size
+                spelled += spelling_counts(data, begin[rest], end[rest])
                 of = -(-np.diff(bounds) // PIECE)
                 piece = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
                 starts = np.repeat(bounds[:-1], of) + piece * PIECE
@@ -104,22 +114,31 @@ def cells(docs: DataFrame, words: list[int], total: int) -> DataFrame:
                 part = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(token.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((key // np.uint64(ROUNDS) % np.uint64(n_cells)).astype(np.int32)), pa.array((key % np.uint64(ROUNDS)).astype(np.int32)), pa.array(key.view(np.int64)), part.cast(pa.binary())],
-                    names=["cell", "round", "key", "tokens"],
+                    names=names,
                 )
+        if spelled.any():
+            parts = blocks(spelled, SPELLING_BLOCK)
+            none = np.zeros(parts.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(parts.num_rows), pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), parts.column(1)], names=names)
 
     def join(batches):
         at, held, n = None, [], 0
 
         def cell():
+            if at[0] < 0:
+                summed = sum(np.frombuffer(x, "<i8") for x in held).astype("<i8").tobytes()
+                return pa.RecordBatch.from_pydict({"cell": pa.array([at[0]], pa.int32()), "round": pa.array([0], pa.int32()), "tokens": pa.array([summed], pa.binary()), "bounds": pa.array([b""], pa.binary())})
             return pa.RecordBatch.from_pydict({"cell": pa.array([at[0]], pa.int32()), "round": pa.array([at[1]], pa.int32()), "tokens": pa.array([b"".join(held)], pa.binary()), "bounds": pa.array([np.cumsum([0, *(len(x) // 2 for x in held)]).astype("<i8").tobytes()], pa.binary())})
 
         for b in batches:
             for c, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 # many equal rows without doc_id have one hash: no cell grows beyond what a task holds
-                if held and (at != (c, r) or n > 4 * CELL):
+                if held and (at != (c, r) or n > 4 * CELL and c >= 0):
                     yield cell()
                     held, n = [], 0
                 at = (c, r)
+                if c < 0 and held:  # sums are as large as what they add
+                    t = (np.frombuffer(held.pop(), "<i8") + np.frombuffer(t, "<i8")).tobytes()
                 held.append(t)
                 n += len(t)
         if held:
@@ -141,13 +160,14 @@ def replica(net: Network, token: np.ndarray, bounds: np.ndarray, words: int) ->
     return -(-len(order) // BATCH)
 
 
-def train(docs: DataFrame, words: list[int], counts: list[int], total: int) -> np.ndarray:
-    """The network's weights after all rounds, from all tokens of ``docs``."""
+def train(docs: DataFrame, words: list[int], counts: list[int], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The network's weights after all rounds, from all tokens of ``docs``, and the counts of the spelling."""
     start = Network(len(words))
     start.start_from(np.array(counts, np.float64), total - sum(counts))
     weights, n = start.flat, len(words)
+    spelled = np.zeros(SPELLED, np.int64)
     if not total:
-        return weights
+        return weights, spelled
     dealt = stored(cells(docs, words, total))
     for k in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -164,17 +184,20 @@ def train(docs: DataFrame, words: list[int], counts: list[int], total: int) -> n
                 summed[-1] = steps
                 yield blocks(summed, WEIGHTS)
 
-        got = added(dealt.where(F.col("round") == k).select("tokens", "bounds").mapInArrow(run, "block int, values binary"), WEIGHTS)
+        got = added(dealt.where((F.col("round") == k) & (F.col("cell") >= 0)).select("tokens", "bounds").mapInArrow(run, "block int, values binary"), WEIGHTS)
         shared.unpersist()
         if len(got):
             weights = (got[:-1] / (got[-1] * float(1 << FIXED))).astype(np.float32)
-    return weights
+    for at, counts_ in dealt.where("cell < 0").select("cell", "tokens").collect():  # of fixed size
+        at = (-1 - at) * SPELLING_BLOCK
+        spelled[at : at + len(counts_) // 8] += np.frombuffer(counts_, "<i8")
+    return weights, spelled
 
 
 def unknown(texts: pa.Array, tokens: Tokens):
     """(first row, end row, bytes, tokens, words before each row, places of unknown words, their starts and ends, hash of
     their neighbours, hash of themselves), a run of rows at a time."""
-    for i, j, data, offs in chunks(texts):
+    for i, j, data, offs in chunks(texts, RUN):
         hashes, bounds, starts, ends = word_spans(data, offs)
         token = tokens.of(hashes)
         at = np.flatnonzero(token == tokens.size)
@@ -200,20 +223,42 @@ def memory(docs: DataFrame, words: list[int]) -> DataFrame:
     return seen.where("n > 1").select("window", F.when(F.col("low") == F.col("high"), F.col("low")).alias("word"), "n")
 
 
-def spelling(docs: DataFrame, words: list[int]) -> np.ndarray:
-    """Counts of the spelling of all unknown words."""
-    tokens = Tokens(words)
+def flags(known: DataFrame) -> np.ndarray:
+    """Bits, some of each window that is remembered: a window whose bit is 0 isn't. Their number follows that of the
+    windows up to a bound; beyond it more windows are looked for in vain, and all are still found."""
+    bits = min(MOST, max(FEWEST, (FLAGS * known.count()).bit_length()))
 
     def run(batches):
-        out = np.zeros(SPELLED, np.int64)
+        out = np.zeros(1 << bits - 3, np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        # no task sets a bit that another does if windows are dealt by hash, but any may set any
+        width = min(len(out), WEIGHTS)
+        for k in range(0, len(out), width):
+            if out[k : k + width].any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k // width], pa.int32()), "values": pa.array([out[k : k + width].tobytes()], pa.binary())})
+
+    def join(batches):
+        got: dict[int, np.ndarray] = {}
         for b in batches:
-            for _, _, data, _, _, _, starts, ends, _, _ in unknown(b.column(0), tokens):
-                out += spelling_counts(data, starts, ends)
-        if out.any():
-            yield blocks(out, SPELLING_BLOCK)
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint8)
+                got[k] = got[k] | x if k in got else x
+        for k, x in got.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "values": pa.array([x.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    width = min(len(out), WEIGHTS)
+    schema = "block int, values binary"
+    for k, x in known.select("window").mapInArrow(run, schema).repartition("block").mapInArrow(join, schema).toLocalIterator():
+        out[k * width : (k + 1) * width] = np.frombuffer(x, np.uint8)
+    return out
+
 
-    got = added(docs.select("text").mapInArrow(run, "block int, values binary"), SPELLING_BLOCK)
-    return got if len(got) else np.zeros(SPELLED, np.int64)
+def flagged(bits: np.ndarray, window: np.ndarray) -> np.ndarray:
+    at = window.view(np.uint64) >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
 def row_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -230,24 +275,29 @@ def score(docs: DataFrame, words: list[int], weights: np.ndarray, spelled: np.nd
     """doc_id, n_tokens, log_likelihood, mean_log_p. ``known`` is the memory, and ``trust`` the part that it has of the
     probability of an unknown word in a window that occurs elsewhere."""
     tokens = Tokens(words)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, spelled))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, spelled, flags(known)))
     names = ["row", "window", "word", "spelled", "doc_id", "n_tokens", "lp"]
 
     def run(batches):
-        weights, spelled = shared.value
+        weights, spelled, bits = shared.value
         net, spell, row = Network(tokens.size, weights), Spelling(spelled), TaskContext.get().partitionId() << 40
         for b in batches:
             for i, j, data, token, bounds, at, starts, ends, window, word in unknown(b.column(1), tokens):
-                sums = row_sums(network_log_p(net, token, bounds), bounds)
+                lp, by_spelling = network_log_p(net, token, bounds), spell.log_p(data, starts, ends)
+                # what can't be remembered is known already
+                open_ = flagged(bits, window)
+                lp[at[~open_]] += by_spelling[~open_]
+                at, window, word, by_spelling = at[open_], window[open_], word[open_], by_spelling[open_]
+                sums = row_sums(lp, bounds)
                 rows = row + np.arange(j - i)
                 row += j - i
-                # one line for the document, anywhere, and one for each unknown word
+                # one line for the document, anywhere, and one for each unknown word that may be remembered
                 none, whose = len(at), rows[np.searchsorted(bounds, at, "right") - 1]
                 lacks = lambda t: pa.nulls(j - i, t)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([rows, whose])), pa.array(np.concatenate([mixed(rows.astype(np.uint64)).view(np.int64), window])), pa.concat_arrays([lacks(pa.int32()), pa.array(word)]),
-                        pa.concat_arrays([lacks(pa.float32()), pa.array(spell.log_p(data, starts, ends).astype(np.float32))]), pa.concat_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.nulls(none, pa.int64())]),
+                        pa.concat_arrays([lacks(pa.float32()), pa.array(by_spelling.astype(np.float32))]), pa.concat_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.nulls(none, pa.int64())]),
                         pa.concat_arrays([pa.array(np.diff(bounds).astype(np.int64)), pa.nulls(none, pa.int64())]), pa.concat_arrays([pa.array(sums), pa.nulls(none, pa.float64())]),
                     ],
                     names=names,
@@ -289,4 +339,4 @@ def pseudo_likelihood(docs: DataFrame, use: Column | None = None) -> DataFrame:
     words, n = vocabulary(counts)
     total = int(counts.agg(F.sum("n")).first()[0] or 0)
     known = stored(memory(learned, words))
-    return score(docs, words, train(learned, words, n, total), spelling(learned, words), known, agreement(known))
+    return score(docs, words, *train(learned, words, n, total), known, agreement(known))

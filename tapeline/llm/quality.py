@@ -20,7 +20,7 @@ from .common import stored
 from .words import chunks, mixed, word_spans
 
 #: The classifier is fitted to the labelled documents of the smallest hashes, so many at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 THRESHOLD = 0.5
 #: Buckets of words and of word pairs, half of them each.
 BUCKETS = 1 << 15
@@ -69,12 +69,12 @@ class Classifier:
         return form @ self.form + self.constant + np.bincount(row, weights=self.buckets[bucket] * weight, minlength=len(form))
 
 
-def fit(form: np.ndarray, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, y: np.ndarray) -> Classifier:
-    """By Adagrad, in a fixed order of the rows. Without labels of both kinds, odds of the prior for all."""
+def fit(form: np.ndarray, ends: np.ndarray, bucket: np.ndarray, weight: np.ndarray, y: np.ndarray) -> Classifier:
+    """By Adagrad, in a fixed order of the rows; ends: where each row's buckets end, after a 0. Without labels of both
+    kinds, odds of the prior for all."""
     model = Classifier(np.zeros(form.shape[1]), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros(BUCKETS))
     if not len(y) or y.min() == y.max():
         return model
-    ends = np.searchsorted(row, np.arange(len(y) + 1))
     sf, sc, sb = np.full(form.shape[1], 1e-8), 1e-8, np.full(BUCKETS, 1e-8)
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
@@ -98,28 +98,31 @@ def fit(form: np.ndarray, row: np.ndarray, bucket: np.ndarray, weight: np.ndarra
 
 
 def classifier(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Fitted to at most ``sample`` rows of ``known`` (doc_id, label), which are few enough to be sent to all tasks."""
+    """Fitted to at most ``sample`` rows of ``known`` (doc_id, label), which are few enough to be sent to all tasks, and
+    whose features, some thousand numbers each at most, fit the driver."""
     chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def run(batches):
         for b in batches:
-            for i, j, data, offs in chunks(b.column(2)):
+            for i, j, data, offs in chunks(b.column(3)):
                 form, row, bucket, weight = features(data, offs)
                 ends = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (bucket.astype(np.int32), weight.astype(np.float32))]
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (bucket.astype(np.int16), weight.astype(np.float32))]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * form.shape[1]), pa.array(form.ravel().astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), flat, *lists], names=["doc_id", "label", "form", "bucket", "weight"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), flat, *lists], names=["doc_id", "key", "label", "form", "bucket", "weight"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "key", "label", "text")
+    got = rows.mapInArrow(run, "doc_id long, key long, label double, form array<float>, bucket array<short>, weight array<float>").toArrow()
     # rows that repeat a labelled doc_id count once
-    rows = rows.mapInArrow(run, "doc_id long, label double, form array<float>, bucket array<int>, weight array<float>").groupBy("doc_id").agg(*[F.min_by(c, F.xxhash64("form", "bucket", "weight")).alias(c) for c in ("label", "form", "bucket", "weight")])
-    got = rows.orderBy("doc_id").toArrow().combine_chunks()
+    order = np.lexsort((got["key"].to_numpy(), ids := got["doc_id"].to_numpy()))
+    order = order[np.diff(ids[order], prepend=-(2**63)) != 0] if len(order) else order
+    got = got.take(pa.array(order)).combine_chunks()
     if not got.num_rows:
-        return fit(np.zeros((0, len(FORM))), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        return fit(np.zeros((0, len(FORM))), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     column = lambda k: got.column(k).chunk(0)
     flat = lambda k: column(k).flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(got.num_rows), np.diff(column(3).offsets.to_numpy()))
-    return fit(flat(2).reshape(got.num_rows, -1).astype(float), row, flat(3).astype(np.int64), flat(4).astype(float), (column(1).to_numpy() > 0).astype(float))
+    ends = column("bucket").offsets.to_numpy().astype(np.int64)
+    return fit(flat("form").reshape(got.num_rows, -1).astype(float), ends - ends[0], flat("bucket"), flat("weight"), (column("label").to_numpy() > 0).astype(float))
 
 
 def evidence(docs: DataFrame, model: Classifier, host: Column, path: Column) -> DataFrame:

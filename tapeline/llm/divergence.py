@@ -19,15 +19,16 @@ MIN_WORDS = 50
 MIN_CHARS = 200
 #: A text of n words lies about WORD_NOISE / sqrt(n) from its own language by chance, which is added to its limit.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.30, 0.18, 1.4
-#: Most frequent words taken of each language; of those, words of one in so many of its words at least.
-COMMON, RARE = 24, 1000
+#: Most frequent words taken of each language, of so many letters at most; of those, words of one in so many of its words.
+COMMON, LETTERS, RARE = 24, 8, 1000
 #: Marks that don't count as part of a common word.
 MARKS = ".,;:!?"
 #: Character classes of ASCII: lower case, upper case, digits, punctuation, symbols. White space and the bytes of
 #: other characters beyond their first come as two more.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-", "#*$%&|<>")
-#: The first of the letters that stand for common words in a document's trace, and the slots of their hash table.
-LETTER, SLOTS = 0x4E00, 4096
+#: The first of the letters that stand for common words in a document's trace: one byte for few words, three for many;
+#: and the slots of their hash table.
+FEW, MANY, SLOTS = 0x21, 0x4E00, 4096
 
 
 def let(value: Column, use) -> Column:
@@ -75,8 +76,8 @@ def repeated_words(words: Column) -> Column:
 def split_words(text: Column) -> Column:
     """Words of a text; none of null."""
     stripped = F.coalesce(F.btrim(text, F.lit(SPACES)), F.lit(""))
-    # a separator at either end would give an empty word
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"[\x20\x09-\x0D]+", -1))
+    # a separator at either end would give an empty word; the class is the six separators of SPACES
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"\s+", -1))
 
 
 def bare(word: Column) -> Column:
@@ -87,9 +88,9 @@ def bare(word: Column) -> Column:
 def common_words(docs: DataFrame) -> list[tuple[str, int]]:
     """The ``COMMON`` most frequent words of each language and their slots, in order. What comes to the driver grows with
     the languages, not with the documents."""
-    words = docs.where("lang IS NOT NULL").select("lang", F.explode(split_words(F.col("text"))).alias("word")).select("lang", bare(F.col("word")).alias("word"))
+    words = docs.where("lang IS NOT NULL").select("lang", F.explode(split_words(F.col("text"))).alias("word")).select("lang", bare(F.col("word")).alias("word")).where(F.char_length("word") <= LETTERS)
     counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # of the words that may be common
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON)
     return sorted((r[0], r[1]) for r in ranked.join(totals, "lang").where((F.col("n") * RARE >= F.col("total")) & (F.col("word") != "")).select("word", slot("word")).distinct().collect())
 
@@ -109,7 +110,8 @@ def word_histogram(words: Column, common: list[tuple[str, int]]) -> Column:
             table[at] = k
         else:
             late.append(k)
-    letter = lambda k: chr(LETTER + k)
+    first, width = (FEW, 1) if len(common) < 90 else (MANY, 3)
+    letter = lambda k: chr(first + k)
     slots, known, letters = (F.lit(x) for x in (table, [w for w, _ in common] or [""], [letter(k) for k in range(len(common))] or [""]))
 
     def of(w: Column) -> Column:
@@ -119,8 +121,8 @@ def word_histogram(words: Column, common: list[tuple[str, int]]) -> Column:
             out = out.when(w == common[other][0], letter(other))
         return out
 
-    trace = F.array_join(F.transform(words, lambda w: let(bare(w), of)), "")
-    size = lambda x: F.octet_length(x) / F.lit(3.0)
+    trace = F.array_join(F.transform(F.transform(words, bare), of), "")
+    size = lambda x: F.octet_length(x) / F.lit(float(width))
     counts = lambda t: F.array(*[size(t) - size(F.replace(t, F.lit(letter(k)), F.lit(""))) for k in range(len(common))], F.size(words) - size(t))
     return let(trace, counts)
 

@@ -11,25 +11,58 @@ from pyspark.sql import DataFrame
 
 
 def ward(dist: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Merges (left, right, height, size) by the Lance-Williams update; new clusters are numbered from n."""
+    """Merges (left, right, height, size) in order of height; new clusters are numbered from n.
+
+    Chains of nearest neighbours: each cluster is followed to its nearest one until two are each other's, which Ward's
+    distance allows to merge at once. A step costs a row of the matrix, the whole n squared."""
     n = len(dist)
-    d = dist.astype(float).copy()
+    d, sizes, alive = dist.astype(float) ** 2, np.ones(n), np.ones(n, bool)
     np.fill_diagonal(d, np.inf)
-    names, sizes, out = list(range(n)), [1] * n, []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        masked = np.where(alive[:, None] & alive[None, :], d, np.inf)
-        i, j = divmod(int(masked.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        height, si, sj = d[i, j], sizes[i], sizes[j]
+    chain, found = [], []
+    while len(found) < n - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            a = chain[-1]
+            b = int(np.where(alive, d[a], np.inf).argmin())
+            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        i, j = min(a, b), max(a, b)
+        height = d[i, j]
         others = np.flatnonzero(alive)
         others = others[(others != i) & (others != j)]
-        s = np.array([sizes[k] for k in others], float)
-        new = np.sqrt(np.maximum(0.0, ((s + si) * d[i, others] ** 2 + (s + sj) * d[j, others] ** 2 - s * height**2) / (s + si + sj)))
-        d[i, others] = d[others, i] = new
+        s = sizes[others]
+        d[i, others] = d[others, i] = np.maximum(0.0, ((s + sizes[i]) * d[i, others] + (s + sizes[j]) * d[j, others] - s * height) / (s + sizes[i] + sizes[j]))
         alive[j] = False
-        out.append((min(names[i], names[j]), max(names[i], names[j]), float(height), si + sj))
-        names[i], sizes[i] = n + step, si + sj
+        sizes[i] += sizes[j]
+        found.append((float(np.sqrt(height)), i, j))
+    up, size, out = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for k, (height, i, j) in enumerate(sorted(found, key=lambda f: f[0])):
+        a, b = sorted((root(i), root(j)))
+        up[a] = up[b] = n + k
+        size[n + k] = size[a] + size[b]
+        out.append((a, b, height, size[n + k]))
+    return out
+
+
+def cophenetic(merges: list[tuple[int, int, float, int]], n: int) -> np.ndarray:
+    """The height at which each pair of items is first in one cluster."""
+    out, members = np.zeros((n, n)), {i: [i] for i in range(n)}
+    for k, (a, b, height, _) in enumerate(merges):
+        left, right = members.pop(a), members.pop(b)
+        out[np.ix_(left, right)] = height
+        out[np.ix_(right, left)] = height
+        members[n + k] = left + right
     return out
 
 
@@ -79,16 +112,37 @@ def choose(candidates: list[tuple[str, int]], corr: dict[tuple[str, str], float]
     return [k for k, _ in kept]
 
 
-def ward_clusters(pairs: DataFrame, height: float = 0.40, least_corr: float = 0.55) -> DataFrame:
-    """(code, cluster, split) from pairs (code_a, code_b, corr)."""
+def matrix(g: pd.DataFrame, value: str = "corr", diagonal: float = 1.0, missing: float = 0.05) -> tuple[list[str], np.ndarray]:
+    """(codes in order, matrix) from rows (code_a, code_b, value)."""
+    codes = sorted(set(g.code_a) | set(g.code_b))
+    at = {c: i for i, c in enumerate(codes)}
+    out = np.full((len(codes), len(codes)), missing)
+    a, b = g.code_a.map(at).to_numpy(), g.code_b.map(at).to_numpy()
+    out[a, b] = out[b, a] = g[value].to_numpy()
+    np.fill_diagonal(out, diagonal)
+    return codes, out
+
+
+def ward_clusters(pairs: DataFrame, height: float = 0.40, least_corr: float = 0.55, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., code, cluster, split) from pairs (by..., code_a, code_b, corr); each panel named by ``by`` is a group."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        codes = sorted(set(g.code_a) | set(g.code_b))
-        at = {c: i for i, c in enumerate(codes)}
-        corr = np.eye(len(codes))
-        a, b = g.code_a.map(at).to_numpy(), g.code_b.map(at).to_numpy()
-        corr[a, b] = corr[b, a] = g["corr"].to_numpy()
+        codes, corr = matrix(g)
         labels = cut(ward(np.round(1 - corr, 12)), len(codes), height)
-        return pd.DataFrame({"code": codes, "cluster": labels, "split": split_by_corr(labels, corr, least_corr)})
+        return pd.DataFrame({**{c: g[c].iloc[0] for c in by}, "code": codes, "cluster": labels, "split": split_by_corr(labels, corr, least_corr)})
+
+    keys = "".join(f"{c} {dict(pairs.dtypes)[c]}, " for c in by)
+    return pairs.groupBy(*by).applyInPandas(run, keys + "code string, cluster int, split int")
+
+
+def cophenetic_pairs(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., code_a, code_b, distance) of the Ward tree over 1 - corr, within 0 and 2; what isn't known is 1 apart."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        codes, corr = matrix(g.assign(corr=g["corr"].fillna(0.0)), missing=0.0)
+        far = cophenetic(ward(np.clip(np.round(1 - corr, 12), 0, 2)), len(codes))
+        i, j = np.triu_indices(len(codes), 1)
+        return pd.DataFrame({**{c: g[c].iloc[0] for c in by}, "code_a": np.array(codes, object)[i], "code_b": np.array(codes, object)[j], "distance": far[i, j]})
 
-    return pairs.groupBy().applyInPandas(run, "code string, cluster int, split int")
+    keys = "".join(f"{c} {dict(pairs.dtypes)[c]}, " for c in by)
+    return pairs.groupBy(*by).applyInPandas(run, keys + "code_a string, code_b string, distance double")

@@ -100,11 +100,11 @@ def fit(returns, k: int = 3, nu: float = 5.0, rounds: int = 80, tol: float = 1e-
     return m
 
 
-def filtered(returns, m: Model, nu: float = 5.0) -> np.ndarray:
-    """Weights of the states at each bar from the returns up to it, starting from equal ones. A missing return keeps
-    the weights as they are."""
+def filtered(returns, m: Model, nu: float = 5.0, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the states at each bar from the returns up to it, starting from ``start`` or equal ones. A missing return
+    keeps the weights as they are."""
     r = np.asarray(returns, float)
-    now, out = np.full(len(m.mu), 1 / len(m.mu)), np.empty((len(r), len(m.mu)))
+    now, out = np.full(len(m.mu), 1 / len(m.mu)) if start is None else start, np.empty((len(r), len(m.mu)))
     dense = np.exp(log_density(np.nan_to_num(r), m, nu))
     for t in range(len(r)):
         if math.isfinite(r[t]):

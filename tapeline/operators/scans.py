@@ -112,12 +112,14 @@ def merge_short(labels: list[str], least: int, passes: int = 2) -> list[str]:
 
 def rule_machine(close, buy, sell, g1=None, trail: float = 0.0, cost: float = 0.0005) -> dict:
     """Signals at a bar, fills at the next. A latch set by ``g1`` while holding masks sells; a trailing stop counts from
-    the bar after the fill. Returns equity, trades (signal bar, fill bar, exit bar, return, reason) and the last state."""
+    the bar after the fill. Returns equity, trades (signal bar, fill bar, exit bar, return, reason) and the last state:
+    action, holding, latch, peak, why the last bar sells, and whether the latch masks a sell there."""
     n = len(close)
     held, trades = np.zeros(n + 1), []
-    fill = peak = None
-    latch, action = False, "none"
+    fill = peak = why = None
+    latch, masked, action = False, False, "none"
     for i in range(n):
+        why, masked = None, False
         if fill is None:
             action = "none"
             if buy[i]:
@@ -129,6 +131,7 @@ def rule_machine(close, buy, sell, g1=None, trail: float = 0.0, cost: float = 0.
         if i < fill:
             continue
         peak = close[i] if peak is None else max(peak, close[i])
+        masked = bool(sell[i] and latch)
         why = "sell" if sell[i] and not latch else "trail" if trail and i > fill and close[i] <= peak * (1 - trail) else None
         if why:
             action = "sell"
@@ -139,4 +142,4 @@ def rule_machine(close, buy, sell, g1=None, trail: float = 0.0, cost: float = 0.
     weight = np.concatenate([[0.0], held[: n - 1]]) if n else np.zeros(0)
     r = np.concatenate([[0.0], np.diff(close) / np.asarray(close[:-1], float)]) if n else np.zeros(0)
     turn = np.abs(np.diff(np.concatenate([[0.0], held[:n]])))
-    return {"equity": np.cumprod(1 + weight * r - turn * cost), "trades": trades, "action": action, "holding": bool(n and held[n - 1]), "latch": latch, "peak": peak}
+    return {"equity": np.cumprod(1 + weight * r - turn * cost), "trades": trades, "action": action, "holding": bool(n and held[n - 1]), "latch": latch, "peak": peak, "why": why, "masked": masked}

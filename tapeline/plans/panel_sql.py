@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.features import LABELS, ORDER, RAIL_BARS, RAILS, SEEN, STEP1, TRADES, frame, islands, roll, smoothed
 from ..sources.adapters import BARS, PANEL
+from .views import PAIRS
 
 SQL: dict[str, str] = {}
 
@@ -33,7 +34,7 @@ put("f04_latest_stretch", BARS, GAPPED, select="SELECT code, date, round(CASE WH
 put("f07_log_returns", BARS, f"""
 t AS (SELECT code, date, close, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS back FROM bars),
 l AS (SELECT code, date, ln(close / lag(close) OVER ({ORDER})) AS r FROM t WHERE back <= 253 AND close > 0)""", select="SELECT code, date, round(r, 6) AS r FROM l WHERE r IS NOT NULL")
-put("f08_split_guard", BARS, f"l AS (SELECT code, date, ln(close / lag(close) OVER ({ORDER})) AS r FROM bars)", select="SELECT code, date, round(r, 6) AS r FROM l WHERE abs(r) <= 0.05")
+put("f08_split_guard", BARS, f"l AS (SELECT code, date, ln(close / lag(close) OVER ({ORDER})) AS r FROM bars)", select="SELECT code, date, round(r, 6) AS r FROM l WHERE abs(r) <= 0.25")
 put("f09_eligibility", BARS, f"e AS (SELECT code, date, count(close) OVER ({SEEN}) AS seen, count(close) OVER ({frame(20)}) AS recent FROM bars)", select="SELECT code, date, seen >= 60 AND recent >= 18 AS eligible FROM e")
 put("s07_range_scan", BARS, select="SELECT code, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM bars WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
 put("u01_upsert_bars", BARS, """
@@ -60,9 +61,6 @@ put("w04_true_range", BARS, STEP1, select=f"SELECT code, date, round(tr, 4) AS t
 put("w05_realised_vol", BARS, STEP1, f"""
 v AS (SELECT *, ln(close / pc) AS lr FROM feat),
 v2 AS (SELECT *, {roll("stddev_pop", "lr", 5, 5)} * sqrt(CAST(252 AS DOUBLE)) AS rv5, {roll("stddev_pop", "lr", 20, 20)} * sqrt(CAST(252 AS DOUBLE)) AS rv20p FROM v)""", select=f"SELECT code, date, {rounded('rv20', 'rv5', 'rv20p')} FROM v2")
-put("w06_hist_percentile", BARS, STEP1, f"""
-v AS (SELECT code, date, round(rv20, 9) AS rv20, count(rv20) OVER ({frame(120)}) AS n FROM feat),
-h AS (SELECT code, date, rv20, n, @SHARE_UP_TO(rv20, {frame(120)}) AS below FROM v WHERE rv20 IS NOT NULL)""", select="SELECT code, date, round(CASE WHEN n >= 5 THEN CAST(below AS DOUBLE) / n END, 6) AS pct FROM h")
 put("w07_directional", BARS, STEP1, select=f"SELECT code, date, {rounded('plus_di', 'minus_di', 'adx14', digits=4)} FROM feat")
 put("w08_crosses", BARS, STEP1, f"m AS (SELECT code, date, ma5, ma20, lag(ma5) OVER ({ORDER}) AS a, lag(ma20) OVER ({ORDER}) AS b FROM feat)", select="SELECT code, date, coalesce(ma5 > ma20 AND a <= b, false) AS golden, coalesce(ma5 < ma20 AND a >= b, false) AS death FROM m")
 put("w09_range_position", BARS, STEP1, select="SELECT code, date, round((close - lo20) / nullif(hi20 - lo20, 0), 6) AS range_pos FROM feat")
@@ -76,10 +74,6 @@ grid AS (SELECT c.code, d.date, b.close FROM codes c CROSS JOIN days d LEFT JOIN
 filled AS (SELECT code, date, last_value(close) IGNORE NULLS OVER ({SEEN}) AS close FROM grid)""".replace("last_value(close) IGNORE NULLS OVER", "@LAST(close) OVER"), select="SELECT code, date, round(close, 4) AS close FROM filled")
 put("w20_short_means", BARS, f"m AS (SELECT code, date, avg(close) OVER ({frame(8)}) AS m8, {roll('avg', 'close', 20, 20)} AS ma20 FROM bars)", select=f"SELECT code, date, {rounded('m8', 'ma20', digits=4)} FROM m")
 put("w21_mode_smoothing", BARS, STEP1, LABELS, smoothed("lab", "g1_raw", 3, "s"), select="SELECT code, date, regime FROM s")
-put("w22_low_vol_persistence", BARS, STEP1, f"""
-v AS (SELECT code, date, p20, p60, round(rv20, 9) AS rv20, count(rv20) OVER ({frame(252)}) AS n FROM feat),
-h AS (SELECT *, CAST(@SHARE_UP_TO(rv20, {frame(252)}) AS DOUBLE) / nullif(n, 0) AS pct FROM v),
-l AS (SELECT *, sum(CASE WHEN rv20 IS NOT NULL AND n >= 60 AND pct < 0.35 THEN 1 ELSE 0 END) OVER ({frame(15)}) AS low FROM h)""", select="SELECT code, date, low >= 10 AND NOT (abs(p60) >= 0.12 OR abs(p20) >= 0.08) AS ranged FROM l")
 put("w23_return_z", BARS, STEP1, f"z AS (SELECT code, date, rn, ret1, stddev_samp(ret1) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS s, count(ret1) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS n FROM feat)", select="SELECT code, date, round(CASE WHEN n = 20 THEN ret1 / nullif(s, 0) END, 5) AS z FROM z")
 FORWARD = f"""
 y AS (SELECT code, date, close, ln(close) AS lc, ln(close / lag(close) OVER ({ORDER})) AS step FROM bars),
@@ -123,11 +117,11 @@ st AS (SELECT code, exp(sum(ln(exit_px / entry))) - 1 AS compound, avg(CASE WHEN
 put("x32_train_score", BARS, STEP1, LABELS, smoothed("lab", "g6_raw", 5, "s"), f"""
 b AS (SELECT l.code, l.date, l.g1_raw AS truth, s.regime, CASE WHEN s.regime <> lag(s.regime) OVER (PARTITION BY l.code ORDER BY l.date) THEN 1 ELSE 0 END AS sw FROM lab l JOIN s ON s.code = l.code AND s.date = l.date)""", select="SELECT code, CAST(sum(sw) AS BIGINT) AS switches, round(avg(CASE WHEN truth = regime THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS agree, round(avg(CASE WHEN regime = 'up' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS upfrac FROM b GROUP BY code")
 
-put("w17_trailing_trend", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_path' for p in RAIL_BARS], digits=3)}, {rounded(*[f'fig{p}_g' for p in (7, 8, 9)], digits=4)} FROM {'res'} WHERE rn > 5")
+put("w17_trailing_trend", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_path' for p in RAIL_BARS], digits=3)}, {', '.join(f'round(ln(1 + fig{p}_g), 5) AS fig{p}_lg' for p in RAIL_BARS)} FROM rails")
 put("w18_envelope", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_upper' for p in RAIL_BARS], *[f'fig{p}_lower' for p in RAIL_BARS], digits=3)} FROM rails")
 POSITION = "\npos AS (SELECT *, ln(close / fig9_lower) / nullif(ln(fig9_upper / fig9_lower), 0) AS fig9_pos, ln(close / fig10_lower) / nullif(ln(fig10_upper / fig10_lower), 0) AS fig10_pos FROM rails)"
-put("w19_band_position", BARS, RAILS, POSITION, select=f"SELECT code, date, {rounded('fig9_pos', 'fig10_pos', digits=3)} FROM pos")
-put("w15_band_change", BARS, RAILS, POSITION, select="SELECT code, date, round(fig9_pos - lag(fig9_pos, 10) OVER (PARTITION BY code ORDER BY date), 3) AS fig9_pos_10 FROM pos")
+put("w19_band_position", BARS, RAILS, POSITION, select="SELECT code, date, round(fig9_pos, 3) + CAST(0 AS DOUBLE) AS fig9_pos, round(fig10_pos, 3) + CAST(0 AS DOUBLE) AS fig10_pos FROM pos")
+put("w15_band_change", BARS, RAILS, POSITION, select="SELECT code, date, round(fig9_pos - lag(fig9_pos, 10) OVER (PARTITION BY code ORDER BY date), 3) + CAST(0 AS DOUBLE) AS fig9_pos_10 FROM pos")
 STATES = f"""
 low AS (SELECT *, CASE WHEN round(close - fig9_path, 7) < 0 THEN 0 ELSE 1 END AS off FROM rails),
 low2 AS (SELECT *, sum(off) OVER ({SEEN}) AS isl FROM low),
@@ -136,30 +130,12 @@ st AS (SELECT *, CASE WHEN fig8_g IS NULL OR fig9_g IS NULL OR fig10_g IS NULL O
   WHEN run >= 10 THEN 'knife' WHEN fig10_g <= 0 AND fig9_g <= 0 THEN 'down' WHEN fig8_g > 0 AND fig9_g > 0 THEN 'up' WHEN round(close - fig10_path, 7) >= 0 THEN 'repair' ELSE 'chop' END AS state FROM low3)"""
 put("w12_run_below_path", BARS, RAILS, STATES, select="SELECT code, date, CAST(run AS BIGINT) AS run FROM low3")
 put("x26_six_states", BARS, RAILS, STATES, select="SELECT code, date, state FROM st")
-MASKS = f"""
-mk AS (SELECT r.*, g.gap_20d, g.gap_5d, {roll("avg", "r.close", 5, 5).replace("BY code", "BY r.code").replace("BY date", "BY r.date")} AS ma5, {roll("avg", "r.close", 20, 20).replace("BY code", "BY r.code").replace("BY date", "BY r.date")} AS ma20,
-  ln(r.close / fig9_lower) / nullif(ln(fig9_upper / fig9_lower), 0) AS pos9 FROM rails r JOIN gaps g ON g.code = r.code AND g.date = r.date),
-mk2 AS (SELECT *, coalesce(close <= fig9_lower * 1.01, false) AS near_lo, coalesce(close >= fig9_upper * 0.99, false) AS near_hi,
-  coalesce(close < ma20 AND ma5 < ma20 AND gap_5d <= 0 AND gap_20d <= 0, false) AND NOT coalesce(close >= fig10_upper, false) AS aux_buy, coalesce(close > ma20 AND ma5 > ma20 AND gap_5d >= 0 AND gap_20d >= 0, false) AS aux_sell FROM mk),
-mk3 AS (SELECT *, near_lo AND NOT coalesce(lag(near_lo) OVER ({ORDER}), false) AND aux_buy AS ae_buy, near_hi AND NOT coalesce(lag(near_hi) OVER ({ORDER}), false) AND aux_sell AS ae_sell_edge,
-  coalesce(fig7_gap <= -0.08 OR fig8_gap <= -0.08, false) AND near_lo AS b1, coalesce(fig7_g > 0 AND fig8_g > 0 AND pos9 - lag(pos9, 10) OVER ({ORDER}) >= 0.3 AND pos9 >= 0.8 AND fig10_g > fig9_g, false) AND NOT coalesce(close >= fig9_upper, false) AS g1 FROM mk2)"""
-put("x28_rule_masks", BARS, RAILS, ANCHOR, MASKS, select="SELECT code, date, near_lo, near_hi, aux_buy, aux_sell, ae_buy, ae_sell_edge, b1, g1 FROM mk3")
-put("x30_flat_quote", BARS, RAILS, select="SELECT code, date, round(fig9_lower * 1.01, 3) AS quote, CASE WHEN fig9_lower IS NULL THEN 'none' WHEN close <= fig9_lower * 1.01 THEN 'near' ELSE 'above' END AS status FROM rails")
-put("a20_type_features", BARS, RAILS, f"""
-q AS (SELECT code, date, close, close / lag(close) OVER ({ORDER}) - 1 AS r, close / max(close) OVER ({SEEN}) - 1 AS dd, CASE WHEN close >= fig7_path THEN 1 ELSE 0 END AS above, fig7_path FROM rails),
-q2 AS (SELECT *, CASE WHEN above <> lag(above) OVER ({ORDER}) AND fig7_path IS NOT NULL THEN 1 ELSE 0 END AS crossed FROM q),
-tf AS (SELECT code, count(*) AS bars, stddev_samp(r) * sqrt(CAST(250 AS DOUBLE)) AS vol, power(max_by(close, date) / min_by(close, date), CAST(250 AS DOUBLE) / count(*)) - 1 AS cagr, min(dd) AS mdd, CAST(sum(crossed) AS DOUBLE) / (CAST(count(*) AS DOUBLE) / 250) AS crossings FROM q2 GROUP BY code)""",
-    select="SELECT code, bars, round(vol, 5) AS vol, round(cagr, 5) AS cagr, round(mdd, 5) AS mdd, CASE WHEN bars < 250 THEN 'short' WHEN vol >= 0.30 AND cagr >= 0.10 THEN 'high-vol' WHEN mdd <= -0.40 OR cagr < 0.05 THEN 'cycle' WHEN vol < 0.18 AND crossings >= 9 THEN 'smooth' ELSE 'trend' END AS type FROM tf")
 put("a18_max_drawdown", BARS, f"t AS (SELECT code, close / max(close) OVER ({SEEN}) - 1 AS dd FROM bars)", select="SELECT code, round(min(dd), 6) AS mdd FROM t GROUP BY code")
 put("a19_cagr_calmar", BARS, f"t AS (SELECT code, date, close, close / max(close) OVER ({SEEN}) - 1 AS dd FROM bars), a AS (SELECT code, power(max_by(close, date) / min_by(close, date), CAST(250 AS DOUBLE) / count(*)) - 1 AS cagr, min(dd) AS mdd FROM t GROUP BY code)", select="SELECT code, round(cagr, 6) AS cagr, round(cagr / nullif(abs(mdd), 0), 5) AS calmar FROM a")
 
 RECENT = """
 days AS (SELECT date, dense_rank() OVER (ORDER BY date DESC) AS back FROM (SELECT DISTINCT date FROM panel) t),
 recent AS (SELECT p.code, p.date, p.ret, p.volume FROM panel p JOIN days d ON d.date = p.date WHERE d.back <= 252)"""
-PAIRS = """
-pairs AS (SELECT a.code AS code_a, b.code AS code_b, count(*) AS overlap, covar_pop(a.ret, b.ret) / nullif(stddev_pop(a.ret) * stddev_pop(b.ret), 0) AS c FROM __P__ a JOIN __P__ b ON a.date = b.date AND a.code < b.code GROUP BY a.code, b.code),
-corr AS (SELECT code_a, code_b, overlap, CASE WHEN overlap < 120 OR c IS NULL THEN CAST(0.05 AS DOUBLE) ELSE greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), c)) END AS corr FROM pairs),
-both_ways AS (SELECT code_a AS code, code_b AS peer, overlap, corr FROM corr UNION ALL SELECT code_b, code_a, overlap, corr FROM corr)"""
 ALL_PAIRS, RECENT_PAIRS = PAIRS.replace("__P__", "panel"), PAIRS.replace("__P__", "recent")
 put("f05_recent_window", PANEL, RECENT, select="SELECT code, count(*) AS n, min(date) AS first_day, max(date) AS last_day FROM recent GROUP BY code")
 put("f06_returns_prep", PANEL, RECENT, "grid AS (SELECT c.code, d.date, r.ret FROM (SELECT DISTINCT code FROM recent) c CROSS JOIN (SELECT DISTINCT date FROM recent) d LEFT JOIN recent r ON r.code = c.code AND r.date = d.date), filled AS (SELECT code, date, coalesce(ret, avg(ret) OVER (PARTITION BY code)) AS ret, var_samp(ret) OVER (PARTITION BY code) AS v FROM grid)", select="SELECT code, date, round(ret, 6) AS ret FROM filled WHERE v > 0")
@@ -167,8 +143,8 @@ put("a01_pair_overlap", PANEL, ALL_PAIRS, select="SELECT code_a, code_b, overlap
 put("a02_pair_corr", PANEL, ALL_PAIRS, select="SELECT code_a, code_b, round(corr, 6) AS corr, round(1 - corr, 6) AS dist FROM corr")
 put("a03_overlap_summary", PANEL, ALL_PAIRS, select="SELECT code, min(overlap) AS lo, @QUANTILE(CAST(overlap AS DOUBLE), 0.5) AS mid, max(overlap) AS hi FROM both_ways WHERE overlap > 0 GROUP BY code")
 SCORES = """
-nth AS (SELECT code, date, ret, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS back, count(*) OVER (PARTITION BY code) AS n FROM recent),
-sm AS (SELECT code, avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(CAST(252 AS DOUBLE)) AS sharpe, exp(sum(CASE WHEN back > least(21, n - 1) THEN ln(1 + ret) ELSE CAST(0 AS DOUBLE) END)) - 1 AS mom FROM nth GROUP BY code),
+nth AS (SELECT r.code, r.date, r.ret, d.back, nd.n FROM recent r JOIN days d ON d.date = r.date CROSS JOIN (SELECT count(DISTINCT date) AS n FROM recent) nd),
+sm AS (SELECT code, coalesce(avg(ret) / nullif(stddev_pop(ret), 0), CAST(0 AS DOUBLE)) * sqrt(CAST(252 AS DOUBLE)) AS sharpe, exp(sum(CASE WHEN back > least(21, n - 1) THEN ln(1 + ret) ELSE CAST(0 AS DOUBLE) END)) - 1 AS mom FROM nth GROUP BY code),
 rk AS (SELECT code, sharpe, mom, (rank() OVER (ORDER BY sharpe) + (count(*) OVER (PARTITION BY sharpe) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER () AS rs, (rank() OVER (ORDER BY mom) + (count(*) OVER (PARTITION BY mom) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER () AS rm FROM sm),
 scores AS (SELECT code, 0.5 * rs + 0.5 * rm AS score FROM rk)"""
 put("a05_scores", PANEL, RECENT, SCORES, select="SELECT code, round(score, 6) AS score FROM scores")
@@ -202,7 +178,6 @@ put("j09_as_of", BARS, "ask AS (SELECT o_orderkey, o_orderdate FROM (SELECT o_or
 Z5 = "z AS (SELECT code, date, ret1 / nullif(rv20 / sqrt(CAST(252 AS DOUBLE)), 0) AS z FROM feat), th AS (SELECT *, atan(z / sqrt(CAST(5 AS DOUBLE))) AS t FROM z), cdf AS (SELECT code, date, 0.5 + (t + sin(t) * (cos(t) + CAST(2 AS DOUBLE) / 3 * cos(t) * cos(t) * cos(t))) / pi() AS cdf FROM th)"
 put("x18_student_cdf", BARS, STEP1, Z5, select="SELECT code, date, round(cdf, 6) AS cdf FROM cdf")
 put("x19_quantile_switch", BARS, STEP1, Z5, select="SELECT code, date, CASE WHEN round(cdf, 9) >= 0.9 THEN 'up' WHEN round(cdf, 9) <= 0.1 THEN 'down' ELSE 'none' END AS side FROM cdf")
-put("x24_extreme_drop", BARS, STEP1, Z5, select="SELECT c.code, c.date, round(f.ret1, 9) <= -0.03 AS extreme_drop, CASE WHEN c.cdf <= 0.1 THEN 'down' WHEN c.cdf >= 0.9 THEN 'up' WHEN round(f.ret1, 9) <= -0.03 THEN 'extreme' ELSE 'none' END AS side FROM cdf c JOIN feat f ON f.code = c.code AND f.date = c.date")
 CALIB = (BARS, STEP1, Z5, FORWARD, "scored AS (SELECT l.code, l.date, CAST(round(c.cdf, 9) AS DOUBLE) AS p, CASE WHEN l.label THEN 1 ELSE 0 END AS y FROM labelled l JOIN cdf c ON c.code = l.code AND c.date = l.date WHERE l.label IS NOT NULL AND c.cdf IS NOT NULL)")
 put("a14_calibration", *CALIB, "bins AS (SELECT CAST(floor(least(p * 10, CAST(9 AS DOUBLE))) AS INT) AS bin, count(*) AS n, avg(p) AS mp, avg(CAST(y AS DOUBLE)) AS my, sum((p - y) * (p - y)) AS se FROM scored GROUP BY CAST(floor(least(p * 10, CAST(9 AS DOUBLE))) AS INT))", select="SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(se) / sum(n), 6) AS brier, round(sum(n * abs(my - mp)) / sum(n), 6) AS ece FROM bins")
 put("m17_threshold_counts", *CALIB, "m AS (SELECT @MONTH(date) AS month, floor(p * 20) / 20 AS th, count(*) AS n, sum(y) AS hits FROM scored GROUP BY @MONTH(date), floor(p * 20) / 20)", select="SELECT month, CAST(th AS DOUBLE) AS th, CAST(sum(n) OVER (PARTITION BY month ORDER BY th DESC) AS BIGINT) AS n, CAST(sum(hits) OVER (PARTITION BY month ORDER BY th DESC) AS BIGINT) AS hits FROM m")

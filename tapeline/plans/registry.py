@@ -6,26 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.dialect import other_sql, spark_sql
-from ..functions.features import frame
+from ..functions.dialect import other_sql
 from ..operators import clusters, hmm, methods, scans
+from ..operators.pairs import pair_table
 from ..streaming import bars
-from .panel_sql import BARS, LABELS, PANEL, RECENT, RECENT_PAIRS, SQL, STEP1
-
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-
-
-def view_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query over the tables of a folder: each table that the text names becomes a view."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in TABLES:
-            if name in text:
-                spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(spark_sql(text))
-
-    return run
-
+from . import pool_queries, rule_queries, scan_oracles, scan_queries, walk_queries
+from .panel_sql import BARS, LABELS, SQL, STEP1
+from .views import view_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: view_query(text) for name, text in SQL.items()}
 ORACLE_SQL: dict[str, str] = {name: other_sql(text) for name, text in SQL.items()}
@@ -59,33 +46,17 @@ def p04_merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.by_code(_labelled(spark, sf_dir), run, "code string, date date, state string")
 
 
-def p12_rule_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(g):
-        import pandas as pd
-
-        done = scans.rule_machine(g.close.to_numpy(), (g.g1_raw == "up").to_numpy(), (g.g1_raw == "down").to_numpy(), trail=0.12)
-        return pd.DataFrame({"code": g.code[:1], "trades": len(done["trades"]), "equity": round(float(done["equity"][-1]), 5), "action": done["action"], "holding": done["holding"]})
-
-    return scans.by_code(_labelled(spark, sf_dir), run, "code string, trades int, equity double, action string, holding boolean")
-
-
 def m01_ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = view_query(f"WITH {PANEL},{RECENT},{RECENT_PAIRS} SELECT code_a, code_b, corr FROM corr")(spark, sf_dir)
-    return clusters.ward_clusters(pairs)
+    return clusters.ward_clusters(pair_table(pool_queries.recent(spark, sf_dir)))
 
 
-#: Columns of ``methods``: what its rules take, and whether volatility has been low for long and prices hardly moved.
-QUIET = f"""
-vol AS (SELECT *, count(round(rv20, 9)) OVER ({frame(252)}) AS n_vol FROM lab),
-pct AS (SELECT *, CAST(@SHARE_UP_TO(rv9, {frame(252)}) AS DOUBLE) / nullif(n_vol, 0) AS vol_pct FROM (SELECT *, round(rv20, 9) AS rv9 FROM vol) t),
-low AS (SELECT *, sum(CASE WHEN rv20 IS NOT NULL AND n_vol >= 60 AND vol_pct < 0.35 THEN 1 ELSE 0 END) OVER ({frame(15)}) AS n_low FROM pct),
-series AS (SELECT *, coalesce(adx14, 0) AS adx, coalesce(plus_di, 0) AS plus, coalesce(minus_di, 0) AS minus, n_low >= 10 AND NOT (abs(p60) >= 0.12 OR abs(p20) >= 0.08) AS quiet FROM low)"""
 #: Training ends before this day, and evaluation starts with it.
 CUTOFF = "1997-01-01"
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view_query(f"WITH {BARS},{STEP1},{LABELS},{QUIET} SELECT {methods.COLUMNS} FROM series")(spark, sf_dir)
+    rows = view_query(f"WITH {BARS},{STEP1},{LABELS} SELECT *, coalesce(adx14, 0) AS adx, coalesce(plus_di, 0) AS plus, coalesce(minus_di, 0) AS minus FROM lab")(spark, sf_dir)
+    return rule_queries.quiet(rows).selectExpr(*methods.COLUMNS.split(", "))
 
 
 def g07_method_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +172,14 @@ ORACLE_SQL |= {
 s AS (SELECT user_id, ts, sum(edge) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, count(*) AS n FROM s GROUP BY user_id, k""",
 }
 
-QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p12_rule_machine, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, x20_next_states, t09_event_bars, t08_sessions)}
+QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, x20_next_states, t09_event_bars, t08_sessions)}
+
+
+for part in (rule_queries, scan_queries, walk_queries, pool_queries):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
+
+ORACLE_SQL |= scan_oracles.ORACLE_SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,37 @@ def current(log: DataFrame) -> DataFrame:
     else the first one. Of bars of a batch the highest close counts."""
     newest = Window.partitionBy("code", "date").orderBy(F.col("forced").desc(), F.when(F.col("forced"), -F.col("batch")).otherwise(F.col("batch")), F.col("close").desc())
     return log.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("code", "date", "close")
+
+
+def upsert(bars: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged bars, status of each incoming day) of bars (code, date, close) and incoming (code, date, close, forced).
+
+    A day without close is skipped, one that is there stays unless forced, and of a day's incoming bars a forced one
+    comes first, then the highest close."""
+    order = Window.partitionBy("code", "date").orderBy(F.desc_nulls_last("close"))
+    best = Window.partitionBy("code", "date").orderBy(F.col("close").isNull(), F.desc("forced"), F.desc("close"))
+    new = incoming.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumnRenamed("close", "_new")
+    old = bars.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").withColumn("_had", F.lit(True))
+    rows = old.join(new, ["code", "date"], "full")
+    status = F.when(F.col("_new").isNull(), "skip").when(F.coalesce("_had", F.lit(False)) & ~F.coalesce("forced", F.lit(False)), "exists").otherwise("written")
+    rows = rows.withColumn("status", F.when(F.col("forced").isNotNull(), status))
+    merged = rows.withColumn("close", F.when(F.col("status") == "written", F.col("_new")).otherwise(F.col("close"))).where("_had OR status = 'written'").drop("_new", "_had", "forced", "status")
+    return merged, rows.where("status IS NOT NULL").select("code", "date", "status")
+
+
+def log_of(spark, path: str, after: int = -1) -> DataFrame:
+    """The log's rows: what the newest compaction holds, and the batches after it."""
+    base = spark.read.parquet(f"{path}/base={after}").drop("base") if after >= 0 else None
+    batches = spark.read.option("basePath", path).parquet(f"{path}/batch=*").where(F.col("batch") > after)
+    return batches if base is None else base.unionByName(batches)
+
+
+def compact(spark, path: str, upto: int, after: int = -1) -> None:
+    """Writes what batches up to ``upto`` come to as base=upto, and then deletes those batches and the base before. A day
+    keeps its row with the flag and batch that decide over later ones, so reading goes on as if nothing had happened."""
+    newest = Window.partitionBy("code", "date").orderBy(F.col("forced").desc(), F.when(F.col("forced"), -F.col("batch")).otherwise(F.col("batch")), F.col("close").desc())
+    log_of(spark, path, after).where(F.col("batch") <= upto).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{path}/base={upto}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in [f"base={after}", *(f"batch={k}" for k in range(after + 1, upto + 1))]:
+        files.delete(hadoop(f"{path}/{name}"), True)

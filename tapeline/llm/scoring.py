@@ -34,6 +34,8 @@ PIECE = 4096
 #: Weights are averaged as whole multiples of 2 ** -FIXED, in blocks.
 FIXED, WEIGHTS = 24, 1 << 16
 SPELLING_BLOCK = 1 << 14
+#: Bits of a word's hash that name its slot in the table of known words.
+SLOTS = 20
 #: Bytes of text that are scored at once.
 RUN = 1 << 19
 #: Bits of the flags for each window that is remembered, and powers of two between which their number lies.
@@ -56,15 +58,19 @@ class Tokens:
     """From words to tokens: 0 .. size - 1 for the words known, ``size`` for any other, and ``size + 1`` beyond the text."""
 
     def __init__(self, words: list[int]):
-        known = np.array(words, np.int64).view(np.uint64)
-        self.order = np.argsort(known)
-        self.known, self.size = known[self.order], len(words)
+        self.known, self.size = np.append(np.array(words, np.int64).view(np.uint64), np.uint64(0)), len(words)
+        # a slot of the hash names the first word that has it; the few others are compared one by one
+        slot = (self.known[:-1] >> np.uint64(64 - SLOTS)).astype(np.int64)
+        self.table, (_, first) = np.full(1 << SLOTS, self.size, np.int32), np.unique(slot, return_index=True)
+        self.table[slot[first]] = first
+        self.late = np.setdiff1d(np.arange(self.size), first)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not self.size:
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.known, hashes), self.size - 1)
-        return np.where(self.known[at] == hashes, self.order[at], self.size)
+        at = self.table[hashes >> np.uint64(64 - SLOTS)]
+        out = np.where(self.known[at] == hashes, at, self.size).astype(np.int64)
+        for k in self.late:
+            out[hashes == self.known[k]] = k
+        return out
 
 
 def added(parts: DataFrame, width: int) -> np.ndarray:

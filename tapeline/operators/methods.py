@@ -135,6 +135,12 @@ def trades(label: np.ndarray, close: np.ndarray) -> list[tuple[float, bool]]:
     return [(close[min(b, last)] / close[a], b > last) for a, b in scans.runs(list(label)) if label[a] == "up"]
 
 
+def truth_between(close, days, first, last):
+    """The look-ahead labels of all bars, of those from ``first`` to ``last`` only."""
+    days = np.asarray(days)
+    return np.asarray(truth(close), object)[(days >= first) & (days <= last)]
+
+
 def score(label: np.ndarray, close: np.ndarray, true: np.ndarray) -> float:
     gain = float(np.prod([r for r, _ in trades(label, close)])) - 1
     return 0.45 * gain + 0.25 * float((label == true).mean()) + 0.15 * float((label == "up").mean()) - 0.015 * (len(scans.runs(list(label))) - 1)

@@ -170,6 +170,46 @@ def trimmed(codes: list[str], mean: dict[str, float], corr: dict[tuple[str, str]
     return taken
 
 
+def trailing_returns(closes: DataFrame, windows: list[int], end: Column | None = None) -> DataFrame:
+    """(code, ret_<w>, rank_<w>, ...) of closes (code, date, close): the last close up to ``end`` over the first one of the
+    last w + 1 days of the calendar, and its rank over count among all codes that have one, ties at their average."""
+    rows = closes.where("close IS NOT NULL") if end is None else closes.where("close IS NOT NULL").where(F.col("date") <= end)
+    order = rows.select("date").distinct().withColumn("back", F.row_number().over(Window.orderBy(F.desc("date"))) - 1)  # a row a day
+    dated = rows.join(F.broadcast(order), "date")
+    first = lambda w: F.min_by(F.when(F.col("back") <= w, F.col("close")), F.when(F.col("back") <= w, F.col("date")))
+    out = dated.groupBy("code").agg(*[(F.max_by("close", "date") / F.nullif(first(w), F.lit(0.0)) - 1).alias(f"ret_{w}") for w in windows])
+    ranks = [F.when(F.col(f"ret_{w}").isNotNull(), rank_share(F.col(f"ret_{w}"), [F.col(f"ret_{w}").isNull()])).alias(f"rank_{w}") for w in windows]
+    return out.select("*", *ranks)
+
+
+def volume_ranks(clusters: DataFrame, volumes: DataFrame) -> DataFrame:
+    """(code, avg_volume, volume_rank): the rank of the mean volume in the cluster, ties at the best."""
+    rows = clusters.join(volumes.groupBy("code").agg(F.avg("volume").alias("avg_volume")), "code")
+    return rows.select("code", "avg_volume", F.rank().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("avg_volume", 9)))).alias("volume_rank"))
+
+
+def missed_clusters(mapped: DataFrame, metrics: DataFrame, window: int, least: int = 2, shown: int = 6) -> DataFrame:
+    """Clusters of ``mapped`` (code, cluster, selected, reason) without a selected code and with enough members: n, the best
+    member by return, why none was selected, and the first members by name. metrics: of ``trailing_returns``."""
+    rows = mapped.join(metrics.select("code", F.col(f"ret_{window}").alias("ret")), "code", "left")
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy("code"))
+    best = F.max_by("code", F.struct(F.col("ret").isNotNull(), F.round("ret", 12)))
+    # members beyond the first few are counted, not listed
+    listed = F.array_join(F.array_sort(F.collect_list(F.when(F.col("nth") <= shown, F.col("code")))), "|")
+    found = rows.withColumn("nth", nth).groupBy("cluster").agg(F.count("*").alias("n"), best.alias("best_code"), F.max("ret").alias("best_ret"), F.max(F.col("selected").cast("int")).alias("any"), listed.alias("members"), F.flatten(F.collect_set(tags(F.col("reason")))).alias("tags"))
+    return found.where((F.col("any") == 0) & (F.col("n") >= least)).select("cluster", "n", "best_code", "best_ret", "members", reason_kind(F.col("tags")).alias("reason_kind"))
+
+
+def rep_lag(mapped: DataFrame, metrics: DataFrame, ranks: DataFrame, window: int, least: float = 0.01) -> DataFrame:
+    """Selected codes behind the best of their cluster: rank by return, regret, and whether their volume isn't the largest.
+    A code without return is kept with null regret."""
+    rows = mapped.join(metrics.select("code", F.col(f"ret_{window}").alias("ret")), "code", "left").join(ranks.select("code", "volume_rank"), "code", "left")
+    whole = Window.partitionBy("cluster")
+    rows = rows.withColumn("regret", F.max("ret").over(whole) - F.col("ret")).withColumn("rnk", F.when(F.col("ret").isNotNull(), F.rank().over(whole.orderBy(F.desc_nulls_last(F.round("ret", 12))))))
+    behind = F.col("regret").isNull() | ((F.col("rnk") > 1) & (F.col("regret") >= least))
+    return rows.where(F.col("selected") & behind).select("code", "cluster", "rnk", "regret", (F.coalesce("volume_rank", F.lit(1)) > 1).alias("low_volume"))
+
+
 def reason_kind(tags: Column) -> Column:
     """Why a cluster has no selected code, from the tags of its members."""
     has = lambda text: F.exists(tags, lambda t: t.contains(text))

@@ -89,6 +89,27 @@ def stack_hysteresis(raw, close, ma20, ma60, enter: int = 3, leave: int = 3) ->
     return out
 
 
+def sticky_up(labels, close, ma20, days: int = 3, drawdown: float = 0.18, wait: int = 2) -> list[str]:
+    """Ends a run of up after so many bars below the average, or below it at such a drawdown, as range; up counts again
+    only after so many bars at or above the average."""
+    out, below, guard, peak = [], Counter(), 0, None
+    for label, c, m in zip(labels, close, ma20, strict=True):
+        if label != "up" or guard > 0:
+            guard = guard - bool(c >= m) if label == "up" else 0
+            below.see(False)
+            peak = None
+            out.append("range" if label == "up" else label)
+            continue
+        peak = c if peak is None else max(peak, c)
+        n = below.see(bool(c < m))
+        leaves = n >= days or (n >= 1 and c / peak - 1 <= -drawdown)
+        if leaves:
+            below.see(False)
+            guard, peak = wait, None
+        out.append("range" if leaves else "up")
+    return out
+
+
 def runs(labels: list[str]) -> list[tuple[int, int]]:
     """(first, last + 1) of each maximal run."""
     cuts = [0, *(i for i in range(1, len(labels)) if labels[i] != labels[i - 1]), len(labels)]

@@ -114,8 +114,11 @@ g AS (SELECT code, date, (1 + was * coalesce(close / pc - 1, CAST(0 AS DOUBLE)))
 put("a17_buy_hold_stats", *SLICE, """
 bh AS (SELECT code, max_by(close, date) / min_by(close, date) - 1 AS bh FROM bars GROUP BY code),
 st AS (SELECT code, exp(sum(ln(exit_px / entry))) - 1 AS compound, avg(CASE WHEN exit_px > entry THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS win FROM trades GROUP BY code)""", select="SELECT b.code, round(bh, 5) AS bh, round(compound, 5) AS compound, round(compound - bh, 5) AS edge, round(win, 6) AS win FROM bh b LEFT JOIN st ON st.code = b.code")
-put("x32_train_score", BARS, STEP1, LABELS, smoothed("lab", "g6_raw", 5, "s"), f"""
-b AS (SELECT l.code, l.date, l.g1_raw AS truth, s.regime, CASE WHEN s.regime <> lag(s.regime) OVER (PARTITION BY l.code ORDER BY l.date) THEN 1 ELSE 0 END AS sw FROM lab l JOIN s ON s.code = l.code AND s.date = l.date)""", select="SELECT code, CAST(sum(sw) AS BIGINT) AS switches, round(avg(CASE WHEN truth = regime THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS agree, round(avg(CASE WHEN regime = 'up' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS upfrac FROM b GROUP BY code")
+put("x32_train_score", *SLICE, f"""
+b AS (SELECT l.code, l.date, l.g1_raw AS truth, s.regime, CASE WHEN s.regime <> lag(s.regime) OVER (PARTITION BY l.code ORDER BY l.date) THEN 1 ELSE 0 END AS sw FROM lab l JOIN s ON s.code = l.code AND s.date = l.date),
+gain AS (SELECT code, exp(sum(ln(exit_px / entry))) - 1 AS hold FROM trades GROUP BY code),
+one AS (SELECT b.code, CAST(sum(sw) AS BIGINT) AS switches, avg(CASE WHEN truth = regime THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS agree, avg(CASE WHEN regime = 'up' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS upfrac FROM b GROUP BY b.code)""",
+    select="SELECT one.code, switches, round(agree, 6) AS agree, round(upfrac, 6) AS upfrac, round(coalesce(hold, CAST(0 AS DOUBLE)), 5) AS hold, round(0.45 * coalesce(hold, CAST(0 AS DOUBLE)) + 0.25 * agree + 0.15 * upfrac - 0.015 * switches, 5) AS score FROM one LEFT JOIN gain ON gain.code = one.code")
 
 put("w17_trailing_trend", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_path' for p in RAIL_BARS], digits=3)}, {', '.join(f'round(ln(1 + fig{p}_g), 5) AS fig{p}_lg' for p in RAIL_BARS)} FROM rails")
 put("w18_envelope", BARS, RAILS, select=f"SELECT code, date, {rounded(*[f'fig{p}_upper' for p in RAIL_BARS], *[f'fig{p}_lower' for p in RAIL_BARS], digits=3)} FROM rails")

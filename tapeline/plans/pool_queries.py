@@ -87,6 +87,36 @@ def j12_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cluster", "related", F.round("distance", 6).alias("distance"), "nth")
 
 
+def closes(rows: DataFrame) -> DataFrame:
+    """Prices that start from 1, of the recent returns."""
+    before = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("code", "date", F.exp(F.sum(F.log(1 + F.col("ret"))).over(before)).alias("close"))
+
+
+def j02_review_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping with trailing returns, their ranks and volume ranks."""
+    rows, cl = recent(spark, sf_dir), grouped(spark, sf_dir)
+    metrics = pool.trailing_returns(closes(rows), [5, 20, 60])
+    out = cl.join(metrics, "code", "left").join(pool.volume_ranks(cl, rows), "code", "left")
+    return out.select("code", "cluster", *[F.round(f"{k}_{w}", 6).alias(f"{k}_{w}") for w in (5, 20, 60) for k in ("ret", "rank")], F.round("avg_volume", 4).alias("avg_volume"), "volume_rank")
+
+
+def reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, cl = recent(spark, sf_dir), grouped(spark, sf_dir)
+    chosen_ = (F.col("cluster") < 3) & (F.row_number().over(Window.partitionBy("cluster").orderBy("code")) == 1)
+    reason = F.when(F.col("code").like("%7"), "x | insufficient_history_for_clustering").otherwise("")
+    return cl.withColumn("selected", chosen_).withColumn("reason", reason), pool.trailing_returns(closes(rows), [20]), pool.volume_ranks(cl, rows)
+
+
+def a11_missed_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped, metrics, _ = reviewed(spark, sf_dir)
+    return pool.missed_clusters(mapped, metrics, 20).withColumn("best_ret", F.round("best_ret", 6))
+
+
+def a12_rep_lag_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool.rep_lag(*reviewed(spark, sf_dir), 20).withColumn("regret", F.round("regret", 6))
+
+
 def m06_cophenetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ward.cophenetic_pairs(pair_table(recent(spark, sf_dir), 1, 0.0)).select("code_a", "code_b", F.round("distance", 6).alias("distance"))
 
@@ -104,13 +134,23 @@ def m07_related_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.related(missed, clusters, selection, ward.cophenetic_pairs(pairs), last).select("cluster", "related", F.round("distance", 6).alias("distance"), "nth")
 
 
-QUERIES = {f.__name__: f for f in (a04_pair_subset, a07_cluster_history, f12_diagnostics, j03_mapping, p16_cluster_picks, p14_candidates, j12_related, m06_cophenetic, p14_pool_selection, m07_related_clusters)}
+QUERIES = {f.__name__: f for f in (a04_pair_subset, a07_cluster_history, f12_diagnostics, j03_mapping, p16_cluster_picks, p14_candidates, j12_related, j02_review_metrics, a11_missed_review, a12_rep_lag_review, m06_cophenetic, p14_pool_selection, m07_related_clusters)}
 
 _START = f"WITH {PANEL},{RECENT}"
 _SCORED = f"{_START},{SCORES},{CLUSTER},rr AS (SELECT c.code, c.cluster, s.score, (SELECT count(*) FROM recent r WHERE r.code = c.code) AS days FROM cl c JOIN scores s ON s.code = c.code)"
 _RANKED = "rk2 AS (SELECT *, days >= 180 AS ok, max(days >= 180) OVER (PARTITION BY cluster) AS any_ok FROM rr), rk3 AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 12) DESC, code) AS nth FROM rk2 WHERE ok OR NOT any_ok)"
 _PAIRS = RECENT_PAIRS
+_CLOSES = "px AS (SELECT r.code, r.date, d.back - 1 AS back, exp(sum(ln(1 + r.ret)) OVER (PARTITION BY r.code ORDER BY r.date ROWS UNBOUNDED PRECEDING)) AS close FROM recent r JOIN days d ON d.date = r.date)"
+_TRAIL = lambda w: f"arg_max(close, date) / arg_min(close, date) FILTER (WHERE back <= {w}) - 1"
+_RANK = lambda w: f"CASE WHEN ret_{w} IS NOT NULL THEN (rank() OVER (PARTITION BY ret_{w} IS NULL ORDER BY round(ret_{w}, 12)) + (count(*) OVER (PARTITION BY round(ret_{w}, 12)) - 1) / 2.0) / count(ret_{w}) OVER () END"
+_METRICS = f"{_CLOSES}, mt AS (SELECT code, {_TRAIL(5)} AS ret_5, {_TRAIL(20)} AS ret_20, {_TRAIL(60)} AS ret_60 FROM px GROUP BY code), vr AS (SELECT cl.code, cl.cluster, avg(volume) AS avg_volume, rank() OVER (PARTITION BY cl.cluster ORDER BY round(avg(volume), 9) DESC) AS volume_rank FROM cl JOIN recent r ON r.code = cl.code GROUP BY cl.code, cl.cluster)"
+_MAPPED = "mp AS (SELECT cl.code, cl.cluster, cl.cluster < 3 AND row_number() OVER (PARTITION BY cl.cluster ORDER BY cl.code) = 1 AS selected, ret_20, volume_rank FROM cl LEFT JOIN mt ON mt.code = cl.code LEFT JOIN vr ON vr.code = cl.code)"
 ORACLE_SQL = {name: other_sql(text) for name, text in {
+    "j02_review_metrics": f"{_START},{CLUSTER},{_METRICS} SELECT cl.code, cl.cluster, {', '.join(f'round(ret_{w}, 6) AS ret_{w}, round({_RANK(w)}, 6) AS rank_{w}' for w in (5, 20, 60))}, round(avg_volume, 4) AS avg_volume, CAST(volume_rank AS INTEGER) AS volume_rank FROM cl LEFT JOIN mt ON mt.code = cl.code LEFT JOIN vr ON vr.code = cl.code",
+    "a11_missed_review": f"""{_START},{CLUSTER},{_METRICS},{_MAPPED} SELECT cluster, count(*) AS n, arg_max(code, round(ret_20, 12)) AS best_code, round(max(ret_20), 6) AS best_ret, array_to_string(list_sort(list(code))[1:6], '|') AS members, CASE WHEN bool_or(code LIKE '%7') THEN 'insufficient_history' ELSE 'target_count_not_selected' END AS reason_kind
+  FROM mp GROUP BY cluster HAVING NOT bool_or(selected) AND count(*) >= 2""",
+    "a12_rep_lag_review": f"""{_START},{CLUSTER},{_METRICS},{_MAPPED}, w AS (SELECT *, max(ret_20) OVER (PARTITION BY cluster) - ret_20 AS regret, rank() OVER (PARTITION BY cluster ORDER BY round(ret_20, 12) DESC NULLS LAST) AS rnk FROM mp)
+SELECT code, cluster, CAST(CASE WHEN ret_20 IS NOT NULL THEN rnk END AS INTEGER) AS rnk, round(regret, 6) AS regret, volume_rank > 1 AS low_volume FROM w WHERE selected AND (regret IS NULL OR (rnk > 1 AND regret >= 0.01))""",
     "a04_pair_subset": f"{_START},{_PAIRS} SELECT code_a, code_b, overlap, round(corr, 6) AS corr FROM corr WHERE code_a LIKE '%1%' AND code_b LIKE '%1%'",
     "a07_cluster_history": f"""{_START},{_PAIRS},{CLUSTER}, pc AS (SELECT a.cluster, avg(c.corr) AS m FROM corr c JOIN cl a ON a.code = c.code_a JOIN cl b ON b.code = c.code_b AND b.cluster = a.cluster GROUP BY a.cluster),
 one AS (SELECT r.code, cl.cluster, stddev_samp(ret) AS s, avg(ret) AS m, avg(volume) AS v, count(*) AS n FROM recent r JOIN cl ON cl.code = r.code GROUP BY r.code, cl.cluster)

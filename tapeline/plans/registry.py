@@ -46,6 +46,27 @@ def p04_merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.by_code(_labelled(spark, sf_dir), run, "code string, date date, state string")
 
 
+def p08_sticky_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(g):
+        g["state"] = scans.sticky_up(g.g1_raw, g.close, g.ma20)
+        return g[["code", "date", "state"]]
+
+    return scans.by_code(_labelled(spark, sf_dir), run, "code string, date date, state string")
+
+
+def p07_truth_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The look-ahead labels of the bars from the cutoff on, known from all of them."""
+
+    def run(g):
+        import datetime
+
+        first = datetime.date.fromisoformat(CUTOFF)
+        part = methods.truth_between(g.close, g.date, first, g.date.max())
+        return g[g.date >= first][["code", "date"]].assign(truth=part)
+
+    return scans.by_code(view_query(f"WITH {BARS} SELECT code, date, close FROM bars")(spark, sf_dir), run, "code string, date date, truth string")
+
+
 def m01_ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.ward_clusters(pair_table(pool_queries.recent(spark, sf_dir)))
 
@@ -172,7 +193,7 @@ ORACLE_SQL |= {
 s AS (SELECT user_id, ts, sum(edge) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, count(*) AS n FROM s GROUP BY user_id, k""",
 }
 
-QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, x20_next_states, t09_event_bars, t08_sessions)}
+QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p07_truth_slice, p08_sticky_up, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, x20_next_states, t09_event_bars, t08_sessions)}
 
 
 for part in (rule_queries, scan_queries, walk_queries, pool_queries):

@@ -33,6 +33,15 @@ FROM (SELECT *, CASE WHEN was = 'up' THEN CASE WHEN bear >= 3 THEN 'down' WHEN d
       greatest(coalesce(kk.peak, s.c), s.c) AS pk, least(coalesce(kk.trough, s.c), s.c) AS tr FROM kk JOIN sq s ON s.code = kk.code AND s.i = kk.i + 1) x) y)"""
 
 
+#: Bars below the average, peak, and bars that the guard still waits for.
+P08 = f"""{_START},{_LAB.format(raw="g1_raw")},
+u AS (SELECT code, CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS date, 'range' AS state, CAST(0 AS BIGINT) AS below, CAST(0 AS BIGINT) AS guard, CAST(NULL AS DOUBLE) AS peak FROM (SELECT DISTINCT code FROM sq) s
+UNION ALL
+SELECT code, i, date, CASE WHEN raw <> 'up' THEN raw WHEN waits OR leaves THEN 'range' ELSE 'up' END, CASE WHEN raw <> 'up' OR waits OR leaves THEN 0 ELSE n END, CASE WHEN raw <> 'up' THEN 0 WHEN waits THEN guard - CASE WHEN c >= a THEN 1 ELSE 0 END WHEN leaves THEN 2 ELSE 0 END, CASE WHEN raw = 'up' AND NOT waits AND NOT leaves THEN pk END
+FROM (SELECT *, NOT waits AND (n >= 3 OR (n >= 1 AND c / pk - 1 <= -0.18)) AS leaves
+  FROM (SELECT s.*, u.guard, u.guard > 0 AS waits, CASE WHEN s.c < s.a THEN u.below + 1 ELSE 0 END AS n, greatest(coalesce(u.peak, s.c), s.c) AS pk FROM u JOIN sq s ON s.code = u.code AND s.i = u.i + 1) x) y)"""
+
+
 def _merged(source: str, out: str) -> str:
     """One pass over the runs of ``source`` (code, i, date, state): a short run that isn't range takes the label before it
     as rewritten, a short first one that of the run after it, and an only one becomes range."""
@@ -48,5 +57,6 @@ def _merged(source: str, out: str) -> str:
 ORACLE_SQL = {name: other_sql(text) for name, text in {
     "p01_hysteresis": f"{P01} SELECT code, date, state FROM h WHERE i > 0",
     "p02_stack_hysteresis": f"{P02} SELECT code, date, state FROM kk WHERE i > 0",
+    "p08_sticky_up": f"{P08} SELECT code, date, state FROM u WHERE i > 0",
     "p04_merge_short": f"{P01}, h1 AS (SELECT code, i, date, state FROM h WHERE i > 0),{_merged('h1', 'm1')},{_merged('m1', 'm2')} SELECT code, date, state FROM m2",
 }.items()}

@@ -91,6 +91,20 @@ def g07_method_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.by_code(_series(spark, sf_dir), run, "code string, date date, " + ", ".join(f"{m} string" for m in methods.METHODS))
 
 
+def _final(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def run(g):
+            return g[["code", "date"]].assign(label=methods.labels(g, method))
+
+        return scans.by_code(_series(spark, sf_dir), run, "code string, date date, label string")
+
+    return query
+
+
+#: Final labels, a query for each method.
+QUERIES |= {f"g{k:02d}_final": _final(method) for k, method in enumerate(methods.METHODS, 1)}
+
+
 def p06_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(g):
         g["truth"] = methods.truth(g.close)

@@ -11,8 +11,9 @@
 4. Pairs are made distinct, pass the suffix filter (counts of both sets over 64 ranges of the hash bound the
    overlap), and are verified once, on the whole sets. Connected components of the links give the classes.
 
-Hashes of 64 bits stand for shingles and digests for sets; that two of them collide is as likely as 1 in 10^4 at
-10^8 shingles, and such a shingle moves one overlap by one.
+Hashes of 64 bits stand for shingles; that two of a pair's collide is as likely as 1 in 10^4 at 10^8 shingles, and such a
+shingle moves one overlap by one. Sets go by digests of 64 bits, which are checked by a second one of as many over all
+documents: different sets of one digest get digests of their own.
 """
 
 from __future__ import annotations
@@ -44,8 +45,26 @@ SALTS = 32
 REMEMBERED = 1_000_000
 
 
-def digest(s: np.ndarray) -> int:
-    return int(mixed(np.array([mixed(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two independent digests of a set."""
+    sums = [mixed(s ^ np.uint64(k)).sum(dtype=np.uint64) + np.uint64(len(s)) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+    one, two = mixed(np.array(sums, np.uint64)).view(np.int64).tolist()
+    return one, two
+
+
+def digest(s: np.ndarray, renamed: dict[tuple[int, int], int]) -> int:
+    """The first digest of a set, or what it is called where other sets have that too."""
+    if not renamed:
+        return int(mixed(np.array([mixed(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+    both = digests(s)
+    return renamed.get(both, both[0])
+
+
+def rename(signed: DataFrame) -> dict[tuple[int, int], int]:
+    """New digests for all sets but one of those that share a first one: a few of 10^11 sets."""
+    shared = signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("fp2").alias("low"), F.max("fp2").alias("high")).where("low <> high")
+    found = signed.join(shared.select("fp", "low"), "fp").where("fp2 <> low").select("fp", "fp2").distinct().collect()
+    return {(r["fp"], r["fp2"]): int(mixed(np.array([r["fp"] ^ r["fp2"]], np.int64).view(np.uint64)).view(np.int64)[0]) for r in found}
 
 
 def sets(texts, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -53,16 +72,20 @@ def sets(texts, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(shingles(*word_hashes(data, offs), size), i)
 
 
-def signatures(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, text_key, n, fp) of each row, partial rows of the sketch)."""
+def signatures(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, dict[tuple[int, int], int]]:
+    """((doc_id, text_key, n, fp) of each row, partial rows of the sketch, renamed digests)."""
+
+    names = ["doc_id", "text_key", "n", "fp", "fp2", "row", "counts"]
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            ns, fps, waiting, held = [], [], [], 0
+            ns, fps, seconds, waiting, held = [], [], [], [], 0
             for _, s in sets(b.column(2), size):
                 ns.append(len(s))
-                fps.append(digest(s) if len(s) else None)
+                one, two = digests(s) if len(s) else (None, None)
+                fps.append(one)
+                seconds.append(two)
                 waiting.append(s >> np.uint64(64 - SKETCH_BITS))
                 held += len(s)
                 if held > 1 << 18:
@@ -71,14 +94,18 @@ def signatures(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             if held:
                 np.add(sketch, np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(sketch)), out=sketch)
             none = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "text_key", "n", "fp", "row", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), pa.array(seconds, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         rows = np.minimum(sketch, 65535).astype("<u2").reshape(-1, 1 << ROW_BITS)
         used = np.flatnonzero(rows.any(1))
         none = pa.nulls(len(used)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int32()), pa.array([rows[k].tobytes() for k in used], pa.binary())], names=["doc_id", "text_key", "n", "fp", "row", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(used, pa.int32()), pa.array([rows[k].tobytes() for k in used], pa.binary())], names=names)
 
-    both = stored(keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, fp long, row int, counts binary"))
-    return both.where("row IS NULL").select("doc_id", "text_key", "n", "fp"), both.where("row IS NOT NULL").select("row", "counts")
+    both = stored(keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, fp long, fp2 long, row int, counts binary"))
+    signed, parts = both.where("row IS NULL").select("doc_id", "text_key", "n", "fp", "fp2"), both.where("row IS NOT NULL").select("row", "counts")
+    renamed = rename(signed)
+    for (one, two), new in renamed.items():
+        signed = signed.withColumn("fp", F.when((F.col("fp") == one) & (F.col("fp2") == two), new).otherwise(F.col("fp")))
+    return signed.drop("fp2"), parts, renamed
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -103,7 +130,7 @@ def summed(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """(h, fp, n, pos): the prefix of each set. A task emits the prefix of equal sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -113,7 +140,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> Da
             hs, fps, ns, ps = [], [], [], []
             for _, s in sets(b.column(2), size):
                 n = len(s)
-                if not n or (fp := digest(s)) in seen:
+                if not n or (fp := digest(s, renamed)) in seen:
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(fp)
@@ -156,7 +183,7 @@ def ordered_pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
         F.col("common") >= F.least(F.lit(COMMON), needed(F.col("na").cast("long"), F.col("nb").cast("long"), percent))).drop("common")
 
 
-def kept_sets(docs: DataFrame, signed: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def kept_sets(docs: DataFrame, signed: DataFrame, texts: DataFrame, size: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """(fp, bins, hashes) of the texts wanted, from one document of each."""
     first = signed.join(texts, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.*")
 
@@ -164,7 +191,7 @@ def kept_sets(docs: DataFrame, signed: DataFrame, texts: DataFrame, size: int) -
         for b in batches:
             fps, bins, hashes = [], [], []
             for _, s in sets(b.column(2), size):
-                fps.append(digest(s))
+                fps.append(digest(s, renamed))
                 bins.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
                 hashes.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(bins, pa.binary()), pa.array(hashes, pa.binary())], names=["fp", "bins", "hashes"])
@@ -235,10 +262,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """((doc_id, text_key, n, fp) of each row of ``docs``, (fp, class) of the texts with links)."""
-    signed, parts = signatures(docs, size)
+    signed, parts, renamed = signatures(docs, size)
     texts = Window.partitionBy("h")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    met = postings(docs, summed(parts), size, percent).withColumn("_first", F.min("fp").over(texts)).withColumn("_last", F.max("fp").over(texts)).where("_first <> _last")
+    met = postings(docs, summed(parts), size, percent, renamed).withColumn("_first", F.min("fp").over(texts)).withColumn("_last", F.max("fp").over(texts)).where("_first <> _last")
     # a task may have emitted a text that another had too
     met = met.select("h", "n", "fp", "pos").dropDuplicates(["h", "fp"])
     # rank: shingles before it in the text's prefix that some other text has in its own; shared: all of them
@@ -247,7 +274,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
     # only texts that share enough of their prefix with others, whoever they are
     enough = F.col("shared") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))
     met = stored(met.where(enough).select("h", F.struct("n", "fp", "pos", "rank").alias("x"), band.alias("band"), "shared"))
-    known = kept_sets(docs, signed, met.select("x.fp").distinct(), size)
+    known = kept_sets(docs, signed, met.select("x.fp").distinct(), size, renamed)
     open_ = met.withColumn("class", F.col("x.fp"))
     links = tried = None
     for i in range(PIVOT_ROUNDS + 1):

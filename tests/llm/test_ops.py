@@ -474,3 +474,16 @@ def test_pipeline(spark, docs, rows):
     assert all(x.columns == docs.columns for x in (first, second, third))
     out = c.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_sets_of_one_digest(spark):
+    """Different sets whose first digests are equal are told apart by the second."""
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([(1, 11), (1, 11), (1, 12), (2, 13), (1, 14), (None, None)], "fp long, fp2 long")
+    found = jaccard.rename(rows)
+    assert set(found) == {(1, 12), (1, 14)} and len({1, 2, *found.values()}) == 4
+    (_, one), (_, other) = jaccard.sets(pa.array(["a b c d e f", "a b c d e g"]), 4)
+    first, second = jaccard.digests(one)
+    assert jaccard.digest(one, {}) == first and jaccard.digest(one, {(first, second): 5}) == 5 and jaccard.digest(one, {(first, second + 1): 5}) == first
+    assert jaccard.digests(other) != (first, second) and jaccard.digests(np.zeros(0, np.uint64)) != (first, second)

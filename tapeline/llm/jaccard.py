@@ -8,6 +8,8 @@
 3. Among the texts of a prefix shingle, pairs must pass the length and the positional filter, and be met that often. First each text meets
    one pivot of its shingle and size band; what the verified links connect already need not meet again, so groups of
    copies cost a number of pairs in proportion to their texts. All other pairs follow, those that pass.
+   There each text has a bitmap, the parity of its shingles in 256 ranges of the hash: two bitmaps differ in no more
+   places than their sets do, which most of the pairs that aren't links fail.
 4. Pairs are made distinct, pass the suffix filter (counts of both sets over 64 ranges of the hash bound the
    overlap), and are verified once, on the whole sets. Connected components of the links give the classes.
 
@@ -33,6 +35,8 @@ PERCENT = 85
 #: Counters of the sketch, as a power of two, and the counters of a row of it.
 SKETCH_BITS, ROW_BITS = 21, 15
 BINS = 64
+#: Longs of the bitmap that a text carries in the round of all pairs.
+BITMAP = 4
 #: Shingles of their prefixes that two texts must share.
 COMMON = 6
 #: Rounds in which texts meet a pivot only, before all pairs that are left.
@@ -175,6 +179,14 @@ def plausible(a: str, b: str, percent: int) -> Column:
     return length & (F.least(na - pa_, nb - pb) + before >= needed(na, nb, percent))
 
 
+def near_bitmaps(a: str, b: str, percent: int) -> Column:
+    """Whether two texts, structs with (n, bitmap), may be as near as ``percent``: the sets differ in at least as many
+    shingles as their bitmaps in places."""
+    na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    places = sum((F.bit_count(F.get(f"{a}.bitmap", F.lit(k)).bitwiseXOR(F.get(f"{b}.bitmap", F.lit(k)))) for k in range(BITMAP)), F.lit(0))
+    return places <= na + nb - 2 * needed(na, nb, percent)
+
+
 def ordered_pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
     """Distinct (a, b, na, nb) with a < b from structs of (n, fp, pos, rank), of those that come often enough. What rows
     there are holds each common shingle of a pair once."""
@@ -184,24 +196,26 @@ def ordered_pairs(rows: DataFrame, a: str, b: str, percent: int) -> DataFrame:
 
 
 def kept_sets(docs: DataFrame, signed: DataFrame, texts: DataFrame, size: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
-    """(fp, bins, hashes) of the texts wanted, from one document of each."""
+    """(fp, bitmap, bins, hashes) of the texts wanted, from one document of each."""
     first = signed.join(texts, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.*")
 
     def run(batches):
         for b in batches:
-            fps, bins, hashes = [], [], []
+            fps, maps, bins, hashes = [], [], [], []
             for _, s in sets(b.column(2), size):
                 fps.append(digest(s, renamed))
+                parity = np.bincount((s >> np.uint64(48) & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+                maps.append(np.packbits(parity.astype(np.uint8)).view("<i8").tolist())
                 bins.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
                 hashes.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(bins, pa.binary()), pa.array(hashes, pa.binary())], names=["fp", "bins", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(bins, pa.binary()), pa.array(hashes, pa.binary())], names=["fp", "bitmap", "bins", "hashes"])
 
     rows, first = keyed(docs), stored(first.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")))
     wanted = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
     met = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["text_key"] == F.col("_t")), "left_semi")
     # rows that repeat both doc_id and text give one set
     again = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("doc_id"))
-    return stored(met.withColumn("_again", again).where("_again = 1").drop("_again").mapInArrow(run, "fp long, bins binary, hashes binary"))
+    return stored(met.withColumn("_again", again).where("_again = 1").drop("_again").mapInArrow(run, "fp long, bitmap array<long>, bins binary, hashes binary"))
 
 
 def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -284,8 +298,9 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
             lead = F.min(F.struct((-F.col("shared") if i == 0 else F.lit(0)).alias("c"), F.xxhash64("x.fp", F.lit(i)).alias("o"), "x", "class")).over(Window.partitionBy("h", "band"))
             rows = open_.withColumn("lead", lead).where(F.col("class") != F.col("lead.class")).select("x", F.col("lead.x").alias("y"))
         else:
-            other = open_.select("h", F.col("x").alias("y"), F.col("class").alias("class_y"))
-            rows = open_.join(other, "h").where(F.col("class") < F.col("class_y"))
+            mapped = open_.withColumn("fp", F.col("x.fp")).join(known.select("fp", "bitmap"), "fp").select("h", "class", F.struct("x.n", "x.fp", "x.pos", "x.rank", "bitmap").alias("x"))
+            other = mapped.select("h", F.col("x").alias("y"), F.col("class").alias("class_y"))
+            rows = mapped.join(other, "h").where((F.col("class") < F.col("class_y")) & near_bitmaps("x", "y", percent))
         pairs = ordered_pairs(rows.where(plausible("x", "y", percent)), "x", "y", percent)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verified(pairs, known, percent)

@@ -7,7 +7,7 @@ import numpy as np
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 16
 #: Words of a class of the softmax.
-WIDE = 128
+WIDE = 64
 BATCH = 8192
 RATE = 0.2
 #: What a weight's sum of squares starts from, so that the first steps of a replica are short.

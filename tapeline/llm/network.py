@@ -7,7 +7,7 @@ import numpy as np
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 16
 #: Words of a class of the softmax.
-WIDE = 64
+WIDE = 128
 BATCH = 8192
 RATE = 0.2
 #: What a weight's sum of squares starts from, so that the first steps of a replica are short.
@@ -130,7 +130,7 @@ def around(token: np.ndarray, bounds: np.ndarray, beyond: int) -> np.ndarray:
 
 #: Symbols of the spelling: 0 ends a word, then letters without case, digits, apostrophe, hyphen, other ASCII, and
 #: the bytes of other characters by groups of eight.
-SYMBOLS = 64
+SYMBOLS = 56
 _SYMBOL = np.full(256, 39, np.int32)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[48:58] = np.arange(27, 37)

@@ -26,9 +26,9 @@ from .network import BATCH, PLACES, SPELLED, Network, Spelling, around, spelling
 from .words import chunks, mixed, word_hashes, word_spans
 
 #: Words that the network knows, by descending frequency.
-WORDS = 2048
+WORDS = 4096
 #: Rounds of training, each on its own part of the documents, and tokens of a cell in a round.
-ROUNDS, CELL = 4, 1 << 19
+ROUNDS, CELL = 4, 1 << 18
 #: Tokens of a piece. The ends of a piece see neighbours on one side only in training, never in scoring.
 PIECE = 4096
 #: Weights are averaged as whole multiples of 2 ** -FIXED, in blocks.

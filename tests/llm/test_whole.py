@@ -40,7 +40,7 @@ def test_probabilities_of_a_place_sum_to_one():
         return math.exp(spell.log_p(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
 
     letters = [bytes([c]) for c in range(256) if c not in b" \t\n\x0b\x0c\r" and not 65 <= c <= 90]
-    longer = sum(math.exp(spell.after[(0 * 64 + network._SYMBOL[x[0]]) * 64 + network._SYMBOL[y[0]]] + spell.byte[y[0]] + spell.after[0 * 64 + network._SYMBOL[x[0]]] + spell.byte[x[0]]) for x in letters for y in letters)
+    longer = sum(math.exp(spell.after[(network._SYMBOL[x[0]]) * network.SYMBOLS + network._SYMBOL[y[0]]] + spell.byte[y[0]] + spell.after[network._SYMBOL[x[0]]] + spell.byte[x[0]]) for x in letters for y in letters)
     assert math.isclose(sum(map(p, letters)) + longer + math.exp(spell.after[0]), 1, rel_tol=1e-3) and p(b"ab") > 20 * p(b"zq")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, lines, topk
+from . import audit, divergence, lines, rtree, topk
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _BLANK = r"[\x20\x09-\x0D]"
@@ -71,4 +71,32 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT base_failed AND (chars < {divergence.MIN_CHARS} OR coalesce(char_far, 0) <= {divergence.MAX_CHAR_DISTANCE}) AND coalesce(word_far, 0) <= {divergence.MAX_WORD_DISTANCE} + {divergence.WORD_NOISE} / sqrt(greatest(n_words, 1)) AS kept
 FROM judged"""
 
-ORACLE_SQL = {"op2_exact_top_k": OP2, "op6_divergence_rules": OP6, "op10_line_dedup": OP10}
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}') AS t FROM documents),
+k AS (SELECT *, row_number() OVER g AS nth, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d WINDOW g AS (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, r))
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(t) AS text_sha256 FROM k"""
+
+OP12 = f"""WITH e AS (SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+  list_transform(embedding, lambda x: CAST(floor({rtree.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.id AS anchor_id, c.r AS o, c.id, q.label = c.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.id % 100 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id) <= {rtree.POSITIVES}),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.o ORDER BY s.score DESC, s.id) AS nth
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND {rtree.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {rtree.HIGH} * p.score)
+SELECT anchor_id, positive_id, CAST(nth AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE nth <= {rtree.NEGATIVES}"""
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS a FROM documents),
+w AS (SELECT r, lang, source, unnest(a) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {audit.MIN_DOCS}),
+own AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term),
+g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang), t AS (SELECT lang, source, sum(c) AS n FROM own GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, CAST(1 + CAST({audit.UNIT} AS HUGEINT) * (coalesce(o.c, 0) + {audit.PRIOR}) // (coalesce(t.n, 0) + {audit.PRIOR} * v.v) AS BIGINT) AS p,
+  CAST(1 + CAST({audit.UNIT} AS HUGEINT) * (k.c + {audit.PRIOR}) // (v.n + {audit.PRIOR} * v.v) AS BIGINT) AS q
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+both_parts AS (SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS nth FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(nth AS INTEGER) AS rank FROM k WHERE part = 'pair' OR nth <= {audit.TOP}"""
+
+ORACLE_SQL = {"op2_exact_top_k": OP2, "op6_divergence_rules": OP6, "op10_line_dedup": OP10, "op11_bloom_dedup": OP11, "op12_rtree_negatives": OP12, "op13_source_audit": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, jaccard, langid, lines, mixing, oracles, packing, quality, scoring, sharding, topk
+from . import audit, bloom, divergence, jaccard, langid, lines, mixing, oracles, packing, quality, rtree, scoring, sharding, topk
 from .common import read
 
 
@@ -57,9 +57,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated texts of all documents; odd rows as in ``bloom.exact_dedup``."""
+    return bloom.exact_dedup(read(spark, sf_dir, "documents"))
+
+
+def op12_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, labels shifted where vec_id is divisible by 7; odd rows as in ``rtree.hard_negatives``."""
+    rows = read(spark, sf_dir, "embeddings")
+    return rtree.hard_negatives(rows, F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of each language; odd rows as in ``audit.source_audit``."""
+    return audit.source_audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pseudo_likelihood, op2_exact_top_k, op3_minimax_shards, op4_ngram_jaccard, op5_vector_packing, op6_divergence_rules,
     op7_low_discrepancy_mix, op8_language_mixture, op9_hierarchical_quality, op10_line_dedup,
+    op11_bloom_dedup, op12_rtree_negatives, op13_source_audit,
 )}
 
 #: The others have no SQL form; tests hold them against plain Python.

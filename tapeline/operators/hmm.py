@@ -55,7 +55,7 @@ def initial(r: np.ndarray, k: int) -> Model:
     if k == 2:
         mid = float(np.median(size))
         return Model(np.full(2, 0.5), trans, np.zeros(2), np.array([max(0.7 * mid, 1e-4), max(2 * mid, 2e-4)]))
-    bucket = np.searchsorted(np.quantile(size, np.arange(1, k) / k), size, side="left")
+    bucket = np.searchsorted(np.quantile(size, np.arange(1, k) / k), size, side="right")  # a bucket holds its lower edge
     parts = [r[bucket == i] for i in range(k)]
     mu = np.array([p.mean() if len(p) else 0.0 for p in parts])
     sigma = np.array([max(p.std(ddof=1), 1e-4) if len(p) > 1 else 1e-4 for p in parts])

@@ -1,95 +1,11 @@
-"""Checks of scored labels: predictions from earlier months, calibration, and alerts matched to events.
-
-The tables are small (a row a code and day with a label); months and codes are the keys by which they are grouped.
-"""
+"""Summaries of runs: merged by key, and whether a day is scored already."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights, the intercept last, that minimise |w|^2 / 2 + c * log loss by Newton's steps; the intercept is free."""
-    z = np.column_stack([x, np.ones(len(x))])
-    ridge = np.append(np.ones(x.shape[1]), 0.0)
-    w = np.zeros(z.shape[1])
-
-    def cost(w):
-        return 0.5 * (ridge * w * w).sum() + c * np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).sum()
-
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        grad = ridge * w + c * z.T @ (p - y)
-        step = np.linalg.lstsq(np.diag(ridge) + c * (z.T * (p * (1 - p))) @ z, grad, rcond=None)[0]
-        size = 1.0
-        while size > 1e-6 and cost(w - size * step) > cost(w):
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-9:
-            break
-    return w
-
-
-def earlier_months(rows: pd.DataFrame, features: list[str], label: str, month: str, least: int = 80) -> pd.DataFrame:
-    """``rows`` of each month with p_raw from a fit to all months before it. Months whose past has too few rows or one
-    class only give none; rows with missing features or labels take no part."""
-    known = rows[rows[label].notna() & np.isfinite(rows[features].astype(float)).all(axis=1)]
-    out = []
-    for i, m in enumerate(sorted(rows.loc[rows[label].notna(), month].unique())):
-        past, now = known[known[month] < m], known[known[month] == m]
-        y = past[label].astype(bool).to_numpy().astype(float)
-        if len(now) and len(past) >= least and y.min() < y.max():
-            w = logistic(past[features].to_numpy(float), y)
-            p = 1 / (1 + np.exp(-(now[features].to_numpy(float) @ w[:-1] + w[-1])))
-            out.append(now.assign(p_raw=p, train_months=i))
-    return pd.concat(out) if out else known.iloc[:0].assign(p_raw=0.0, train_months=0)
-
-
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (score, value) of the least-squares rising fit: equal scores are one point, falling neighbours are pooled."""
-    at, where, n = np.unique(score, return_inverse=True, return_counts=True)
-    value = np.bincount(where, weights=y) / n
-    blocks: list[list[float]] = []
-    for v, k in zip(value, n, strict=True):
-        blocks.append([v, k, 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v2, k2, m2 = blocks.pop()
-            v1, k1, m1 = blocks.pop()
-            blocks.append([(v1 * k1 + v2 * k2) / (k1 + k2), k1 + k2, m1 + m2])
-    return at, np.concatenate([np.full(m, v) for v, _, m in blocks]) if blocks else np.zeros(0)
-
-
-def calibrated(score, y, least: int = 500, positives: int = 50, top: int = 30) -> tuple[np.ndarray, bool]:
-    """Scores passed through their isotonic fit; unchanged where rows, positives or either of the top two tenths are too few."""
-    score, y = np.asarray(score, float), np.asarray(y, float)
-    if len(score) < least or y.sum() < positives or y.min() == y.max():
-        return score, False
-    q80, q90 = np.quantile(score, [0.8, 0.9])
-    if (score >= q90).sum() < top or ((score >= q80) & (score < q90)).sum() < top:
-        return score, False
-    return np.clip(np.interp(score, *isotonic(score, y)), 0, 1), True
-
-
-def matched(alerts: pd.DataFrame, onsets: list[int], lead: int = 3, horizon: int = 10) -> pd.DataFrame:
-    """Alerts of one series (bar, score) with onset, delay, duplicate and false_alarm.
-
-    Events in order of their onset take the free alert that is nearest, then earliest, then highest; what else is free
-    in their window repeats it. ``bar`` and ``onsets`` are places in the series' calendar."""
-    out = alerts.sort_values("bar", kind="stable").reset_index(drop=True)
-    free = np.ones(len(out), bool)
-    onset, repeats = np.full(len(out), np.nan), np.zeros(len(out), bool)
-    bar, score = out["bar"].to_numpy(), np.nan_to_num(out["score"].to_numpy(float))
-    for e in sorted(onsets):
-        near = np.flatnonzero(free & (bar >= e - lead) & (bar <= e + horizon))
-        if len(near):
-            best = near[np.lexsort((-score[near], bar[near], np.abs(bar[near] - e)))[0]]
-            onset[best], repeats[near[near != best]], free[near] = e, True, False
-    return out.assign(onset=onset, delay=bar - onset, duplicate=repeats, false_alarm=np.isnan(onset) & ~repeats)
-
-
 def merged(before: DataFrame, now: DataFrame, key: str = "code") -> DataFrame:
     """A summary with one row a key: of ``now`` where it has the key, else of ``before``. Columns that one of them lacks are null."""
     kept = before.join(now.select(key).distinct(), key, "left_anti")

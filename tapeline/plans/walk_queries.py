@@ -81,22 +81,19 @@ def w27_month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.month_ends(bars(spark, sf_dir))
 
 
-LAST_MONTHS = "2001-06"
-
-
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view_query(f"WITH {BARS},{FORWARD} SELECT code, date, label FROM labelled")(spark, sf_dir)
 
 
 def m13_frozen_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
-    out = walk.models(b, walk.month_ends(b).where(F.col("month") >= LAST_MONTHS))
+    out = walk.models(b, walk.month_ends(b))
     return out.select("code", "month", "train_end", "reliable", "ambiguous", "reasons", F.round("separation", 6).alias("separation"), *[F.transform(c, lambda x: F.round(x, 6)).cast("string").alias(c) for c in ("mu", "sigma")])
 
 
 def p19_scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored days of the last months, under models frozen at the month before."""
-    out = walk.walk_forward(bars(spark, sf_dir), labels(spark, sf_dir), LAST_MONTHS)
+    """Scored days of all months, under models frozen at the month before."""
+    out = walk.walk_forward(bars(spark, sf_dir), labels(spark, sf_dir))
     return out.select("code", "month", "date", "regime_now", "prev_regime", "direction", "switch_side", "ambiguous", *[F.round(c, 6).alias(c) for c in ("transition_score", "p_into_reversal_adj", "p_state_reversal", "return_z", "pred_cdf")], "label")
 
 
@@ -104,7 +101,7 @@ def m20_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From bars to signals: models, scored days, cross-fitted and calibrated scores, thresholds and levels."""
     from ..sources.checkpoints import stored
 
-    rows = stored(walk.walk_forward(bars(spark, sf_dir), labels(spark, sf_dir), "2000-06"))
+    rows = stored(walk.walk_forward(bars(spark, sf_dir), labels(spark, sf_dir)))
     found, _ = walk.signals(rows)
     return found.select("code", "month", "date", "is_candidate", "signal_level", *[F.round(c, 5).alias(c) for c in ("p_raw", "p_cal")])
 

@@ -1,7 +1,6 @@
-"""Named states, calibration, alerts and summaries on hand-made cases."""
+"""Named states and summaries on hand-made cases."""
 
 import numpy as np
-import pandas as pd
 
 from tapeline.operators import hmm, validation
 
@@ -18,44 +17,6 @@ def test_states_are_named():
     assert np.isclose(got["switch"], 2 / 3) and np.isclose(got["into_reversal"], 2 / 9) and np.isclose(got["state_calm"], 1 / 3)
 
 
-def test_predictions_use_earlier_months_only():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=300)
-    rows = pd.DataFrame({"x": x, "y": rng.random(300) < 1 / (1 + np.exp(-2 * x)), "month": np.repeat(["a", "b", "c"], 100)})
-    got = validation.earlier_months(rows, ["x"], "y", "month")
-    assert set(got.month) == {"b", "c"} and np.corrcoef(got.p_raw, got.x)[0, 1] > 0.9
-    changed = rows.assign(y=np.where(rows.month == "c", ~rows.y, rows.y))
-    assert np.allclose(validation.earlier_months(changed, ["x"], "y", "month").p_raw, got.p_raw)
-    assert validation.earlier_months(rows.iloc[:50], ["x"], "y", "month").empty
-
-
-def test_logistic_is_at_its_minimum():
-    rng = np.random.default_rng(1)
-    x, y = rng.normal(size=(200, 2)), (rng.random(200) < 0.3).astype(float)
-    w = validation.logistic(x, y)
-    p = 1 / (1 + np.exp(-(x @ w[:2] + w[2])))
-    assert np.allclose(w[:2] + x.T @ (p - y), 0, atol=1e-6) and abs((p - y).sum()) < 1e-6
-
-
-def test_isotonic():
-    at, value = validation.isotonic(np.array([1.0, 2, 3, 3, 4]), np.array([0.0, 1, 0, 1, 0]))
-    assert list(at) == [1, 2, 3, 4] and np.allclose(value, [0, 0.5, 0.5, 0.5])
-    assert not validation.calibrated(np.arange(100) / 100, np.arange(100) % 2)[1]
-    rng = np.random.default_rng(2)
-    s = rng.random(2000)
-    p, done = validation.calibrated(s, rng.random(2000) < s**2)
-    assert done and (np.diff(p[np.argsort(s)]) >= 0).all() and abs(p.mean() - (s**2).mean()) < 0.05
-
-
-def test_alerts():
-    alerts = pd.DataFrame({"bar": [12, 9, 30, 11, 50], "score": [0.5, 0.9, 0.2, 0.4, np.nan]})
-    got = validation.matched(alerts, [10, 31]).set_index("bar")
-    # 9 and 11 are equally near: the earlier one
-    assert got.onset[9] == 10 and got.delay[9] == -1 and got.duplicate[11] and got.duplicate[12]
-    assert got.onset[30] == 31 and got.false_alarm[50] and got.false_alarm.sum() == 1
-    assert validation.matched(alerts.iloc[:0], [1]).empty
-
-
 def test_summaries(spark):
     before = spark.createDataFrame([("a", 1), ("b", 2)], "code string, n int")
     now = spark.createDataFrame([("b", 5, "x")], "code string, n int, note string")
@@ -63,3 +24,14 @@ def test_summaries(spark):
     assert validation.merged(before, now.limit(0)).count() == 2
     days = spark.createDataFrame([("2024-01-05",), (None,)], "as_of string")
     assert validation.already_scored(days, days, "2024-01-05") and not validation.already_scored(days, days.limit(0), "2024-01-05")
+
+
+def test_buckets_hold_their_lower_edge():
+    """At 250 returns both edges are returns themselves."""
+    r = np.linspace(-1, 1, 250) ** 3 + 0.001
+    size = np.sort(np.abs(r))
+    edges = np.quantile(np.abs(r), [1 / 3, 2 / 3])
+    assert np.isclose(edges, size[[83, 166]]).all()
+    m = hmm.initial(r, 3)
+    parts = [r[np.abs(r) < edges[0]], r[(np.abs(r) >= edges[0]) & (np.abs(r) < edges[1])], r[np.abs(r) >= edges[1]]]
+    assert [len(p) for p in parts] == [83, 83, 84] and np.allclose(m.mu, [p.mean() for p in parts]) and np.allclose(m.sigma, [p.std(ddof=1) for p in parts])

@@ -100,6 +100,66 @@ def fit(returns, k: int = 3, nu: float = 5.0, rounds: int = 80, tol: float = 1e-
     return m
 
 
+def posteriors_all(r: np.ndarray, n: np.ndarray, start: np.ndarray, trans: np.ndarray, mu: np.ndarray, sigma: np.ndarray, nu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``posteriors`` for many series at once, a step of all of them at a time. r: [series, bar], of which the first ``n``
+    of each series count; start, mu, sigma: [series, state]; trans: [series, state, state]. Weights past the end are 0."""
+    const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi)
+    z = (r[:, :, None] - mu[:, None]) / sigma[:, None]
+    emit, step = const - (nu + 1) / 2 * np.log1p(z * z / nu) - np.log(sigma)[:, None], np.log(np.maximum(trans, TINY))
+    ahead, back = np.empty_like(emit), np.zeros_like(emit)
+    ahead[:, 0] = np.log(np.maximum(start, TINY)) + emit[:, 0]
+    for t in range(1, r.shape[1]):
+        ahead[:, t] = log_sum(ahead[:, t - 1, :, None] + step, 1) + emit[:, t]
+    for t in range(r.shape[1] - 2, -1, -1):
+        back[:, t] = np.where((t + 1 < n)[:, None], log_sum(step + (emit[:, t + 1] + back[:, t + 1])[:, None], 2), 0)
+    total = log_sum(ahead[np.arange(len(r)), n - 1], 1)
+    inside = np.arange(r.shape[1]) < n[:, None]
+    last = inside[:, 1:, None, None]
+    moves = np.exp(np.where(last, ahead[:, :-1, :, None] + step[:, None] + (emit[:, 1:] + back[:, 1:])[:, :, None] - total[:, None, None, None], -np.inf)).sum(1)
+    return np.exp(np.where(inside[:, :, None], ahead + back - total[:, None, None], -np.inf)), moves, total
+
+
+def padded(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(r) for r in series])
+    out = np.zeros((len(series), n.max(initial=1)))
+    for row, r in zip(out, series, strict=True):
+        row[: len(r)] = r
+    return out, n
+
+
+def fit_all(series: list[np.ndarray], k: int = 3, nu: float = 5.0, rounds: int = 80, tol: float = 1e-6) -> list[Model]:
+    """``fit`` of many series; each stops by itself."""
+    clean = [np.asarray(r, float)[np.isfinite(np.asarray(r, float))] for r in series]
+    out = [initial(r, k) if len(r) >= LEAST else fit(r, k) for r in clean]
+    live = [i for i, r in enumerate(clean) if len(r) >= LEAST]
+    before, least = dict.fromkeys(live, -math.inf), {i: max(0.15 * float(np.median(np.abs(clean[i]))), 1e-4) if k > 2 else 1e-5 for i in live}
+    done = set()
+    for turn in range(rounds):
+        if not live:
+            break
+        r, n = padded([clean[i] for i in live])
+        weight, moves, total = posteriors_all(r, n, *(np.array([getattr(out[i], x) for i in live]) for x in ("start", "trans", "mu", "sigma")), nu)
+        trans = np.maximum(moves / np.maximum(moves.sum(2, keepdims=True), TINY), 1e-3)
+        trans /= trans.sum(2, keepdims=True)
+        mass = np.maximum(weight.sum(1), TINY)
+        mu = np.einsum("bts,bt->bs", weight, r) / mass
+        sigma = np.sqrt((weight * (r[:, :, None] - mu[:, None]) ** 2).sum(1) / mass)
+        left = []
+        for b, i in enumerate(live):
+            if not math.isfinite(total[b]):
+                continue  # diverged: not reliable
+            out[i] = Model(weight[b, 0] / weight[b, 0].sum(), trans[b], mu[b], np.maximum(sigma[b], least[i]), float(total[b]), turn + 1).sorted()
+            if abs(total[b] - before[i]) < tol:
+                done.add(i)
+            else:
+                before[i] = float(total[b])
+                left.append(i)
+        live = left
+    for i in done | set(live):
+        out[i].reliable = bool(np.isfinite(out[i].mu).all() and np.isfinite(out[i].sigma).all())
+    return out
+
+
 def filtered(returns, m: Model, nu: float = 5.0, start: np.ndarray | None = None) -> np.ndarray:
     """Weights of the states at each bar from the returns up to it, starting from ``start`` or equal ones. A missing return
     keeps the weights as they are."""

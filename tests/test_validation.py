@@ -35,3 +35,11 @@ def test_buckets_hold_their_lower_edge():
     m = hmm.initial(r, 3)
     parts = [r[np.abs(r) < edges[0]], r[(np.abs(r) >= edges[0]) & (np.abs(r) < edges[1])], r[np.abs(r) >= edges[1]]]
     assert [len(p) for p in parts] == [83, 83, 84] and np.allclose(m.mu, [p.mean() for p in parts]) and np.allclose(m.sigma, [p.std(ddof=1) for p in parts])
+
+
+def test_fits_of_many_series_are_those_of_each():
+    rng = np.random.default_rng(7)
+    series = [rng.standard_t(5, n) * np.where(np.arange(n) // 40 % 2, 0.03, 0.01) for n in (252, 100, 59, 61, 251, 0)] + [np.append(rng.normal(0, 0.01, 80), np.nan)]
+    for many, r in zip(hmm.fit_all(series), series, strict=True):
+        one = hmm.fit(r)
+        assert many.reliable == one.reliable and many.rounds == one.rounds and all(np.allclose(getattr(many, x), getattr(one, x), atol=1e-9, equal_nan=True) for x in ("start", "trans", "mu", "sigma"))

@@ -1,13 +1,17 @@
-"""Clustering of a pair table: Ward linkage, correlation components, greedy choice of representatives.
+"""Clustering of a pair table: Ward linkage, and components by correlation.
 
-The pair table is built by Spark; what runs here is one group of at most a few thousand codes.
+The pair table is built by Spark; the tree is one group of at most a few thousand codes, the components are rounds of joins.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.checkpoints import stored
+from .graph import components
 
 
 def ward(dist: np.ndarray) -> list[tuple[int, int, float, int]]:
@@ -82,36 +86,6 @@ def cut(merges: list[tuple[int, int, float, int]], n: int, height: float) -> lis
     return [seen.setdefault(root(i), len(seen) + 1) for i in range(n)]
 
 
-def split_by_corr(labels: list[int], corr: np.ndarray, least: float) -> list[int]:
-    """Each cluster falls apart into components of pairs with a correlation of ``least`` or more; the first keeps the
-    number, others get new ones."""
-    out, free = list(labels), max(labels, default=0) + 1
-    for c in sorted(set(labels)):
-        left, first = [i for i, x in enumerate(labels) if x == c], True
-        while left:
-            part, todo = set(), [left[0]]
-            while todo:
-                i = todo.pop()
-                if i not in part:
-                    part.add(i)
-                    todo += [j for j in left if j not in part and corr[i, j] >= least]
-            for i in part:
-                out[i] = c if first else free
-            free += not first
-            first = False
-            left = [i for i in left if i not in part]
-    return out
-
-
-def choose(candidates: list[tuple[str, int]], corr: dict[tuple[str, str], float], same: float = 0.60, other: float = 0.70) -> list[str]:
-    """Greedy choice in the order given (code, cluster): kept if no kept code is too like it."""
-    kept: list[tuple[str, int]] = []
-    for code, cluster in candidates:
-        if all(abs(corr.get((min(code, k), max(code, k)), 0.0)) <= (same if cluster == c else other) for k, c in kept):
-            kept.append((code, cluster))
-    return [k for k, _ in kept]
-
-
 def matrix(g: pd.DataFrame, value: str = "corr", diagonal: float = 1.0, missing: float = 0.05) -> tuple[list[str], np.ndarray]:
     """(codes in order, matrix) from rows (code_a, code_b, value)."""
     codes = sorted(set(g.code_a) | set(g.code_b))
@@ -123,16 +97,32 @@ def matrix(g: pd.DataFrame, value: str = "corr", diagonal: float = 1.0, missing:
     return codes, out
 
 
+def split_by_corr(clusters: DataFrame, pairs: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``clusters`` (by..., code, cluster) with split: each cluster falls apart into components of pairs (by..., code_a,
+    code_b, corr) with a correlation of ``least`` or more. The one with the first code keeps the number, the others get new
+    ones, by cluster and first code."""
+    here = F.struct(*by, "cluster", "code")
+    rows = stored(clusters.withColumn("id", here))
+    ends = [rows.select(*by, F.col("code").alias(f"code_{x}"), F.col("cluster").alias(f"cluster_{x}"), F.col("id").alias(x)) for x in "ab"]
+    near = pairs.where(F.col("corr") >= least).join(ends[0], [*by, "code_a"]).join(ends[1], [*by, "code_b"]).where("cluster_a = cluster_b")
+    parts = stored(rows.join(components(rows.select("id"), near.select("a", "b")), "id"))
+    # a row a part
+    firsts = parts.groupBy(*by, "cluster", "component").agg(F.lit(1).alias("one")).withColumn("first", F.row_number().over(Window.partitionBy(*by, "cluster").orderBy("component")) == 1)
+    whole, order = Window.partitionBy(*by), Window.partitionBy(*by, "first").orderBy("cluster", "component")
+    firsts = firsts.withColumn("split", F.when(F.col("first"), F.col("cluster")).otherwise(F.max("cluster").over(whole) + F.row_number().over(order)))
+    return parts.join(firsts.select("component", "split"), "component").select(*by, "code", "cluster", F.col("split").cast("int").alias("split"))
+
+
 def ward_clusters(pairs: DataFrame, height: float = 0.40, least_corr: float = 0.55, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., code, cluster, split) from pairs (by..., code_a, code_b, corr); each panel named by ``by`` is a group."""
+    """(by..., code, cluster, split) from pairs (by..., code_a, code_b, corr); each panel named by ``by`` is a group of the
+    tree, and its clusters are split in rounds over the pairs."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         codes, corr = matrix(g)
-        labels = cut(ward(np.round(1 - corr, 12)), len(codes), height)
-        return pd.DataFrame({**{c: g[c].iloc[0] for c in by}, "code": codes, "cluster": labels, "split": split_by_corr(labels, corr, least_corr)})
+        return pd.DataFrame({**{c: g[c].iloc[0] for c in by}, "code": codes, "cluster": cut(ward(np.round(1 - corr, 12)), len(codes), height)})
 
     keys = "".join(f"{c} {dict(pairs.dtypes)[c]}, " for c in by)
-    return pairs.groupBy(*by).applyInPandas(run, keys + "code string, cluster int, split int")
+    return split_by_corr(pairs.groupBy(*by).applyInPandas(run, keys + "code string, cluster int"), pairs, least_corr, by)
 
 
 def cophenetic_pairs(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,15 +1,16 @@
 """Choice of a pool of codes from clusters of a panel, and the review of what it missed.
 
-Scores, quotas and ranks are windows and aggregates; what depends on the order of choices runs in one group over the
-candidates, whose number the target bounds.
+Scores, quotas and ranks are windows and aggregates; what depends on the order of choices goes in rounds over the table of
+pairs that are too alike.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import stored
+from .graph import farthest_first, first_fit
 from .pairs import both_ways
 
 TARGET, CLUSTER_DAYS, SELECTION_DAYS, SKIP = 200, 120, 180, 21
@@ -106,39 +107,22 @@ def candidates(clusters: DataFrame, returns: DataFrame, target: int = TARGET, sc
 def select(ranked: DataFrame, stats: DataFrame, pairs: DataFrame, target: int = TARGET, scheme: str = "equal") -> DataFrame:
     """(code, cluster, place, reason): the candidates in order of ``place`` up to the target that aren't too like one kept
     already, and for a cluster that is left without any, its first member that isn't."""
-    order = stats.select("cluster", "mean_corr", F.col("n").alias("size"))
-    rows = ranked.join(order, "cluster")
-    # the correlations of candidates only; a code is a group of at most as many rows as there are candidates
-    like = both_ways(pairs).join(rows.select(F.col("code")), "code", "left_semi").join(rows.select(F.col("code").alias("peer")), "peer", "left_semi")
-    listed = like.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("peer", "corr"))).alias("like"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        like = {r.code: dict(r.like) if r.like is not None else {} for r in g.itertuples()}
-        cluster = dict(zip(g.code, g.cluster, strict=True))
-        kept: list[str] = []
-        reasons: dict[str, str] = {}
-
-        def fits(code: str) -> bool:
-            return all(abs(like[code].get(k, 0.0)) <= (SAME if cluster[k] == cluster[code] else OTHER) for k in kept)
-
-        def keep(r, rank: int, why: str) -> None:
-            kept.append(r.code)
-            reasons[r.code] = f"multi_rep_{scheme}_cluster_{r.cluster}_rank_{rank}{why}" + ("_short_history" if r.days < SELECTION_DAYS else "")
-
-        tried = g[g.place.notna()].sort_values("place").head(target)
-        for r in tried.itertuples():
-            if fits(r.code):
-                keep(r, int(r.rank), "_coverage" if r.rank == 1 else "")
-        have, before = {cluster[k] for k in kept}, set(tried.code)
-        for c in g.drop_duplicates("cluster").sort_values(["mean_corr", "size", "cluster"], ascending=[False, False, True]).cluster:
-            if c not in have:
-                for r in g[g.cluster == c].sort_values("nth").itertuples():
-                    if r.code not in before and fits(r.code):
-                        keep(r, int(r.nth), "_coverage_rescue")
-                        break
-        return pd.DataFrame({"code": kept, "cluster": [cluster[k] for k in kept], "place": range(1, len(kept) + 1), "reason": [reasons[k] for k in kept]})
-
-    return rows.join(listed, "code", "left").groupBy().applyInPandas(run, "code string, cluster int, place int, reason string")
+    lead = Window.orderBy(F.desc("mean_corr"), F.desc("n"), "cluster")  # a row a cluster
+    rows = ranked.join(stats.select("cluster", "mean_corr", "n").withColumn("turn", F.row_number().over(lead)), "cluster")
+    tried = F.col("place") <= target
+    # then what is left of the clusters, in their turns
+    rows = rows.withColumn("spare", ~F.coalesce(tried, F.lit(False)))
+    walk = Window.orderBy("spare", F.when(~F.col("spare"), F.col("place")), "turn", "nth")
+    rows = stored(rows.withColumn("walk", F.row_number().over(walk)))
+    limit = F.when(F.col("cluster_a") == F.col("cluster_b"), SAME).otherwise(OTHER)
+    ends = [rows.select(F.col("code").alias(f"code_{x}"), F.col("cluster").alias(f"cluster_{x}")) for x in "ab"]
+    alike = pairs.join(ends[0], "code_a").join(ends[1], "code_b").where(F.abs("corr") > limit)
+    kept = first_fit(rows.select(F.col("code").alias("id"), F.col("walk").alias("place"), "cluster", "spare"), alike.select(F.col("code_a").alias("a"), F.col("code_b").alias("b")))
+    how = F.when(F.col("spare"), F.concat(F.col("nth"), F.lit("_coverage_rescue"))).otherwise(F.concat(F.col("rank"), F.when(F.col("rank") == 1, "_coverage").otherwise("")))
+    reason = F.concat(F.lit(f"multi_rep_{scheme}_cluster_"), F.col("cluster"), F.lit("_rank_"), how, F.when(F.col("days") < SELECTION_DAYS, "_short_history").otherwise(""))
+    named = rows.join(kept.select(F.col("id").alias("code")), "code").withColumn("reason", reason)
+    # at most the target and a code a cluster
+    return named.select("code", "cluster", F.row_number().over(Window.orderBy("walk")).alias("place"), "reason")
 
 
 def representatives(ranked: DataFrame, per_cluster: int = 1) -> DataFrame:
@@ -150,24 +134,12 @@ def representatives(ranked: DataFrame, per_cluster: int = 1) -> DataFrame:
     return rows.where(F.col("nth") <= per_cluster).select("code", "cluster", "score", "reason")
 
 
-def trimmed(codes: list[str], mean: dict[str, float], corr: dict[tuple[str, str], float], target: int, ladder: tuple[float, ...] = LADDER) -> list[str]:
-    """At most ``target`` of the codes: always the one least like those taken, then of the highest mean, then the first,
-    within a limit that is raised when none is left below it."""
-    codes = list(dict.fromkeys(codes))
-    if target <= 0 or len(codes) <= target:
-        return codes
-    taken: list[str] = []
-    most = dict.fromkeys(codes, 0.0)
-    for limit in ladder:
-        while len(taken) < target:
-            left = [(most[c], -mean.get(c, 0.0), c) for c in codes if c not in taken and most[c] <= limit]
-            if not left:
-                break
-            pick = min(left)[2]
-            taken.append(pick)
-            for c in codes:
-                most[c] = max(most[c], abs(corr.get((min(c, pick), max(c, pick)), 0.0)) if c != pick else 0.0)
-    return taken
+def trimmed(codes: DataFrame, pairs: DataFrame, target: int, ladder: tuple[float, ...] = LADDER) -> DataFrame:
+    """(code, nth) of at most ``target`` of the codes (code, mean): always the one least like those taken, then of the
+    highest mean, then the first. A limit is raised when none is left below it; since the least alike is taken anyway, only
+    the last of the limits decides who is left out."""
+    weights = pairs.select(F.col("code_a").alias("a"), F.col("code_b").alias("b"), F.abs("corr").alias("w"))
+    return farthest_first(codes.select(F.col("code").alias("id"), "mean"), weights, target, max(ladder)).withColumnRenamed("id", "code")
 
 
 def trailing_returns(closes: DataFrame, windows: list[int], end: Column | None = None) -> DataFrame:

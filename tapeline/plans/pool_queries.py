@@ -126,6 +126,32 @@ def p14_pool_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen(spark, sf_dir)[-1]
 
 
+#: Common days from which on a correlation counts here, since the panel's codes have few.
+DAYS = 60
+
+
+def p14_greedy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice without near-clones on groups by name, and the rescue of groups that are left without a code."""
+    rows, cl = recent(spark, sf_dir), grouped(spark, sf_dir)
+    pairs = pair_table(rows, DAYS)
+    return pool.select(pool.candidates(cl, rows, TARGET, "exp"), pool.cluster_stats(cl, pairs, rows, rows), pairs, TARGET, "exp")
+
+
+def p15_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes that are least alike, one after the other."""
+    rows = recent(spark, sf_dir)
+    return pool.trimmed(rows.groupBy("code").agg(F.round(F.avg("ret"), 9).alias("mean")), pair_table(rows, DAYS).where("overlap > 0").withColumn("corr", F.round("corr", 9)), TARGET)
+
+
+#: Pairs of the panel that stay together: correlations within a group by name are some 0.7 to 0.9.
+TOGETHER = 0.81
+
+
+def j15_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by name fall apart into components of like codes."""
+    return ward.split_by_corr(grouped(spark, sf_dir), pair_table(recent(spark, sf_dir), DAYS), TOGETHER)
+
+
 def m07_related_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of Ward's tree that the pool missed, with the nearest ones it has."""
     rows, pairs, clusters, _, _, selection = chosen(spark, sf_dir)
@@ -134,7 +160,7 @@ def m07_related_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.related(missed, clusters, selection, ward.cophenetic_pairs(pairs), last).select("cluster", "related", F.round("distance", 6).alias("distance"), "nth")
 
 
-QUERIES = {f.__name__: f for f in (a04_pair_subset, a07_cluster_history, f12_diagnostics, j03_mapping, p16_cluster_picks, p14_candidates, j12_related, j02_review_metrics, a11_missed_review, a12_rep_lag_review, m06_cophenetic, p14_pool_selection, m07_related_clusters)}
+QUERIES = {f.__name__: f for f in (a04_pair_subset, a07_cluster_history, f12_diagnostics, j03_mapping, p16_cluster_picks, p14_candidates, j12_related, j02_review_metrics, a11_missed_review, a12_rep_lag_review, m06_cophenetic, p14_pool_selection, m07_related_clusters, p14_greedy_choice, p15_trim, j15_components)}
 
 _START = f"WITH {PANEL},{RECENT}"
 _SCORED = f"{_START},{SCORES},{CLUSTER},rr AS (SELECT c.code, c.cluster, s.score, (SELECT count(*) FROM recent r WHERE r.code = c.code) AS days FROM cl c JOIN scores s ON s.code = c.code)"
@@ -174,3 +200,31 @@ SELECT code, cluster, round(score, 6) AS score, CAST(nth AS INTEGER) AS rank, CA
 best AS (SELECT sel.cluster AS related, max(ret) AS best FROM sel LEFT JOIN lastr USING (code) GROUP BY sel.cluster), near AS (SELECT a.cluster, b.cluster AS related, min(round(1 - w.corr, 9)) AS d FROM both_ways w JOIN cl a ON a.code = w.code JOIN cl b ON b.code = w.peer WHERE a.cluster >= 2 AND a.cluster <> b.cluster GROUP BY a.cluster, b.cluster),
 rkd AS (SELECT n.cluster, n.related, d, row_number() OVER (PARTITION BY n.cluster ORDER BY round(d, 12), best DESC NULLS LAST, n.related) AS nth FROM near n JOIN best USING (related)) SELECT cluster, related, round(d, 6) AS distance, CAST(nth AS INTEGER) AS nth FROM rkd WHERE nth <= 3""",
 }.items()}
+
+_LIKE = _PAIRS.replace("overlap < 120", f"overlap < {DAYS}")
+_CANDIDATES = ORACLE_SQL["p14_candidates"]
+_CANDIDATES = _CANDIDATES[: _CANDIDATES.rindex("SELECT code, cluster, round(score")].replace(other_sql(_START), other_sql(f"{_START},{_LIKE}")).replace("WITH", "WITH RECURSIVE", 1)
+_PLACE = ORACLE_SQL["p14_candidates"].split("CAST(row_number() OVER (")[-1].split(") AS INTEGER) AS place")[0]
+ORACLE_SQL |= {name: other_sql(text) for name, text in {
+    # one code after the other: the codes and groups kept so far are lists
+    "p14_greedy_choice": f"""{_CANDIDATES}, pl AS (SELECT code, row_number() OVER ({_PLACE}) AS place FROM cand),
+pc AS (SELECT a.cluster, avg(c.corr) AS m FROM corr c JOIN cl a ON a.code = c.code_a JOIN cl b ON b.code = c.code_b AND b.cluster = a.cluster GROUP BY a.cluster), nn AS (SELECT cluster, count(*) AS n FROM cl GROUP BY cluster),
+tn AS (SELECT nn.cluster, row_number() OVER (ORDER BY coalesce(pc.m, 1) DESC, n DESC, nn.cluster) AS turn FROM nn LEFT JOIN pc ON pc.cluster = nn.cluster),
+wk AS (SELECT r.code, r.cluster, r.nth, r.days, coalesce(pl.place > 10, true) AS spare, row_number() OVER (ORDER BY coalesce(pl.place > 10, true), CASE WHEN pl.place <= 10 THEN pl.place END, turn, r.nth) AS walk FROM rk3 r JOIN tn ON tn.cluster = r.cluster LEFT JOIN pl ON pl.code = r.code),
+cf AS (SELECT a.code, list(b.code) AS foes FROM wk a JOIN both_ways w ON w.code = a.code JOIN wk b ON b.code = w.peer WHERE abs(w.corr) > CASE WHEN a.cluster = b.cluster THEN 0.6 ELSE 0.7 END GROUP BY a.code),
+wf AS (SELECT wk.*, coalesce(foes, []) AS foes FROM wk LEFT JOIN cf ON cf.code = wk.code),
+st AS (SELECT CAST(0 AS BIGINT) AS walk, CAST([] AS VARCHAR[]) AS kept, CAST([] AS INTEGER[]) AS have UNION ALL
+  SELECT x.walk, CASE WHEN ok THEN list_append(kept, x.code) ELSE kept END, CASE WHEN ok THEN list_append(have, x.cluster) ELSE have END
+  FROM (SELECT w.walk, w.code, CAST(w.cluster AS INTEGER) AS cluster, kept, have, len(list_intersect(w.foes, kept)) = 0 AND NOT (w.spare AND list_contains(have, CAST(w.cluster AS INTEGER))) AS ok FROM st JOIN wf w ON w.walk = st.walk + 1) x),
+fin AS (SELECT unnest(kept) AS code, generate_subscripts(kept, 1) AS place FROM st WHERE walk = (SELECT max(walk) FROM st))
+SELECT f.code, w.cluster, CAST(f.place AS INTEGER) AS place, 'multi_rep_exp_cluster_' || w.cluster || '_rank_' || w.nth || CASE WHEN w.spare THEN '_coverage_rescue' WHEN w.nth = 1 THEN '_coverage' ELSE '' END || CASE WHEN w.days < 180 THEN '_short_history' ELSE '' END AS reason FROM fin f JOIN wk w ON w.code = f.code""",
+    "p15_trim": f"""{_START.replace("WITH", "WITH RECURSIVE", 1)},{_LIKE}, mn AS (SELECT code, round(avg(ret), 9) AS mean FROM recent GROUP BY code),
+st AS (SELECT 0 AS step, code, mean, CAST(0 AS DOUBLE) AS most, false AS taken FROM mn UNION ALL
+  SELECT step + 1, x.code, mean, CASE WHEN x.code <> pick THEN greatest(most, coalesce(abs(round(w.corr, 9)), 0)) ELSE most END, taken OR x.code = pick
+  FROM (SELECT *, first_value(code) OVER (ORDER BY taken, most, mean DESC, code) AS pick, first_value(most) OVER (ORDER BY taken, most, mean DESC, code) AS least FROM st) x LEFT JOIN both_ways w ON w.code = x.code AND w.peer = pick WHERE step < 10 AND least <= 0.8)
+SELECT code, CAST(min(step) AS INTEGER) AS nth FROM st WHERE taken GROUP BY code""",
+    "j15_components": f"""{_START.replace("WITH", "WITH RECURSIVE", 1)},{_LIKE},{CLUSTER}, nb AS (SELECT w.code, w.peer, a.cluster FROM both_ways w JOIN cl a ON a.code = w.code JOIN cl b ON b.code = w.peer AND b.cluster = a.cluster WHERE w.corr >= {TOGETHER}),
+reach AS (SELECT code, code AS other FROM cl UNION SELECT r.code, nb.peer FROM reach r JOIN nb ON nb.code = r.other), cp AS (SELECT r.code, cl.cluster, min(r.other) AS component FROM reach r JOIN cl ON cl.code = r.code GROUP BY r.code, cl.cluster),
+pt AS (SELECT DISTINCT cluster, component, component = min(component) OVER (PARTITION BY cluster) AS first FROM cp), nm AS (SELECT *, CASE WHEN first THEN cluster ELSE max(cluster) OVER () + row_number() OVER (PARTITION BY first ORDER BY cluster, component) END AS split FROM pt)
+SELECT cp.code, cp.cluster, CAST(nm.split AS INTEGER) AS split FROM cp JOIN nm ON nm.cluster = cp.cluster AND nm.component = cp.component""",
+}.items()}

@@ -4,6 +4,8 @@ import math
 import random
 
 import duckdb
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -82,12 +84,14 @@ def test_rule_machine():
     assert masked["trades"] == [] and masked["holding"]
 
 
-def test_ward_and_split():
+def test_ward_and_split(spark):
     corr = np.array([[1, 0.9, 0.1, 0.1], [0.9, 1, 0.1, 0.1], [0.1, 0.1, 1, 0.8], [0.1, 0.1, 0.8, 1.0]])
     merges = clusters.ward(1 - corr)
     assert clusters.cut(merges, 4, 0.4) == [1, 1, 2, 2] and [m[3] for m in merges] == [2, 2, 4]
-    assert clusters.split_by_corr([1, 1, 1, 1], corr, 0.5) == [1, 1, 2, 2]
-    assert clusters.choose([("a", 1), ("b", 1), ("c", 2)], {("a", "b"): 0.65, ("a", "c"): 0.65}) == ["a", "c"]
+    pairs = spark.createDataFrame([(x, y, float(corr["abcd".index(x), "abcd".index(y)])) for x, y in combinations("abcd", 2)], "code_a string, code_b string, corr double")
+    one = spark.createDataFrame([(c, 1) for c in "abcd"] + [("z", 2)], "code string, cluster int")
+    got = {r["code"]: r["split"] for r in clusters.split_by_corr(one, pairs, 0.5).collect()}
+    assert got == {"a": 1, "b": 1, "c": 3, "d": 3, "z": 2}
 
 
 def test_grouped_queries(spark):

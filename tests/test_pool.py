@@ -7,7 +7,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 
-from tapeline.operators import clusters, pairs, pool
+from pyspark.sql import functions as F
+
+from tapeline.operators import graph, clusters, pairs, pool
 
 
 def panel(seed, codes, days):
@@ -164,10 +166,44 @@ def test_quotas(spark):
         assert {r["cluster"]: r["cap"] for r in pool.quotas(df, target).collect()} == quota(sizes, tops, target)
 
 
-def test_trim_goes_up_the_ladder():
+def test_trim_goes_up_the_ladder(spark):
     corr = {("a", "b"): 0.9, ("a", "c"): 0.72, ("b", "c"): 0.1, ("a", "d"): 0.2, ("b", "d"): 0.74, ("c", "d"): 0.76}
     mean = {"a": 3.0, "b": 2.0, "c": 1.0, "d": 0.0}
-    assert pool.trimmed(list("abcd"), mean, corr, 2) == ["a", "d"]
-    assert pool.trimmed(list("abcd"), mean, corr, 3) == ["a", "d", "c"]  # c only within 0.80
-    assert pool.trimmed(list("aabb"), mean, corr, 2) == ["a", "b"] and pool.trimmed(list("ab"), mean, corr, 0) == ["a", "b"]
-    assert pool.trimmed(list("abc"), mean, {("a", "b"): 0.9, ("a", "c"): 0.9, ("b", "c"): 0.9}, 2) == ["a"]
+
+    def trimmed(codes, target, corr=corr):
+        rows = spark.createDataFrame([(c, mean[c]) for c in codes], "code string, mean double")
+        pairs_ = spark.createDataFrame([(x, y, w) for (x, y), w in corr.items()], "code_a string, code_b string, corr double")
+        return [r["code"] for r in pool.trimmed(rows, pairs_, target).orderBy("nth").collect()]
+
+    assert trimmed("abcd", 2) == ["a", "d"]
+    assert trimmed("abcd", 3) == ["a", "d", "c"]  # c only within 0.80
+    assert trimmed("aabb", 2) == ["a", "b"] and trimmed("ab", 0) == ["a", "b"]
+    assert trimmed("abc", 2, {("a", "b"): 0.9, ("a", "c"): 0.9, ("b", "c"): 0.9}) == ["a"]
+
+
+def test_components_and_first_fit(spark):
+    for seed, n, m in ((1, 60, 40), (2, 60, 120), (3, 40, 39)):
+        rng = random.Random(seed)
+        edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(n - 1)] if m == n - 1 else [(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(m)]
+        names = [f"n{i:02d}" for i in range(n)]
+        e = spark.createDataFrame(edges + [("n00", "elsewhere")], "a string, b string")
+        near = {x: {b if a == x else a for a, b in edges if x in (a, b)} - {x} for x in names}
+        want = {}
+        for x in names:
+            todo = [x]
+            while todo:
+                if (y := todo.pop()) not in want:
+                    want[y] = x
+                    todo += near[y]
+        got = graph.components(spark.createDataFrame([(x,) for x in names], "id string"), e)
+        assert {r["id"]: r["component"] for r in got.collect()} == want
+        place = rng.sample(range(n), n)
+        cluster, spare = [rng.randrange(12) for _ in names], [p > n * 0.6 for p in place]
+        kept = []
+        for i in sorted(range(n), key=place.__getitem__):
+            if not near[names[i]] & {names[k] for k in kept} and not (spare[i] and cluster[i] in {cluster[k] for k in kept}):
+                kept.append(i)
+        nodes = spark.createDataFrame(list(zip(names, place, cluster, spare, strict=True)), "id string, place int, cluster int, spare boolean")
+        assert {r["id"] for r in graph.first_fit(nodes, e).collect()} == {names[k] for k in kept}
+    none = spark.createDataFrame([], "a string, b string")
+    assert graph.components(nodes.limit(0), none).count() == 0 and graph.first_fit(nodes.limit(0), none).count() == 0 and graph.first_fit(nodes.withColumn("spare", F.lit(False)), none).count() == n

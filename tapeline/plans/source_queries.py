@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import history
+from ..sources.adapters import BARS
 from ..sources.checkpoints import folder
+from ..sources.ledger import BarTable
+from .rule_queries import bars
 
 PRICES = ("open", "high", "low", "close")
 
@@ -51,12 +54,56 @@ def s01_history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(spark.read.schema(history.SCHEMA).parquet(f"{at}/days"))
 
 
-QUERIES = {f.__name__: f for f in (s01_histories, s02_pushed_days, s03_landing_report, s01_history_stream)}
+def landed_in_parts(spark: SparkSession, sf_dir: str) -> tuple[BarTable, DataFrame]:
+    """A table of bars by commits: most days, then late ones and bars of days that are there, then forced ones."""
+    table = BarTable(spark, folder(spark))
+    rows = bars(spark, sf_dir).select("code", "date", F.round("close", 9).alias("close"), F.lit(False).alias("forced"))
+    day = F.dayofmonth("date")
+    table.merge(rows.where(day % 4 > 0))
+    table.merge(rows.where(day % 2 == 0).withColumn("close", F.when(day % 10 != 0, F.col("close") + 1)))
+    table.merge(rows.where((day == 9) & (F.month("date") == 3)).withColumns({"close": F.col("close") * 2, "forced": F.lit(True)}))
+    return table, rows
+
+
+def u06_table_of_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed_in_parts(spark, sf_dir)[0].read().select("code", "date", F.round("close", 6).alias("close"))
+
+
+def t02_resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to land of the calendar after a run that stopped in the middle of a month, some months missing."""
+    rows = bars(spark, sf_dir).select("code", "date", "close", F.lit(False).alias("forced"))
+    table = BarTable(spark, folder(spark))
+    table.merge(rows.where("date <= DATE'1997-05-13' AND month(date) <> 2"))
+    return table.pending(rows)
+
+
+def t01_followed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of files of bars, merged batch by batch, stopped and started again."""
+    at, rows = folder(spark), bars(spark, sf_dir).select("code", "date", F.round("close", 9).alias("close"), (F.dayofmonth("date") == 1).alias("forced"))
+    table = BarTable(spark, f"{at}/table")
+
+    def run() -> None:
+        given = spark.readStream.schema("code string, date date, close double, forced boolean").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        table.follow(given, "bars", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+
+    for part in (rows.where("year(date) < 1997"), rows.where("year(date) >= 1996").withColumn("close", F.col("close") + 1)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        run()
+    run()
+    return table.read().select("code", "date", F.round("close", 6).alias("close"))
+
+
+QUERIES = {f.__name__: f for f in (s01_histories, s02_pushed_days, s03_landing_report, s01_history_stream, u06_table_of_commits, t02_resume_points, t01_followed_stream)}
 
 _DAYS = """SELECT event_type AS code, CAST(ts AS DATE) AS date, round(first(value ORDER BY ts, event_id), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(last(value ORDER BY ts, event_id), 6) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events {where} GROUP BY 1, 2"""
 ORACLE_SQL = {
     "s01_histories": _DAYS.format(where=""),
     "s01_history_stream": _DAYS.format(where=""),
     "s02_pushed_days": _DAYS.format(where="WHERE event_type IN ('click', 'view', 'purchase') AND CAST(ts AS DATE) > (SELECT CAST(min(ts) AS DATE) FROM events) + 3 AND CAST(ts AS DATE) <= (SELECT CAST(min(ts) AS DATE) FROM events) + 20"),
+    "u06_table_of_commits": f"""WITH {BARS}, x AS (SELECT code, date, round(close, 9) AS close, extract(day FROM date) AS d, extract(month FROM date) AS m FROM bars)
+SELECT code, date, round(CASE WHEN d = 9 AND m = 3 THEN close * 2 WHEN d % 4 = 0 THEN close + 1 ELSE close END, 6) AS close FROM x WHERE d % 4 > 0 OR (d % 2 = 0 AND d % 10 <> 0)""",
+    "t02_resume_points": f"""WITH {BARS}, cd AS (SELECT DISTINCT date, strftime(date, '%Y-%m') AS month FROM bars), l AS (SELECT month, max(date) AS last FROM cd WHERE date <= DATE '1997-05-13' AND extract(month FROM date) <> 2 GROUP BY month)
+SELECT c.month, min(c.date) AS first, count(*) AS days FROM cd c LEFT JOIN l ON l.month = c.month WHERE l.month IS NULL OR (l.month = (SELECT max(month) FROM l) AND c.date > l.last) GROUP BY c.month""",
+    "t01_followed_stream": f"""WITH {BARS} SELECT code, date, round(round(close, 9) + CASE WHEN extract(year FROM date) >= 1997 OR (extract(year FROM date) = 1996 AND extract(day FROM date) = 1) THEN 1 ELSE 0 END, 6) AS close FROM bars""",
     "s03_landing_report": "SELECT event_type AS code, count(DISTINCT CAST(ts AS DATE)) AS days, 1 AS attempts, false AS failed FROM events GROUP BY event_type UNION ALL SELECT 'nowhere', 0, 3, true",
 }

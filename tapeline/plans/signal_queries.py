@@ -3,12 +3,12 @@ for another engine, written apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import other_sql
 from ..functions.features import STEP1
-from ..operators import alerts, calibration, transition, walk
+from ..operators import alerts, calibration, filtering, transition, walk
 from ..sources.adapters import BARS
 from .panel_sql import FORWARD
 from .rule_queries import bars
@@ -100,7 +100,42 @@ def x21_transition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "date", *[F.round(c, 6).alias(c) for c in ("jump", "rule", "evidence", "transition_score", "p_into_reversal_adj")], "regime_now", "prev_regime", "direction", "switch_side")
 
 
-QUERIES = {f.__name__: f for f in (j11_alert_matches, p20_matches_by_bars, m15_crossfit, m16_isotonic, m17_fdr_threshold, m18_ladder, a15_go_no_go, x21_transition_rules)}
+#: A fixed model of each code: states are thirds of its returns by size, in the order calm, lower mean, higher mean.
+MODELS = """
+m1 AS (SELECT code, date, ret1, rn, row_number() OVER (PARTITION BY code ORDER BY abs(ret1), date) AS place, count(*) OVER (PARTITION BY code) AS n FROM feat WHERE ret1 IS NOT NULL),
+m2 AS (SELECT code, least(2, floor((place - 1) * 3 / CAST(n AS DOUBLE))) AS third, avg(ret1) AS mu, stddev_samp(ret1) AS sigma FROM m1 GROUP BY code, least(2, floor((place - 1) * 3 / CAST(n AS DOUBLE)))),
+m3 AS (SELECT code, third, mu, sigma, CASE WHEN third = 0 THEN 0 ELSE row_number() OVER (PARTITION BY code, third = 0 ORDER BY mu) END AS s FROM m2),
+model AS (SELECT code, max(CASE WHEN s = 0 THEN mu END) AS mu0, max(CASE WHEN s = 1 THEN mu END) AS mu1, max(CASE WHEN s = 2 THEN mu END) AS mu2, max(CASE WHEN s = 0 THEN sigma END) AS sg0, max(CASE WHEN s = 1 THEN sigma END) AS sg1, max(CASE WHEN s = 2 THEN sigma END) AS sg2 FROM m3 GROUP BY code)"""
+TRANS = ((0.9, 0.06, 0.04), (0.1, 0.8, 0.1), (0.05, 0.2, 0.75))
+
+
+#: A model of each code and month: states are its returns by size under two limits, so some months lack one.
+MONTHLY = """
+q1 AS (SELECT code, @MONTH(date) AS month, ret1, CASE WHEN abs(ret1) < 0.012 THEN 0 WHEN abs(ret1) < 0.024 THEN 1 ELSE 2 END AS s FROM feat WHERE ret1 IS NOT NULL),
+q2 AS (SELECT code, month, s, avg(ret1) AS mu, stddev_samp(ret1) AS sigma, count(*) AS n FROM q1 GROUP BY code, month, s HAVING count(*) > 1),
+q3 AS (SELECT code, month, median(abs(ret1)) AS typical FROM q1 GROUP BY code, month),
+q4 AS (SELECT code, month, count(*) AS states, max(CASE WHEN s = 0 THEN mu END) AS mu0, max(CASE WHEN s = 1 THEN mu END) AS mu1, max(CASE WHEN s = 2 THEN mu END) AS mu2, max(CASE WHEN s = 0 THEN sigma END) AS sg0, max(CASE WHEN s = 1 THEN sigma END) AS sg1, max(CASE WHEN s = 2 THEN sigma END) AS sg2,
+  max(CASE WHEN s = 0 THEN n END) AS n0, max(CASE WHEN s = 1 THEN n END) AS n1, max(CASE WHEN s = 2 THEN n END) AS n2 FROM q2 GROUP BY code, month),
+q5 AS (SELECT q3.code, q3.month, typical, coalesce(states = 3, false) AS reliable, mu0, mu1, mu2, sg0, sg1, sg2, CAST(n0 AS DOUBLE) AS n0, CAST(n1 AS DOUBLE) AS n1, CAST(n2 AS DOUBLE) AS n2, sg1 / sg0 AS separation FROM q3 LEFT JOIN q4 ON q4.code = q3.code AND q4.month = q3.month)"""
+
+
+def m12_model_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubts about a model of each month, each held against the month before."""
+    rows = view_query(f"WITH {BARS},{STEP1},{MONTHLY} SELECT code, month, typical, reliable, CAST(NULL AS STRING) AS failure, separation, array(mu0, mu1, mu2) AS mu, array(sg0, sg1, sg2) AS sigma, array(n0, n1, n2) AS mass FROM q5")(spark, sf_dir)
+    return transition.with_doubts(rows, drift=True).select("code", "month", "reliable", "reasons", "ambiguous")
+
+
+def m14_state_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the states at every bar from its last 41 returns, the chance of a change, and the weights at the next bar."""
+    rows = view_query(f"WITH {BARS},{STEP1},{MODELS} SELECT m1.code, date, ret1, place, m1.rn, array(mu0, mu1, mu2) AS mu, array(sg0, sg1, sg2) AS sigma FROM m1 JOIN model ON model.code = m1.code")(spark, sf_dir)
+    last = Window.partitionBy("code").orderBy("date").rowsBetween(-40, 0)
+    rows = rows.withColumn("returns", F.collect_list("ret1").over(last)).where(F.size("returns") == 41).withColumn("trans", F.array(*[F.lit(x) for row in TRANS for x in row]))
+    out = filtering.with_summaries(rows)
+    parts = {f"{name}_{i}": F.round(F.col(c)[i], 6) for c, name in (("state", "now"), ("next", "next")) for i in range(3)}
+    return out.select("code", "date", F.round("p_switch", 6).alias("p_switch"), F.round("p_into_reversal", 6).alias("p_into_reversal"), *[c.alias(n) for n, c in parts.items()], F.round("stay10", 6).alias("stay10"))
+
+
+QUERIES = {f.__name__: f for f in (j11_alert_matches, p20_matches_by_bars, m15_crossfit, m16_isotonic, m17_fdr_threshold, m18_ladder, a15_go_no_go, x21_transition_rules, m12_model_doubts, m14_state_summaries)}
 
 # ---- the rules as SQL
 
@@ -122,7 +157,27 @@ rz AS (SELECT *, CASE WHEN NOT jumps THEN 0 WHEN prev = 'bear_grind' AND now > 0
   CASE side WHEN 'up' THEN 0.5 + 0.5 * least(1, (pred_cdf - 0.9) / 0.1) WHEN 'down' THEN 0.5 + 0.5 * least(1, (0.1 - pred_cdf) / 0.1) ELSE 0 END AS tail FROM ry),
 rw AS (SELECT *, coalesce(CASE side WHEN 'up' THEN 'volatile_reversal' WHEN 'down' THEN 'bear_grind' END, means, raw) AS regime FROM rz)"""
 
+_DENSITY = lambda i: f"pow(1 + pow((b.ret1 - mu{i}) / sg{i}, 2) / 5, -3) / sg{i}"
+_MOVED = lambda j: f"(a0 * {TRANS[0][j]} + a1 * {TRANS[1][j]} + a2 * {TRANS[2][j]}) * {_DENSITY(j)}"
+# one return after the other, brought to a sum of one each time
+_FILTER = f"""
+bs AS (SELECT m1.code, m1.date, m1.ret1, row_number() OVER (PARTITION BY m1.code ORDER BY m1.date) AS k, md.* EXCLUDE (code) FROM m1 JOIN model md ON md.code = m1.code),
+fl AS (SELECT code, k AS bar, 0 AS steps, CAST(1 AS DOUBLE) / 3 AS a0, CAST(1 AS DOUBLE) / 3 AS a1, CAST(1 AS DOUBLE) / 3 AS a2 FROM bs WHERE k >= 41 UNION ALL
+  SELECT code, bar, steps, w0 / (w0 + w1 + w2), w1 / (w0 + w1 + w2), w2 / (w0 + w1 + w2) FROM (SELECT f.code, f.bar, f.steps + 1 AS steps, {_MOVED(0)} AS w0, {_MOVED(1)} AS w1, {_MOVED(2)} AS w2 FROM fl f JOIN bs b ON b.code = f.code AND b.k = f.bar - 40 + f.steps WHERE f.steps < 40) x),
+jt AS (SELECT b.code, b.date, {", ".join(f"a{i} * {TRANS[i][j]} * {_DENSITY(j)} AS j{i}{j}" for i in range(3) for j in range(3))} FROM fl f JOIN bs b ON b.code = f.code AND b.k = f.bar WHERE f.steps = 40),
+js AS (SELECT *, {" + ".join(f"j{i}{j}" for i in range(3) for j in range(3))} AS total FROM jt),
+st3 AS (SELECT *, {", ".join(f"(j0{j} + j1{j} + j2{j}) / total AS s{j}" for j in range(3))} FROM js)"""
+
+_GAP = lambda a, b: f"(abs(mu{a} - lag(CASE WHEN reliable THEN mu{b} END) OVER w) + abs(sg{a} - lag(CASE WHEN reliable THEN sg{b} END) OVER w))"
+
 ORACLE_SQL = {
+    "m12_model_doubts": f"""WITH {BARS},{STEP1},{MONTHLY}, t AS (SELECT *, separation < 1.15 AS a, abs(mu1 - mu2) < 0.25 * greatest(typical, 1e-12) AS b, least(n0, n1, n2) / (n0 + n1 + n2) < 0.02 AS c, CAST(n0 / (n0 + n1 + n2) >= 0.02 AS INT) + CAST(n1 / (n0 + n1 + n2) >= 0.02 AS INT) + CAST(n2 / (n0 + n1 + n2) >= 0.02 AS INT) < 2 AS d,
+  coalesce({_GAP(1, 2)} + 1e-12 < {_GAP(1, 1)} OR {_GAP(2, 1)} + 1e-12 < {_GAP(2, 2)}, false) AS e FROM q5 WINDOW w AS (PARTITION BY code ORDER BY month))
+SELECT code, month, reliable, CASE WHEN NOT reliable THEN 'fit_unreliable' ELSE concat_ws('|', CASE WHEN a THEN 'sigma_not_separated' END, CASE WHEN b THEN 'direction_mu_not_separated' END, CASE WHEN c THEN 'low_effective_state_mass' END, CASE WHEN d THEN 'single_state_collapse' END, CASE WHEN e THEN 'semantic_label_drift' END) END AS reasons,
+  NOT reliable OR d OR e OR (a AND b) AS ambiguous FROM t""",
+    "m14_state_summaries": f"""{f"WITH {BARS},{STEP1},{MODELS},{_FILTER}".replace("WITH", "WITH RECURSIVE", 1)}
+SELECT code, date, round(1 - (j00 + j11 + j22) / total, 6) AS p_switch, round((j02 + j12) / total, 6) AS p_into_reversal, {", ".join(f"round(s{j}, 6) AS now_{j}" for j in range(3))},
+  {", ".join(f"round(s0 * {TRANS[0][j]} + s1 * {TRANS[1][j]} + s2 * {TRANS[2][j]}, 6) AS next_{j}" for j in range(3))}, round(pow(CAST({TRANS[2][2]} AS DOUBLE), 10), 6) AS stay10 FROM st3""",
     "j11_alert_matches": f"""{_START},{EVENTS}, spans AS (SELECT code, onset, list_filter(generate_series(onset - INTERVAL 1 DAY, onset - INTERVAL 12 DAY, -INTERVAL 1 DAY), lambda x: isodow(x) < 6)[3] AS low, list_filter(generate_series(onset + INTERVAL 1 DAY, onset + INTERVAL 20 DAY, INTERVAL 1 DAY), lambda x: isodow(x) < 6)[10] AS high FROM events_),
 {_MATCH.format(inside="a.date BETWEEN s.low AND s.high", delay="date_diff('day', m.ev, a.date)", more="")}""",
     "p20_matches_by_bars": f"""{_START},{EVENTS}, cal AS (SELECT code, date, row_number() OVER (PARTITION BY code ORDER BY date) AS place FROM bars), spans AS (SELECT e.code, e.onset, low.date AS low, high.date AS high FROM events_ e JOIN cal c ON c.code = e.code AND c.date = e.onset

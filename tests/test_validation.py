@@ -43,3 +43,22 @@ def test_fits_of_many_series_are_those_of_each():
     for many, r in zip(hmm.fit_all(series), series, strict=True):
         one = hmm.fit(r)
         assert many.reliable == one.reliable and many.rounds == one.rounds and all(np.allclose(getattr(many, x), getattr(one, x), atol=1e-9, equal_nan=True) for x in ("start", "trans", "mu", "sigma"))
+
+
+def test_summaries_as_expressions(spark):
+    from tapeline.operators import filtering
+
+    rng = np.random.default_rng(9)
+    trans = np.array([[0.9, 0.06, 0.04], [0.1, 0.8, 0.1], [0.05, 0.2, 0.75]])
+    mu, sigma = np.array([0.0, -0.01, 0.02]), np.array([0.01, 0.02, 0.03])
+    series = [rng.standard_t(3, n) * 0.02 for n in (2, 41, 300, 1, 0)]
+    rows = spark.createDataFrame([(k, r.tolist(), trans.ravel().tolist(), mu.tolist(), sigma.tolist()) for k, r in enumerate(series)], "k int, returns array<double>, trans array<double>, mu array<double>, sigma array<double>")
+    got = {r["k"]: r for r in filtering.with_summaries(rows).collect()}
+    m = hmm.Model(np.full(3, 1 / 3), trans, mu, sigma, reliable=True)
+    for k, r in enumerate(series[:3]):
+        before = hmm.filtered(r, m)
+        last = before[-2] if len(r) > 1 else m.start
+        joint = last[:, None] * trans * np.exp(hmm.log_density(r[-1:], m, 5.0)[0])
+        moved = hmm.moved(joint / joint.sum())
+        assert np.isclose(got[k]["p_switch"], moved["switch"]) and np.isclose(got[k]["p_into_reversal"], moved["into_reversal"]) and np.allclose(got[k]["state"], before[-1]) and np.allclose(got[k]["next"], hmm.ahead(before[-1], trans)[0]) and np.isclose(got[k]["stay20"], hmm.stays(m)[20])
+    assert all(got[k]["p_switch"] is None and got[k]["stay5"] is None for k in (3, 4))

@@ -10,7 +10,7 @@ from ..functions.dialect import other_sql
 from ..operators import clusters, hmm, methods, scans
 from ..operators.pairs import pair_table
 from ..streaming import bars
-from . import pool_queries, rule_queries, scan_oracles, scan_queries, signal_queries, source_queries, walk_queries
+from . import frame_queries, pool_queries, rule_queries, scan_oracles, scan_queries, signal_queries, source_queries, walk_queries
 from .panel_sql import BARS, LABELS, SQL, STEP1
 from .views import view_query
 
@@ -210,7 +210,7 @@ s AS (SELECT user_id, ts, sum(edge) OVER (PARTITION BY user_id ORDER BY ts ROWS
 QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p07_truth_slice, p08_sticky_up, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, x20_next_states, t09_event_bars, t08_sessions)}
 
 
-for part in (rule_queries, scan_queries, walk_queries, signal_queries, source_queries, pool_queries):
+for part in (rule_queries, scan_queries, walk_queries, signal_queries, source_queries, frame_queries, pool_queries):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
 

@@ -228,13 +228,16 @@ def write_pack(tables: dict[str, DataFrame], facts: dict, path: str) -> None:
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A table of at most so many rows as Markdown, for a report."""
+    """A table as Markdown, for a report: of more than so many rows the first by all columns, and a line that says so."""
     from ..functions.scalars import markdown_cell
 
     head = "| " + " | ".join(rows.columns) + " |\n| " + " | ".join("---" for _ in rows.columns) + " |"
-    cells = rows.select(*[F.coalesce(markdown_cell(F.col(c)), F.lit("")).alias(c) for c in rows.columns]).limit(most)
+    cells = rows.select(*[F.coalesce(markdown_cell(F.col(c)), F.lit("")).alias(c) for c in rows.columns])
+    total = cells.count()
+    if total > most:
+        cells = cells.orderBy(*cells.columns).limit(most)
     body = [r[0] for r in cells.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells.columns), F.lit(" |"))).collect()]
-    return "\n".join([head, *body]) if body else "(none)"
+    return "\n".join([head, *body, *([f"\n(the first {most} of {total} rows)"] if total > most else [])]) if body else "(none)"
 
 
 def resolved_methods(wanted: DataFrame, layers: list[DataFrame]) -> DataFrame:

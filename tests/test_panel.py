@@ -10,7 +10,7 @@ import pytest
 
 from tapeline.functions.dialect import other_sql, spark_sql
 from tapeline.operators import clusters, scans
-from tapeline.plans import pool_queries, registry, rule_queries, scan_queries, signal_queries, source_queries, views, walk_queries
+from tapeline.plans import frame_queries, pool_queries, registry, rule_queries, scan_queries, signal_queries, source_queries, views, walk_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def value(x):
     return float(x) + 0.0 if isinstance(x, (int, float)) or hasattr(x, "as_tuple") else str(x)[:10]
 
 
-@pytest.mark.parametrize("name", ["f01_clean_bars", "f03_resume_after_gap", "u01_upsert_bars", "g09_features", "w06_hist_percentile", "w15_band_change", "w19_band_position", "w21_mode_smoothing", "w25_forward_label", "p09_hold_up", "a02_pair_corr", "a08_quota", "x26_six_states", "j09_as_of", "t09_event_bars", "t08_sessions", *(n for part in (rule_queries, scan_queries, walk_queries, signal_queries, source_queries, pool_queries) for n in part.ORACLE_SQL if n != "w06_hist_percentile")])
+@pytest.mark.parametrize("name", ["f01_clean_bars", "f03_resume_after_gap", "u01_upsert_bars", "g09_features", "w06_hist_percentile", "w15_band_change", "w19_band_position", "w21_mode_smoothing", "w25_forward_label", "p09_hold_up", "a02_pair_corr", "a08_quota", "x26_six_states", "j09_as_of", "t09_event_bars", "t08_sessions", *(n for part in (rule_queries, scan_queries, walk_queries, signal_queries, source_queries, frame_queries, pool_queries) for n in part.ORACLE_SQL if n != "w06_hist_percentile")])
 def test_same_rows(spark, other, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

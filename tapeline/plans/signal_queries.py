@@ -10,6 +10,8 @@ from ..functions.dialect import other_sql
 from ..functions.features import STEP1
 from ..operators import alerts, calibration, filtering, transition, walk
 from ..sources.adapters import BARS
+from ..sources.checkpoints import folder, stored
+from ..streaming.filter import filtered_stream
 from .panel_sql import FORWARD
 from .rule_queries import bars
 from .views import view_query
@@ -135,7 +137,21 @@ def m14_state_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "date", F.round("p_switch", 6).alias("p_switch"), F.round("p_into_reversal", 6).alias("p_into_reversal"), *[c.alias(n) for n, c in parts.items()], F.round("stay10", 6).alias("stay10"))
 
 
-QUERIES = {f.__name__: f for f in (j11_alert_matches, p20_matches_by_bars, m15_crossfit, m16_isotonic, m17_fdr_threshold, m18_ladder, a15_go_no_go, x21_transition_rules, m12_model_doubts, m14_state_summaries)}
+def t07_filtered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the states along a stream of returns in several batches, stopped and started again in between."""
+    at = folder(spark)
+    start = f"WITH {BARS},{STEP1},{MODELS}"
+    models = stored(view_query(f"{start} SELECT code, array(mu0, mu1, mu2) AS mu, array(sg0, sg1, sg2) AS sigma FROM model")(spark, sf_dir).withColumns({"trans": F.array(*[F.lit(x) for row in TRANS for x in row]), "start": F.array(*[F.lit(1 / 3)] * 3)}))
+    rows = stored(view_query(f"{start} SELECT code, date, ret1 AS r FROM m1")(spark, sf_dir))
+    for part in ("date < DATE'1995-12-20'", "date >= DATE'1995-12-10' AND date < DATE'1998-02-01'", "date >= DATE'1998-02-01'"):  # the second comes with days that were seen
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        given = spark.readStream.schema("code string, date date, r double").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        filtered_stream(given, models).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    return out.select("code", "date", *[F.round(c, 6).alias(c) for c in ("calm", "bear_grind", "volatile_reversal")])
+
+
+QUERIES = {f.__name__: f for f in (j11_alert_matches, p20_matches_by_bars, m15_crossfit, m16_isotonic, m17_fdr_threshold, m18_ladder, a15_go_no_go, x21_transition_rules, m12_model_doubts, m14_state_summaries, t07_filtered_stream)}
 
 # ---- the rules as SQL
 
@@ -175,6 +191,10 @@ ORACLE_SQL = {
   coalesce({_GAP(1, 2)} + 1e-12 < {_GAP(1, 1)} OR {_GAP(2, 1)} + 1e-12 < {_GAP(2, 2)}, false) AS e FROM q5 WINDOW w AS (PARTITION BY code ORDER BY month))
 SELECT code, month, reliable, CASE WHEN NOT reliable THEN 'fit_unreliable' ELSE concat_ws('|', CASE WHEN a THEN 'sigma_not_separated' END, CASE WHEN b THEN 'direction_mu_not_separated' END, CASE WHEN c THEN 'low_effective_state_mass' END, CASE WHEN d THEN 'single_state_collapse' END, CASE WHEN e THEN 'semantic_label_drift' END) END AS reasons,
   NOT reliable OR d OR e OR (a AND b) AS ambiguous FROM t""",
+    "t07_filtered_stream": f"""{f"WITH {BARS},{STEP1},{MODELS},{_FILTER}".split("fl AS (")[0].rstrip().rstrip(",").replace("WITH", "WITH RECURSIVE", 1)},
+fl AS (SELECT code, CAST(0 AS BIGINT) AS k, CAST(1 AS DOUBLE) / 3 AS a0, CAST(1 AS DOUBLE) / 3 AS a1, CAST(1 AS DOUBLE) / 3 AS a2 FROM model UNION ALL
+  SELECT code, k, w0 / (w0 + w1 + w2), w1 / (w0 + w1 + w2), w2 / (w0 + w1 + w2) FROM (SELECT f.code, b.k, {_MOVED(0)} AS w0, {_MOVED(1)} AS w1, {_MOVED(2)} AS w2 FROM fl f JOIN bs b ON b.code = f.code AND b.k = f.k + 1) x)
+SELECT f.code, b.date, round(a0, 6) AS calm, round(a1, 6) AS bear_grind, round(a2, 6) AS volatile_reversal FROM fl f JOIN bs b ON b.code = f.code AND b.k = f.k""",
     "m14_state_summaries": f"""{f"WITH {BARS},{STEP1},{MODELS},{_FILTER}".replace("WITH", "WITH RECURSIVE", 1)}
 SELECT code, date, round(1 - (j00 + j11 + j22) / total, 6) AS p_switch, round((j02 + j12) / total, 6) AS p_into_reversal, {", ".join(f"round(s{j}, 6) AS now_{j}" for j in range(3))},
   {", ".join(f"round(s0 * {TRANS[0][j]} + s1 * {TRANS[1][j]} + s2 * {TRANS[2][j]}, 6) AS next_{j}" for j in range(3))}, round(pow(CAST({TRANS[2][2]} AS DOUBLE), 10), 6) AS stay10 FROM st3""",

@@ -105,6 +105,10 @@ def _final(method: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES |= {f"g{k:02d}_final": _final(method) for k, method in enumerate(methods.METHODS, 1)}
 
 
+#: Methods whose training scores are a query, and the queries of their labels.
+SCORED = {method: f"g{k:02d}_final" for k, method in enumerate(methods.METHODS, 1) if k in (1, 4, 6)}
+
+
 def p06_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(g):
         g["truth"] = methods.truth(g.close)
@@ -113,6 +117,18 @@ def p06_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.by_code(view_query(f"WITH {BARS} SELECT code, date, close FROM bars")(spark, sf_dir), run, "code string, date date, truth string")
 
 
+def x32_scores_by_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training scores of three methods on all bars of each series, against the look-ahead labels."""
+
+    def run(g):
+        import pandas as pd
+
+        close, true = g.close.to_numpy(float), methods.truth(g.close)
+        return pd.DataFrame({"code": g.code[0], "method": list(SCORED), "score": [round(methods.score(methods.labels(g, m), close, true), 6) for m in SCORED]})
+
+    return scans.by_code(_series(spark, sf_dir), run, "code string, method string, score double")
+
+
 def g11_method_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(g):
         import datetime
@@ -207,7 +223,7 @@ ORACLE_SQL |= {
 s AS (SELECT user_id, ts, sum(edge) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, count(*) AS n FROM s GROUP BY user_id, k""",
 }
 
-QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p07_truth_slice, p08_sticky_up, m01_ward_clusters, g07_method_labels, p06_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, x20_next_states, t09_event_bars, t08_sessions)}
+QUERIES |= {f.__name__: f for f in (p01_hysteresis, p02_stack_hysteresis, p04_merge_short, p07_truth_slice, p08_sticky_up, m01_ward_clusters, g07_method_labels, p06_truth, x32_scores_by_truth, g11_method_choice, g13_out_of_sample, m09_hidden_states, p17_filtered_states, x20_next_states, t09_event_bars, t08_sessions)}
 
 
 for part in (rule_queries, scan_queries, walk_queries, signal_queries, source_queries, frame_queries, pool_queries):
@@ -215,6 +231,7 @@ for part in (rule_queries, scan_queries, walk_queries, signal_queries, source_qu
     ORACLE_SQL |= part.ORACLE_SQL
 
 ORACLE_SQL |= scan_oracles.ORACLE_SQL
+ORACLE_SQL["x32_scores_by_truth"] = " UNION ALL ".join(f"({scan_oracles.train_score(method, ORACLE_SQL[labels])})" for method, labels in SCORED.items())
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

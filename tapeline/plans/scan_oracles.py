@@ -90,3 +90,36 @@ ORACLE_SQL = {name: other_sql(text) for name, text in {
     "p08_sticky_up": f"{P08} SELECT code, date, state FROM u WHERE i > 0",
     "p04_merge_short": f"{P01}, h1 AS (SELECT code, i, date, state FROM h WHERE i > 0),{_merged('h1', 'm1')},{_merged('m1', 'm2')} SELECT code, date, state FROM m2",
 }.items()}
+
+#: Look-ahead labels: extremes of an 8-bar mean, one after the other, either move the pivot in hand, turn away from it or
+#: are passed over; legs between pivots are labelled by their move, short ones take the label before.
+_TRUTH = f"""WITH RECURSIVE {BARS},
+tl AS (SELECT code, date, close, avg(close) OVER (PARTITION BY code ORDER BY date ROWS 7 PRECEDING) AS lv, row_number() OVER (PARTITION BY code ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY code) AS n FROM bars),
+tn AS (SELECT *, lag(lv) OVER (PARTITION BY code ORDER BY i) AS pl, lead(lv) OVER (PARTITION BY code ORDER BY i) AS nl FROM tl),
+tx AS (SELECT code, i, lv, CASE WHEN lv >= pl AND lv >= nl THEN 'H' ELSE 'L' END AS kind, row_number() OVER (PARTITION BY code ORDER BY i) AS e FROM tn WHERE n >= 60 AND pl IS NOT NULL AND nl IS NOT NULL AND (lv >= greatest(pl, nl) OR lv <= least(pl, nl))),
+tw AS (SELECT code, e, i AS pv, kind, lv, CAST(NULL AS BIGINT) AS pushed, CAST(NULL AS VARCHAR) AS pk FROM tx WHERE e = 1 UNION ALL
+  SELECT code, e, CASE WHEN act > 0 THEN i ELSE pv END, CASE WHEN act > 0 THEN k2 ELSE kind END, CASE WHEN act > 0 THEN l2 ELSE lv END, CASE WHEN act = 2 THEN pv END, CASE WHEN act = 2 THEN kind END
+  FROM (SELECT w.code, w.pv, w.kind, w.lv, x.e, x.i, x.kind AS k2, x.lv AS l2, CASE WHEN x.kind = w.kind THEN CASE WHEN (x.kind = 'H' AND x.lv >= w.lv) OR (x.kind = 'L' AND x.lv <= w.lv) THEN 1 ELSE 0 END WHEN x.i - w.pv >= 25 AND abs(x.lv - w.lv) / greatest(w.lv, 1e-8) >= 0.18 THEN 2 ELSE 0 END AS act FROM tw w JOIN tx x ON x.code = w.code AND x.e = w.e + 1) y),
+tp AS (SELECT code, pushed AS i, pk AS kind FROM tw WHERE pushed IS NOT NULL UNION ALL SELECT code, arg_max(pv, e), arg_max(kind, e) FROM tw GROUP BY code UNION ALL SELECT DISTINCT code, 0, 'L' FROM tl WHERE n >= 60 AND code NOT IN (SELECT code FROM tx)),
+te AS (SELECT * FROM tp UNION ALL SELECT code, 0, CASE WHEN arg_min(kind, i) = 'H' THEN 'L' ELSE 'H' END FROM tp GROUP BY code HAVING min(i) > 0
+  UNION ALL SELECT p.code, any_value(t.n) - 1, CASE WHEN arg_max(p.kind, p.i) = 'H' THEN 'L' ELSE 'H' END FROM tp p JOIN (SELECT DISTINCT code, n FROM tl) t ON t.code = p.code GROUP BY p.code HAVING max(p.i) < any_value(t.n) - 1),
+tg AS (SELECT code, i AS a, kind AS x, lead(i) OVER o AS b, lead(kind) OVER o AS y FROM te WINDOW o AS (PARTITION BY code ORDER BY i)),
+tm AS (SELECT g.code, a, b, CASE WHEN x = 'L' AND y = 'H' AND cb.close / ca.close - 1 >= 0.22 THEN 'up' WHEN x = 'H' AND y = 'L' AND cb.close / ca.close - 1 <= -0.22 THEN 'down' ELSE 'range' END AS label FROM tg g JOIN tl ca ON ca.code = g.code AND ca.i = a JOIN tl cb ON cb.code = g.code AND cb.i = b WHERE b IS NOT NULL),
+ti AS (SELECT *, sum(edge) OVER (PARTITION BY code ORDER BY a) AS k FROM (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY code ORDER BY a) THEN 0 ELSE 1 END AS edge FROM tm) z),
+tj AS (SELECT code, k, min(a) AS a, max(b) AS b, any_value(label) AS label FROM ti GROUP BY code, k),
+tk AS (SELECT code, a, last_value(CASE WHEN k = 1 OR b - a + 1 >= 30 THEN label END IGNORE NULLS) OVER (PARTITION BY code ORDER BY a ROWS UNBOUNDED PRECEDING) AS label FROM tj),
+truth AS (SELECT t.code, t.date, coalesce((SELECT arg_max(k.label, k.a) FROM tk k WHERE k.code = t.code AND k.a <= t.i), 'range') AS truth FROM tl t)"""
+
+ORACLE_SQL |= {
+    "p06_truth": f"{_TRUTH} SELECT code, date, truth FROM truth",
+    "p07_truth_slice": f"{_TRUTH} SELECT code, date, truth FROM truth WHERE date >= DATE '1997-01-01'",
+}
+
+
+def train_score(method: str, labels: str) -> str:
+    """Gain of holding while up, agreement with the look-ahead labels, share of up, and turns, of a method's labels (SQL)."""
+    return f"""WITH lb AS (SELECT l.code, l.date, l.label, t.truth, b.close, row_number() OVER (PARTITION BY l.code ORDER BY l.date) AS i, count(*) OVER (PARTITION BY l.code) AS n, last_value(b.close) OVER (PARTITION BY l.code ORDER BY l.date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final
+  FROM ({labels}) l JOIN ({ORACLE_SQL["p06_truth"]}) t ON t.code = l.code AND t.date = l.date JOIN (WITH {BARS} SELECT code, date, close FROM bars) b ON b.code = l.code AND b.date = l.date),
+ed AS (SELECT *, coalesce(label <> lag(label) OVER (PARTITION BY code ORDER BY i), true) AS edge FROM lb), rn AS (SELECT *, lead(close) OVER (PARTITION BY code ORDER BY i) AS after FROM ed WHERE edge),
+gn AS (SELECT code, sum(CASE WHEN label = 'up' THEN ln(coalesce(after, final) / close) ELSE 0 END) AS g, count(*) AS runs FROM rn GROUP BY code), sh AS (SELECT code, avg(CAST(label = truth AS INT)) AS same, avg(CAST(label = 'up' AS INT)) AS up FROM lb GROUP BY code)
+SELECT gn.code, '{method}' AS method, round(0.45 * (exp(g) - 1) + 0.25 * same + 0.15 * up - 0.015 * (runs - 1), 6) AS score FROM gn JOIN sh ON sh.code = gn.code"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import history
+from ..sources import history, scans
 from ..sources.adapters import BARS
 from ..sources.checkpoints import folder
 from ..sources.ledger import BarTable
@@ -93,7 +93,23 @@ def t01_followed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("code", "date", F.round("close", 6).alias("close"))
 
 
-QUERIES = {f.__name__: f for f in (s01_histories, s02_pushed_days, s03_landing_report, s01_history_stream, u06_table_of_commits, t02_resume_points, t01_followed_stream)}
+def s15_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of each nation that name one another, in no order."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    config = F.create_map(F.lit("file"), F.lit("{day}/{name}.parquet"), F.lit("name"), F.lower("n_name"), F.lit("day"), F.concat(F.lit("{root}/"), F.col("n_regionkey")), F.lit("root"), F.concat(F.lit("/data/{name}-"), F.col("n_nationkey")), F.lit("own"), F.lit("{own} {nobody}"))
+    return nations.select("n_nationkey", F.explode(scans.expanded(config)).alias("key", "value"))
+
+
+def s16_config_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configs of lines of which some are cut, empty, or no objects."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat(F.lit('{"'), F.col("event_type"), F.lit('": '), F.col("props"), F.lit(', "other": '), F.when(F.col("event_id") % 2 == 0, "{}").otherwise("7"), F.lit("}"))
+    broken = F.when(F.col("event_id") % 7 == 0, F.expr("left(line, length(line) - 3)")).when(F.col("event_id") % 11 == 0, "[1, 2]").when(F.col("event_id") % 13 == 0, "").otherwise(F.col("line"))
+    found = scans.config_map(e.withColumn("line", line).select(broken.alias("value")))
+    return found.groupBy("code").agg(F.count("*").alias("n"), F.sum(F.get_json_object("config", "$.k").cast("long")).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (s01_histories, s02_pushed_days, s03_landing_report, s01_history_stream, u06_table_of_commits, t02_resume_points, t01_followed_stream, s15_expanded, s16_config_map)}
 
 _DAYS = """SELECT event_type AS code, CAST(ts AS DATE) AS date, round(first(value ORDER BY ts, event_id), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(last(value ORDER BY ts, event_id), 6) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events {where} GROUP BY 1, 2"""
 ORACLE_SQL = {
@@ -105,5 +121,9 @@ SELECT code, date, round(CASE WHEN d = 9 AND m = 3 THEN close * 2 WHEN d % 4 = 0
     "t02_resume_points": f"""WITH {BARS}, cd AS (SELECT DISTINCT date, strftime(date, '%Y-%m') AS month FROM bars), l AS (SELECT month, max(date) AS last FROM cd WHERE date <= DATE '1997-05-13' AND extract(month FROM date) <> 2 GROUP BY month)
 SELECT c.month, min(c.date) AS first, count(*) AS days FROM cd c LEFT JOIN l ON l.month = c.month WHERE l.month IS NULL OR (l.month = (SELECT max(month) FROM l) AND c.date > l.last) GROUP BY c.month""",
     "t01_followed_stream": f"""WITH {BARS} SELECT code, date, round(round(close, 9) + CASE WHEN extract(year FROM date) >= 1997 OR (extract(year FROM date) = 1996 AND extract(day FROM date) = 1) THEN 1 ELSE 0 END, 6) AS close FROM bars""",
+    "s15_expanded": """WITH n AS (SELECT n_nationkey, lower(n_name) AS name, '/data/' || lower(n_name) || '-' || n_nationkey AS root, n_regionkey FROM nation)
+SELECT n_nationkey, unnest(['file', 'name', 'day', 'root', 'own']) AS key, unnest([root || '/' || n_regionkey || '/' || name || '.parquet', name, root || '/' || n_regionkey, root, '{own} {nobody}']) AS value FROM n""",
+    "s16_config_map": """WITH l AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0)
+SELECT event_type AS code, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM l GROUP BY 1 UNION ALL SELECT 'other', count(*), NULL FROM l WHERE event_id % 2 = 0""",
     "s03_landing_report": "SELECT event_type AS code, count(DISTINCT CAST(ts AS DATE)) AS days, 1 AS attempts, false AS failed FROM events GROUP BY event_type UNION ALL SELECT 'nowhere', 0, 3, true",
 }

@@ -147,20 +147,11 @@ def cluster_table(spark: SparkSession, folder: str, day: str, suffixes: tuple[st
     return None
 
 
-def expanded(config: dict[str, str], rounds: int = 8) -> dict[str, str]:
-    """Values with {key} replaced by the value of that key, until nothing changes or so many rounds are over."""
-    out = {k: str(v) for k, v in config.items()}
-    for _ in range(rounds):
-        new = dict(out)
-        for k, v in out.items():
-            for name, value in out.items():
-                if name != k:
-                    v = v.replace("{" + name + "}", value)
-            new[k] = v
-        if new == out:
-            break
-        out = new
-    return out
+def expanded(config: Column, rounds: int = 8) -> Column:
+    """A map of texts whose values have {key} replaced by the value of that key, so many times over; a key's own name in its
+    value stays. Keys that name each other in a ring change places until the rounds are over; null stays null."""
+    put = lambda m: F.transform_values(m, lambda k, v: F.aggregate(F.map_entries(m), v, lambda t, e: F.when(e["key"] == k, t).otherwise(F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), config, lambda m, _: put(m))
 
 
 def config_map(lines: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ def test_fetch_isolates_failures(spark):
 
 
 def test_config(spark):
-    assert scans.expanded({"root": "/r", "data": "{root}/d", "bars": "{data}/b", "loop": "{loop2}", "loop2": "{loop}"})["bars"] == "/r/d/b"
+    config = {"root": "/r", "data": "{root}/d", "bars": "{data}/b", "loop": "{loop2}", "loop2": "{loop}", "own": "{own}", "none": None}
+    got = spark.createDataFrame([(config,), (None,), ({},)], "config map<string,string>").select(scans.expanded(F.col("config")).alias("x")).collect()
+    assert got[0]["x"]["bars"] == "/r/d/b" and got[0]["x"]["own"] == "{own}" and got[0]["x"]["none"] is None and got[1]["x"] is None and got[2]["x"] == {}
     lines = spark.createDataFrame([('{"a": {"x": 1}, "b": {"y": "z"}, "c": 5}',), ("not json",), ("[]",), (None,), ("",)], "value string")
     assert {r["code"]: json.loads(r["config"]) for r in scans.config_map(lines).collect()} == {"a": {"x": 1}, "b": {"y": "z"}}
 

@@ -109,7 +109,35 @@ def s16_config_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("code").agg(F.count("*").alias("n"), F.sum(F.get_json_object("config", "$.k").cast("long")).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (s01_histories, s02_pushed_days, s03_landing_report, s01_history_stream, u06_table_of_commits, t02_resume_points, t01_followed_stream, s15_expanded, s16_config_map)}
+def s18_newest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of clusters of four days, of which the newest up to a day counts."""
+    at, part = folder(spark), spark.read.parquet(f"{sf_dir}/part.parquet")
+    codes = part.select(F.lower("p_brand").alias("code")).distinct().withColumn("number", F.regexp_extract("code", r"(\d+)$", 1).cast("int"))
+    for k, (day, suffix) in enumerate((("20240105", ""), ("20240112", "_d080"), ("20240112", ""), ("20240112", "_other"), ("20240119", ""))):
+        rows = codes.select("code", (F.col("number") % (k + 2)).alias("cluster"), F.when(F.col("number") % 3 == 0, "Yes").when(F.col("number") % 3 == 1, "1").alias("is_representative"))
+        rows.coalesce(1).write.option("header", True).csv(f"{at}/written/{k}")
+        renamed(spark, f"{at}/written/{k}", f"{at}/days/{day}/cluster_representatives_{day}{suffix}.csv")
+    return scans.newest_clusters(spark, f"{at}/days", "2024-01-15")
+
+
+def renamed(spark: SparkSession, written: str, name: str) -> None:
+    """The one file that Spark has written gets its name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(name).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(name).getParent())
+    part = next(s.getPath() for s in files.listStatus(path(written)) if s.getPath().getName().startswith("part-"))
+    files.rename(part, path(name))
+
+
+def s20_scored_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the shards of each month reach its last day in the calendar; some were cut short."""
+    at, rows = folder(spark), bars(spark, sf_dir).withColumn("month", F.date_format("date", "yyyy-MM"))
+    scans.write_shards(rows.where("NOT (month(date) = 4 AND day(date) > 20)"), f"{at}/shards")
+    last = scans.last_days(spark.read.parquet(f"{at}/shards")).withColumnRenamed("last", "reached")
+    return scans.last_days(rows).join(last, "month", "left").select("month", "reached", F.coalesce(F.col("reached") >= F.col("last"), F.lit(False)).alias("scored"))
+
+
+QUERIES = {f.__name__: f for f in (s01_histories, s02_pushed_days, s03_landing_report, s01_history_stream, u06_table_of_commits, t02_resume_points, t01_followed_stream, s15_expanded, s16_config_map, s18_newest_clusters, s20_scored_months)}
 
 _DAYS = """SELECT event_type AS code, CAST(ts AS DATE) AS date, round(first(value ORDER BY ts, event_id), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(last(value ORDER BY ts, event_id), 6) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events {where} GROUP BY 1, 2"""
 ORACLE_SQL = {
@@ -125,5 +153,7 @@ SELECT c.month, min(c.date) AS first, count(*) AS days FROM cd c LEFT JOIN l ON
 SELECT n_nationkey, unnest(['file', 'name', 'day', 'root', 'own']) AS key, unnest([root || '/' || n_regionkey || '/' || name || '.parquet', name, root || '/' || n_regionkey, root, '{own} {nobody}']) AS value FROM n""",
     "s16_config_map": """WITH l AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0)
 SELECT event_type AS code, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM l GROUP BY 1 UNION ALL SELECT 'other', count(*), NULL FROM l WHERE event_id % 2 = 0""",
+    "s18_newest_clusters": "SELECT upper(code) AS code, CAST(number % 4 AS INTEGER) AS cluster, number % 3 < 2 AS is_representative, DATE '2024-01-12' AS day FROM (SELECT DISTINCT p_brand AS code, CAST(substr(p_brand, 7) AS INTEGER) AS number FROM part) x",
+    "s20_scored_months": f"""WITH {BARS} SELECT strftime(date, '%Y-%m') AS month, max(date) FILTER (WHERE extract(month FROM date) <> 4 OR extract(day FROM date) <= 20) AS reached, coalesce(max(date) FILTER (WHERE extract(month FROM date) <> 4 OR extract(day FROM date) <= 20) >= max(date), false) AS scored FROM bars GROUP BY 1""",
     "s03_landing_report": "SELECT event_type AS code, count(DISTINCT CAST(ts AS DATE)) AS days, 1 AS attempts, false AS failed FROM events GROUP BY event_type UNION ALL SELECT 'nowhere', 0, 3, true",
 }

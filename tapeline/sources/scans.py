@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import digest, truthy, whole
+from ..functions.scalars import day_in_name, digest, truthy, whole
 
 REQUIRED = {"bars": ("code", "date", "open", "high", "low", "close", "volume"), "snapshot": ("code", "open", "high", "low", "close", "volume"), "mapping": ("code", "cluster", "selected", "reason")}
 
@@ -147,6 +147,31 @@ def cluster_table(spark: SparkSession, folder: str, day: str, suffixes: tuple[st
     return None
 
 
+def files_in(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, name, day) of the files that a pattern finds, with the date of eight digits in the name; nothing of them is read."""
+    found = spark.read.format("binaryFile").load(pattern).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select("path", name.alias("name"), day_in_name(name).alias("day"))
+
+
+def newest_clusters(spark: SparkSession, folder: str, as_of: str, suffixes: tuple[str, ...] = ("", "_d080")) -> DataFrame:
+    """The clusters (code in capitals, cluster, is_representative, day) of the newest file up to the day ``as_of``; of a day's
+    files the first of the suffixes counts. Only that file is read, since its path is a filter on the scan. It is an error if
+    there is none."""
+    files = files_in(spark, f"{folder}/*/cluster_representatives_*.csv").withColumn("suffix", F.regexp_extract("name", r"\d{8}(.*)\.csv$", 1))
+    order = F.struct("day", -F.array_position(F.array(*[F.lit(s) for s in suffixes]), F.col("suffix")), "path")
+    best = files.where((F.col("day") <= F.lit(as_of).cast("date")) & F.col("suffix").isin(*suffixes)).agg(F.max(order).alias("x")).first()["x"]
+    if best is None:
+        raise FileNotFoundError(f"no clusters up to {as_of} in {folder}")
+    rows = spark.read.option("header", True).schema("code string, cluster int, is_representative string").csv(best["path"])
+    return rows.select(F.upper("code").alias("code"), "cluster", truthy(F.col("is_representative")).alias("is_representative"), F.lit(best["day"]).alias("day")).where("code IS NOT NULL")
+
+
+def last_days(shards: DataFrame, day: str = "date") -> DataFrame:
+    """(month, last) of a table by month: one column is read."""
+    return shards.groupBy("month").agg(F.max(F.col(day).cast("date")).alias("last"))
+
+
 def expanded(config: Column, rounds: int = 8) -> Column:
     """A map of texts whose values have {key} replaced by the value of that key, so many times over; a key's own name in its
     value stays. Keys that name each other in a ring change places until the rounds are over; null stays null."""

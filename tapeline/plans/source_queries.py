@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import history, scans
+from ..sources import configs, history, scans
 from ..sources.adapters import BARS
 from ..sources.checkpoints import folder
 from ..sources.ledger import BarTable
@@ -137,7 +137,18 @@ def s20_scored_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.last_days(rows).join(last, "month", "left").select("month", "reached", F.coalesce(F.col("reached") >= F.col("last"), F.lit(False)).alias("scored"))
 
 
-QUERIES = {f.__name__: f for f in (s01_histories, s02_pushed_days, s03_landing_report, s01_history_stream, u06_table_of_commits, t02_resume_points, t01_followed_stream, s15_expanded, s16_config_map, s18_newest_clusters, s20_scored_months)}
+def u10_config_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configs of customers from a run's own cache, which is written twice, or else from the shared one; some are bad."""
+    at = folder(spark)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("code"), F.col("c_custkey").alias("k"))
+    config = lambda word: F.concat(F.lit(f'{{"{word}": '), F.col("k"), F.when(F.col("k") % 5 > 0, "}").otherwise(""))
+    configs.write_configs(c.where("k % 2 = 0").select("code", config("first").alias("config")), f"{at}/own", "tag")
+    configs.write_configs(c.where("k % 6 = 0").select("code", config("second").alias("config")), f"{at}/own", "tag")
+    configs.write_configs(c.where("k % 3 = 0").select("code", config("shared").alias("config")), f"{at}/shared", "tag")
+    return scans.resolved_methods(c, [configs.read_configs(spark, f"{at}/own", "tag"), configs.read_configs(spark, f"{at}/shared", "tag")])
+
+
+QUERIES = {f.__name__: f for f in (s01_histories, s02_pushed_days, s03_landing_report, s01_history_stream, u06_table_of_commits, t02_resume_points, t01_followed_stream, s15_expanded, s16_config_map, s18_newest_clusters, s20_scored_months, u10_config_caches)}
 
 _DAYS = """SELECT event_type AS code, CAST(ts AS DATE) AS date, round(first(value ORDER BY ts, event_id), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(last(value ORDER BY ts, event_id), 6) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events {where} GROUP BY 1, 2"""
 ORACLE_SQL = {
@@ -155,5 +166,7 @@ SELECT n_nationkey, unnest(['file', 'name', 'day', 'root', 'own']) AS key, unnes
 SELECT event_type AS code, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM l GROUP BY 1 UNION ALL SELECT 'other', count(*), NULL FROM l WHERE event_id % 2 = 0""",
     "s18_newest_clusters": "SELECT upper(code) AS code, CAST(number % 4 AS INTEGER) AS cluster, number % 3 < 2 AS is_representative, DATE '2024-01-12' AS day FROM (SELECT DISTINCT p_brand AS code, CAST(substr(p_brand, 7) AS INTEGER) AS number FROM part) x",
     "s20_scored_months": f"""WITH {BARS} SELECT strftime(date, '%Y-%m') AS month, max(date) FILTER (WHERE extract(month FROM date) <> 4 OR extract(day FROM date) <= 20) AS reached, coalesce(max(date) FILTER (WHERE extract(month FROM date) <> 4 OR extract(day FROM date) <= 20) >= max(date), false) AS scored FROM bars GROUP BY 1""",
+    "u10_config_caches": """SELECT CAST(c_custkey AS VARCHAR) AS code, CASE WHEN good AND c_custkey % 6 = 0 THEN '{"second": ' || c_custkey || '}' WHEN good AND c_custkey % 2 = 0 THEN '{"first": ' || c_custkey || '}' WHEN good AND c_custkey % 3 = 0 THEN '{"shared": ' || c_custkey || '}' END AS config,
+  CASE WHEN good AND c_custkey % 2 = 0 THEN 0 WHEN good AND c_custkey % 3 = 0 THEN 1 END AS layer FROM (SELECT *, c_custkey % 5 > 0 AS good FROM customer) x""",
     "s03_landing_report": "SELECT event_type AS code, count(DISTINCT CAST(ts AS DATE)) AS days, 1 AS attempts, false AS failed FROM events GROUP BY event_type UNION ALL SELECT 'nowhere', 0, 3, true",
 }

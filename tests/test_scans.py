@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tapeline.sources import scans
+from tapeline.sources import configs, scans
 from tapeline.sources.checkpoints import stored
 
 
@@ -98,3 +98,24 @@ def test_stored_survives_its_source(spark, tmp_path):
     kept = stored(spark.read.parquet(f"{tmp_path}/x"))
     spark.range(1).write.mode("overwrite").parquet(f"{tmp_path}/x")
     assert kept.count() == 5
+
+
+def test_config_caches(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "code string, config string")
+    held = lambda tag="t": sorted(map(tuple, configs.read_configs(spark, str(tmp_path), tag).collect()))
+    assert held() == []
+    assert configs.write_configs(rows(("a", '{"x": 1}'), ("a", '{"x": 0}'), ("b", "[1]"), ("c", '{"x"'), (None, "{}"), ("d", None)), str(tmp_path), "t") == 1
+    assert configs.write_configs(rows(("b", '{"y": 2}')), str(tmp_path), "t") == 2 and held() == [("a", '{"x": 0}'), ("b", '{"y": 2}')] and held("other") == []
+    rows(("z", "{}")).write.parquet(f"{tmp_path}/t/version=9")
+    (tmp_path / "t/version=9/_SUCCESS").unlink()  # a writer that died
+    assert len(held()) == 2 and configs.write_configs(rows(("a", "{}")), str(tmp_path), "t") == 2 and held()[0] == ("a", "{}")
+
+
+def test_newest_clusters(spark, tmp_path):
+    for name in ("20240105/cluster_representatives_20240105.csv", "20240112/cluster_representatives_20240112_d080.csv", "20240112/notes_20240113.csv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"code,cluster,is_representative\na{name[:8]},1,yes\n,2,no\n")
+    pick = lambda day: [tuple(r)[:3] for r in scans.newest_clusters(spark, str(tmp_path), day).collect()]
+    assert pick("2024-01-11") == [("A20240105", 1, True)] and pick("2024-02-01") == [("A20240112", 1, True)]
+    with pytest.raises(FileNotFoundError):
+        pick("2023-12-31")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import other_sql
 from ..operators import clusters as ward
 from ..operators import pool
-from ..operators.pairs import pair_table, subset
+from ..operators.pairs import LEAST_DAYS, pair_table, subset
 from ..sources.adapters import PANEL
 from .panel_sql import CLUSTER, RECENT, RECENT_PAIRS, SCORES
 from .views import view_query
@@ -26,13 +26,14 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view_query(f"WITH {PANEL},{CLUSTER} SELECT code, cluster FROM cl")(spark, sf_dir)
 
 
-def chosen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """(returns, pairs, clusters, statistics, candidates, selection) on Ward's clusters."""
+def chosen(spark: SparkSession, sf_dir: str, least: int = LEAST_DAYS, together: float = 0.55) -> tuple[DataFrame, ...]:
+    """(returns, pairs, clusters, statistics, candidates, selection) on Ward's clusters, split where correlations are below
+    ``together``."""
     from ..sources.checkpoints import stored
 
     rows = stored(recent(spark, sf_dir))
-    pairs = stored(pair_table(rows))
-    clusters = stored(ward.ward_clusters(pairs).select("code", F.col("split").alias("cluster")))
+    pairs = stored(pair_table(rows, least))
+    clusters = stored(ward.ward_clusters(pairs, least_corr=together).select("code", F.col("split").alias("cluster")))
     stats = pool.cluster_stats(clusters, pairs, rows, rows)
     ranked = pool.candidates(clusters, rows, TARGET)
     return rows, pairs, clusters, stats, ranked, pool.select(ranked, stats, pairs, TARGET)
@@ -153,8 +154,9 @@ def j15_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m07_related_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of Ward's tree that the pool missed, with the nearest ones it has."""
-    rows, pairs, clusters, _, _, selection = chosen(spark, sf_dir)
+    """Clusters that the pool missed, with the nearest ones it has. Ward's clusters are split so finely that parts of one are
+    too alike for two of them to be chosen."""
+    rows, pairs, clusters, _, _, selection = chosen(spark, sf_dir, DAYS, TOGETHER)
     missed = clusters.join(selection.select("cluster").distinct(), "cluster", "left_anti").select("cluster").distinct()
     last = rows.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).where("nth <= 20").groupBy("code").agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
     return pool.related(missed, clusters, selection, ward.cophenetic_pairs(pairs), last).select("cluster", "related", F.round("distance", 6).alias("distance"), "nth")

@@ -231,6 +231,9 @@ for part in (rule_queries, scan_queries, walk_queries, signal_queries, source_qu
     ORACLE_SQL |= part.ORACLE_SQL
 
 ORACLE_SQL |= scan_oracles.ORACLE_SQL
+#: The labels of all methods side by side are those of the queries of each.
+_FINAL = {method: f"g{k:02d}_final" for k, method in enumerate(methods.METHODS, 1)}
+ORACLE_SQL["g07_method_labels"] = f"SELECT * FROM {' JOIN '.join(f'(SELECT code, date, label AS {method} FROM ({ORACLE_SQL[name]}) x) {name}' + (' USING (code, date)' if k else '') for k, (method, name) in enumerate(_FINAL.items()))}"
 ORACLE_SQL["x32_scores_by_truth"] = " UNION ALL ".join(f"({scan_oracles.train_score(method, ORACLE_SQL[labels])})" for method, labels in SCORED.items())
 
 

@@ -177,12 +177,14 @@ def trained(s: pd.DataFrame, cutoff) -> tuple[str, dict, float, bool, int]:
 
 
 def evaluated(s: pd.DataFrame, method: str, params: dict, start) -> dict:
-    """Holding while up from ``start`` on, against holding throughout; all bars where fewer than five are left."""
+    """Holding while up from ``start`` on, against holding throughout; all bars, and clipped, where fewer
+    than five are left."""
     inside = (s.date >= start).to_numpy()
-    if inside.sum() < MIN_EVAL:
+    clipped = bool(inside.sum() < MIN_EVAL)
+    if clipped:
         inside[:] = True
     close = s.close.to_numpy(float)[inside]
     done = trades(labels(s, method, params)[inside], close)
     compound = float(np.prod([r for r, _ in done])) * (1 - COST) ** sum(1 if still else 2 for _, still in done) - 1
     held = close[-1] / close[0] - 1
-    return {"bars": len(close), "compound": compound, "bh": held, "edge": compound - held, "n": len(done)}
+    return {"bars": len(close), "compound": compound, "bh": held, "edge": compound - held, "n": len(done), "clipped": clipped}

@@ -153,9 +153,9 @@ def g13_out_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         start = datetime.date.fromisoformat(CUTOFF)
         method, params, *_ = methods.trained(g, start)
         own, fixed = methods.evaluated(g, method, params, start), methods.evaluated(g, methods.FIXED, {}, start)
-        return pd.DataFrame({"code": g.code[:1], "method": method, "bars": own["bars"], "n_trades": own["n"], **{k: round(own[k], 5) for k in ("compound", "bh", "edge")}, "fixed_edge": round(fixed["edge"], 5)})
+        return pd.DataFrame({"code": g.code[:1], "method": method, "bars": own["bars"], "n_trades": own["n"], **{k: round(own[k], 5) for k in ("compound", "bh", "edge")}, "fixed_edge": round(fixed["edge"], 5), "clipped": own["clipped"]})
 
-    return scans.by_code(_series(spark, sf_dir), run, "code string, method string, bars long, n_trades long, compound double, bh double, edge double, fixed_edge double")
+    return scans.by_code(_series(spark, sf_dir), run, "code string, method string, bars long, n_trades long, compound double, bh double, edge double, fixed_edge double, clipped boolean")
 
 
 RETURNS = f"WITH {BARS} SELECT code, date, ln(close / lag(close) OVER (PARTITION BY code ORDER BY date)) AS r FROM bars"

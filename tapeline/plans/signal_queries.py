@@ -227,7 +227,7 @@ rg AS (SELECT kind, CAST(value AS DOUBLE) AS value, count(*) AS n, sum(CAST(labe
 jd AS (SELECT kind, value, n, hits / CAST(n AS DOUBLE) AS p, hits / CAST(n AS DOUBLE) >= z + 0.05 AS beats FROM rg, z WHERE pool_n >= CASE kind WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE 0 END AND n >= CASE kind WHEN 1 THEN 15 ELSE 20 END
   AND (hits / CAST(n AS DOUBLE) >= z + 0.05 OR hits / CAST(n AS DOUBLE) >= CASE kind WHEN 3 THEN z ELSE greatest(base + 0.05, z) END))
 SELECT kind, round(value, 9) AS value, CAST(n AS BIGINT) AS n, round(p, 6) AS precision, beats, CAST(row_number() OVER (ORDER BY kind, beats DESC, p DESC, value) AS INTEGER) AS place FROM jd""",
-    "a15_go_no_go": f"""{_START}, lv AS (SELECT *, {_CAND} AS cand, return_z >= 2.5 AND direction_up AS jump, {_level(f"return_z >= 2.5 AND {_CAND} AND direction_up AND coalesce(quantile_switch, false) AND {_OK} AND NOT ambiguous", 0.3)} AS level FROM scored),
+    "a15_go_no_go": f"""{_START}, lv AS (SELECT *, {_CAND} AS cand, return_z >= 2.5 AND direction_up AS jump, {_level(f"return_z >= 2.5 AND {_CAND} AND direction_up AND coalesce(quantile_switch, false) AND {_OK} AND NOT ambiguous", 0.28)} AS level FROM scored),
 kn AS (SELECT *, level = 'CONFIRM' AS conf FROM lv WHERE label IS NOT NULL),{_DRAWN.format(rows="kn")},
 on_ AS (SELECT count(*) FILTER (WHERE conf) AS c, count(*) FILTER (WHERE conf AND label) AS ch, count(*) FILTER (WHERE jump) AS z, count(*) FILTER (WHERE jump AND label) AS zh, count(*) FILTER (WHERE jump AND cand) AS zc, count(*) FILTER (WHERE jump AND cand AND label) AS zch, count(*) FILTER (WHERE cand) AS cands,
   max(year(date)) FILTER (WHERE conf) - min(year(date)) FILTER (WHERE conf) + 1 AS years, count(*) FILTER (WHERE cand AND p_cal IS NOT NULL) AS rated, avg(pow(p_cal - CAST(label AS INTEGER), 2)) FILTER (WHERE cand AND p_cal IS NOT NULL) AS brier FROM kn),

@@ -117,7 +117,7 @@ _OK = "(coalesce(quantile_switch, false) OR coalesce(p_into_reversal_adj >= 0.2,
 
 
 def _level(confirm: str, floor: float) -> str:
-    return f"""CASE WHEN p_cal IS NULL THEN CASE WHEN {_OBSERVE} THEN 'OBSERVE' ELSE 'NONE' END WHEN {confirm} THEN 'CONFIRM' WHEN {_OBSERVE} OR p_cal >= 0.3 THEN 'OBSERVE' WHEN p_into_reversal >= 0.2 AND p_cal < {floor} THEN 'REJECT_AS_ONE_DAY_JUMP' ELSE 'NONE' END"""
+    return f"""CASE WHEN p_cal IS NULL THEN CASE WHEN {_OBSERVE} THEN 'OBSERVE' ELSE 'NONE' END WHEN {confirm} THEN 'CONFIRM' WHEN {_OBSERVE} OR p_cal >= 0.28 THEN 'OBSERVE' WHEN p_into_reversal >= 0.2 AND p_cal < {floor} THEN 'REJECT_AS_ONE_DAY_JUMP' ELSE 'NONE' END"""
 
 
 _UP_SWITCH = "coalesce(quantile_switch AND switch_side = 'up', false)"
@@ -131,8 +131,8 @@ _PARTS = (("0.5", "0.0", "s"), ("0.3", "-s / 2", "s * 1.5"), ("0.4", "s / 2", "s
 _MEAN = "(0.3 * (-s / 2) + 0.4 * (s / 2)) / 1.2"
 ORACLE_SQL = {
     "f10_candidates": f"{_START} SELECT code, date, {_CAND} AS is_candidate FROM scored",
-    "x23_signal_levels": f"""{_START} SELECT code, date, {_level(f"p_cal >= 0.56 AND {_CAND} AND direction_up AND {_UP_SWITCH} AND {_OK} AND NOT ambiguous", 0.56)} AS by_score, {_level(f"pred_cdf >= 0.97 AND {_UP_SWITCH}", 0.3)} AS by_cdf,
-  {_level(f"return_z >= 2.5 AND {_CAND} AND direction_up AND coalesce(quantile_switch, false) AND {_OK} AND NOT ambiguous", 0.3)} AS by_z, {_level("false", 0.56)} AS early FROM scored""",
+    "x23_signal_levels": f"""{_START} SELECT code, date, {_level(f"p_cal >= 0.56 AND {_CAND} AND direction_up AND {_UP_SWITCH} AND {_OK} AND NOT ambiguous", 0.56)} AS by_score, {_level(f"pred_cdf >= 0.97 AND {_UP_SWITCH}", 0.28)} AS by_cdf,
+  {_level(f"return_z >= 2.5 AND {_CAND} AND direction_up AND coalesce(quantile_switch, false) AND {_OK} AND NOT ambiguous", 0.28)} AS by_z, {_level("false", 0.56)} AS early FROM scored""",
     "x24_extreme_drop": f"{_START},{_DROPS} SELECT code, date, round(day_ret, 6) AS day_ret, x AS extreme_drop, m OR x AS quantile_switch, CASE WHEN down THEN 'down' WHEN up THEN 'up' WHEN x THEN 'down' END AS switch_side, CASE WHEN down OR up THEN 'quantile_tail' WHEN x THEN 'extreme_drop' ELSE '' END AS switch_source FROM de",
     "a16_coverage_split": f"{_START},{_DROPS} SELECT count(*) AS n_rows, round(avg(CAST(m AS INTEGER)), 6) AS model_switch_rate, round(avg(CAST(x AS INTEGER)), 6) AS extreme_rate, round(avg(CAST(m OR x AS INTEGER)), 6) AS effective_rate, count(*) FILTER (WHERE x) AS n_extreme FROM de",
     "x18_mixture": f"""WITH {BARS},{STEP1}, b AS (SELECT code, date, ret1, rv20 / sqrt(252.0) AS s FROM feat WHERE rv20 > 0 AND ret1 IS NOT NULL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,21 +56,18 @@ def a16_coverage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_rows", *[F.round(c, 6).alias(c) for c in ("model_switch_rate", "extreme_rate", "effective_rate")], "n_extreme")
 
 
-def mixture_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cdf, density, mean and scale of three components whose weights and scales follow the volatility."""
+def x18_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cdf, density, mean and scale of three components whose weights and scales follow the volatility, by the function that
+    scores days."""
     rows = view_query(f"WITH {BARS},{STEP1} SELECT code, date, ret1, rv20 / sqrt(CAST(252 AS DOUBLE)) AS s FROM feat WHERE rv20 > 0 AND ret1 IS NOT NULL")(spark, sf_dir)
-    parts = [(F.lit(0.5), F.lit(0.0), F.col("s")), (F.lit(0.3), -F.col("s") / 2, F.col("s") * 1.5), (F.lit(0.4), F.col("s") / 2, F.col("s") * 2)]
-    total = sum(w for w, _, _ in parts)
-    t = lambda m, s: F.atan((F.col("ret1") - m) / s / F.sqrt(F.lit(walk.NU)))
-    cdf = sum(w / total * (0.5 + (t(m, s) + F.sin(t(m, s)) * (F.cos(t(m, s)) + F.lit(2.0) / 3 * F.pow(F.cos(t(m, s)), 3))) / F.pi()) for w, m, s in parts)
-    pdf = sum(w / total * 8 / (3 * F.pi() * F.sqrt(F.lit(walk.NU))) * F.pow(1 + F.pow((F.col("ret1") - m) / s, 2) / walk.NU, F.lit(-3.0)) / s for w, m, s in parts)
-    mean = sum(w / total * m for w, m, _ in parts)
-    var = sum(w / total * (s * s * walk.NU / (walk.NU - 2) + F.pow(m - mean, 2)) for w, m, s in parts)
-    return rows.select("code", "date", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cdf)), 6).alias("cdf"), F.round(F.log(pdf), 5).alias("log_density"), F.round(mean, 7).alias("mean"), F.round(F.sqrt(var), 7).alias("scale"))
 
+    def run(frames):
+        for g in frames:
+            found = [walk.mixture(r, np.array([0.5, 0.3, 0.4]), np.array([0.0, -s / 2, s / 2]), np.array([s, 1.5 * s, 2 * s])) for r, s in zip(g.ret1, g.s, strict=True)]
+            yield g[["code", "date"]].assign(**{c: [x[c] for x in found] for c in ("cdf", "log_density", "mean", "scale")})
 
-def x18_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture_columns(spark, sf_dir)
+    out = rows.mapInPandas(run, "code string, date date, cdf double, log_density double, mean double, scale double")
+    return out.select("code", "date", F.round("cdf", 6).alias("cdf"), F.round("log_density", 5).alias("log_density"), F.round("mean", 7).alias("mean"), F.round("scale", 7).alias("scale"))
 
 
 def f09_eligible_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Mixing sources to target weights along a low-discrepancy schedule.
 
-Slot ``j`` of the schedule is the point ``frac((j + 1/2) * (sqrt(5) - 1) / 2)`` of the golden-ratio sequence,
-mapped through the cumulative slots of the targets to a source. A source's documents, shuffled by a hash, form one
-stream of words that is cut into blocks of ``MIN_BLOCK`` words; the slot that is the source's r-th takes block
-``r mod blocks``, and the last slot as many words of its block as the target still asks for. So slots grow with the
-corpus, and what is taken meets the target at any size.
+The schedule's points are those of the golden ratio in integers: with consecutive Fibonacci numbers P < M, slot ``j``
+has the point ``j * P mod M`` of M, so that each point comes once in M slots and none is rounded, whatever M is. The
+points are mapped through the cumulative slots of the targets to sources. A source's documents, shuffled by a hash,
+form one stream of words that is cut into blocks of ``MIN_BLOCK`` words; the slot that is the source's r-th takes
+block ``r mod blocks``, and the last slot as many words of its block as the target still asks for. So slots grow with
+the corpus, and what is taken meets the target at any size.
 Only DataFrame and SQL functions are used.
 """
 
@@ -21,7 +22,8 @@ MAX_REPEATS = 3
 MIN_BLOCK = 16
 #: Parts of each source's shuffled stream, so that no source is laid out by one task.
 CELLS = 1024
-GOLDEN = 0.6180339887498949
+#: Slots ranked together, and groups of slots whose counts are summed together.
+PART = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -57,39 +59,67 @@ def source_sizes(docs: DataFrame, source: str = "source", size: str = "size") ->
     return sorted(((r[0], int(r[1] or 0)) for r in rows), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
 
 
-def schedule(spark, sizes: list[int], goals: list[int], block: int = MIN_BLOCK) -> DataFrame:
-    """Slots (slot, src, rank, block, words): src is the index of a source, rank counts its slots from 0, and words is
-    what it takes of its block. All slots of a source together take its goal."""
+def needs(sizes: list[int], goals: list[int], block: int = MIN_BLOCK) -> tuple[list[int], list[int], list[int]]:
+    """(blocks, rest, need) of each source: blocks of its stream, words of its goal beyond whole passes through the
+    stream, and the slots that passes and rest take."""
     blocks = [max(1, -(-n // block)) for n in sizes]
-    # passes through the stream, what is left of the goal, and the slots of both
     rest = [g % n if n else 0 for g, n in zip(goals, sizes, strict=True)]
-    need = [(g // n * k if n else 0) + -(-r // block) for g, n, k, r in zip(goals, sizes, blocks, rest, strict=True)]
+    return blocks, rest, [(g // n * k if n else 0) + -(-r // block) for g, n, k, r in zip(goals, sizes, blocks, rest, strict=True)]
+
+
+def lattice(total: int) -> tuple[int, int]:
+    """(P, M): the first consecutive Fibonacci numbers of which M is at least ``total``."""
+    p, m = 1, 2
+    while m < total:
+        p, m = m, p + m
+    return p, m
+
+
+def point(slot: Column, p: int, m: int) -> Column:
+    """``slot * p mod m``, exact up to 10^18 slots."""
+    wide = lambda x: x.cast("decimal(18,0)")
+    return (wide(slot) * wide(F.lit(p)) % wide(F.lit(m))).cast("long")
+
+
+def by_source_of(values: list[int]) -> Column:
+    return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("src"))
+
+
+def ranked(spark, need: list[int]) -> DataFrame:
+    """Slots (slot, src, rank) of the schedule: rank counts the slots of source ``src`` from 0 and ends at its need.
+
+    Source i owns at least need[i] of the M points, so all its slots are there once the sequence has run; the
+    points that it has beyond its need are the sequence's last and go. Ranks are sums of counts in three steps, slots
+    in parts and parts in groups of ``PART`` each, so that a task gets a source's groups at most: one row for 16.8 million slots.
+    """
     total = sum(need)
-    cum, at = [], 0
-    for n in need:
+    p, m = lattice(total)
+    bounds, at = [], 0
+    for n in need[:-1]:
         at += n
-        cum.append(at / total if total else 0.0)
-    pick = lambda values: F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("src"))
-    point = F.expr(f"((id + CAST(0.5 AS DOUBLE)) * CAST({GOLDEN!r} AS DOUBLE)) % CAST(1 AS DOUBLE)")
-    index = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cum[:-1]]), lambda c: c <= F.col("x"))) if len(cum) > 1 else F.lit(0)
-    slots = spark.range(total).withColumn("x", point).select(F.col("id").alias("slot"), index.alias("src"), (F.col("id") / 4096).cast("long").alias("part"))
-    # ranks in two steps, so that no task gets all slots of a source
-    parts = slots.groupBy("src", "part").agg(F.count("*").alias("n"))
-    before = stored(parts.select("src", "part", (F.sum("n").over(Window.partitionBy("src").orderBy("part")) - F.col("n")).alias("before"), "n"))
-    ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("src", "part").orderBy("slot")) - 1)
-    placed = ranked.join(F.broadcast(before.drop("n")), ["src", "part"]).select("slot", "src", (F.col("before") + F.col("r")).alias("rank"))
-    # the points miss a source's slots by a few: those beyond its goal go, and those it lacks come at the end
-    has = {r["src"]: r["n"] for r in before.groupBy("src").agg(F.sum("n").alias("n")).collect()}
-    late, end = [], total
-    for i, n in enumerate(need):
-        for rank in range(has.get(i, 0), n):
-            late.append((end, i, rank))
-            end += 1
-    known = placed.where(F.col("rank") < pick(need)).unionByName(spark.createDataFrame(late, "slot long, src int, rank long"))
+        bounds.append(at * m // total if total else 0)
+    src = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
+    tasks = max(spark.sparkContext.defaultParallelism, m >> 25)
+    slots = spark.range(0, m if total else 0, 1, tasks).select(F.col("id").alias("slot"), point(F.col("id"), p, m).alias("at"), F.expr(f"id div {PART}").alias("part")).select("slot", src.alias("src"), "part")
+    counts = stored(slots.groupBy("src", "part").agg(F.count("*").alias("n")).withColumn("group", F.expr(f"part div {PART}")))
+    earlier = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("src", "group").agg(F.sum("n").alias("n")).select("src", "group", earlier(["src"], "group").alias("before_group"))
+    before = counts.withColumn("in_group", earlier(["src", "group"], "part")).join(groups, ["src", "group"])
+    before = stored(before.select("src", "part", (F.col("in_group") + F.col("before_group")).alias("before")))
+    inside = slots.withColumn("r", F.row_number().over(Window.partitionBy("src", "part").orderBy("slot")) - 1)
+    # no hint: Spark broadcasts the counts only below its own limit of bytes, and else joins by the windows' keys
+    return inside.join(before, ["src", "part"]).select("slot", "src", (F.col("before") + F.col("r")).alias("rank")).where(F.col("rank") < by_source_of(need))
+
+
+def schedule(spark, sizes: list[int], goals: list[int], block: int = MIN_BLOCK) -> DataFrame:
+    """Slots (slot, src, rank, block, words): src is the index of a source, rank counts its slots from 0, and words is
+    what it takes of its block. All slots of a source together take its goal."""
+    blocks, rest, need = needs(sizes, goals, block)
+    pick = by_source_of
     block_ = F.col("rank") % pick(blocks)
     last = (F.col("rank") == pick(need) - 1) & (pick(rest) > 0)
     words = F.least(F.lit(block), pick(sizes) - block_ * block, F.when(last, pick(rest) - block_ * block))
-    return known.select("slot", "src", "rank", block_.alias("block"), words.alias("words"))
+    return ranked(spark, need).select("slot", "src", "rank", block_.alias("block"), words.alias("words"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -116,22 +146,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFra
     before = cells.select("src", "cell", (F.sum("n").over(Window.partitionBy("src").orderBy("cell")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("src", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_cell", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, ["src", "cell"]).withColumn("start", F.col("before") + F.col("in_cell"))
-    # a document joins the blocks that its words lie in; a word of a block counts as often as slots take it: all slots of
-    # the block but the last of the source take all of its words
-    whole = F.least(F.lit(block), F.get(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("src")) - F.col("block") * block)
-    cut = F.col("words") < whole
-    times = schedule(spark, sizes, [int(g + 0.5) for g in goals], block).groupBy("src", "block").agg(F.count_if(~cut).alias("times"), F.sum(F.when(cut, F.col("words")).otherwise(0)).alias("cut"), F.min("slot").alias("slot"))
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence((F.col("start") / block).cast("long"), ((F.col("start") + F.col("size") - 1) / block).cast("long"))))
-    first = F.greatest(F.col("start"), F.col("block") * block)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    some = F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.coalesce("cut", F.lit(0))) - first)
-    taken = pieces.join(times, ["src", "block"], "left").groupBy("doc_id", "src", "start", "size").agg(F.sum((end - first) * F.coalesce("times", F.lit(0)) + some).alias("taken"), F.min("slot").alias("slot"))
-    none = placed.where("size = 0").select("doc_id", "src", "start", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("slot"))
-    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("src"))
-    sources = F.get(F.array(*[F.lit(s) for s, _ in by_source]), F.col("src"))
-    return taken.unionByName(none).select(
-        "doc_id", sources.alias("source"), "size", pick(sizes).cast("long").alias("source_size"), pick(goals).alias("target"), F.col("taken").cast("long").alias("taken"), F.when(F.col("taken") > 0, F.col("slot")).alias("slot"),
-    )
+    # slots of rank r take block r mod blocks, so whole passes take all words of a document, and those left over
+    # its words before the cut; its first slot is that of the block in which it starts, whose rank is the block's number
+    goals_ = [int(g + 0.5) for g in goals]
+    blocks, rest, need = needs(sizes, goals_, block)
+    passes = by_source_of([g // n if n else 0 for g, n in zip(goals_, sizes, strict=True)])
+    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), by_source_of(rest) - F.col("start")))
+    at = placed.withColumn("taken", taken).withColumn("rank", F.when(F.col("taken") > 0, F.expr(f"start div {block}")))
+    names = F.get(F.array(*[F.lit(s) for s, _ in by_source]), F.col("src"))
+    columns = ["doc_id", names.alias("source"), "size", by_source_of(sizes).alias("source_size"), F.get(F.array(*[F.lit(g) for g in goals]), F.col("src")).alias("target"), "taken", "slot"]
+    first = ranked(spark, need).where(F.col("rank") < by_source_of(blocks))
+    some = at.where("taken > 0").join(first, ["src", "rank"]).select(*columns)
+    return some.unionByName(at.where("taken = 0").withColumn("slot", F.lit(None).cast("long")).select(*columns))
 
 
 def apply_mix(docs: DataFrame, ordered: bool = False, **options) -> DataFrame:

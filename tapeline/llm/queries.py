@@ -41,7 +41,8 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("source", "slot")
+    """The mix of all documents, with the first slot of each; odd rows as in ``mixing.mix``."""
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tapeline.llm import divergence, langid, mixing, network, scoring
 from tapeline.llm.words import word_hashes
@@ -76,6 +77,51 @@ def test_small_sources_meet_their_targets(spark):
     assert [sum(r["words"] for r in slots if r["src"] == k) for k in range(3)] == [90, 2, 777] and len({r["slot"] for r in slots}) == len(slots)
 
 
+def test_points_are_exact_at_any_slot(spark):
+    """Every point once in M slots; at 10^12 slots and more the same as in whole numbers of any length."""
+    p, m = mixing.lattice(1000)
+    assert (p, m) == (987, 1597) and sorted(j * p % m for j in range(m)) == list(range(m))
+    p, m = mixing.lattice(3 * 10**12)
+    assert m >= 3 * 10**12 and m < 1.62 * 3 * 10**12
+    ids = [0, 1, 10**9 + 7, 10**12, 10**12 + 1, m - 1]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing.point(F.col("id"), p, m).alias("at")).collect()
+    assert {r["id"]: r["at"] for r in got} == {i: i * p % m for i in ids}
+
+
+def test_ranks_count_slots_in_order(spark, monkeypatch):
+    """Against counting slot by slot, with parts and groups of parts small enough that all three sums are met."""
+    monkeypatch.setattr(mixing, "PART", 7)
+    need = [300, 1, 0, 577]
+    p, m = mixing.lattice(sum(need))
+    seen, want = [0] * 4, set()
+    bounds = [sum(need[: k + 1]) * m // sum(need) for k in range(4)]
+    for j in range(m):
+        k = sum(b <= j * p % m for b in bounds[:-1])
+        if seen[k] < need[k]:
+            want.add((j, k, seen[k]))
+        seen[k] += 1
+    got = [tuple(r) for r in mixing.ranked(spark, need).collect()]
+    assert set(got) == want and len(got) == sum(need) and mixing.ranked(spark, [0, 0]).count() == 0
+
+
+def test_taken_words_are_those_of_the_schedule(spark):
+    """Slot by slot: what the slots take of each document's words, and the first of them, is what the mix says."""
+    docs = spark.createDataFrame([(i, "w " * (i * 37 % 101), "abc"[i % 7 % 3]) for i in range(90)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    key = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id", "text")).collect()}
+    by_source = sorted({(r["source"], r["source_size"], r["target"]) for r in got.values()})
+    slots = mixing.schedule(spark, [x[1] for x in by_source], [int(x[2] + 0.5) for x in by_source]).collect()
+    for k, (name, size, _) in enumerate(by_source):
+        stream = [r for r in sorted(got.values(), key=lambda r: (key[r["doc_id"]] % mixing.CELLS, key[r["doc_id"]])) if r["source"] == name for _ in range(r["size"])]
+        assert len(stream) == size
+        taken, first = Counter(), {}
+        for s in sorted((s for s in slots if s["src"] == k), key=lambda s: s["slot"]):
+            for r in stream[s["block"] * mixing.MIN_BLOCK :][: s["words"]]:
+                taken[r["doc_id"]] += 1
+                first.setdefault(r["doc_id"], s["slot"])
+        assert all(r["taken"] == taken[r["doc_id"]] and r["slot"] == first.get(r["doc_id"]) for r in got.values() if r["source"] == name)
+
+
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(0)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))

@@ -85,6 +85,23 @@ def by_source_of(values: list[int]) -> Column:
     return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("src"))
 
 
+def interval(at: Column, bounds: list[int], first: int = 0) -> Column:
+    """How many of the ascending bounds are not above ``at``, by halving."""
+    if not bounds:
+        return F.lit(first)
+    k = len(bounds) // 2
+    return F.when(at < F.lit(bounds[k]), interval(at, bounds[:k], first)).otherwise(interval(at, bounds[k + 1 :], first + k + 1))
+
+
+def points(spark, p: int, m: int) -> DataFrame:
+    """(slot, part, at) of all M slots. Only the first point of each part needs decimals; within a part the products are
+    below ``PART * M``, so long up to 10^15 slots."""
+    tasks = max(spark.sparkContext.defaultParallelism, m >> 25)
+    parts = spark.range(0, -(-m // PART), 1, tasks).select(F.col("id").alias("part"), point(F.col("id") * PART, p, m).alias("start"))
+    each = parts.select("part", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(PART), F.lit(m) - F.col("part") * PART) - 1)).alias("k"))
+    return each.select((F.col("part") * PART + F.col("k")).alias("slot"), "part", ((F.col("start") + F.col("k") * F.lit(p).cast("long")) % F.lit(m).cast("long")).alias("at"))
+
+
 def ranked(spark, need: list[int]) -> DataFrame:
     """Slots (slot, src, rank) of the schedule: rank counts the slots of source ``src`` from 0 and ends at its need.
 
@@ -98,17 +115,15 @@ def ranked(spark, need: list[int]) -> DataFrame:
     for n in need[:-1]:
         at += n
         bounds.append(at * m // total if total else 0)
-    src = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
-    tasks = max(spark.sparkContext.defaultParallelism, m >> 25)
-    slots = spark.range(0, m if total else 0, 1, tasks).select(F.col("id").alias("slot"), point(F.col("id"), p, m).alias("at"), F.expr(f"id div {PART}").alias("part")).select("slot", src.alias("src"), "part")
+    slots = points(spark, p, m if total else 0).select("slot", interval(F.col("at"), bounds).alias("src"), "part")
     counts = stored(slots.groupBy("src", "part").agg(F.count("*").alias("n")).withColumn("group", F.expr(f"part div {PART}")))
     earlier = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = counts.groupBy("src", "group").agg(F.sum("n").alias("n")).select("src", "group", earlier(["src"], "group").alias("before_group"))
     before = counts.withColumn("in_group", earlier(["src", "group"], "part")).join(groups, ["src", "group"])
     before = stored(before.select("src", "part", (F.col("in_group") + F.col("before_group")).alias("before")))
     inside = slots.withColumn("r", F.row_number().over(Window.partitionBy("src", "part").orderBy("slot")) - 1)
-    # no hint: Spark broadcasts the counts only below its own limit of bytes, and else joins by the windows' keys
-    return inside.join(before, ["src", "part"]).select("slot", "src", (F.col("before") + F.col("r")).alias("rank")).where(F.col("rank") < by_source_of(need))
+    # the counts grow with the slots: they are merged with the window's rows, which lie and are sorted by these keys already
+    return inside.join(before.hint("merge"), ["src", "part"]).select("slot", "src", (F.col("before") + F.col("r")).alias("rank")).where(F.col("rank") < by_source_of(need))
 
 
 def schedule(spark, sizes: list[int], goals: list[int], block: int = MIN_BLOCK) -> DataFrame:
@@ -156,7 +171,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFra
     names = F.get(F.array(*[F.lit(s) for s, _ in by_source]), F.col("src"))
     columns = ["doc_id", names.alias("source"), "size", by_source_of(sizes).alias("source_size"), F.get(F.array(*[F.lit(g) for g in goals]), F.col("src")).alias("target"), "taken", "slot"]
     first = ranked(spark, need).where(F.col("rank") < by_source_of(blocks))
-    some = at.where("taken > 0").join(first, ["src", "rank"]).select(*columns)
+    some = at.where("taken > 0").join(first.hint("merge"), ["src", "rank"]).select(*columns)
     return some.unionByName(at.where("taken = 0").withColumn("slot", F.lit(None).cast("long")).select(*columns))
 
 

@@ -19,7 +19,9 @@ from .words import chunks
 BUCKETS = 1 << 16
 ROUNDS = 12
 #: Probabilities (n-grams of documents times languages) that are held at once.
-CELLS = 1 << 23
+CELLS = 1 << 20
+#: Bytes of texts whose n-grams are taken at once.
+RUN = 1 << 19
 PENALTY = 6.0
 NONE = "und"
 _CLASS = np.full(256, 32, np.uint32)
@@ -49,7 +51,7 @@ def learn(docs: DataFrame, use: Column) -> tuple[list[str], np.ndarray]:
     def count(batches):
         for b in batches:
             lang = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
-            for i, j, data, offs in chunks(b.column(1)):
+            for i, j, data, offs in chunks(b.column(1), RUN):
                 code, row = grams(data, offs)
                 here, of = np.unique(lang[i:j], return_inverse=True)
                 key = of[row] * BUCKETS + code
@@ -149,7 +151,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         table = shared.value
         for b in batches:
             texts = b.column(1)
-            for i, j, data, offs in chunks(texts):
+            for i, j, data, offs in chunks(texts, RUN):
                 best, score, chosen = judge(table, *grams(data, offs), j - i)
                 pred, sets, shares = [], [], []
                 for r in range(j - i):
@@ -188,7 +190,7 @@ def apply_language_id(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, j, data, offs in chunks(b.column(at)):
+            for i, j, data, offs in chunks(b.column(at), RUN):
                 best, score, _ = judge(shared.value, *grams(data, offs), j - i)
                 good = [k for k in range(i, j) if langs and best[k - i] >= 0 and score[k - i] >= min_score and has_letter(bytes(data[offs[k - i] : offs[k - i + 1]]).decode("utf-8", "replace"))]
                 yield b.take(pa.array(good, pa.int64()))

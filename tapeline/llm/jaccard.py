@@ -200,15 +200,22 @@ def kept_sets(docs: DataFrame, signed: DataFrame, texts: DataFrame, size: int, r
     first = signed.join(texts, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.*")
 
     def run(batches):
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(bins, pa.binary()), pa.array(hashes, pa.binary())], names=["fp", "bitmap", "bins", "hashes"])
+
+        fps, maps, bins, hashes = [], [], [], []
         for b in batches:
-            fps, maps, bins, hashes = [], [], [], []
             for _, s in sets(b.column(2), size):
                 fps.append(digest(s, renamed))
                 parity = np.bincount((s >> np.uint64(48) & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
                 maps.append(np.packbits(parity.astype(np.uint8)).view("<i8").tolist())
                 bins.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
                 hashes.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(bins, pa.binary()), pa.array(hashes, pa.binary())], names=["fp", "bitmap", "bins", "hashes"])
+                if len(fps) >= 1000:
+                    yield out()
+                    fps, maps, bins, hashes = [], [], [], []
+        if fps:
+            yield out()
 
     rows, first = keyed(docs), stored(first.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")))
     wanted = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first

@@ -21,9 +21,9 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 LENGTH = 2048
 MAX_SEGMENTS = 16
-#: Pieces among which the heuristic chooses, and words that a tokenizer remembers.
+#: Pieces among which the heuristic chooses, words that a tokenizer remembers, and their most bytes.
 WINDOW = 1024
-MEMORY = 300_000
+MEMORY, LONGEST = 300_000, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -54,37 +54,38 @@ def by_words(tokenizer) -> bool:
 
 class Words(dict):
     """From a word, as bytes, to its ids as little-endian 32-bit bytes. Words are what ASCII white space separates:
-    the pieces of a tokenizer for which ``by_words`` holds never cross it."""
+    the pieces of a tokenizer for which ``by_words`` holds never cross it. Long words aren't remembered."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.cores, self.letters, self.direct = tokenizer, {}, byte_letters(), by_words(tokenizer)
+        self.tokenizer, self.letters, self.direct = tokenizer, byte_letters(), by_words(tokenizer)
         #: A word of Latin letters with marks around it: letters and marks are never one piece, normalisation
-        #: leaves them as they are but for case, so both can go to the tokenizer's model directly.
+        #: leaves them as they are but for case, so a word is its parts, and its letters can go to the tokenizer's
+        #: model directly.
         self.split = re.compile(r"([.,;:!?*#&%$()|]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#&%$()|]*)").fullmatch
 
     def encode(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def core(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if (out := self.cores.get(word)) is None:
-            spelled = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            out = self.cores[word] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
-        return out
+    def letters_of(self, word: str) -> bytes:
+        spelled = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
 
     def __missing__(self, word: bytes) -> bytes:
         m = self.split(word.decode())
-        out = self.core(m[1]) + self.core(m[2].lower()) + self.core(m[3]) if m else self.encode(word)
-        self[word] = out
+        if not m:
+            out = self.encode(word)
+        elif (core := m[2].lower()) == m[0]:
+            out = self.letters_of(core)
+        else:
+            out = b"".join([self[part.encode()] for part in (m[1], core, m[3]) if part])
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
     def ids(self, text: bytes) -> bytes:
         if len(self) > MEMORY:
             self.clear()
-        if len(self.cores) > MEMORY:
-            self.cores.clear()
         if not self.direct or b"<|" in text:  # special tokens may hold or touch anything
             return self.encode(text)
         return b"".join(map(self.__getitem__, text.split()))

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+#: Bytes of texts that are hashed at once: a task takes about 100 bytes of memory for each.
+CHUNK = 1 << 19
 _SEP = np.zeros(256, bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -22,7 +23,7 @@ def _table(name: str, base: int, n: int) -> np.ndarray:
         table = np.full(max(n, CHUNK), base, np.uint64)
         table[0] = 1
         out = np.cumprod(table)
-        if n > 8 * CHUNK:  # a very long text's own, not kept
+        if n > 4 << 20:  # a very long text's own, not kept
             return out
         _powers[name] = out
     return _powers[name]

@@ -38,18 +38,58 @@ SPELLING_BLOCK = 1 << 14
 SLOTS = 20
 #: Bytes of text that are scored at once.
 RUN = 1 << 19
+#: Keys that a task holds before it puts them out, windows of a block of the memory, and what is known of a window: how
+#: often it comes, and the least and the greatest word in it.
+HELD, BLOCK = 1 << 19, 1 << 19
+SEEN = np.dtype([("key", "<u8"), ("n", "<i8"), ("low", "<i4"), ("high", "<i4")])
 #: Bits of the flags for each window that is remembered, and powers of two between which their number lies.
 FLAGS, FEWEST, MOST = 16, 16, 29
 
 
+def merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Records of one key each, by key: ``n`` is added up, ``low`` and ``high`` are the least and the greatest."""
+    rows = np.concatenate(parts)
+    order = np.argsort(rows["key"])
+    key = rows["key"][order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    out = np.empty(len(at), rows.dtype)
+    out["key"] = key[at]
+    for name, add in (("n", np.add), ("low", np.minimum), ("high", np.maximum)):
+        if name in rows.dtype.names and len(at):
+            out[name] = add.reduceat(rows[name][order], at)
+    return out
+
+
+def combined(parts, most: int):
+    """Merged records, put out when more than ``most`` keys are held, and at the end."""
+    held, n = [], 0
+    for rows in parts:
+        held.append(rows)
+        n += len(rows)
+        if n > 2 * most:
+            held = [merged(held)]
+            n = len(held[0])
+            if n > most:
+                yield held[0]
+                held, n = [], 0
+    if held:
+        yield merged(held)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, n): the hash of each word of all documents and how often it comes."""
 
-    def count(batches):
+    def counted(batches):
         for b in batches:
             for _, _, data, offs in chunks(b.column(0)):
-                h, n_ = np.unique(word_hashes(data, offs)[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n_.astype(np.int64)})
+                h, n = np.unique(word_hashes(data, offs)[0], return_counts=True)
+                rows = np.empty(len(h), [("key", "<u8"), ("n", "<i8")])
+                rows["key"], rows["n"] = h, n
+                yield rows
+
+    def count(batches):
+        for rows in combined(counted(batches), HELD):
+            yield pa.RecordBatch.from_pydict({"h": rows["key"].view(np.int64).copy(), "n": rows["n"].copy()})
 
     return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -215,18 +255,50 @@ def unknown(texts: pa.Array, tokens: Tokens):
         yield i, j, data, token, bounds, at, starts[at], ends[at], mixed(window).view(np.int64), (hashes[at] >> np.uint64(33)).astype(np.int32)
 
 
-def memory(docs: DataFrame, words: list[int]) -> DataFrame:
-    """(window, word): windows that occur more than once around unknown words in all documents, and the word if it
-    was the same each time, else null."""
-    tokens = Tokens(words)
+def memory(docs: DataFrame, words: list[int], places: int = 0) -> DataFrame:
+    """(window, word, n): windows that occur more than once around unknown words in all documents, the word if it
+    was the same each time, else null, and how often. ``places``: about how many unknown words there are; the blocks of
+    windows, by the high bits of their hash, follow it. A task merges equal windows before it sends them."""
+    tokens, bits = Tokens(words), max(0, (places - 1) // BLOCK).bit_length()
 
-    def run(batches):
+    def met(batches):
         for b in batches:
             for *_, window, word in unknown(b.column(0), tokens):
-                yield pa.RecordBatch.from_pydict({"window": window, "word": word})
+                rows = np.empty(len(window), SEEN)
+                rows["key"], rows["n"], rows["low"], rows["high"] = window.view(np.uint64), 1, word, word
+                yield rows
+
+    def cut(batches):
+        for rows in combined(met(batches), HELD):
+            of = (rows["key"] >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(rows), np.int32)
+            at = np.flatnonzero(np.diff(of, prepend=-1))
+            ends = np.append(at, len(rows)) * SEEN.itemsize
+            values = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(rows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(of[at]), values.cast(pa.binary())], names=["block", "seen"])
+
+    def repeated(rows):
+        rows = rows[rows["n"] > 1]
+        word = pa.array(rows["low"].copy(), pa.int32(), mask=rows["low"] != rows["high"])
+        return pa.RecordBatch.from_arrays([pa.array(rows["key"].view(np.int64).copy()), word, pa.array(rows["n"].copy())], names=["window", "word", "n"])
+
+    def join(batches):
+        at, held, n = None, [], 0
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != at and held:
+                    yield repeated(merged(held))
+                    held, n = [], 0
+                at = k
+                held.append(np.frombuffer(x.as_buffer(), SEEN))
+                n += len(held[-1])
+                if n > 4 * BLOCK:  # windows that come again and again
+                    held = [merged(held)]
+                    n = len(held[0])
+        if held:
+            yield repeated(merged(held))
 
-    seen = docs.select("text").mapInArrow(run, "window long, word int").groupBy("window").agg(F.count("*").alias("n"), F.min("word").alias("low"), F.max("word").alias("high"))
-    return seen.where("n > 1").select("window", F.when(F.col("low") == F.col("high"), F.col("low")).alias("word"), "n")
+    parts = docs.select("text").mapInArrow(cut, "block int, seen binary").repartition(min(1 << bits, 4096), "block").sortWithinPartitions("block")
+    return parts.mapInArrow(join, "window long, word int, n long")
 
 
 def flags(known: DataFrame) -> np.ndarray:
@@ -344,5 +416,5 @@ def pseudo_likelihood(docs: DataFrame, use: Column | None = None) -> DataFrame:
     counts = stored(word_counts(learned))
     words, n = vocabulary(counts)
     total = int(counts.agg(F.sum("n")).first()[0] or 0)
-    known = stored(memory(learned, words))
+    known = stored(memory(learned, words, total - sum(n)))
     return score(docs, words, *train(learned, words, n, total), known, agreement(known))

@@ -177,3 +177,33 @@ def test_memory_of_shingles():
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert n == 3000 and peak < 25e6, peak
+
+
+def test_windows_are_merged_before_they_are_sent(spark):
+    """The memory holds each repeated window with its count and its one word, in any number of blocks, and rows of single
+    windows aren't shuffled."""
+    texts = ["a b c d e f", "a b c d e f", "a b x d e f", "p q r", "p q r", "", None, "lone words here"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3 + ["seen once only"])], "doc_id long, text string")
+    words = scoring.vocabulary(scoring.word_counts(docs), 4)[0]
+    every = [x for *_, window, word in scoring.unknown(pa.array([r["text"] for r in docs.collect()]), scoring.Tokens(words)) for x in zip(window.tolist(), word.tolist(), strict=True)]
+    n, held = Counter(w for w, _ in every), {}
+    for w, x in every:
+        held.setdefault(w, set()).add(x)
+    want = sorted((w, held[w].copy().pop() if len(held[w]) == 1 else None, k) for w, k in n.items() if k > 1)
+    assert any(x is None for _, x, _ in want) and any(k == 1 for k in n.values())
+    for places in (0, len(every), 50 * scoring.BLOCK):
+        known = scoring.memory(docs.repartition(5), words, places)
+        assert sorted(map(tuple, known.collect())) == want and "HashAggregate" not in known._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_merged_by_key():
+    rng = np.random.default_rng(0)
+    rows = np.zeros(5000, scoring.SEEN)
+    rows["key"], rows["n"], rows["low"] = rng.integers(0, 900, 5000).astype(np.uint64) << np.uint64(54), 1, rng.integers(0, 99, 5000)
+    rows["high"] = rows["low"]
+    for most in (50, 10_000):
+        parts = list(scoring.combined((rows[i : i + 70] for i in range(0, 5000, 70)), most))
+        assert (len(parts) == 1) == (most > 900) and all((np.diff(p["key"].astype(float)) > 0).all() for p in parts)
+        got = scoring.merged(parts)
+        assert {k: (n, lo, hi) for k, n, lo, hi in got.tolist()} == {int(k): (int((m := rows["key"] == k).sum()), int(rows["low"][m].min()), int(rows["low"][m].max())) for k in np.unique(rows["key"])}
+    assert not len(scoring.merged([rows[:0]])) and list(scoring.combined([], 5)) == []

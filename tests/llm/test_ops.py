@@ -476,6 +476,33 @@ def test_pipeline(spark, docs, rows):
     assert out.count() > 0 and "sequence_id" in out.columns
 
 
+def test_pipeline_batches(spark, docs):
+    """Python tasks of the stages get a thousand rows at once at most, or as few as the session asks for; the rows that come out are the same."""
+    import corpus_pipeline as c
+    import pyarrow as pa
+
+    def largest(batches):
+        yield pa.RecordBatch.from_pydict({"n": [max(len(b) for b in batches)]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    count = docs.count()
+    many = docs.crossJoin(spark.range(2500 // count + 1).withColumnRenamed("id", "k")).withColumn("doc_id", F.col("doc_id") + F.col("k") * 1_000_000).drop("k").coalesce(1)
+    plain = {"language": langid.apply_language_id, "pack": lambda d: packing.pack(d, tokenizer_path())}
+    try:
+        spark.conf.set(key, 10_000)
+        want = {name: sorted(map(tuple, f(many).collect())) for name, f in plain.items()}
+        assert spark.range(0, 2500, 1, 1).mapInArrow(largest, "n long").first()[0] == 2500
+        for name in ("language", "near_duplicates", "pack"):
+            for asked, most in ((10_000, 1000), (0, 1000), (300, 300)):
+                spark.conf.set(key, asked)
+                out = getattr(c, name)(spark, docs if name == "near_duplicates" else many, SF)
+                assert spark.range(0, 2500, 1, 1).mapInArrow(largest, "n long").first()[0] == most
+                assert name not in want or sorted(map(tuple, out.collect())) == want[name]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_sets_of_one_digest(spark):
     """Different sets whose first digests are equal are told apart by the second."""
     import pyarrow as pa

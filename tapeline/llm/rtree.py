@@ -4,13 +4,15 @@ Vectors are dealt to blocks by ranges of label and first component. A block sort
 component of the largest spread, cuts them into slabs, sorts each slab by the next component and so on, down to leaves;
 consecutive leaves share a parent, and so on up to one root. Every node has the smallest box that holds its vectors, and
 from a query's weights each side of the box gives an interval of products; their sums bound the scores inside. The search
-opens the node of the highest bound first. It leaves out boxes outside the window of wanted scores, boxes of unwanted
-labels, and boxes strictly below the k-th score so far, and ends when the highest bound is strictly below it.
+opens the nodes of the highest bounds first. It leaves out boxes outside the windows of wanted scores, boxes of unwanted
+labels, and boxes strictly below the k-th score so far, and ends when the highest bound is strictly below it. The
+queries of a batch are searched side by side, in rounds: a round opens the best node of each query, later the best ones
+in proportion to what it has opened, and a node that several queries open meets them in one product of matrices.
 """
 
 from __future__ import annotations
 
-import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors of a leaf, children of a node, components of a block, queries of a batch.
-LEAF, FAN, BLOCK, BATCH = 64, 16, 1 << 20, 256
+#: Vectors of a leaf, children of a node, components of a block, queries of a batch, bounds held at once.
+LEAF, FAN, BLOCK, BATCH, BOUNDS = 64, 16, 1 << 20, 1024, 1 << 22
 POSITIVES, NEGATIVES, SCALE = 5, 10, 256
 #: A negative's score is at least and at most so many hundredths of the positive's.
 LOW, HIGH = 30, 90
-INDEX = "dims int, keys binary, ids binary, labels binary, wide boolean, rows binary, starts binary"
+INDEX = "dims int, keys binary, ids binary, labels binary, wide boolean, rows binary, starts binary, turn long"
+FOUND = "key long, n long, id long, score long"
 ANY = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -75,44 +78,90 @@ class Tree:
         return cls(keys[order], ids[order], labels[order], rows[order], np.concatenate([[0], np.cumsum([len(x) for x in leaves])]).astype(np.int64))
 
     def best(self, key: int, q: np.ndarray, label: int, same: bool, window: tuple[int, int], k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, nodes opened): of the rows other than ``key``, of the same label or of other ones, with scores
-        within ``window``, the k best by score and then smaller id."""
-        dims = len(q)
-        big = float(np.abs(q).max(initial=0)) * self.top * max(1, dims)
-        exact_in_float = big < 2**53
-        slack = 0.0 if exact_in_float else big * 1e-14 * (dims + 1)
-        up, down, whole = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64), q.astype(np.float64)
-        low, high = window
-        ids, scores, opened, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, -np.inf
-        heap: list[tuple[float, int, int]] = []
-
-        def offer(depth: int, first: int, last: int) -> None:
-            """Puts nodes of a level into the queue, if they can hold what is wanted."""
+        """(ids, scores, nodes opened) of ``search`` for one query with one window."""
+        low, high = (np.array([[x]], np.int64) for x in window)
+        (_, _, ids, scores), opened = self.search(np.array([key]), np.asarray(q)[None], np.array([label]), same, low, high, k)
+        return ids, scores, int(opened[0])
+
+    def search(self, keys: np.ndarray, q: np.ndarray, labels: np.ndarray, same: bool, low: np.ndarray, high: np.ndarray, k: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """((query, window, id, score), nodes opened by each query): of the rows other than the query's ``keys``, of the
+        same label or of other ones, with scores within a window low[query, window] to high[query, window], the k best
+        by score and then smaller id, for each window."""
+        dims, nodes = q.shape[1], sum(len(level[0]) for level in self.levels)
+        big = np.abs(q.astype(np.float64)).max(1, initial=0) * self.top * max(1, dims)
+        some, exact = max(1, BOUNDS // nodes), big < 2**53
+        parts = [x[i : i + some] for x in (np.flatnonzero(exact), np.flatnonzero(~exact)) for i in range(0, len(x), some)]
+        out, opened = [[np.zeros(0, np.int64)] for _ in range(4)], np.zeros(len(q), np.int64)
+        for at in parts:
+            slack = np.where(exact[at], 0.0, big[at] * 1e-14 * (dims + 1))
+            (who, *found), opened[at] = self.side_by_side(keys[at], q[at], labels[at], same, low[at], high[at], k, bool(exact[at[0]]), slack)
+            for o, x in zip(out, (at[who], *found), strict=True):
+                o.append(x)
+        return tuple(np.concatenate(o) for o in out), opened
+
+    def side_by_side(self, keys, q, labels, same, low, high, k, exact: bool, slack: np.ndarray):
+        """``search`` for queries whose scores are all exact in floats, or all aren't."""
+        (many, width), base = low.shape, np.cumsum([0, *(len(level[0]) for level in self.levels)])
+        up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+        vectors, q = (self.as_float, q.astype(np.float64)) if exact else (self.rows, q)
+        low, high = (low.astype(np.float64), high.astype(np.float64)) if exact else (low, high)
+        # the least score that a window still takes: its own, later its k-th so far
+        floor, highest = low.copy(), high.max(1)
+        queue, opened = np.full((many, base[-1]), -np.inf), np.zeros(many, np.int64)
+        want, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, q.dtype)
+
+        def offer(depth: int, first: int, last: int, who: np.ndarray) -> None:
+            """Puts nodes of a level into the queues of those queries for which they can hold what is wanted."""
             lo, hi, lab_lo, lab_hi = (x[first:last] for x in self.levels[depth])
-            most, least = hi @ up + lo @ down, lo @ up + hi @ down
-            ok = (most + slack >= low) & (least - slack <= high) & (most + slack >= kth)
-            ok &= (lab_lo <= label) & (lab_hi >= label) if same else (lab_lo != label) | (lab_hi != label)
-            for i in np.flatnonzero(ok).tolist():
-                heapq.heappush(heap, (-most[i], depth, first + i))
-
-        offer(len(self.levels) - 1, 0, 1)
-        while heap:
-            most, depth, node = heapq.heappop(heap)
-            if -most + slack < kth:
+            most, least = up[who] @ hi.T + down[who] @ lo.T + slack[who, None], up[who] @ lo.T + down[who] @ hi.T - slack[who, None]
+            ok = np.zeros(most.shape, bool)
+            for n in range(width):
+                ok |= (most >= floor[who, n, None]) & (least <= high[who, n, None])
+            mine = labels[who, None]
+            ok &= (lab_lo <= mine) & (lab_hi >= mine) if same else (lab_lo != mine) | (lab_hi != mine)
+            queue[who, base[depth] + first : base[depth] + last] = np.where(ok, most, -np.inf)
+
+        offer(len(self.levels) - 1, 0, 1, np.arange(many))
+        take = 1
+        while True:
+            lowest = floor.min(1)
+            queue[queue < lowest[:, None]] = -np.inf
+            live = np.flatnonzero(queue.max(1) > -np.inf)
+            if not len(live):
                 break
-            opened += 1
-            if depth:
-                offer(depth - 1, node * FAN, min((node + 1) * FAN, len(self.levels[depth - 1][0])))
-                continue
-            at = slice(self.starts[node], self.starts[node + 1])
-            got = (self.as_float[at] @ whole).astype(np.int64) if exact_in_float else self.rows[at] @ q
-            ok = (self.keys[at] != key) & (got >= low) & (got <= high) & ((self.labels[at] == label) == same) & (got >= kth)
-            if ok.any():
-                ids, scores = np.concatenate([ids, self.ids[at][ok]]), np.concatenate([scores, got[ok]])
-                first = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[first], scores[first]
-                kth = scores[-1] if len(scores) == k else kth
-        return ids, scores, opened
+            n = min(take, queue.shape[1])
+            node = np.argpartition(-queue[live], n - 1, axis=1)[:, :n].ravel()
+            who = np.repeat(live, n)
+            node, who = (x[queue[who, node] > -np.inf] for x in (node, who))
+            queue[who, node] = -np.inf
+            opened += np.bincount(who, minlength=many)
+            order = np.argsort(node, kind="stable")
+            node, who = node[order], who[order]
+            first = np.flatnonzero(np.diff(node, prepend=-1))
+            new = [(want, ids, scores)]
+            for one, who in zip(node[first].tolist(), np.split(who, first[1:]), strict=True):
+                if one >= base[1]:
+                    depth = int(np.searchsorted(base, one, "right")) - 1
+                    at = (one - base[depth]) * FAN
+                    offer(depth - 1, at, min(at + FAN, len(self.levels[depth - 1][0])), who)
+                    continue
+                at = slice(self.starts[one], self.starts[one + 1])
+                got = q[who] @ vectors[at].T
+                i, r = np.nonzero((got >= lowest[who, None]) & (got <= highest[who, None]))
+                score, r, i = got[i, r], r + at.start, who[i]
+                ok = (floor[i] <= score[:, None]) & (high[i] >= score[:, None])
+                ok &= ((self.keys[r] != keys[i]) & ((self.labels[r] == labels[i]) == same))[:, None]
+                i_, n = np.nonzero(ok)
+                new.append((i[i_] * width + n, self.ids[r[i_]], score[i_]))
+            want, ids, scores = (np.concatenate(x) for x in zip(*new, strict=True))
+            order = np.lexsort((ids, -scores, want))
+            want, ids, scores = want[order], ids[order], scores[order]
+            rank = np.arange(len(want)) - np.searchsorted(want, want)
+            want, ids, scores, rank = (x[rank < k] for x in (want, ids, scores, rank))
+            full = rank == k - 1
+            floor.reshape(-1)[want[full]] = scores[full]
+            take = 1 + int(opened.max()) // 2
+        return (want // width, want % width, ids, scores.astype(np.int64)), opened
 
     def row(self) -> tuple:
         wide = self.top >= 2**31 - 1
@@ -125,12 +174,15 @@ class Tree:
 
 
 def packed(batches):
-    """Trees of vectors of equal length, of at most ``BLOCK`` components but one vector at least, from a partition's rows."""
-    names, held = [x.split()[0] for x in INDEX.split(", ")], {}
+    """Trees of vectors of equal length, of at most ``BLOCK`` components but one vector at least, from a partition's rows.
+    Their turns, by which they are dealt to tasks, start with the partition's number and go up by one."""
+    from pyspark import TaskContext
+
+    names, held, turn = [x.split()[0] for x in INDEX.split(", ")], {}, itertools.count(TaskContext.get().partitionId())
 
     def put(parts):
-        row = Tree.of(*parts).row()
-        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int32(), *[pa.binary()] * 3, pa.bool_(), *[pa.binary()] * 2), strict=True)], names=names)
+        row = *Tree.of(*parts).row(), next(turn)
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int32(), *[pa.binary()] * 3, pa.bool_(), *[pa.binary()] * 2, pa.int64()), strict=True)], names=names)
 
     for b in batches:
         keys, ids, labels = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
@@ -150,40 +202,51 @@ def packed(batches):
             yield put(parts)
 
 
-def indexed(valid: DataFrame) -> DataFrame:
+def indexed(valid: DataFrame, components: int) -> DataFrame:
     """The trees, stored. Ranges of label and first component bring similar vectors together; the row's own key splits
-    what is equal, so no vector, however frequent, fills a partition of its own."""
+    what is equal, so no vector, however frequent, fills a partition of its own. Since a query gets up to k rows a
+    block, few vectors aren't dealt to more blocks than there are cores."""
     near = valid.repartitionByRange(F.size("v"), "label", F.get("v", F.lit(0)), "key")
+    near = near.coalesce(max(valid.sparkSession.sparkContext.defaultParallelism, -(-components // BLOCK)))
     return stored(near.select("key", "id", "label", "v").mapInArrow(packed, INDEX))
 
 
-def searched(index: DataFrame, queries: DataFrame, same: bool, k: int) -> DataFrame:
+def asked_of(batch: pa.StructArray, dims: int) -> tuple[np.ndarray, ...]:
+    """(keys, vectors, labels, lowest, highest score of each window) of a batch of queries. Windows that a query lacks
+    are empty ones."""
+    keys, labels = (batch.field(c).to_numpy(zero_copy_only=False) for c in ("key", "label"))
+    vectors = batch.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), dims)
+    held = batch.field("windows")
+    there = np.diff(held.offsets.to_numpy())
+    there = np.arange(there.max()) < there[:, None]
+    low, high = np.full(there.shape, ANY[1]), np.full(there.shape, ANY[0])
+    for side, name in ((low, "low"), (high, "high")):
+        side[there] = held.flatten().field(name).to_numpy(zero_copy_only=False)
+    return keys, vectors, labels, low, high
+
+
+def searched(index: DataFrame, queries: DataFrame, batches: int, same: bool, k: int) -> DataFrame:
     """(key, n, id, score): for each of ``queries`` (key, label, v, windows array<struct<low, high>>) and the n-th of its
-    windows up to k best of every block. Every batch of queries goes to every partition of the index: the stated query
-    set against all rows, in blocks."""
+    windows up to k best of every block. Every one of the ``batches`` of queries goes to every partition of the index:
+    the stated query set against all rows, in blocks."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batch = queries.withColumn("batch", F.expr(f"monotonically_increasing_id() div {BATCH}")).groupBy("batch", F.size("v").alias("dims")).agg(F.collect_list(F.struct("key", "label", "v", "windows")).alias("queries"))
+    batch = queries.groupBy(F.pmod(F.xxhash64("key"), F.lit(batches)).alias("batch"), F.size("v").alias("dims")).agg(F.collect_list(F.struct("key", "label", "v", "windows")).alias("queries"))
     batch = batch.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("to", "dims", "queries")
-    names = [x.split()[0] for x in INDEX.split(", ")]
-    met = index.withColumn("to", F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int")).join(batch, ["to", "dims"]).select(*names, "queries")
+    names = [x.split()[0] for x in INDEX.split(", ")][:-1]
+    met = index.withColumn("to", F.pmod("turn", F.lit(parts)).cast("int")).join(batch, ["to", "dims"]).select(*names, "queries")
 
     def run(batches):
         last, tree = None, None
         for b in batches:
             for i in range(b.num_rows):
-                *held, queries = (b.column(c)[i].as_py() for c in range(b.num_columns))
+                held = [b.column(c)[i].as_py() for c in range(len(names))]
                 if held[1] != last:
                     last, tree = held[1], Tree.read(*held)
-                out = [[np.zeros(0, np.int64)] for _ in range(4)]
-                for one in queries:
-                    q = np.array(one["v"], np.int64)
-                    for n, w in enumerate(one["windows"]):
-                        ids, scores, _ = tree.best(one["key"], q, one["label"], same, (w["low"], w["high"]), k)
-                        for o, x in zip(out, (np.full(len(ids), one["key"]), np.full(len(ids), n), ids, scores), strict=True):
-                            o.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["key", "n", "id", "score"])
+                keys, vectors, labels, low, high = asked_of(b.column(len(names))[i].values, held[0])
+                (who, n, ids, scores), _ = tree.search(keys, vectors, labels, same, low, high, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys[who], n, ids, scores)], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return met.mapInArrow(run, "key long, n long, id long, score long")
+    return met.mapInArrow(run, FOUND)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -202,17 +265,19 @@ def hard_negatives(rows: DataFrame, label: Column, id_col: str = "vec_id", vec_c
     columns are ignored; an empty table gives no rows.
     """
     valid = stored(quantised(rows, id_col, vec_col, label, scale))
-    index = indexed(valid)
-    anchors = valid.where(F.col("id") % every == 0)
+    anchor = F.col("id") % every == 0
+    many, components = valid.agg(F.count_if(anchor), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    anchors, batches = valid.where(anchor), max(1, -(-many // BATCH))
+    index = indexed(valid, components)
     whole = F.array(F.struct(F.lit(ANY[0]).alias("low"), F.lit(ANY[1]).alias("high")))
-    near = ranked(searched(index, anchors.withColumn("windows", whole), True, positives), positives)
+    near = ranked(searched(index, anchors.withColumn("windows", whole), batches, True, positives), positives)
     # at most ``positives`` of each anchor
     pairs = stored(near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")))).alias("pairs")))
     asked = anchors.join(pairs, "key")
     # the smallest and largest whole scores of the window: x - pmod(x, 100) and x + pmod(-x, 100) are divisible
     hundredths = lambda x: F.call_function("div", x, F.lit(100))
     limits = lambda p: F.struct(hundredths(p["positive_score"] * low + F.pmod(-p["positive_score"] * low, F.lit(100))).alias("low"), hundredths(p["positive_score"] * high - F.pmod(p["positive_score"] * high, F.lit(100))).alias("high"))
-    found = ranked(searched(index, asked.withColumn("windows", F.transform("pairs", limits)), False, negatives), negatives)
+    found = ranked(searched(index, asked.withColumn("windows", F.transform("pairs", limits)), batches, False, negatives), negatives)
     pair = F.get("pairs", F.col("n").cast("int"))
     named = found.join(asked.select("key", F.col("id").alias("anchor_id"), "pairs"), "key")
     return named.select("anchor_id", pair["positive_id"].alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), pair["positive_score"].alias("positive_score"), F.col("score").alias("negative_score"))

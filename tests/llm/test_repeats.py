@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -130,6 +131,57 @@ def test_boxes_prune_and_lose_nothing():
     assert total / 30 < sum(len(x[0]) for x in tree.levels) / 3
 
 
+def test_queries_side_by_side(monkeypatch):
+    """Many queries at once give what each gives alone, with windows that are open, narrow, empty or lacking, and in a
+    small part of the time, as a node meets its queries in one product."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-256, 257, (6000, 64))
+    v[1000:1040] = v[7]
+    labels, ids, keys = rng.integers(0, 3, 6000), rng.permutation(6000), np.arange(6000)
+    tree = rtree.Tree.read(*rtree.Tree.of(keys, ids, labels, v).row())
+    asked = np.arange(0, 6000, 30)
+    low = np.stack([np.full(200, rtree.ANY[0]), np.full(200, -90_000), np.full(200, rtree.ANY[1])], 1)
+    high = np.stack([np.full(200, rtree.ANY[1]), np.full(200, 70_000), np.full(200, rtree.ANY[0])], 1)
+    for same in (True, False):
+        start = time.process_time()
+        (who, n, got, scores), _ = tree.search(asked, v[asked], labels[asked], same, low, high, 10)
+        together, start = time.process_time() - start, time.process_time()
+        alone = {(i, w): tree.best(a, v[a], int(labels[a]), same, (int(low[i, w]), int(high[i, w])), 10) for i, a in enumerate(asked) for w in range(2)}
+        assert together < (time.process_time() - start) / 4
+        for (i, w), (ids_, scores_, _) in alone.items():
+            s = v @ v[asked[i]]
+            ok = np.flatnonzero(((labels == labels[asked[i]]) == same) & (keys != asked[i]) & (s >= low[i, w]) & (s <= high[i, w]))
+            want = ok[np.lexsort((ids[ok], -s[ok]))[:10]]
+            at = (who == i) & (n == w)
+            assert ids_.tolist() == got[at].tolist() == ids[want].tolist() and scores_.tolist() == scores[at].tolist() == s[want].tolist()
+        assert set(n) == {0, 1}
+    # some queries beyond what floats hold exactly, and few bounds at once
+    monkeypatch.setattr(rtree, "BOUNDS", 1)
+    wide = v[asked[:9]] * np.where(np.arange(9) % 2, 1 << 40, 1)[:, None] + 1
+    (who, n, got, scores), _ = tree.search(asked[:9], wide, labels[asked[:9]], True, low[:9, :1], high[:9, :1], 4)
+    for i in range(9):
+        s = v @ wide[i]
+        ok = np.flatnonzero((labels == labels[asked[i]]) & (keys != asked[i]))
+        want = ok[np.lexsort((ids[ok], -s[ok]))[:4]]
+        assert got[who == i].tolist() == ids[want].tolist() and scores[who == i].tolist() == s[want].tolist()
+
+
+def test_few_vectors_in_few_blocks(spark):
+    """Many partitions of few vectors don't give each query rows from as many blocks."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label")
+    asked = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in asked}
+    for k, x in asked.items():
+        spark.conf.set(k, x)
+    try:
+        valid = rtree.quantised(rows, "vec_id", "embedding", F.col("label"), 256)
+        assert rtree.indexed(valid, 64 * valid.count()).count() <= spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, rtree.hard_negatives(rows, F.col("label")).collect())) == brute_negatives(rows.collect())
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
 # ---- source audit
 
 

@@ -8,12 +8,15 @@ sequence that still isn't full is cut into sequences of powers of two, which nee
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ MAX_SEGMENTS = 16
 #: Pieces among which the heuristic chooses, words that a tokenizer remembers, and their most bytes.
 WINDOW = 1024
 MEMORY, LONGEST = 300_000, 64
+#: Bytes of texts that are encoded at once, word pieces that are remembered, and the most bytes of them and their ids.
+RUN, PIECES, HELD = 1 << 20, 400_000, 16 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -91,6 +96,123 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+#: Of each Latin-1 character: its lower case, and its kind for ``SPLITS``: white space, letter, number or another.
+LOWER = bytes(c + 32 if 65 <= c <= 90 or 192 <= c <= 222 and c != 215 else c for c in range(256))
+SPACE, LETTER, NUMBER, OTHER = range(4)
+KIND = bytes(SPACE if c in b"\t\n\v\f\r \x85\xa0" else LETTER if chr(c).isalpha() else NUMBER if chr(c).isnumeric() else OTHER for c in range(256))
+#: The pieces that begin with an apostrophe. One after another mark belongs to the marks before it.
+SHORT = re.compile(rb"'(?:s|t|re|ve|m|ll|d)")
+
+
+class Pieces(dict):
+    """From a word piece, as lower-case Latin-1 bytes, to its number, for many texts at once: their characters are told
+    apart by kind, each distinct piece of a run is looked up once, and new ones go to the model together. Texts with
+    characters beyond Latin-1, for which ``by_words`` doesn't hold or with special tokens go to ``Words``."""
+
+    def __init__(self, words: Words):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
+        model, there = words.tokenizer.model, words.tokenizer.get_vocab(with_added_tokens=False)
+        self.words, self.plain = words, Tokenizer(model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # the end of a piece shows in its last id, if no letter is unknown
+        self.direct = words.direct and getattr(model, "end_of_word_suffix", None) == "</w>" and all(c in there and c + "</w>" in there for c in words.letters)
+        self.last = np.zeros(max(there.values(), default=0) + 1, bool)
+        self.last[[n for t, n in there.items() if t.endswith("</w>")]] = True
+        # spaces are only between pieces
+        self.letters = "".join(" " if n == 32 else c for n, c in enumerate(words.letters))
+
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new, self.flat, self.counts, self.held = [], np.zeros(0, "<u4"), np.zeros(0, np.int32), 0
+
+    def __missing__(self, piece: bytes) -> int:
+        self.new.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces; ``flat`` and ``counts`` get the ids of new ones."""
+        if len(self) > PIECES or self.held > HELD:
+            self.forget()
+        at = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1].tolist()
+        raw = pieces.buffers()[2].to_pybytes()
+        out = np.fromiter(map(self.__getitem__, [raw[a:b] for a, b in itertools.pairwise(at)]), np.int64, len(pieces))
+        flat, counts = [self.flat], [self.counts]
+        for k in range(0, len(self.new), 4000):
+            some = codecs.charmap_decode(b" ".join(self.new[k : k + 4000]).decode("latin-1").encode(), "strict", self.letters)[0]
+            flat.append(np.array(self.plain.encode(some, add_special_tokens=False).ids, "<u4"))
+            counts.append(np.diff(np.flatnonzero(self.last[flat[-1]]), prepend=-1).astype(np.int32))
+        self.held += sum(map(len, self.new)) + sum(x.nbytes for x in flat[1:])
+        self.new, self.flat, self.counts = [], np.concatenate(flat), np.concatenate(counts)
+        return out
+
+    def run(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of Latin-1 texts, as little-endian 32-bit bytes."""
+        joined = b"\n".join(texts).translate(LOWER)
+        kind = np.frombuffer(joined.translate(KIND), np.uint8)
+        there = kind != SPACE
+        if not there.any():
+            return [b""] * len(texts)
+        first = (np.diff(kind, prepend=np.uint8(SPACE)) != 0) & there | (kind == NUMBER)
+        for m in SHORT.finditer(joined):
+            if m.start() and kind[m.start() - 1] == OTHER:
+                continue
+            first[m.start() + 1] = False
+            first[m.end() : m.end() + 1] = there[m.end() : m.end() + 1]
+        starts = np.append(np.flatnonzero(first[there]), there.sum()).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(np.frombuffer(joined, np.uint8)[there])]).dictionary_encode()
+        which = self.numbers(pieces.dictionary)[pieces.indices.to_numpy()]
+        counts = self.counts[which]
+        before = np.append(0, np.cumsum(counts, dtype=np.int64))
+        at = np.repeat((np.cumsum(self.counts) - self.counts)[which] - before[:-1], counts)
+        at += np.arange(before[-1])
+        out = self.flat[at].tobytes()
+        # the first piece of each text, and one past the last one
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = (4 * before[np.searchsorted(np.flatnonzero(first), begin)]).tolist()
+        return [out[a:b] for a, b in itertools.pairwise(cut)]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts. Long ones are encoded in parts between white space."""
+        out, mine = [b""] * len(texts), []
+        for n, text in enumerate(texts):
+            try:
+                if not self.direct or b"<|" in text:
+                    raise UnicodeError
+                mine.append((n, text if text.isascii() else text.decode().encode("latin-1")))
+            except UnicodeError:
+                out[n] = self.words.ids(text)
+        some, size = [], 0
+        for n, text in [*mine, (None, b"")]:
+            if n is None or size + len(text) > RUN:
+                for k, x in zip([k for k, _ in some], self.run([x for _, x in some]), strict=True):
+                    out[k] += x
+                some, size = [], 0
+            if n is not None:
+                *parts, text = between(text)
+                for x in parts:
+                    out[n] += self.run([x])[0]
+                some.append((n, text))
+                size += len(text)
+        return out
+
+
+def between(text: bytes):
+    """A text in parts of about ``RUN`` bytes at most, cut after spaces or line feeds; longer ones, if it has none."""
+    at = 0
+    while len(text) - at > RUN:
+        to = max(text.rfind(c, at, at + RUN) for c in (b" ", b"\n")) + 1
+        if to <= at:
+            to = min((k + 1 for k in (text.find(c, at + RUN) for c in (b" ", b"\n")) if k >= 0), default=len(text))
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
 class Piece:
     __slots__ = ("doc", "ids", "start", "length", "tokens", "loss_from")
 
@@ -201,7 +323,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, segments: int =
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        words = Words(Tokenizer.from_file(tokenizer))
+        pieces = Pieces(Words(Tokenizer.from_file(tokenizer)))
         packer = Packer(length, segments, limit, TaskContext.get().partitionId() << 33)
         end = np.array([END], "<u4").tobytes()
 
@@ -216,10 +338,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, segments: int =
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
         for b in batches:
-            for doc, text, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                packer.add(doc, (words.ids(text.as_buffer().to_pybytes()) if text.is_valid else b"") + end, n)
-                if len(packer.out) > 4096:
-                    yield from rows()
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = np.flatnonzero(np.diff(size // RUN, prepend=-1))
+            for k, to in itertools.pairwise([*first.tolist(), len(size)]):
+                some = b.slice(k, to - k)
+                texts = [text or b"" for text in some.column(1).to_pylist()]
+                for doc, ids, n in zip(some.column(0).to_pylist(), pieces.ids(texts), some.column(2).to_pylist(), strict=True):
+                    packer.add(doc, ids + end, n)
+                    if len(packer.out) > 4096:
+                        yield from rows()
             yield from rows()
         packer.pack(0)
         yield from rows()

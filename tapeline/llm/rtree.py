@@ -5,9 +5,10 @@ component of the largest spread, cuts them into slabs, sorts each slab by the ne
 consecutive leaves share a parent, and so on up to one root. Every node has the smallest box that holds its vectors, and
 from a query's weights each side of the box gives an interval of products; their sums bound the scores inside. The search
 opens the nodes of the highest bounds first. It leaves out boxes outside the windows of wanted scores, boxes of unwanted
-labels, and boxes strictly below the k-th score so far, and ends when the highest bound is strictly below it. The
-queries of a batch are searched side by side, in rounds: a round opens the best node of each query, later the best ones
-in proportion to what it has opened, and a node that several queries open meets them in one product of matrices.
+labels, and boxes below the k-th score so far or at it with larger ids only, and ends when the highest bound is strictly
+below it. The queries of a batch are searched side by side, in rounds: a round opens the best node of each query, later
+the best ones in proportion to what it has opened, and a node that several queries open meets them in one product of
+matrices.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors of a leaf, children of a node, components of a block, queries of a batch, bounds held at once.
-LEAF, FAN, BLOCK, BATCH, BOUNDS = 64, 16, 1 << 20, 1024, 1 << 22
+#: Vectors of a leaf, children of a node, components of a block, queries of a batch, bounds held at once, rows found that
+#: are held at once beyond the best.
+LEAF, FAN, BLOCK, BATCH, BOUNDS, HELD = 64, 16, 1 << 20, 1024, 1 << 22, 1 << 20
 POSITIVES, NEGATIVES, SCALE = 5, 10, 256
 #: A negative's score is at least and at most so many hundredths of the positive's.
 LOW, HIGH = 30, 90
@@ -58,14 +60,14 @@ def tiles(v: np.ndarray) -> list[np.ndarray]:
 
 class Tree:
     """rows: [vector, component] in the order of the leaves; starts: first vector of each leaf, and the end. levels: from
-    the leaves up (lowest, highest component, lowest, highest label of each node)."""
+    the leaves up (lowest, highest component, lowest, highest label, smallest id of each node)."""
 
     def __init__(self, keys, ids, labels, rows, starts):
         self.keys, self.ids, self.labels, self.rows, self.starts = keys, ids, labels, rows, starts
-        first, level = starts[:-1], (rows, rows, labels, labels)
+        first, level = starts[:-1], (rows, rows, labels, labels, ids)
         self.levels = []
         while not self.levels or len(self.levels[-1][0]) > 1:
-            level = tuple(f.reduceat(x, first, axis=0) if len(x) else x for f, x in zip((np.minimum, np.maximum) * 2, level, strict=True))
+            level = tuple(f.reduceat(x, first, axis=0) if len(x) else x for f, x in zip((np.minimum, np.maximum, np.minimum, np.maximum, np.minimum), level, strict=True))
             self.levels.append(tuple(x.astype(np.float64) for x in level[:2]) + level[2:])
             first = np.arange(0, len(level[0]), FAN)
         self.top = float(np.abs(rows).max(initial=0))
@@ -105,21 +107,33 @@ class Tree:
         up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
         vectors, q = (self.as_float, q.astype(np.float64)) if exact else (self.rows, q)
         low, high = (low.astype(np.float64), high.astype(np.float64)) if exact else (low, high)
-        # the least score that a window still takes: its own, later its k-th so far
-        floor, highest = low.copy(), high.max(1)
+        # the least score that a window still takes: its own, later its k-th so far, and then smaller ids than that one's
+        floor, last, highest = low.copy(), np.full(low.shape, ANY[1]), high.max(1)
         queue, opened = np.full((many, base[-1]), -np.inf), np.zeros(many, np.int64)
         want, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, q.dtype)
 
-        def offer(depth: int, first: int, last: int, who: np.ndarray) -> None:
+        def offer(depth: int, begin: int, end: int, who: np.ndarray) -> None:
             """Puts nodes of a level into the queues of those queries for which they can hold what is wanted."""
-            lo, hi, lab_lo, lab_hi = (x[first:last] for x in self.levels[depth])
+            lo, hi, lab_lo, lab_hi, least_id = (x[begin:end] for x in self.levels[depth])
             most, least = up[who] @ hi.T + down[who] @ lo.T + slack[who, None], up[who] @ lo.T + down[who] @ hi.T - slack[who, None]
             ok = np.zeros(most.shape, bool)
             for n in range(width):
-                ok |= (most >= floor[who, n, None]) & (least <= high[who, n, None])
+                at_floor = (most == floor[who, n, None]) & (least_id <= last[who, n, None])
+                ok |= ((most > floor[who, n, None]) | at_floor) & (least <= high[who, n, None])
             mine = labels[who, None]
             ok &= (lab_lo <= mine) & (lab_hi >= mine) if same else (lab_lo != mine) | (lab_hi != mine)
-            queue[who, base[depth] + first : base[depth] + last] = np.where(ok, most, -np.inf)
+            queue[who, base[depth] + begin : base[depth] + end] = np.where(ok, most, -np.inf)
+
+        def best(new: list) -> tuple[np.ndarray, ...]:
+            """The k best of each window; they raise its floor."""
+            want, ids, scores = (np.concatenate(x) for x in zip(*new, strict=True))
+            order = np.lexsort((ids, -scores, want))
+            want, ids, scores = want[order], ids[order], scores[order]
+            rank = np.arange(len(want)) - np.searchsorted(want, want)
+            want, ids, scores, rank = (x[rank < k] for x in (want, ids, scores, rank))
+            full = rank == k - 1
+            floor.reshape(-1)[want[full]], last.reshape(-1)[want[full]] = scores[full], ids[full]
+            return want, ids, scores
 
         offer(len(self.levels) - 1, 0, 1, np.arange(many))
         take = 1
@@ -138,7 +152,7 @@ class Tree:
             order = np.argsort(node, kind="stable")
             node, who = node[order], who[order]
             first = np.flatnonzero(np.diff(node, prepend=-1))
-            new = [(want, ids, scores)]
+            new, held = [(want, ids, scores)], 0
             for one, who in zip(node[first].tolist(), np.split(who, first[1:]), strict=True):
                 if one >= base[1]:
                     depth = int(np.searchsorted(base, one, "right")) - 1
@@ -149,17 +163,16 @@ class Tree:
                 got = q[who] @ vectors[at].T
                 i, r = np.nonzero((got >= lowest[who, None]) & (got <= highest[who, None]))
                 score, r, i = got[i, r], r + at.start, who[i]
-                ok = (floor[i] <= score[:, None]) & (high[i] >= score[:, None])
+                ok = (floor[i] < score[:, None]) | (floor[i] == score[:, None]) & (last[i] >= self.ids[r, None])
+                ok &= high[i] >= score[:, None]
                 ok &= ((self.keys[r] != keys[i]) & ((self.labels[r] == labels[i]) == same))[:, None]
                 i_, n = np.nonzero(ok)
                 new.append((i[i_] * width + n, self.ids[r[i_]], score[i_]))
-            want, ids, scores = (np.concatenate(x) for x in zip(*new, strict=True))
-            order = np.lexsort((ids, -scores, want))
-            want, ids, scores = want[order], ids[order], scores[order]
-            rank = np.arange(len(want)) - np.searchsorted(want, want)
-            want, ids, scores, rank = (x[rank < k] for x in (want, ids, scores, rank))
-            full = rank == k - 1
-            floor.reshape(-1)[want[full]] = scores[full]
+                held += len(i_)
+                if held > HELD:
+                    new, held = [best(new)], 0
+                    lowest = floor.min(1)
+            want, ids, scores = best(new)
             take = 1 + int(opened.max()) // 2
         return (want // width, want % width, ids, scores.astype(np.int64)), opened
 
@@ -206,8 +219,8 @@ def indexed(valid: DataFrame, components: int) -> DataFrame:
     """The trees, stored. Ranges of label and first component bring similar vectors together; the row's own key splits
     what is equal, so no vector, however frequent, fills a partition of its own. Since a query gets up to k rows a
     block, few vectors aren't dealt to more blocks than there are cores."""
-    near = valid.repartitionByRange(F.size("v"), "label", F.get("v", F.lit(0)), "key")
-    near = near.coalesce(max(valid.sparkSession.sparkContext.defaultParallelism, -(-components // BLOCK)))
+    parts = max(valid.sparkSession.sparkContext.defaultParallelism, -(-components // BLOCK))
+    near = valid.repartitionByRange(parts, F.size("v"), "label", F.get("v", F.lit(0)), "key").coalesce(parts)
     return stored(near.select("key", "id", "label", "v").mapInArrow(packed, INDEX))
 
 
@@ -225,15 +238,22 @@ def asked_of(batch: pa.StructArray, dims: int) -> tuple[np.ndarray, ...]:
     return keys, vectors, labels, low, high
 
 
-def searched(index: DataFrame, queries: DataFrame, batches: int, same: bool, k: int) -> DataFrame:
+def copies(index: DataFrame, many: int, rows: int) -> int:
+    """To how many parts of the index the ``many`` queries go: no more than shuffles have or there are blocks, and beyond
+    the number of cores no more than make the copies together as many vectors as the ``rows``."""
+    spark = index.sparkSession
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), index.count(), max(spark.sparkContext.defaultParallelism, rows // max(1, many))))
+
+
+def searched(index: DataFrame, queries: DataFrame, batches: int, parts: int, same: bool, k: int) -> DataFrame:
     """(key, n, id, score): for each of ``queries`` (key, label, v, windows array<struct<low, high>>) and the n-th of its
-    windows up to k best of every block. Every one of the ``batches`` of queries goes to every partition of the index:
-    the stated query set against all rows, in blocks."""
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows up to k best of every block. Every one of the ``batches`` of queries goes to each of the ``parts`` of the
+    index: the stated query set against all rows, in blocks. Spark takes the batches for as small as they are before they
+    are copied, and would broadcast the copies; so it is told to merge."""
     batch = queries.groupBy(F.pmod(F.xxhash64("key"), F.lit(batches)).alias("batch"), F.size("v").alias("dims")).agg(F.collect_list(F.struct("key", "label", "v", "windows")).alias("queries"))
     batch = batch.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("to", "dims", "queries")
     names = [x.split()[0] for x in INDEX.split(", ")][:-1]
-    met = index.withColumn("to", F.pmod("turn", F.lit(parts)).cast("int")).join(batch, ["to", "dims"]).select(*names, "queries")
+    met = index.withColumn("to", F.pmod("turn", F.lit(parts)).cast("int")).join(batch.hint("merge"), ["to", "dims"]).select(*names, "queries")
 
     def run(batches):
         last, tree = None, None
@@ -266,18 +286,19 @@ def hard_negatives(rows: DataFrame, label: Column, id_col: str = "vec_id", vec_c
     """
     valid = stored(quantised(rows, id_col, vec_col, label, scale))
     anchor = F.col("id") % every == 0
-    many, components = valid.agg(F.count_if(anchor), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    total, many, components = valid.agg(F.count("*"), F.count_if(anchor), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     anchors, batches = valid.where(anchor), max(1, -(-many // BATCH))
     index = indexed(valid, components)
+    parts = copies(index, many, total)
     whole = F.array(F.struct(F.lit(ANY[0]).alias("low"), F.lit(ANY[1]).alias("high")))
-    near = ranked(searched(index, anchors.withColumn("windows", whole), batches, True, positives), positives)
+    near = ranked(searched(index, anchors.withColumn("windows", whole), batches, parts, True, positives), positives)
     # at most ``positives`` of each anchor
     pairs = stored(near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")))).alias("pairs")))
     asked = anchors.join(pairs, "key")
     # the smallest and largest whole scores of the window: x - pmod(x, 100) and x + pmod(-x, 100) are divisible
     hundredths = lambda x: F.call_function("div", x, F.lit(100))
     limits = lambda p: F.struct(hundredths(p["positive_score"] * low + F.pmod(-p["positive_score"] * low, F.lit(100))).alias("low"), hundredths(p["positive_score"] * high - F.pmod(p["positive_score"] * high, F.lit(100))).alias("high"))
-    found = ranked(searched(index, asked.withColumn("windows", F.transform("pairs", limits)), batches, False, negatives), negatives)
+    found = ranked(searched(index, asked.withColumn("windows", F.transform("pairs", limits)), batches, parts, False, negatives), negatives)
     pair = F.get("pairs", F.col("n").cast("int"))
     named = found.join(asked.select("key", F.col("id").alias("anchor_id"), "pairs"), "key")
     return named.select("anchor_id", pair["positive_id"].alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), pair["positive_score"].alias("positive_score"), F.col("score").alias("negative_score"))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -166,6 +167,46 @@ def test_queries_side_by_side(monkeypatch):
         assert got[who == i].tolist() == ids[want].tolist() and scores[who == i].tolist() == s[want].tolist()
 
 
+def test_equal_vectors_found_are_bounded():
+    """Many queries that find thousands of equal scores hold few of them at once, and get those of the smallest ids."""
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.integers(-40, 40, (4, 64)), 4096, axis=0)
+    labels, ids, keys = np.repeat(np.arange(4), 4096), rng.permutation(len(v)), np.arange(len(v))
+    tree = rtree.Tree.of(keys, ids, labels, v)
+    q, low, high = np.repeat(v[::4096][:3].sum(0)[None], 256, axis=0), np.zeros((256, 5), np.int64), np.full((256, 5), 10**9)
+    tracemalloc.start()
+    (who, n, got, scores), _ = tree.search(np.full(256, -1), q, np.zeros(256, np.int64), False, low, high, 10)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    s = v @ q[0]
+    ok = np.flatnonzero((labels != 0) & (s >= 0))
+    want = ok[np.lexsort((ids[ok], -s[ok]))[:10]]
+    assert len(who) == 256 * 5 * 10 and (got.reshape(-1, 10) == ids[want]).all() and (scores.reshape(-1, 10) == s[want]).all()
+    assert peak < 100e6, peak
+
+
+def test_queries_are_copied_to_few_parts(spark):
+    """Queries go to no more parts than there are blocks, nor to more than the rows outweigh, and their copies, which
+    Spark takes for as small as the queries, aren't broadcast."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label")
+    valid = rtree.quantised(rows, "vec_id", "embedding", F.col("label"), 256)
+    index = rtree.indexed(valid, 64 * valid.count())
+    asked = valid.where("id % 100 = 0").withColumn("windows", F.array(F.struct(F.lit(rtree.ANY[0]).alias("low"), F.lit(rtree.ANY[1]).alias("high"))))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        blocks, cores = index.count(), spark.sparkContext.defaultParallelism
+        assert rtree.copies(index, 5, 500) == blocks <= cores and rtree.copies(index.limit(0), 0, 0) == 1
+        many = index.crossJoin(spark.range(1000))
+        assert rtree.copies(many, 5, 500) == 100 and rtree.copies(many, 500, 500) == cores and rtree.copies(many, 1, 500) == 300
+        found = rtree.searched(index, asked, 2, blocks, True, 5)
+        assert found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_few_vectors_in_few_blocks(spark):
     """Many partitions of few vectors don't give each query rows from as many blocks."""
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label")

@@ -133,7 +133,9 @@ def x05_truthy(spark, sf_dir):
 @query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN round(c_acctbal) / 37 END AS v FROM customer)
 SELECT c_custkey, coalesce(printf('%.1f%%', v * 100), '—') AS pct, coalesce(printf('%+.2f%%', v * 100), '-') AS signed, coalesce(printf('%.4f', v), '—') AS price, CASE WHEN v > 10 THEN 'yes' ELSE '' END AS flag FROM c""")
 def x06_formats(spark, sf_dir):
-    v = F.when(F.col("c_custkey") % 9 > 0, F.round("c_acctbal") / 37).otherwise(F.lit(float("nan")))
+    # round() of a number between -0.5 and 0 is 0 without its sign, which formats show
+    whole = F.signum("c_acctbal") * F.round(F.abs("c_acctbal"))
+    v = F.when(F.col("c_custkey") % 9 > 0, whole / 37).otherwise(F.lit(float("nan")))
     rows = read(spark, sf_dir, "customer").select("c_custkey", v.alias("v"))
     return rows.select("c_custkey", x.percent(F.col("v")).alias("pct"), x.percent(F.col("v"), 2, "-", signed=True).alias("signed"), x.price(F.col("v")).alias("price"), x.yes_or_blank(x.finite(F.col("v")) > 10).alias("flag"))
 

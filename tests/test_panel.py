@@ -42,6 +42,17 @@ def test_same_rows(spark, other, name):
     assert len(got) == len(want) and sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_formats_keep_the_sign_of_zero(spark, tmp_path):
+    """As the SQL: what is rounded to zero from below is written with its sign."""
+    rows = [(k, b) for k, b in enumerate([-0.5, -0.49, -0.3, -0.01, 0.0, 0.01, 0.29, 0.5, -0.2, -1.49, -1.5, 1.5, 999.5, -0.25, None])]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    cols = ["c_custkey", "pct", "signed", "price", "flag"]
+    got = sorted(tuple(r[c] for c in cols) for r in scan_queries.QUERIES["x06_formats"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({scan_queries.ORACLE_SQL['x06_formats']})").fetchall()) and got[2][1:4] == ("-0.0%", "-0.00%", "-0.0000")
+
+
 def test_dialect():
     assert spark_sql("@QUANTILE(abs(a, b), 0.5)") == "percentile(abs(a, b), 0.5)"
     assert other_sql("x @DAYS(a, lag(b) OVER (w))") == "x date_diff('day', lag(b) OVER (w), a)"

@@ -240,9 +240,10 @@ def asked_of(batch: pa.StructArray, dims: int) -> tuple[np.ndarray, ...]:
 
 def copies(index: DataFrame, many: int, rows: int) -> int:
     """To how many parts of the index the ``many`` queries go: no more than shuffles have or there are blocks, and beyond
-    the number of cores no more than make the copies together as many vectors as the ``rows``."""
+    the number of cores no more than make the copies together a quarter as many vectors as the ``rows``: each part also gives up to
+    k rows a query and window."""
     spark = index.sparkSession
-    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), index.count(), max(spark.sparkContext.defaultParallelism, rows // max(1, many))))
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), index.count(), max(spark.sparkContext.defaultParallelism, rows // max(1, 4 * many))))
 
 
 def searched(index: DataFrame, queries: DataFrame, batches: int, parts: int, same: bool, k: int) -> DataFrame:

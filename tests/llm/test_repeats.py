@@ -198,7 +198,7 @@ def test_queries_are_copied_to_few_parts(spark):
         blocks, cores = index.count(), spark.sparkContext.defaultParallelism
         assert rtree.copies(index, 5, 500) == blocks <= cores and rtree.copies(index.limit(0), 0, 0) == 1
         many = index.crossJoin(spark.range(1000))
-        assert rtree.copies(many, 5, 500) == 100 and rtree.copies(many, 500, 500) == cores and rtree.copies(many, 1, 500) == 300
+        assert rtree.copies(many, 5, 500) == 25 and rtree.copies(many, 500, 500) == cores and rtree.copies(many, 1, 5000) == 300
         found = rtree.searched(index, asked, 2, blocks, True, 5)
         assert found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString()

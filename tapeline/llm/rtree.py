@@ -249,23 +249,29 @@ def copies(index: DataFrame, many: int, rows: int) -> int:
 def searched(index: DataFrame, queries: DataFrame, batches: int, parts: int, same: bool, k: int) -> DataFrame:
     """(key, n, id, score): for each of ``queries`` (key, label, v, windows array<struct<low, high>>) and the n-th of its
     windows up to k best of every block. Every one of the ``batches`` of queries goes to each of the ``parts`` of the
-    index: the stated query set against all rows, in blocks. Spark takes the batches for as small as they are before they
-    are copied, and would broadcast the copies; so it is told to merge."""
+    index: the stated query set against all rows, in blocks. A part gets its queries first and then its trees, each once;
+    no join is there that would repeat the trees or broadcast the copies, which Spark takes for as small as the queries."""
     batch = queries.groupBy(F.pmod(F.xxhash64("key"), F.lit(batches)).alias("batch"), F.size("v").alias("dims")).agg(F.collect_list(F.struct("key", "label", "v", "windows")).alias("queries"))
-    batch = batch.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("to", "dims", "queries")
+    batch = batch.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("to"), "dims", "queries")
     names = [x.split()[0] for x in INDEX.split(", ")][:-1]
-    met = index.withColumn("to", F.pmod("turn", F.lit(parts)).cast("int")).join(batch.hint("merge"), ["to", "dims"]).select(*names, "queries")
+    both = index.select(F.pmod("turn", F.lit(parts)).cast("int").alias("to"), *names).unionByName(batch, allowMissingColumns=True)
+    met = both.repartition("to").sortWithinPartitions("to", "dims", F.col("queries").isNull()).select("to", *names, "queries")
 
     def run(batches):
-        last, tree = None, None
+        part, asked = None, []
         for b in batches:
             for i in range(b.num_rows):
-                held = [b.column(c)[i].as_py() for c in range(len(names))]
-                if held[1] != last:
-                    last, tree = held[1], Tree.read(*held)
-                keys, vectors, labels, low, high = asked_of(b.column(len(names))[i].values, held[0])
-                (who, n, ids, scores), _ = tree.search(keys, vectors, labels, same, low, high, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys[who], n, ids, scores)], names=[x.split()[0] for x in FOUND.split(", ")])
+                to, *held = (b.column(c)[i].as_py() for c in range(1 + len(names)))
+                if part != (to, held[0]):
+                    part, asked = (to, held[0]), []
+                some = b.column(1 + len(names))[i]
+                if some.is_valid:
+                    asked.append([np.array(x) for x in asked_of(some.values, held[0])])  # copies, else the batch stays
+                    continue
+                tree = Tree.read(*held)
+                for keys, vectors, labels, low, high in asked:
+                    (who, n, ids, scores), _ = tree.search(keys, vectors, labels, same, low, high, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys[who], n, ids, scores)], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return met.mapInArrow(run, FOUND)
 

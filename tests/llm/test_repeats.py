@@ -202,7 +202,7 @@ def test_queries_are_copied_to_few_parts(spark):
         found = rtree.searched(index, asked, 2, blocks, True, 5)
         assert found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert "MapInArrow" in plan and "Join" not in plan and "Broadcast" not in plan
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
